@@ -277,7 +277,8 @@ def compared(docs: DataFrame, rows: DataFrame, families: DataFrame, k: int, perc
     members = save(members)
     blocks = members.groupBy(F.col("family").alias("_family")).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("long").alias("blocks"))
     members = members.join(blocks, F.col("family") == F.col("_family")).drop("_family")
-    texts = docs.join(members, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("tag") == F.col("_tag"))).select("family", "blocks", "set_id", "text")
+    # a merge join at every size: the members grow with the documents
+    texts = docs.join(members.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("tag") == F.col("_tag"))).select("family", "blocks", "set_id", "text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
