@@ -627,11 +627,11 @@ def sequence_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("lang", F.length("text").alias("n")).groupBy("lang").agg(F.min("n").alias("shortest"), F.max("n").alias("longest"))
 
 
-@query(f"SELECT DISTINCT s FROM {_TOKENS} INTERSECT SELECT s FROM (SELECT DISTINCT unnest(regexp_extract_all(lower(o_orderpriority || ' ' || o_orderstatus), '[a-z]+')) AS s FROM orders)")
+@query(f"SELECT DISTINCT unnest(string_split(text, '')) AS token FROM {D} INTERSECT SELECT unnest(string_split('{P}', ''))")
 def special_collision(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tokens that two vocabularies share."""
-    other = table(spark, sf_dir, "orders").select(F.explode(F.regexp_extract_all(F.lower(F.concat_ws(" ", "o_orderpriority", "o_orderstatus")), F.lit("([a-z]+)"), F.lit(1))).alias("s")).distinct()
-    return _part_words(spark, sf_dir).intersect(other)
+    """Special tokens (here the pause marks) that the characters of the corpus hold already."""
+    chars = docs(spark, sf_dir).select(F.explode(F.array_distinct(F.split("text", ""))).alias("token"))
+    return chars.intersect(spark.createDataFrame([(c,) for c in P], "token string"))
 
 
 @query("SELECT op, count(*)::BIGINT AS models FROM (SELECT DISTINCT p_brand, unnest(string_split(p_type, ' ')) AS op FROM part) GROUP BY op")
