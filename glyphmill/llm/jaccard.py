@@ -236,12 +236,12 @@ def keep_one(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
     rows = save(jaccard_components(docs, k, percent).where("n_shingles > 0"))
     first = rows.groupBy("root").agg(F.min(F.struct("doc_id", "tag")).alias("one")).select("one.doc_id", "one.tag")
     gone = rows.select("doc_id", "tag").join(first.select(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag")), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("tag") == F.col("_tag")), "left_anti").distinct()
-    gone = gone.select(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag"))
-    keyed = docs.withColumn("_key", F.shiftrightunsigned(F.xxhash64("text"), 33))
-    kept = keyed.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_tag")), "left_anti")
+    gone = gone.select(F.col("doc_id").alias("gone_id"), F.col("tag").alias("gone_tag"))
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id"), F.shiftrightunsigned(F.xxhash64("text"), 33).alias("key"))
+    kept = keyed.join(gone, F.col("id").eqNullSafe(F.col("gone_id")) & (F.col("key") == F.col("gone_tag")), "left_anti")
     if not rows.groupBy("doc_id", "tag").count().where("count > 1").isEmpty():
-        kept = kept.dropDuplicates(["doc_id", "_key"])
-    return kept.select(*docs.columns)
+        kept = kept.dropDuplicates(["id", "key"])
+    return kept.select("row.*")
 
 
 def candidates(docs: DataFrame, k: int, scheme: Scheme) -> DataFrame:

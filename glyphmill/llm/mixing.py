@@ -145,11 +145,9 @@ def _fly(seed: int, level: int):
 
 def take(docs: DataFrame, seed: int = 0) -> DataFrame:
     """The mix itself: each row of ``docs`` as often as it is taken."""
-    columns = docs.columns
-    tag = F.shiftrightunsigned(F.xxhash64("text"), 33)
-    copies = mix_sources(docs, seed).where("copies > 0").groupBy(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag")).agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows"))
-    # repeated rows share their copies, the first of them takes the rest
-    keyed = docs.withColumn("_key", tag)
-    joined = keyed.join(copies, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_tag")))
-    single, repeated = joined.where("_rows = 1"), joined.where("_rows > 1").dropDuplicates(["doc_id", "_tag"])
-    return single.unionByName(repeated).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*columns)
+    copies = mix_sources(docs, seed).where("copies > 0").groupBy(F.col("doc_id").alias("taken_id"), F.col("tag").alias("taken_tag")).agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("rows"))
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id"), F.shiftrightunsigned(F.xxhash64("text"), 33).alias("key"))
+    joined = keyed.join(copies, F.col("id").eqNullSafe(F.col("taken_id")) & (F.col("key") == F.col("taken_tag")))
+    # rows that repeat share their copies: one of them takes all
+    single, repeated = joined.where("rows = 1"), joined.where("rows > 1").dropDuplicates(["id", "key"])
+    return single.unionByName(repeated).select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("row.*")

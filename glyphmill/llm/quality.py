@@ -184,11 +184,11 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[Wor
     words.vectors = (vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1)).astype(np.float32)
     # at most ``sample`` vectors
     got = sorted(vectorised(chosen, words, "doc_id", "quality").collect(), key=lambda r: (r.doc_id, r.vector))
-    x = np.array([np.frombuffer(r.vector, np.float64) for r in got]).reshape(len(got), -1)
-    y = np.array([r.quality for r in got])
     if not len(got):
         dim = WORD_DIM + FORM_DIM + 4
         return words, Network(np.zeros(dim), np.ones(dim), np.zeros((dim, HIDDEN)), np.zeros(HIDDEN), np.zeros(HIDDEN), 3.0)
+    x = np.array([np.frombuffer(r.vector, np.float64) for r in got])
+    y = np.array([r.quality for r in got])
     held = mix(np.array([r.doc_id for r in got], dtype=np.int64).view(np.uint64)) % np.uint64(5) == 0
     return words, fit(x, y, held)
 
