@@ -15,6 +15,7 @@ import os
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -31,13 +32,38 @@ CUT = regex.compile(r"(?<=\S)(?= \S)", regex.V1)
 #: The tokenizer's letter for each byte: itself where it is printable, else the next from 256 on.
 _SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 LETTERS = {b: b if b in _SHOWN else 256 + sum(x not in _SHOWN for x in range(b)) for b in range(256)}
-CACHE_PIECES = 600_000
+SPACE = chr(LETTERS[32])
+CACHE_PIECES = 500_000
+#: Marks that the split pattern takes together; the apostrophe can begin a token of its own.
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 LOW = np.uint64(1 << 31)
 HALF = np.uint64(32)
 MAGIC = b"GRA1"
 HEADER = struct.Struct("<4sBxHIII")  # magic, scale bits, lanes, tokens, words, crc32 of the tokens as uint32
 
 
+class Irregular(Exception):
+    """A piece begins or ends with white space, so the cuts around it are not safe."""
+
+
+class Pieces(dict):
+    """Ids of pieces preceded by a space, in two generations: when the younger is full the older goes, so what recurs stays."""
+
+    def __init__(self, compute) -> None:
+        self.compute = compute
+        self.older: dict[str, bytes] = {}
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.older.get(piece)
+        if ids is None:
+            ids = self.compute(piece)
+        if len(self) >= CACHE_PIECES:
+            self.older = dict(self)
+            self.clear()
+        self[piece] = ids
+        return ids
+
+
 class PieceEncoder:
     """Encodes texts like ``Tokenizer.encode(text, add_special_tokens=False)``, with memory."""
 
@@ -49,52 +75,62 @@ class PieceEncoder:
         self.size = self.tokenizer.get_vocab_size()
         self.type = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.after_space: dict[str, bytes | None] = {}
+        self.packers = [struct.Struct(f"<{n}{'H' if self.type.itemsize == 2 else 'I'}").pack for n in range(32)]
+        self.after_space = Pieces(self.compute)
         self.tokens: dict[str, bytes] = {}
 
     def direct(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.type).tobytes()
 
-    def learn(self, pieces: set[str]) -> None:
-        """Encode pieces (each preceded by a space) that are not known; None for those that begin or end with white space."""
-        if len(self.after_space) + len(pieces) > CACHE_PIECES:
-            self.after_space.clear()
-        for p in pieces:
-            self.after_space[p] = None if not p or p[0].isspace() or p[-1].isspace() else self.whole(" " + p)
+    def compute(self, piece: str) -> bytes:
+        if piece.isalpha():
+            return self.shown(SPACE + piece) if piece.isascii() else self.letters(" " + piece)
+        stem = piece.rstrip(MARKS)
+        if stem.isalpha():
+            known = self.after_space.get(stem) or self.after_space.older.get(stem) or self.letters(" " + stem)
+            return known + self.token(piece[len(stem) :])
+        if not piece or piece[0].isspace() or piece[-1].isspace():
+            raise Irregular
+        return self.whole(" " + piece)
+
+    def letters(self, token: str) -> bytes:
+        """Ids of one token of the split pattern."""
+        return self.shown(token.encode().decode("latin-1").translate(LETTERS))
+
+    def shown(self, token: str) -> bytes:
+        """Ids of a token in the tokenizer's letters."""
+        ids = [t.id for t in self.tokenizer.model.tokenize(token)]
+        return self.packers[len(ids)](*ids) if len(ids) < len(self.packers) else np.array(ids, dtype=self.type).tobytes()
+
+    def token(self, token: str) -> bytes:
+        ids = self.tokens.get(token)
+        if ids is None:
+            if len(self.tokens) >= CACHE_PIECES:
+                self.tokens.clear()
+            ids = self.tokens[token] = self.letters(token)
+        return ids
 
     def whole(self, piece: str) -> bytes:
         """Ids of a piece by its tokens of the split pattern."""
-        out = []
-        for x in SPLIT.findall(piece):
-            ids = self.tokens.get(x)
-            if ids is None:
-                if len(self.tokens) >= CACHE_PIECES:
-                    self.tokens.clear()
-                ids = self.tokens[x] = self.pack([t.id for t in self.tokenizer.model.tokenize(x.encode().decode("latin-1").translate(LETTERS))])
-            out.append(ids)
-        return b"".join(out)
-
-    def pack(self, ids: list[int]) -> bytes:
-        return struct.pack(f"<{len(ids)}{'H' if self.type.itemsize == 2 else 'I'}", *ids)
+        return b"".join(map(self.token, SPLIT.findall(piece)))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        parts = [t.split(" ") for t in texts]
-        self.learn(set().union(*parts).difference(self.after_space))
-        get, out = self.after_space.get, []
-        for text, x in zip(texts, parts, strict=True):
+        get, out = self.after_space.__getitem__, []
+        for text in texts:
             if any(s in text for s in self.special):
                 out.append(self.direct(text))
                 continue
-            found = list(map(get, x))
-            if None in found:
+            parts = text.split(" ")
+            try:
+                if not parts[0] or parts[0][0].isspace() or parts[0][-1].isspace():
+                    raise Irregular
+                out.append(self.whole(parts[0]) + b"".join(map(get, islice(parts, 1, None))))
+            except Irregular:
                 out.append(b"".join(map(self.cut_piece, CUT.split(text))))
-            else:
-                found[0] = self.whole(x[0])
-                out.append(b"".join(found))
         return out
 
     def cut_piece(self, piece: str) -> bytes:
-        """A piece of a text that has several spaces in a row or the like."""
+        """Ids of a part of a text between safe cuts."""
         known = self.after_space.get(piece[1:]) if piece[:1] == " " else None
         return self.whole(piece) if known is None else known
 
@@ -139,21 +175,20 @@ class Rans:
         n = len(ids)
         lanes = max(1, min(lanes, n // 64))
         bits = np.uint64(self.bits)
-        freq, cum = self.freq[ids], self.cum[ids]
-        if n and not freq.all():
-            raise ValueError("an id has no frequency")
-        limit = freq << np.uint64(63 - self.bits)
+        room = np.uint64(63 - self.bits)
         state = np.full(lanes, LOW, dtype=np.uint64)
         words: list[np.ndarray] = []
         for a in range((n - 1) // lanes * lanes if n else -1, -1, -lanes):
             z = min(a + lanes, n)
-            x = state[: z - a]
-            full = x >= limit[a:z]
-            if full.any():
-                words.append(x[full].astype(np.uint32))
-                x = np.where(full, x >> HALF, x)
-            q = x // freq[a:z]
-            state[: z - a] = (q << bits) + (x - q * freq[a:z]) + cum[a:z]
+            x, s = state[: z - a], ids[a:z]
+            freq = self.freq[s]
+            full = np.flatnonzero(x >= freq << room)
+            if len(full):
+                over = x[full]
+                words.append(over.astype(np.uint32))
+                x[full] = over >> HALF
+            q = x // freq  # an id without frequency can't be coded; the checksum of the block tells
+            state[: z - a] = (q << bits) + (x - q * freq) + self.cum[s]
         stream = np.concatenate(words[::-1]) if words else np.zeros(0, np.uint32)
         return HEADER.pack(MAGIC, self.bits, lanes, n, len(stream), zlib.crc32(ids.astype("<u4").tobytes())) + state.astype("<u8").tobytes() + stream.astype("<u4").tobytes()
 
@@ -162,7 +197,7 @@ class Rans:
         if magic != MAGIC or bits != self.bits:
             raise ValueError("not a block of this table")
         if self._symbol is None:
-            self._symbol = np.repeat(np.arange(len(self.freq), dtype=np.uint32), self.freq.astype(np.int64))
+            self._symbol = np.repeat(np.arange(len(self.freq), dtype=np.uint16 if len(self.freq) <= 1 << 16 else np.uint32), self.freq.astype(np.int64))
         state = np.frombuffer(frame, "<u8", lanes, HEADER.size).astype(np.uint64)
         words = np.frombuffer(frame, "<u4", n_words, HEADER.size + 8 * lanes).astype(np.uint64)
         out = np.empty(n, dtype=np.uint32)
@@ -193,7 +228,7 @@ def tokenize(docs: DataFrame, path: str, end_id: int) -> DataFrame:
         shard, seq, first = TaskContext.get().partitionId(), 0, 0
         names = ["shard", "seq", "first", "doc_id", "n", "ids", "counts"]
         for batch in batches:
-            for a, z in slices(batch, limit=4 << 20):
+            for a, z in slices(batch, limit=2 << 20):
                 part = batch.slice(a, z - a)
                 data = [x + end for x in enc.encode([t or "" for t in part.column("text").to_pylist()])]
                 n = np.array([len(x) // enc.type.itemsize for x in data], dtype=np.int64)
@@ -228,7 +263,7 @@ def total_counts(tokens: DataFrame) -> np.ndarray:
     return sum(parts) if parts else np.zeros(1, np.int64)
 
 
-def write_blocks(docs: DataFrame, path: str, end_id: int = 2, bits: int = 22, block: int = 1 << 18, lanes: int = 1024) -> tuple[DataFrame, Rans, list[tuple[int, int]]]:
+def write_blocks(docs: DataFrame, path: str, end_id: int = 2, bits: int = 20, block: int = 1 << 20, lanes: int = 4096) -> tuple[DataFrame, Rans, list[tuple[int, int]]]:
     """Encode every whole text, append ``end_id`` to each, write blocks in ascending doc_id order.
 
     Returns the table of blocks as read from its files, the coder of the shared frequency
@@ -242,7 +277,10 @@ def write_blocks(docs: DataFrame, path: str, end_id: int = 2, bits: int = 22, bl
     for shard, n in ends:
         bases.append((shard, total))
         total += n
-    rans = Rans(scaled(total_counts(tokens), bits), bits)
+    counts = total_counts(tokens)
+    # twice as many slots as ids at least
+    bits = max(bits, int(len(counts) * 2).bit_length())
+    rans = Rans(scaled(counts, bits), bits)
     width = "<u2" if len(rans.freq) <= 1 << 16 else "<u4"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -252,7 +290,7 @@ def write_blocks(docs: DataFrame, path: str, end_id: int = 2, bits: int = 22, bl
 
         def flush() -> pa.RecordBatch:
             ids = np.concatenate(held) if held else np.zeros(0, width)
-            frame = rans.encode(ids.astype(np.int64), lanes)
+            frame = rans.encode(ids, lanes)
             out = pa.RecordBatch.from_arrays(
                 [pa.array([state["shard"]], pa.int64()), pa.array([state["first"]], pa.int64()), pa.array([frame], pa.binary()), *(pa.array([[w[i] for w in who]], pa.list_(pa.int64())) for i in range(3))],
                 ["shard", "first", "frame", "seq", "doc_id", "n"],
