@@ -33,7 +33,7 @@ CUT = regex.compile(r"(?<=\S)(?= \S)", regex.V1)
 _SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 LETTERS = {b: b if b in _SHOWN else 256 + sum(x not in _SHOWN for x in range(b)) for b in range(256)}
 SPACE = chr(LETTERS[32])
-CACHE_PIECES = 500_000
+CACHE_PIECES = 100_000
 #: Marks that the split pattern takes together; the apostrophe can begin a token of its own.
 MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 LOW = np.uint64(1 << 31)
@@ -129,6 +129,34 @@ class PieceEncoder:
                 out.append(b"".join(map(self.cut_piece, CUT.split(text))))
         return out
 
+    def encode_column(self, column: pa.Array) -> list[bytes]:
+        """``encode`` of a whole column (null: empty): Arrow finds its distinct pieces, memory is asked once for each."""
+        column = pa.compute.fill_null(column, "")
+        parts = pa.compute.split_pattern(column, " ")
+        begin = np.asarray(parts.offsets)
+        pieces = parts.values.dictionary_encode()
+        codes = np.array(pieces.indices)
+        del parts
+        distinct = pieces.dictionary.to_pylist()
+        odd = np.array([not p or p[0].isspace() or p[-1].isspace() for p in distinct], dtype=bool)
+        get = self.after_space.__getitem__
+        known = [b"" if o else get(p) for p, o in zip(distinct, odd.tolist(), strict=True)]
+        texts = column.to_pylist()
+        alone = (np.bitwise_or.reduceat(odd[codes], begin[:-1]) if texts else odd).tolist()
+        for i, text in enumerate(texts):
+            alone[i] = alone[i] or any(s in text for s in self.special)
+            known.append(b"" if alone[i] else self.whole(distinct[codes[begin[i]]]))
+        codes[begin[:-1]] = len(odd) + np.arange(len(texts))  # no space before the first piece of a text
+        ids = np.frombuffer(b"".join(known), self.type)
+        size = np.fromiter(map(len, known), np.int32, len(known)) // self.type.itemsize
+        n = size[codes]
+        ends = np.cumsum(n, dtype=np.int32)
+        at = np.repeat((np.cumsum(size, dtype=np.int32) - size)[codes] - (ends - n), n)
+        at += np.arange(len(at), dtype=np.int32)
+        ids = ids[at]
+        bounds = np.concatenate([np.zeros(1, np.int32), ends])[begin].tolist()
+        return [self.encode([t])[0] if x else ids[a:z].tobytes() for t, x, a, z in zip(texts, alone, bounds[:-1], bounds[1:], strict=True)]
+
     def cut_piece(self, piece: str) -> bytes:
         """Ids of a part of a text between safe cuts."""
         known = self.after_space.get(piece[1:]) if piece[:1] == " " else None
@@ -219,30 +247,26 @@ class Rans:
 
 
 def tokenize(docs: DataFrame, path: str, end_id: int) -> DataFrame:
-    """Ids of each document in ascending doc_id order: shard, seq, first (token in the shard), doc_id, n, ids (zstd), counts (one row with them for each task)."""
+    """Ids of each document, where it is: doc_id, tie (a hash of the text), n, ids (zstd), counts (one row with them for each task, the other columns null)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         end = np.array([end_id], dtype=enc.type).tobytes()
         counts = np.zeros(max(enc.size, end_id + 1), dtype=np.int64)
-        shard, seq, first = TaskContext.get().partitionId(), 0, 0
-        names = ["shard", "seq", "first", "doc_id", "n", "ids", "counts"]
+        names = ["doc_id", "tie", "n", "ids", "counts"]
         for batch in batches:
-            for a, z in slices(batch, limit=2 << 20):
+            for a, z in slices(batch, limit=20 << 20):
                 part = batch.slice(a, z - a)
-                data = [x + end for x in enc.encode([t or "" for t in part.column("text").to_pylist()])]
-                n = np.array([len(x) // enc.type.itemsize for x in data], dtype=np.int64)
+                data = [x + end for x in enc.encode_column(part.column("text"))]
+                n = pa.array([len(x) // enc.type.itemsize for x in data], pa.int64())
                 counts += np.bincount(np.frombuffer(b"".join(data), enc.type), minlength=len(counts))
                 packed = [pa.compress(x, codec="zstd", asbytes=True) for x in data]
-                rows = len(part)
-                yield pa.RecordBatch.from_arrays([pa.array([shard] * rows), pa.array(range(seq, seq + rows), pa.int64()), pa.array(first + np.cumsum(n) - n), part.column("doc_id"), pa.array(n), pa.array(packed, pa.binary()), pa.nulls(rows, pa.binary())], names)
-                seq, first = seq + rows, first + int(n.sum())
-        if seq:
-            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([-1], pa.int64()), pa.array([first], pa.int64()), pa.nulls(1, pa.int64()), pa.array([0], pa.int64()), pa.nulls(1, pa.binary()), pa.array([counts.astype("<i8").tobytes()], pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("tie"), n, pa.array(packed, pa.binary()), pa.nulls(len(part), pa.binary())], names)
+        if counts.any():
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(1, pa.int64()) for _ in range(3)), pa.nulls(1, pa.binary()), pa.array([counts.astype("<i8").tobytes()], pa.binary())], names)
 
     docs = docs.select("doc_id", "text", F.xxhash64("text").alias("tie"))
-    docs = docs.repartitionByRange(F.asc_nulls_first("doc_id"), "tie").sortWithinPartitions(F.asc_nulls_first("doc_id"), "tie").drop("tie")
-    return docs.mapInArrow(run, "shard long, seq long, first long, doc_id long, n long, ids binary, counts binary")
+    return docs.mapInArrow(run, "doc_id long, tie long, n long, ids binary, counts binary")
 
 
 def total_counts(tokens: DataFrame) -> np.ndarray:
@@ -257,7 +281,7 @@ def total_counts(tokens: DataFrame) -> np.ndarray:
         if total is not None:
             yield pa.RecordBatch.from_arrays([pa.array([total.astype("<i8").tobytes()], pa.binary())], ["counts"])
 
-    tables = tokens.where("seq = -1").select("counts").mapInArrow(add, "counts binary")
+    tables = tokens.where("counts IS NOT NULL").select("counts").mapInArrow(add, "counts binary")
     tables = tables.repartition(8).mapInArrow(add, "counts binary")
     parts = [np.frombuffer(r.counts, "<i8") for r in tables.collect()]
     return sum(parts) if parts else np.zeros(1, np.int64)
@@ -272,11 +296,6 @@ def write_blocks(docs: DataFrame, path: str, end_id: int = 2, bits: int = 20, bl
     Null text is empty; null doc_ids come first; rows of one doc_id are ordered by a hash of the text.
     """
     tokens = save(tokenize(docs, path, end_id))
-    ends = sorted((r.shard, r.first) for r in tokens.where("seq = -1").select("shard", "first").collect())  # a row for each task
-    bases, total = [], 0
-    for shard, n in ends:
-        bases.append((shard, total))
-        total += n
     counts = total_counts(tokens)
     # twice as many slots as ids at least
     bits = max(bits, int(len(counts) * 2).bit_length())
@@ -284,45 +303,47 @@ def write_blocks(docs: DataFrame, path: str, end_id: int = 2, bits: int = 20, bl
     width = "<u2" if len(rans.freq) <= 1 << 16 else "<u4"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard = TaskContext.get().partitionId()
         held: list[np.ndarray] = []
         who: list[tuple[int, int | None, int]] = []
-        state = {"shard": None, "first": 0, "size": 0}
+        seq = first = size = 0
 
         def flush() -> pa.RecordBatch:
-            ids = np.concatenate(held) if held else np.zeros(0, width)
-            frame = rans.encode(ids, lanes)
+            frame = rans.encode(np.concatenate(held), lanes)
             out = pa.RecordBatch.from_arrays(
-                [pa.array([state["shard"]], pa.int64()), pa.array([state["first"]], pa.int64()), pa.array([frame], pa.binary()), *(pa.array([[w[i] for w in who]], pa.list_(pa.int64())) for i in range(3))],
+                [pa.array([shard], pa.int64()), pa.array([first], pa.int64()), pa.array([frame], pa.binary()), *(pa.array([[w[i] for w in who]], pa.list_(pa.int64())) for i in range(3))],
                 ["shard", "first", "frame", "seq", "doc_id", "n"],
             )
             held.clear()
             who.clear()
-            state["first"] += state["size"]
-            state["size"] = 0
             return out
 
         for batch in batches:
-            for shard, seq, first, doc_id, packed, n in zip(*(batch.column(c).to_pylist() for c in ("shard", "seq", "first", "doc_id", "ids", "n")), strict=True):
-                if shard != state["shard"] or first != state["first"] + state["size"]:
-                    if who:
-                        yield flush()
-                    state.update(shard=shard, first=first, size=0)
+            for doc_id, packed, n in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "ids", "n")), strict=True):
                 ids = np.frombuffer(pa.decompress(packed, n * np.dtype(width).itemsize, codec="zstd", asbytes=True), width)
-                while True:
-                    part = ids[: block - state["size"]]
+                while len(ids):
+                    part = ids[: block - size]
                     held.append(part)
                     who.append((seq, doc_id, len(part)))
-                    state["size"] += len(part)
+                    size += len(part)
                     ids = ids[len(part) :]
-                    if state["size"] == block:
+                    if size == block:
                         yield flush()
-                    if not len(ids):
-                        break
+                        first, size = first + size, 0
+                seq += 1
         if who:
             yield flush()
 
-    blocks = tokens.where("seq >= 0").drop("counts").mapInArrow(run, "shard long, first long, frame binary, seq array<long>, doc_id array<long>, n array<long>")
-    return save(blocks, drop=[tokens]), rans, bases
+    # only now are rows dealt out: ids are a fraction of their texts
+    key = F.asc_nulls_first("doc_id")
+    ordered = tokens.where("counts IS NULL").select("doc_id", "tie", "n", "ids").repartitionByRange(key, "tie").sortWithinPartitions(key, "tie")
+    blocks = save(ordered.mapInArrow(run, "shard long, first long, frame binary, seq array<long>, doc_id array<long>, n array<long>"), drop=[tokens])
+    sums = blocks.groupBy("shard").agg(F.sum(F.aggregate("n", F.lit(0).cast("long"), lambda a, n: a + n)).alias("n")).collect()  # a row for each task
+    bases, total = [], 0
+    for shard, n in sorted(map(tuple, sums)):
+        bases.append((shard, total))
+        total += n
+    return blocks, rans, bases
 
 
 def shifted(crc: int, n_bytes: int) -> int:
