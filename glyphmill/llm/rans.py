@@ -33,7 +33,7 @@ CUT = regex.compile(r"(?<=\S)(?= \S)", regex.V1)
 _SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 LETTERS = {b: b if b in _SHOWN else 256 + sum(x not in _SHOWN for x in range(b)) for b in range(256)}
 SPACE = chr(LETTERS[32])
-CACHE_PIECES = 100_000
+CACHE_PIECES = 300_000
 #: Marks that the split pattern takes together; the apostrophe can begin a token of its own.
 MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 LOW = np.uint64(1 << 31)
