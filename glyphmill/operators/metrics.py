@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.profile import IGNORE
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once: what a lambda refers to by its expression is computed again for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def logsumexp(x: Column) -> Column:
-    top = F.array_max(x)
-    return top + F.log(F.aggregate(F.transform(x, lambda v: F.exp(v - top)), F.lit(0.0), lambda a, v: a + v))
+    return let(F.array_max(x), lambda top: top + F.log(F.aggregate(x, F.lit(0.0), lambda a, v: a + F.exp(v - top))))
 
 
 def log_probability(x: Column, target: Column) -> Column:
@@ -31,8 +37,7 @@ def ranked(x: Column, k: int) -> Column:
 
 def top_mass(x: Column, k: int) -> Column:
     """Probability of the k best classes."""
-    lse = logsumexp(x)
-    return F.aggregate(F.transform(F.slice(F.sort_array(x, asc=False), 1, k), lambda v: F.exp(v - lse)), F.lit(0.0), lambda a, v: a + v)
+    return let(logsumexp(x), lambda lse: F.aggregate(F.slice(F.sort_array(x, asc=False), 1, k), F.lit(0.0), lambda a, v: a + F.exp(v - lse)))
 
 
 def accuracy(df: DataFrame, rank: str, by: list[str] | None = None) -> DataFrame:
@@ -75,7 +80,7 @@ def smoothed(x: Column, target: Column, epsilon: float = 0.1) -> Column:
     lse = logsumexp(x)
     others = F.filter(F.transform(x, lambda v, i: F.when((i != target) & (v > float("-inf")), v)), lambda v: v.isNotNull())
     n = F.size(others)
-    rest = F.aggregate(others, F.lit(0.0), lambda a, v: a + (lse - v))
+    rest = let(lse, lambda y: F.aggregate(others, F.lit(0.0), lambda a, v: a + (y - v)))
     own = lse - F.get(x, target)
     return F.when(target == IGNORE, None).when(n == 0, own).otherwise((1 - epsilon) * own + epsilon / n * rest)
 
