@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .once import let
 from .profile import TARGET
 
 DIRECTIONS = ("backward", "forward", "bidirectional")
@@ -27,8 +28,12 @@ def select_span(labels: Column, k: Column, direction: str) -> Column:
     anchor = F.get(at, k - 1)
     n = F.size(labels)
     others = F.filter(F.transform(labels, lambda l, i: F.when(l != TARGET, i)), lambda x: x.isNotNull())
-    right = F.coalesce(F.array_min(F.filter(others, lambda i: i > anchor)), n)
-    left = F.coalesce(F.array_max(F.filter(others, lambda i: i < anchor)) + 1, F.lit(0))
-    sel = anchor if direction == "backward" else left
-    end = anchor + 1 if direction == "forward" else right
-    return F.struct(sel.cast("int").alias("sel"), end.cast("int").alias("end"))
+
+    def span(anchor: Column) -> Column:
+        right = F.coalesce(F.array_min(F.filter(others, lambda i: i > anchor)), n)
+        left = F.coalesce(F.array_max(F.filter(others, lambda i: i < anchor)) + 1, F.lit(0))
+        sel = anchor if direction == "backward" else left
+        end = anchor + 1 if direction == "forward" else right
+        return F.struct(sel.cast("int").alias("sel"), end.cast("int").alias("end"))
+
+    return let(anchor, span)

@@ -2,19 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.once import let
 from ..functions.profile import IGNORE
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is computed once: what a lambda refers to by its expression is computed again for each element."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def logsumexp(x: Column) -> Column:
     return let(F.array_max(x), lambda top: top + F.log(F.aggregate(x, F.lit(0.0), lambda a, v: a + F.exp(v - top))))
 
