@@ -321,6 +321,16 @@ def test_classifier(spark):
     assert len({x.score for x in none}) == 1 and none[0].predicted == 1
 
 
+def test_encode_column_equals_the_tokenizer(spark):
+    pytest.importorskip("tokenizers")
+    import pyarrow as pa
+
+    enc = rans.encoder(rans.tokenizer_path(spark))
+    texts = ["", None, " ", "  a", "a  b", "a\n b", "don't 's x", "é ñ dogs'.", " lead", "trail ", "a\nb", "a\n\nb", "a\r\nb, c.\nIs $$$", f"a {enc.special[0]} b", "a " * 50]
+    assert enc.encode_column(pa.array(texts)) == [enc.direct(t or "") for t in texts]
+    assert enc.encode_column(pa.array([], pa.string())) == []
+
+
 @pytest.mark.parametrize("operator", [debruijn_dedup, suffix.suffix_dedup, pii.extract, line_quality, jaccard_components, keep_one, mix_sources, take, lambda d: rans.read_blocks(*rans.write_blocks(d, rans.tokenizer_path(d.sparkSession)))])
 def test_empty_tables(docs, operator):
     assert operator(docs.limit(0)).count() == 0
