@@ -355,3 +355,19 @@ def test_pipeline(spark, tmp_path):
     assert sorted(x.start for x in out)[0] == 0 and all(x.n_tokens > 100 for x in out)
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "near_duplicates", "decontamination", "mixing", "tokens"]
     assert hashlib.sha256(repr(sorted(out)).encode()).hexdigest() == hashlib.sha256(repr(sorted(corpus_pipeline.run(spark, str(tmp_path)).collect())).encode()).hexdigest()
+
+
+def test_pipeline_near_duplicates(spark):
+    import corpus_pipeline
+
+    r = random.Random(21)
+    base = [[f"n{r.randrange(10**6)}" for _ in range(200)] for _ in range(4)]
+    edited = list(base[2])
+    for p in (30, 80, 120, 170):
+        edited[p] = "other"
+    texts = base + [base[0][:-35], base[1][:-25], edited, base[3][:-45]]
+    five = lambda w: {tuple(w[p : p + 5]) for p in range(len(w) - 4)}
+    share = [len(five(a) & five(b)) / len(five(a) | five(b)) for a, b in zip(base, texts[4:], strict=True)]
+    assert 0.82 < share[0] < 0.83 and 0.8 < share[1] < 0.9 and 0.8 < share[2] < 0.9 and share[3] < 0.8
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
+    assert sorted(x.doc_id for x in corpus_pipeline.near_duplicates_stage(spark, docs, "").collect()) == [0, 1, 2, 3, 7]
