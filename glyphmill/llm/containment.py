@@ -1,4 +1,7 @@
-"""Benchmark items inside documents: size-partitioned MinHash containment search, then exact shingle containment."""
+"""Benchmark items inside documents: size-partitioned MinHash containment search, then exact shingle containment.
+
+Items of few shingles weigh too little in any window for MinHash and are looked up by their shingles instead.
+"""
 
 from __future__ import annotations
 
@@ -18,6 +21,8 @@ SEPARATOR = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 HASHES = 32
 #: Shingles in a block; a window is made up of whole blocks.
 BASE = 8
+#: Items of up to so many shingles are looked up by their shingles.
+FEW = 11
 #: Characters of items that are searched for at once.  More items are searched in several passes.
 MOST_ITEM_CHARS = 64 << 20
 _ODD = (np.random.Generator(np.random.PCG64(99)).integers(1 << 31, size=HASHES) * 2 + 1).astype(np.uint32)
@@ -52,7 +57,7 @@ class Partition:
 class Index:
     """The items in memory: exact shingles, and MinHash signatures in partitions by size."""
 
-    def __init__(self, ids: list[int | None], texts: list[str | None], k: int) -> None:
+    def __init__(self, ids: list[int | None], texts: list[str | None], k: int, share: float) -> None:
         self.k, self.ids = k, ids
         hashes, bounds, words, first = shingled(pa.array(texts, pa.string()), k)
         self.shingles = [np.unique(hashes[a:z]) for a, z in zip(bounds[:-1], bounds[1:], strict=True)]
@@ -68,8 +73,12 @@ class Index:
             self.short[n] = np.array([r[0] for r in rows], dtype=np.uint64), np.array([r[1] for r in rows])
         classes: dict[int, list[int]] = {}
         for i, s in enumerate(self.shingles):
-            if len(s) and np.diff(first)[i] >= k:
+            if len(s) > FEW and np.diff(first)[i] >= k:
                 classes.setdefault(max(1, int(np.ceil(2 * np.log2(max(len(s), BASE) / BASE)))), []).append(i)
+        few = [i for i, s in enumerate(self.shingles) if 0 < len(s) <= FEW and np.diff(first)[i] >= k]
+        self.few_values, self.few_items = self._rarest(few, share)
+        self.few_seen = np.zeros(1 << 20, dtype=bool)
+        self.few_seen[self.few_values & np.uint64(0xFFFFF)] = True
         self.partitions = []
         for c, rows in sorted(classes.items()):
             most = BASE * 2 ** (c / 2)
@@ -84,6 +93,24 @@ class Index:
             # a run of ``most`` shingles and a fifth more lies in this many blocks, wherever it begins
             self.partitions.append(Partition(int(np.ceil(most * 1.2 / BASE)) + 1, values, items, seen))
 
+    def _rarest(self, few: list[int], share: float) -> tuple[np.ndarray, np.ndarray]:
+        """Sorted shingles of these items with the item of each: of each item so many that a text without them holds too few.
+
+        They are the rarest among the items, so that no list is long without need.
+        """
+        if not few:
+            return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+        lens = np.array([len(self.shingles[i]) for i in few])
+        flat = np.concatenate([self.shingles[i] for i in few])
+        _, inverse, counts = np.unique(flat, return_inverse=True, return_counts=True)
+        owner = np.repeat(np.arange(len(few)), lens)
+        order = np.lexsort((flat, counts[inverse], owner))
+        rank = np.arange(len(flat)) - np.repeat(np.cumsum(lens) - lens, lens)
+        taken = rank <= (lens - np.maximum(np.ceil(share * lens), 1))[owner]
+        values, items = flat[order][taken], np.array(few)[owner[taken]]
+        order = np.argsort(values, kind="stable")
+        return values[order], items[order]
+
     def search(self, column: pa.Array) -> set[tuple[int, int]]:
         """Pairs (text, item) that may be contained."""
         hashes, bounds, words, first = shingled(column, self.k)
@@ -96,6 +123,12 @@ class Index:
             for p, t in zip(at[ok].tolist(), text[ok].tolist(), strict=True):
                 a, z = np.searchsorted(values, grams[p], "left"), np.searchsorted(values, grams[p], "right")
                 found.update((t, int(i)) for i in items[a:z])
+        at = np.flatnonzero(self.few_seen[hashes & np.uint64(0xFFFFF)])
+        low, high = np.searchsorted(self.few_values, hashes[at], "left"), np.searchsorted(self.few_values, hashes[at], "right")
+        at, low, high = at[high > low], low[high > low], high[high > low]
+        text = np.searchsorted(bounds, at, side="right") - 1
+        for t, a, z in zip(text.tolist(), low.tolist(), high.tolist(), strict=True):
+            found.update((t, int(i)) for i in self.few_items[a:z])
         if not len(hashes) or not self.partitions:
             return found
         lens = np.diff(bounds)
@@ -145,8 +178,9 @@ class Index:
 def with_leaks(docs: DataFrame, items: DataFrame, k: int = 5, share: float = 0.8) -> DataFrame:
     """``docs`` with ``leaks``: the items of which each text holds at least ``share`` of the distinct ``k``-word shingles.
 
-    Words are runs of letters and digits, A-Z lower-cased.  Items are in partitions by size; each partition is
-    searched with windows little longer than its items, so that a short item weighs enough in a long
+    Words are runs of letters and digits, A-Z lower-cased.  Items of up to ``FEW`` shingles are looked up by shingles, which
+    misses none.  Longer ones are in partitions by size; each partition is
+    searched with windows 1.2 to 2.7 times as long as its items, so that a short item weighs enough in a long
     document; a window whose MinHash agrees with an item's anywhere makes a candidate, and candidates are verified by
     exact containment in the whole text.  An item below ``k`` words is one shingle of its own length; items without words and
     null texts match nothing; repeated items count one by one.  All columns and rows of ``docs`` stay.
@@ -169,7 +203,7 @@ def _searcher(ids: list, texts: list, k: int, share: float, names: list[str], mo
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("n_shared", pa.int64()), ("n_shingles", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Index(ids, texts, k)
+        index = Index(ids, texts, k, share)
         for batch in batches:
             for a, z in slices(batch):
                 part = batch.slice(a, z - a)

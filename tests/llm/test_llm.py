@@ -371,3 +371,17 @@ def test_pipeline_near_duplicates(spark):
     assert 0.82 < share[0] < 0.83 and 0.8 < share[1] < 0.9 and 0.8 < share[2] < 0.9 and share[3] < 0.8
     docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
     assert sorted(x.doc_id for x in corpus_pipeline.near_duplicates_stage(spark, docs, "").collect()) == [0, 1, 2, 3, 7]
+
+
+def test_containment_of_few_shingles(spark):
+    r = random.Random(12)
+    prose = lambda n: [f"q{r.randrange(10**5)}" for _ in range(n)]
+    items = [prose(5 + i % 11) for i in range(1100)]
+    rows = [(i, " ".join(prose(300) + w + prose(300))) for i, w in enumerate(items)]
+    cut = [(2000 + i, " ".join(prose(40) + w[:-1] + prose(40))) for i, w in enumerate(items)]  # one shingle missing: a leak from five on
+    docs = spark.createDataFrame(rows + cut, "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    got = sorted((x.doc_id, y.item_id, y.n_shared, y.n_shingles) for x in with_leaks(docs, bench).collect() for y in x.leaks)
+    want = [(i, i, len(w) - 4, len(w) - 4) for i, w in enumerate(items)]
+    want += [(2000 + i, i, len(w) - 5, len(w) - 4) for i, w in enumerate(items) if len(w) >= 9]
+    assert got == sorted(want)
