@@ -15,6 +15,8 @@ import numpy as np
 from .common import Rolling, mix
 
 _PLACE = np.uint64((1 << 24) - 1)
+#: Units whose places are numbered at once, 2**24 at most; a longer slice is searched in pieces that overlap.
+PIECE = 1 << 24
 
 
 def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
@@ -43,15 +45,18 @@ class Anchors:
 def anchors(values: np.ndarray, offsets: np.ndarray, window: int, k: int) -> Anchors:
     """Anchors of texts given as one array of unit hashes; text i is ``values[offsets[i]:offsets[i + 1]]``."""
     n, w = len(values), window - k + 1
-    if n > int(_PLACE):
-        raise ValueError("a slice has more than 2**24 units")
     none = np.zeros(0, dtype=np.int64)
     if n < window:
         return Anchors(none, none, none, none, none.view(np.uint64), none.view(np.uint64), np.full(n, -1))
     rolling = Rolling(values)
     grams = rolling.every(k)
-    packed = (mix(grams) & ~_PLACE) | np.arange(len(grams), dtype=np.uint64)
-    least = (sliding_min(packed, w) & _PLACE).astype(np.int64)
+    least = np.empty(n - window + 1, dtype=np.int64)
+    # windows that begin in a piece reach w - 1 k-mers beyond it
+    for a in range(0, len(least), max(PIECE - w + 1, 1)):
+        part = mix(grams[a : a + max(PIECE, w)]) & ~_PLACE
+        part |= np.arange(len(part), dtype=np.uint64)
+        found = (sliding_min(part, w) & _PLACE).astype(np.int64)
+        least[a : a + len(found)] = found + a
     room = np.zeros(n + 1, dtype=np.int64)  # 1 where a window can begin
     lens = np.diff(offsets)
     ok = lens >= window

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from glyphmill.llm import chat, pii, rans, suffix
+from glyphmill.llm import chat, pii, rans, suffix, winnow
 from glyphmill.llm.containment import decontaminate, with_leaks
 from glyphmill.llm.debruijn import debruijn_dedup
 from glyphmill.llm.graph import components
@@ -385,3 +385,25 @@ def test_containment_of_few_shingles(spark):
     want = [(i, i, len(w) - 4, len(w) - 4) for i, w in enumerate(items)]
     want += [(2000 + i, i, len(w) - 5, len(w) - 4) for i, w in enumerate(items) if len(w) >= 9]
     assert got == sorted(want)
+
+
+def test_anchors_in_pieces(monkeypatch):
+    r = np.random.default_rng(5)
+    values = r.integers(0, 1 << 64, 40, dtype=np.uint64)[r.integers(0, 40, 5000)]
+    values[1000:1400] = values[0]
+    for window, k, offsets in ((20, 6, [0, 5000]), (200, 32, [0, 5000]), (20, 6, [0, 7, 7, 2600, 5000])):
+        whole = winnow.anchors(values, np.array(offsets), window, k)
+        for piece in (window, 211, 1024, 4999):
+            monkeypatch.setattr(winnow, "PIECE", piece)
+            found = winnow.anchors(values, np.array(offsets), window, k)
+            assert all(np.array_equal(getattr(whole, f), getattr(found, f)) for f in ("doc", "place", "left", "right", "key", "around", "chosen"))
+        monkeypatch.undo()
+
+
+def test_anchors_beyond_the_places_of_a_piece():
+    n = (1 << 24) + 5000
+    values = (np.arange(n, dtype=np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    values[-3000:] = values[:3000]  # the end repeats the beginning
+    found = winnow.anchors(values, np.array([0, n]), 200, 32)
+    head, tail = found.chosen[: 3000 - 199], found.chosen[n - 3000 : n - 199]
+    assert np.array_equal(head, tail - (n - 3000)) and found.place.max() >= n - 3000
