@@ -422,6 +422,28 @@ def two_phase_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("item_id", *[F.array_join(c.cast("array<string>"), ",").alias(k) for k, c in made.items()])
 
 
+_WHOLE = f"""(SELECT doc_id, {_ids("prefix")} AS p, {_ids("suffix")} AS s, list_transform(list_filter(string_split(lower(prefix), ''), lambda c: c <> ''), lambda c: CASE WHEN strpos('{ALPHABET}', c) = 0 THEN -100 ELSE strpos('{ALPHABET}', c) - 1 END) AS al
+FROM (SELECT doc_id, CASE WHEN alone THEN '' ELSE array_to_string(list_transform(segs[1:sel], lambda s: s.text), '') END AS prefix, array_to_string(list_transform(segs[sel + 1:e], lambda s: s.text), '') AS suffix FROM d))"""
+
+
+def _listed(x: str) -> str:
+    return f"md5(array_to_string(list_transform({x}, lambda x: x::VARCHAR), ','))"
+
+
+@query(f"""WITH {_SPAN_BASE}
+SELECT doc_id, len(p)::INTEGER AS n_prefix, len(s)::INTEGER AS n_suffix, {_listed("list_concat([26], p)")} AS full_prefix_ids,
+{_listed("CASE WHEN len(p) = 0 THEN [26] ELSE list_concat([26], p)[1:len(p)] END")} AS prefix_ids,
+{_listed("list_concat([list_concat([26], p)[len(p) + 1]], s[1:greatest(len(s) - 1, 0)])")} AS suffix_ids,
+{_listed("CASE WHEN len(p) = 0 THEN [-100] ELSE al END")} AS uncond_target_ids FROM {_WHOLE}""")
+def two_phase_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both passes of every document: all of its text before the selected span, and all of the span."""
+    df = segment.eligible(docs(spark, sf_dir)).select("doc_id", segment.segments(F.col("text")).alias("s")).select("doc_id", F.col("s.text").alias("text_list"), F.col("s.label").alias("labels"))
+    out = augment.prepared(df, "doc_id").select("doc_id", F.lower("prefix").alias("p"), F.lower("suffix").alias("s"))
+    ids = out.select("doc_id", vocab.encode(F.col("p"), ALPHABET).alias("p"), vocab.encode(F.col("s"), ALPHABET).alias("s"), vocab.encode_aligned(F.col("p"), ALPHABET).alias("al"))
+    made = ragged.two_phase(F.col("p"), F.col("s"), F.col("al"), 26)
+    return ids.select("doc_id", F.size("p").alias("n_prefix"), F.size("s").alias("n_suffix"), *[joined(c).alias(k) for k, c in made.items()])
+
+
 # readings here are single letters, which are their own short forms
 _EDGES = f"(SELECT DISTINCT ch, reading AS token FROM {FREQ})"
 _READ_VOCAB = f"(SELECT reading AS token, (row_number() OVER (ORDER BY reading) - 1)::INTEGER AS id FROM (SELECT DISTINCT reading FROM {FREQ} WHERE reading <> 'k'))"

@@ -1,5 +1,6 @@
 """Facts about single operators, and second definitions where SQL has none."""
 
+import hashlib
 import itertools
 import math
 import random
@@ -228,3 +229,15 @@ def test_stream_equals_batch(spark, tmp_path):
     q = stream_label_counts(spark, str(tmp_path / "in"), "doc_id long, text string", "label_counts")
     q.awaitTermination(120)
     assert sorted(spark.table("label_counts").collect()) == sorted(segment_rows(docs).groupBy("label").count().collect())
+
+
+def test_two_phase_documents_encodes_whole_texts(spark, tmp_path):
+    from glyphmill.plans import catalog
+
+    long_ = " ".join(["the quick brown fox jumps over"] * 40)
+    spark.createDataFrame([(i, long_) for i in range(40)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    rows = catalog.QUERIES["two_phase_documents"](spark, str(tmp_path)).collect()
+    assert len(rows) == 40 and max(r.n_prefix for r in rows) > 500
+    for r in rows:
+        letters = [catalog.ALPHABET.index(c) for c in long_ if c != " "][: r.n_prefix]
+        assert r.full_prefix_ids == hashlib.md5(",".join(map(str, [26, *letters])).encode()).hexdigest()
