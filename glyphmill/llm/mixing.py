@@ -3,41 +3,48 @@
 A source's target over its size says how often each of its documents is taken: a whole number of times, and
 once more with the fraction as inclusion probability.  The flight moves the fractions of
 a stratum along the null space of its constraints (documents and words), so that
-totals stay and one fraction after another becomes 0 or 1; it runs in buckets, whose few
-leftovers fly again together until a single bucket a source is left, and there the landing rounds the last two.
+totals stay and one fraction after another becomes 0 or 1.  It runs in buckets; a few units of each bucket
+stay out of it and fly with the leftovers again, until a single bucket a source is left.  There
+the landing rounds the last two fractions, and exchanges a taken unit for one of another length until the words that this
+put in or out are made up for.
 """
 
 from __future__ import annotations
 
-from math import ceil, floor
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import save
 
 WEIGHTS = (1, 2, 3)
 MOST = 3
-#: Fractions that fly together.
-BUCKET = 20_000
+#: Units that fly together, about, and those of them that are left for the next level.
+BUCKET, RESERVE = 2_000, 30
 EPS = 1e-9
 
 
-def targets(sizes: list[int]) -> list[float]:
-    """Words to take from each source, in order: shares by weight, none above MOST times its size."""
-    weights = [WEIGHTS[i % len(WEIGHTS)] for i in range(len(sizes))]
-    total = sum(sizes)
-    capped: set[int] = set()
+def with_targets(sources: DataFrame) -> DataFrame:
+    """Adds ``target`` to rows (source, size): shares by weight in the order of the sources, none above ``MOST`` times its size.
+
+    What the capped sources leave over raises the level of all others, until no more of them is above its cap; only the
+    level and two sums reach the driver.
+    """
+    place = F.row_number().over(Window.orderBy(F.col("source").isNull(), F.col("source")))
+    weighted = save(sources.withColumn("weight", F.get(F.array(*map(F.lit, WEIGHTS)), (place - 1) % len(WEIGHTS))))
+    total = weighted.agg(F.sum("size")).first()[0] or 0
+    capped = F.lit(False)
+    n_capped = -1
     while True:
-        free = [i for i in range(len(sizes)) if i not in capped]
-        rest = total - sum(MOST * sizes[i] for i in capped)
-        weight = sum(weights[i] for i in free)
-        over = [i for i in free if rest * weights[i] > MOST * sizes[i] * weight]
-        if not over:
-            return [float(MOST * s) if i in capped else rest * weights[i] / weight for i, s in enumerate(sizes)]
-        capped.update(over)
+        r = weighted.agg(F.sum(F.when(capped, F.col("size")).otherwise(0)).alias("size"), F.sum(F.when(capped, 0).otherwise(F.col("weight"))).alias("weight"), F.sum(capped.cast("long")).alias("n")).first()
+        rest, weight = total - MOST * (r["size"] or 0), r["weight"] or 0
+        if not weight or r["n"] == n_capped:
+            break
+        n_capped = r["n"]
+        capped = F.lit(rest) * F.col("weight") > F.lit(MOST) * F.col("size") * F.lit(weight)
+    share = F.lit(float(rest)) * F.col("weight") / F.lit(float(weight or 1))
+    return weighted.withColumn("target", F.when(capped, (MOST * F.col("size")).cast("double")).otherwise(share)).drop("weight")
 
 
 def flight(p: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.ndarray:
@@ -73,8 +80,11 @@ def flight(p: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.ndar
     return np.array(p)
 
 
-def landing(p: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Rounds the last fractions (two at most) so that words, then documents, are off by the least."""
+def landing(p: np.ndarray, size: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Rounds the last fractions (two at most), then exchanges units until the words of the fractions ``wanted`` are met.
+
+    An exchange keeps the number of documents; each one is the pair that leaves the fewest words too many or too few.
+    """
     p = p.copy()
     open_ = np.flatnonzero((p > EPS) & (p < 1 - EPS))
     best = None
@@ -84,31 +94,42 @@ def landing(p: np.ndarray, size: np.ndarray) -> np.ndarray:
         if best is None or cost < best[0]:
             best = (cost, x)
     p[open_] = best[1] if best else p[open_]
-    return np.round(p)
+    p = np.round(p)
+    free = (wanted > EPS) & (wanted < 1 - EPS)
+    over = float(((p - wanted) * size).sum())
+    while True:
+        taken, left = np.flatnonzero(free & (p == 1)), np.flatnonzero(free & (p == 0))
+        if not len(taken) or not len(left):
+            return p
+        left = left[np.argsort(size[left], kind="stable")]
+        at = np.searchsorted(size[left], size[taken] - over)
+        at = np.stack([np.maximum(at - 1, 0), np.minimum(at, len(left) - 1)])
+        after = np.abs(over - (size[taken] - size[left][at]))
+        side, i = np.unravel_index(int(np.argmin(after)), after.shape)
+        if after[side, i] >= abs(over) - 0.5:
+            return p
+        j = left[at[side, i]]
+        over -= float(size[taken[i]] - size[j])
+        p[taken[i]], p[j] = 0, 1
 
 
 def mix_sources(docs: DataFrame, seed: int = 0) -> DataFrame:
     """How often to take each document: doc_id, tag (of the text), size, source_size, target, copies, taken.
 
-    Size: words of the text (null: 0).  Sources are ordered by code point, null last.  One row for each row of
-    ``docs``; repeated rows are units of their own and interchangeable; a source without words gets the target 0
-    and is not taken; no document is taken more than three times.  Runs agree: order and draws are hashes of the
-    rows, buckets follow from the number of rows.
+    Size: words of the text (null or empty: 0; of a very long text all).  Sources are ordered by code point, null last.  One row for each row of
+    ``docs``, none for an empty table; repeated rows are units of their own and interchangeable; a source without words gets the target 0
+    and is not taken; no document is taken more than three times; other columns are ignored.  Runs agree: order and draws are hashes of the
+    rows, ties are broken by them, and buckets follow from the number of rows.
     """
     size = F.coalesce(F.regexp_count("text", F.lit(r"[^ \t-\r]+")), F.lit(0)).cast("long")
     units = save(docs.select("doc_id", "source", F.shiftrightunsigned(F.xxhash64("text"), 33).alias("tag"), size.alias("size")))
-    # one row for each source
-    found = units.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).collect()
-    found.sort(key=lambda r: (r.source is None, r.source or ""))
-    rows = []
-    for r, t in zip(found, targets([r["size"] for r in found]), strict=True):
-        ratio = t / r["size"] if r["size"] else 0.0
-        rows.append((r.source, r["size"], t, floor(ratio), ratio - floor(ratio), ceil(r.n / BUCKET)))
-    spark = docs.sparkSession
-    plan = spark.createDataFrame(rows, "_source string, source_size long, target double, whole long, p double, buckets long")
+    found = units.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n"))
+    ratio = F.when(F.col("size") > 0, F.col("target") / F.col("size")).otherwise(0.0)
+    plan = with_targets(found).select(F.col("source").alias("_source"), F.col("size").alias("source_size"), "target", F.floor(ratio).alias("whole"), (ratio - F.floor(ratio)).alias("p"), F.ceil(F.col("n") / BUCKET).cast("long").alias("buckets"))
+    plan = save(plan)
+    most = plan.agg(F.max("buckets")).first()[0] or 1
     units = units.join(plan, F.col("source").eqNullSafe(F.col("_source"))).drop("_source").withColumn("rank", F.xxhash64(F.lit(seed), "doc_id", "tag", "size"))
     schema = units.schema
-    most = max((r[-1] for r in rows), default=1)
     settled: list[DataFrame] = []
     level = 0
     while True:
@@ -119,9 +140,9 @@ def mix_sources(docs: DataFrame, seed: int = 0) -> DataFrame:
         settled.append(flown if last else flown.where(~open_))
         if last:
             break
-        # each bucket leaves two units at most
-        units = flown.where(open_).withColumn("buckets", F.ceil(2 * F.col("buckets") / BUCKET).cast("long"))
-        most = ceil(2 * most / BUCKET)
+        # each bucket leaves its reserve and two units at most
+        units = flown.where(open_).withColumn("buckets", F.ceil((RESERVE + 2) * F.col("buckets") / BUCKET).cast("long"))
+        most = -(-(RESERVE + 2) * most // BUCKET)
         level += 1
     out = settled[0]
     for df in settled[1:]:
@@ -132,13 +153,17 @@ def mix_sources(docs: DataFrame, seed: int = 0) -> DataFrame:
 
 def _fly(seed: int, level: int):
     def run(key: tuple, units: pd.DataFrame) -> pd.DataFrame:
-        # long documents first, so that the landing has to do with short ones
+        last = int(units["buckets"].iloc[0]) <= 1
+        units = units.sort_values(["rank", "size", "doc_id"], kind="stable", na_position="first")
+        kept, units = (units[:0], units) if last else (units[:RESERVE], units[RESERVE:])
+        # long documents first, so that short ones follow to settle them
         units = units.sort_values(["size", "rank", "doc_id"], ascending=[False, True, True], kind="stable", na_position="first")
         rng = np.random.Generator(np.random.PCG64([seed, level, int(key[1]), len(units)]))
-        p = flight(units["p"].to_numpy(), units["size"].to_numpy(), rng)
-        if int(units["buckets"].iloc[0]) <= 1:
-            p = landing(p, units["size"].to_numpy())
-        return units.assign(p=p)
+        wanted, size = units["p"].to_numpy(), units["size"].to_numpy()
+        p = flight(wanted, size, rng)
+        if last:
+            p = landing(p, size, wanted)
+        return pd.concat([kept, units.assign(p=p)]) if len(kept) else units.assign(p=p)
 
     return run
 

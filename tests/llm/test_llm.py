@@ -17,7 +17,7 @@ from glyphmill.llm.debruijn import debruijn_dedup
 from glyphmill.llm.graph import components
 from glyphmill.llm.jaccard import jaccard_components, keep_one
 from glyphmill.llm.linefreq import line_quality
-from glyphmill.llm.mixing import flight, mix_sources, take, targets
+from glyphmill.llm.mixing import flight, landing, mix_sources, take, with_targets
 from glyphmill.llm.quality import classify
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, tag long, key string, rank int, at long, places string, score string, leaks string, sig string, `_id` string"
@@ -291,15 +291,33 @@ def test_containment(spark, docs, rows):
 
 
 def test_cube(spark, docs, rows):
-    assert targets([10, 0, 10]) == [pytest.approx(5), 0.0, 15.0] or sum(targets([10, 0, 10])) == pytest.approx(20)
-    assert targets([1, 100, 100]) == [3.0, pytest.approx(198 * 2 / 5), pytest.approx(198 * 3 / 5)]
+    def targets(sizes):
+        found = with_targets(spark.createDataFrame([(f"s{i:03}", n) for i, n in enumerate(sizes)], "source string, size long"))
+        return [r.target for r in found.orderBy("source").collect()]
+
+    def filled(sizes):
+        """By bisection: the level at which shares, cut at three times each size, add up to all sizes."""
+        low, high = 0.0, 3.0 * sum(sizes) + 1
+        for _ in range(200):
+            mid = (low + high) / 2
+            low, high = (mid, high) if sum(min(mid * (1 + i % 3), 3 * n) for i, n in enumerate(sizes)) < sum(sizes) else (low, mid)
+        return [min(high * (1 + i % 3), 3 * n) for i, n in enumerate(sizes)]
+
+    r = random.Random(6)
+    for sizes in ([10, 0, 10], [1, 100, 100], [0], [7], [5, 0, 0, 900, 1, 1, 40], [r.choice([1, 50, 3000]) for _ in range(40)]):
+        assert targets(sizes) == pytest.approx(filled(sizes), abs=1e-6)
     rng = np.random.default_rng(0)
     p, size = rng.random(500), rng.integers(1, 100, 500)
     x = flight(p, size, np.random.default_rng(1))
     assert ((x > 1e-9) & (x < 1 - 1e-9)).sum() <= 2 and x.sum() == pytest.approx(p.sum()) and (x * size).sum() == pytest.approx((p * size).sum())
+    for seed in range(20):  # sizes of real text: a few documents are hundreds of times as long as most
+        sizes = np.maximum(np.random.default_rng(seed).lognormal(5, 1.3, 120).astype(int), 1)
+        wanted = np.full(120, 0.37)
+        taken = landing(flight(wanted, sizes, np.random.default_rng(seed + 99)), sizes, wanted)
+        assert set(taken) <= {0.0, 1.0} and abs((taken * sizes).sum() - 0.37 * sizes.sum()) <= 2 and abs(taken.sum() - 0.37 * 120) <= 2
     many = spark.range(60_000).select(F.col("id").alias("doc_id"), F.array_join(F.array_repeat(F.lit("w"), (F.col("id") % 9).cast("int") + 1), " ").alias("text"), F.when(F.col("id") % 10 == 0, "b").otherwise("a").alias("source"))
     for r in mix_sources(many).groupBy("target").agg(F.sum("taken").alias("n"), F.max(F.col("taken") / F.col("size")).alias("x")).collect():
-        assert abs(r.n - r.target) <= 9 and r.x <= 3
+        assert abs(r.n - r.target) <= 1 and r.x <= 3
     found = mix_sources(docs).collect()
     assert len(found) == len(rows) and sorted(map(repr, found)) == sorted(map(repr, mix_sources(docs.repartition(2)).collect()))
     mixed = take(docs)
