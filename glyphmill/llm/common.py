@@ -31,10 +31,11 @@ def scratch_root(spark: SparkSession) -> str:
     return root
 
 
-def save(df: DataFrame, *, drop: list[DataFrame] | None = None) -> DataFrame:
+def save(df: DataFrame, *, drop: list[DataFrame] | None = None, free: bool = True) -> DataFrame:
     """Write a frame to the shared folder and read it back: lineage ends there.
 
-    Frames of ``drop`` are earlier results of this function that are needed no longer.
+    Frames of ``drop`` are earlier results of this function that are needed no longer.  ``free``: shuffle files of
+    frames that are gone are removed too, which takes a garbage collection; not worth it for small frames.
     """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/glyphmill-{uuid.uuid4().hex}"
@@ -43,7 +44,8 @@ def save(df: DataFrame, *, drop: list[DataFrame] | None = None) -> DataFrame:
     out._scratch_path = path
     for old in drop or []:
         discard(old)
-    release(spark)
+    if free:
+        release(spark)
     return out
 
 

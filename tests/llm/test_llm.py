@@ -215,12 +215,12 @@ def test_common_lines_deplete(spark):
     assert all(kept[200 + i] for i in range(30))  # copies of one text are one document
 
 
-def shingles(t):
+def shingles(t, k=3):
     w = re.findall(SPACE, re.sub("[A-Z]+", lambda m: m.group().lower(), t or ""))
-    return frozenset(tuple(w[p : p + 3]) for p in range(len(w) - 2)) if len(w) > 2 else frozenset([tuple(w)] if w else [])
+    return frozenset(tuple(w[p : p + k]) for p in range(len(w) - k + 1)) if len(w) >= k else frozenset([tuple(w)] if w else [])
 
 
-def brute_components(sets):
+def brute_components(sets, percent=90):
     nodes = sorted(set(sets), key=lambda s: sorted(s))
     parent = {s: s for s in nodes}
 
@@ -230,14 +230,17 @@ def brute_components(sets):
         return s
 
     for a, b in itertools.combinations([s for s in nodes if s], 2):
-        if 100 * len(a & b) >= 90 * len(a | b):
+        if 100 * len(a & b) >= percent * len(a | b):
             parent[find(a)] = find(b)
     return {s: find(s) for s in nodes}
 
 
-@pytest.mark.parametrize("block", [256, 3])
-def test_jaccard(spark, docs, rows, block, monkeypatch):
+@pytest.mark.parametrize(("block", "strong", "k", "percent"), [(256, 3, 3, 90), (3, 2, 3, 90), (3, 99, 5, 80), (256, 2, 1, 50)])
+def test_jaccard(spark, docs, rows, block, strong, k, percent, monkeypatch):
     monkeypatch.setattr("glyphmill.llm.jaccard.BLOCK", block)
+    monkeypatch.setattr("glyphmill.llm.jaccard.LIST_BLOCK", block)
+    monkeypatch.setattr("glyphmill.llm.jaccard.STRONG", strong)
+    shingles = lambda t, k=k: globals()["shingles"](t, k)
     r = random.Random(9)
     base = [f"b{i}" for i in range(260)]
     more = []
@@ -249,14 +252,14 @@ def test_jaccard(spark, docs, rows, block, monkeypatch):
         more.append((1000 + i, " ".join(w)))
     df = docs.select("doc_id", "text", "tag", "sig").unionByName(spark.createDataFrame([(*m, 1, "") for m in more], "doc_id long, text string, tag long, sig string"))
     texts = [(x[0], x[1]) for x in rows] + more
-    root = brute_components([shingles(t) for _, t in texts])
+    root = brute_components([shingles(t) for _, t in texts], percent)
     least = {}
     for i, t in texts:
-        k = root[shingles(t)]
-        least[k] = i if k not in least or least[k] is None or (i is not None and i < least[k]) else least[k]
+        node = root[shingles(t)]
+        least[node] = i if node not in least or least[node] is None or (i is not None and i < least[node]) else least[node]
     want = sorted(repr((i, len(shingles(t)), least[root[shingles(t)]] if shingles(t) else i)) for i, t in texts)
-    assert sorted(repr((x.doc_id, x.n_shingles, x.component_id)) for x in jaccard_components(df).collect()) == want
-    kept = keep_one(df).collect()
+    assert sorted(repr((x.doc_id, x.n_shingles, x.component_id)) for x in jaccard_components(df, k, percent).collect()) == want
+    kept = keep_one(df, k, percent).collect()
     assert len([x for x in kept if shingles(x.text)]) == len({root[shingles(t)] for _, t in texts if shingles(t)}) and len({root[shingles(x.text)] for x in kept if shingles(x.text)}) == len([x for x in kept if shingles(x.text)])
 
 
