@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
+import hashlib
+from bisect import bisect_left
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..functions.once import let
 from ..functions.profile import LATIN, OTHER, PAUSE, TARGET, Profile
 from ..functions.text import category, ratio
 
@@ -21,7 +28,8 @@ def segments(text: Column, p: Profile = LATIN, mode: str = "word", longest_other
     """array<struct<text,label>>: pause runs as their first mark, other runs above ``longest_other`` dropped, words or characters."""
     if mode not in ("word", "char"):
         raise ValueError(f"unknown mode: {mode}")
-    made = F.transform(runs(text, p), lambda x: F.struct(F.when(category(x, p) == PAUSE, F.left(x, F.lit(1))).otherwise(x).alias("text"), category(x, p).alias("label")))
+    shown = lambda x, label: F.struct(F.when(label == PAUSE, F.left(x, F.lit(1))).otherwise(x).alias("text"), label.alias("label"))
+    made = F.transform(runs(text, p), lambda x: let(category(F.left(x, F.lit(1)), p), lambda label: shown(x, label)))
     made = F.filter(made, lambda s: (s["label"] != OTHER) | (F.length(s["text"]) <= longest_other))
     if mode == "char":
         letters = lambda s: F.transform(F.split(s["text"], ""), lambda c: F.struct(c.alias("text"), s["label"].alias("label")))
@@ -34,57 +42,97 @@ def eligible(df: DataFrame, p: Profile = LATIN, least_ratio: float = 0.5) -> Dat
     return df.where(F.length("text") > 1).where(ratio(F.col("text"), p) >= least_ratio)
 
 
-def cut_windows(lengths: list[int], labels: list[int], draw, soft: int, hard: int) -> list[tuple[int, int]]:
-    """Windows [i, j) of segments.
+@dataclass(frozen=True)
+class Cut:
+    """How long windows are: at least a drawn number of characters from ``shortest`` to ``longest``, then on to a boundary.
 
-    ``draw(i)`` is how long a window from i shall be at least.  It then goes on to a pause just after a target
-    segment, or beyond ``soft`` characters to anything but a target; windows beyond ``hard`` are dropped.
+    Up to ``soft`` characters a boundary is a pause after a target segment, beyond it any segment but a target after one.
+    Windows that would grow beyond ``hard`` are dropped.
     """
-    n, out, i = len(lengths), [], 0
-    while i < n:
-        want, total, j = draw(i), 0, i
-        while j < n and total < want:
-            total += lengths[j]
-            j += 1
-        if total > hard:
-            i = j
-            continue
-        stop = dropped = False
-        while j < n:
-            total += lengths[j]
-            if total > soft and total > hard:
-                dropped = True
-                break
-            after_target = j > i and labels[j - 1] == TARGET
-            stop = after_target and (labels[j] != TARGET if total > soft else labels[j] == PAUSE)
-            if stop:
-                break
-            j += 1
-        if dropped:
-            i = j
-            continue
-        out.append((i, j))
-        i = j + 1 if stop and labels[j] == PAUSE else j
-    return out
+
+    seed: int = 0
+    shortest: int = 16
+    longest: int = 64
+    soft: int = 72
+    hard: int = 96
+
+    def draw(self, key: object, i: int) -> int:
+        """The same as ``rng.integer`` of the salt "trunc" and the key ``key:i``."""
+        u = int(hashlib.md5(f"{self.seed}:trunc:{key}:{i}".encode()).hexdigest()[:13], 16) / (1 << 52)
+        return self.shortest + int(u * (self.longest - self.shortest + 1))
 
 
-def windows(df: DataFrame, key: str, segs: str, seed: int = 0, shortest: int = 16, longest: int = 64, soft: int = 72, hard: int = 96) -> DataFrame:
-    """key, start, text_list, labels of the windows of each row's segments; sequential in a text, parallel over texts."""
-    import hashlib
+def following(mask: np.ndarray) -> np.ndarray:
+    """For each place the first true one from it on, the length if there is none; one entry more than places."""
+    n = len(mask)
+    at = np.append(np.where(mask, np.arange(n), n), n)
+    return np.minimum.accumulate(at[::-1])[::-1]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for k, s in zip(pdf[key], pdf[segs], strict=True):
-                texts, labels = [x["text"] for x in s], [x["label"] for x in s]
 
-                def draw(i: int, k=k) -> int:
-                    u = int(hashlib.md5(f"{seed}:trunc:{k}:{i}".encode()).hexdigest()[:13], 16) / (1 << 52)
-                    return shortest + int(u * (longest - shortest + 1))
+def window_bounds(lengths: np.ndarray, labels: np.ndarray, draw: Callable[[int], int], cut: Cut) -> list[tuple[int, int]]:
+    """Windows [i, j) of the segments of one text; lengths are 1 at least.
 
-                for i, j in cut_windows([len(t) for t in texts], labels, draw, soft, hard):
-                    if TARGET in labels[i:j]:
-                        rows.append((k, i, texts[i:j], labels[i:j]))
-            yield pd.DataFrame(rows, columns=[key, "start", "text_list", "labels"])
+    Where a window from i ends follows from prefix sums alone: ``reach(x)`` is the first segment with x characters from i before
+    it.  The window may stop at pauses from reach(drawn) to reach(soft + 1) - 1, at all boundaries from there
+    to reach(hard + 1) - 1, and no later.
+    """
+    n = len(lengths)
+    upto = np.concatenate([[0], np.cumsum(lengths)]).tolist()
+    after_target = np.zeros(n, dtype=bool)
+    after_target[1:] = labels[:-1] == TARGET
+    pause, other = (following(after_target & m).tolist() for m in (labels == PAUSE, labels != TARGET))
+    out, i = [], 0
+    while i < n:
+        reach = lambda x, i=i: bisect_left(upto, upto[i] + x, i)
+        first = min(reach(draw(i)), n)
+        if upto[first] - upto[i] > cut.hard:
+            i = first
+            continue
+        longer, dropped = (max(first, reach(x + 1) - 1) for x in (cut.soft, max(cut.soft, cut.hard)))
+        end = pause[first]
+        if end >= longer:
+            end = other[min(longer, n)]
+        if end < min(dropped, n):
+            out.append((i, end))
+            i = end + 1 if labels[end] == PAUSE else end
+        elif dropped < n:
+            i = dropped
+        else:
+            out.append((i, n))
+            i = n
+    return out
 
-    return df.select(key, segs).mapInPandas(run, f"{key} long, start int, text_list array<string>, labels array<int>")
+
+def windows(df: DataFrame, key: str, segs: str, cut: Cut = Cut(), least_ratio: float = 0.0, p: Profile = LATIN) -> DataFrame:
+    """key, start, and the window's segments (text_list, labels, and all other fields of the segments) for each row's segments.
+
+    Windows need a target segment and ``least_ratio`` of characters of the ratio class.  Sequential in a text, parallel over texts.
+    """
+    fields = [f for f in df.schema[segs].dataType.elementType.fields]
+    names = {"text": "text_list", "label": "labels"}
+    out = T.StructType([T.StructField(key, df.schema[key].dataType), T.StructField("start", T.IntegerType()), *(T.StructField(names.get(f.name, f.name), T.ArrayType(f.dataType)) for f in fields)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            bounds, flat = np.asarray(lists.offsets), lists.values
+            lengths = np.asarray(pa.compute.utf8_length(flat.field("text")))
+            labels = np.asarray(flat.field("label"))
+            targets = np.concatenate([[0], np.cumsum(labels == TARGET)])
+            row, begin, end = [], [], []
+            for r, k in enumerate(batch.column(0).to_pylist()):
+                a, z = int(bounds[r]), int(bounds[r + 1])
+                for i, j in window_bounds(lengths[a:z], labels[a:z], lambda i, k=k: cut.draw(k, i), cut):
+                    if targets[a + j] > targets[a + i]:
+                        row.append(r)
+                        begin.append(a + i)
+                        end.append(a + j)
+            begin, size = np.array(begin, dtype=np.int64), np.array(end, dtype=np.int64) - np.array(begin, dtype=np.int64)
+            offsets = np.concatenate([[0], np.cumsum(size)])
+            at = pa.array(np.arange(offsets[-1]) - np.repeat(offsets[:-1] - begin, size))
+            offsets = pa.array(offsets.astype(np.int32))
+            start = pa.array((begin - bounds[np.array(row, dtype=np.int64)]).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), start, *(pa.ListArray.from_arrays(offsets, flat.field(f.name).take(at)) for f in fields)], out.names)
+
+    made = df.select(key, segs).mapInArrow(run, out)
+    return made.where(ratio(F.array_join("text_list", ""), p) >= least_ratio) if least_ratio else made

@@ -195,12 +195,30 @@ def long_run_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs(spark, sf_dir).select("doc_id", (F.size(segment.runs(F.col("text"))) - F.size(s)).alias("dropped"), F.size(F.filter(s, lambda x: x["label"] == 1)).alias("targets"))
 
 
-@query()
+# where the window from each segment ends, then the segments that are reached from the first one, by doubling the number of steps
+_LEVELS = 16
+WINDOWS = f"""s AS MATERIALIZED (SELECT doc_id, unnest(segs) AS s, unnest(range(0, len(segs))) AS i FROM {SEGMENTED}),
+g AS MATERIALIZED (SELECT doc_id, i, s.text AS text, s.label AS label, sum(length(s.text)) OVER w AS upto, upto - length(s.text) AS before, count(*) OVER (PARTITION BY doc_id) AS n, lag(s.label) OVER w = 1 AS after_target FROM s WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+h AS MATERIALIZED (SELECT *, min(CASE WHEN after_target AND label = 0 THEN i END) OVER w AS pause, min(CASE WHEN after_target AND label <> 1 THEN i END) OVER w AS other, before + {int_sql("trunc", "16", "64", "doc_id::VARCHAR || ':' || i::VARCHAR")} AS want
+  FROM g WINDOW w AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+r AS MATERIALIZED (SELECT h.doc_id, h.i, h.n, h.before, coalesce(b.i + 1, h.n) AS j1, coalesce(b.upto, f.upto) - h.before AS least FROM h ASOF LEFT JOIN (SELECT doc_id, i, upto FROM g) b ON h.doc_id = b.doc_id AND h.want <= b.upto JOIN (SELECT doc_id, max(upto) AS upto FROM g GROUP BY doc_id) f ON f.doc_id = h.doc_id),
+xa AS MATERIALIZED (SELECT r.*, greatest(j1, coalesce(a.i, n)) AS longer FROM r ASOF LEFT JOIN (SELECT doc_id, i, upto FROM g) a ON r.doc_id = a.doc_id AND r.before + 73 <= a.upto),
+x AS MATERIALIZED (SELECT xa.*, greatest(j1, coalesce(d.i, n)) AS dropped FROM xa ASOF LEFT JOIN (SELECT doc_id, i, upto FROM g) d ON xa.doc_id = d.doc_id AND xa.before + 97 <= d.upto),
+y AS MATERIALIZED (SELECT x.*, CASE WHEN coalesce(p.pause, x.n) < longer THEN p.pause ELSE coalesce(o.other, x.n) END AS stop FROM x LEFT JOIN h p ON p.doc_id = x.doc_id AND p.i = x.j1 LEFT JOIN h o ON o.doc_id = x.doc_id AND o.i = x.longer),
+z AS MATERIALIZED (SELECT y.doc_id, y.i, CASE WHEN least > 96 THEN NULL WHEN stop < dropped THEN stop WHEN dropped < y.n THEN NULL ELSE y.n END AS e,
+  CASE WHEN least > 96 THEN j1 WHEN stop < dropped THEN stop + (t.label = 0)::BIGINT WHEN dropped < y.n THEN dropped ELSE y.n END AS nx FROM y LEFT JOIN g t ON t.doc_id = y.doc_id AND t.i = y.stop),
+j0 AS MATERIALIZED (SELECT doc_id, i, nx FROM z), reach0 AS MATERIALIZED (SELECT DISTINCT doc_id, 0::BIGINT AS i FROM z),
+""" + ",\n".join(f"j{k + 1} AS MATERIALIZED (SELECT a.doc_id, a.i, b.nx FROM j{k} a JOIN j{k} b ON a.doc_id = b.doc_id AND a.nx = b.i), reach{k + 1} AS MATERIALIZED (SELECT * FROM reach{k} UNION SELECT r.doc_id, j.nx FROM reach{k} r JOIN j{k} j USING (doc_id, i))" for k in range(_LEVELS)) + f""",
+win AS MATERIALIZED (SELECT z.doc_id, z.i, z.e FROM z JOIN reach{_LEVELS} USING (doc_id, i) WHERE e IS NOT NULL),
+samples AS MATERIALIZED (SELECT win.doc_id, win.i AS start, count(*) AS n, list(g.text ORDER BY g.i) AS texts, list(g.label ORDER BY g.i) AS labels, string_agg(g.text, '' ORDER BY g.i) AS text FROM (SELECT doc_id, i, unnest(range(i, e)) AS at FROM win) win JOIN g ON g.doc_id = win.doc_id AND g.i = win.at
+  GROUP BY win.doc_id, win.i HAVING bool_or(g.label = 1))"""
+
+
+@query(f"WITH {WINDOWS} SELECT doc_id, start::INTEGER AS start, n::INTEGER AS n, md5(array_to_string(texts, ',')) AS texts FROM samples WHERE {RATIO} >= 0.5")
 def window_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Training samples: windows of segments; sequential in a text, so held against a second definition in tests."""
+    """Training samples: windows of segments."""
     df = segment.eligible(docs(spark, sf_dir)).select("doc_id", segment.segments(F.col("text")).alias("s"))
-    rows = segment.windows(df, "doc_id", "s")
-    return rows.where(text.ratio(F.array_join("text_list", "")) >= 0.5).select("doc_id", "start", F.size("labels").alias("n"), joined(F.col("text_list")).alias("texts"))
+    return segment.windows(df, "doc_id", "s", least_ratio=0.5).select("doc_id", "start", F.size("labels").alias("n"), joined(F.col("text_list")).alias("texts"))
 
 
 @query(f"""

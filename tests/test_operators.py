@@ -5,6 +5,7 @@ import itertools
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -96,7 +97,7 @@ def test_windows_two_ways():
         lengths, labels = [r.randint(1, 6) for _ in range(n)], [r.choice([0, 1, 1, 2]) for _ in range(n)]
         draws = [r.randint(1, 12) for _ in range(n)]
         soft, hard = r.randint(5, 20), r.randint(5, 25)
-        assert segment.cut_windows(lengths, labels, draws.__getitem__, soft, hard) == jumps(lengths, labels, draws.__getitem__, soft, hard)
+        assert segment.window_bounds(np.array(lengths, dtype=int), np.array(labels, dtype=int), draws.__getitem__, segment.Cut(soft=soft, hard=hard)) == jumps(lengths, labels, draws.__getitem__, soft, hard)
 
 
 def test_subset_sizes_and_split(spark):
