@@ -201,9 +201,11 @@ WINDOWS = f"""s AS MATERIALIZED (SELECT doc_id, unnest(segs) AS s, unnest(range(
 g AS MATERIALIZED (SELECT doc_id, i, s.text AS text, s.label AS label, sum(length(s.text)) OVER w AS upto, upto - length(s.text) AS before, count(*) OVER (PARTITION BY doc_id) AS n, lag(s.label) OVER w = 1 AS after_target FROM s WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
 h AS MATERIALIZED (SELECT *, min(CASE WHEN after_target AND label = 0 THEN i END) OVER w AS pause, min(CASE WHEN after_target AND label <> 1 THEN i END) OVER w AS other, before + {int_sql("trunc", "16", "64", "doc_id::VARCHAR || ':' || i::VARCHAR")} AS want
   FROM g WINDOW w AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
-r AS MATERIALIZED (SELECT h.doc_id, h.i, h.n, h.before, coalesce(b.i + 1, h.n) AS j1, coalesce(b.upto, f.upto) - h.before AS least FROM h ASOF LEFT JOIN (SELECT doc_id, i, upto FROM g) b ON h.doc_id = b.doc_id AND h.want <= b.upto JOIN (SELECT doc_id, max(upto) AS upto FROM g GROUP BY doc_id) f ON f.doc_id = h.doc_id),
-xa AS MATERIALIZED (SELECT r.*, greatest(j1, coalesce(a.i, n)) AS longer FROM r ASOF LEFT JOIN (SELECT doc_id, i, upto FROM g) a ON r.doc_id = a.doc_id AND r.before + 73 <= a.upto),
-x AS MATERIALIZED (SELECT xa.*, greatest(j1, coalesce(d.i, n)) AS dropped FROM xa ASOF LEFT JOIN (SELECT doc_id, i, upto FROM g) d ON xa.doc_id = d.doc_id AND xa.before + 97 <= d.upto),
+q AS (SELECT doc_id, i, 0 AS kind, upto AS key FROM g UNION ALL SELECT doc_id, i, unnest([1, 2, 3]), unnest([want, before + 73, before + 97]) FROM h),
+f AS (SELECT doc_id, i, kind, min(CASE WHEN kind = 0 THEN i END) OVER (PARTITION BY doc_id ORDER BY key, kind = 0 ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS hit FROM q),
+r AS MATERIALIZED (SELECT doc_id, i, max(hit) FILTER (kind = 1) AS a1, max(hit) FILTER (kind = 2) AS a2, max(hit) FILTER (kind = 3) AS a3 FROM f WHERE kind > 0 GROUP BY doc_id, i),
+x AS MATERIALIZED (SELECT h.doc_id, h.i, h.n, coalesce(a1 + 1, h.n) AS j1, coalesce(b.upto, t.upto) - h.before AS least, greatest(j1, coalesce(a2, h.n)) AS longer, greatest(j1, coalesce(a3, h.n)) AS dropped
+  FROM h JOIN r USING (doc_id, i) LEFT JOIN g b ON b.doc_id = h.doc_id AND b.i = a1 JOIN g t ON t.doc_id = h.doc_id AND t.i = h.n - 1),
 y AS MATERIALIZED (SELECT x.*, CASE WHEN coalesce(p.pause, x.n) < longer THEN p.pause ELSE coalesce(o.other, x.n) END AS stop FROM x LEFT JOIN h p ON p.doc_id = x.doc_id AND p.i = x.j1 LEFT JOIN h o ON o.doc_id = x.doc_id AND o.i = x.longer),
 z AS MATERIALIZED (SELECT y.doc_id, y.i, CASE WHEN least > 96 THEN NULL WHEN stop < dropped THEN stop WHEN dropped < y.n THEN NULL ELSE y.n END AS e,
   CASE WHEN least > 96 THEN j1 WHEN stop < dropped THEN stop + (t.label = 0)::BIGINT WHEN dropped < y.n THEN dropped ELSE y.n END AS nx FROM y LEFT JOIN g t ON t.doc_id = y.doc_id AND t.i = y.stop),
