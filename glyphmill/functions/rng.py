@@ -10,7 +10,7 @@ SCALE = float(1 << 52)
 PHI = 0.6180339887498949
 
 
-def uniform(seed: int, salt: str, *key: Column | str) -> Column:
+def uniform(seed: int | str, salt: str, *key: Column | str) -> Column:
     """In [0, 1): 52 bits of an md5."""
     return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit(salt), *key)), 1, 13), 16, 10).cast("long") / SCALE
 

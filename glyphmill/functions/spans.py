@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .once import let
+from .once import let, running
 from .profile import TARGET
 
 DIRECTIONS = ("backward", "forward", "bidirectional")
@@ -13,8 +13,7 @@ DIRECTIONS = ("backward", "forward", "bidirectional")
 
 def targets_before(labels: Column, texts: Column) -> Column:
     """Exclusive prefix sums of the lengths of target segments, one more than segments."""
-    pairs = F.zip_with(labels, texts, lambda l, t: F.when(l == TARGET, F.length(t)).otherwise(0))
-    return F.aggregate(pairs, F.array(F.lit(0)), lambda a, n: F.concat(a, F.array(F.element_at(a, -1) + n)))
+    return running(F.zip_with(labels, texts, lambda l, t: F.when(l == TARGET, F.length(t)).otherwise(0)).cast("array<bigint>")).cast("array<int>")
 
 
 def select_span(labels: Column, k: Column, direction: str) -> Column:

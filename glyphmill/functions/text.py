@@ -35,6 +35,22 @@ def simplify(text: Column, pairs: dict[str, str]) -> Column:
     return F.translate(text, "".join(pairs), "".join(pairs.values()))
 
 
+def keep_vocabulary(text: Column, vocabularies: dict[str, list[str]], name: str, allow: str = "") -> Column:
+    """Keep the characters of a named vocabulary and of ``allow`` only; for any size of vocabulary."""
+    if name not in vocabularies:
+        raise ValueError(f"unknown vocabulary: {name}")
+    known = F.array(*map(F.lit, sorted({c for c in vocabularies[name] if len(c) == 1} | set(allow)))).cast("array<string>")
+    known = F.map_from_arrays(known, F.transform(known, lambda c: F.lit(True)))
+    return F.array_join(F.filter(F.split(text, ""), lambda c: F.map_contains_key(known, c)), "")
+
+
+def convert(text: Column, pairs: dict[str, str], phrases: dict[str, str] | None = None) -> Column:
+    """Conversion between character sets: phrases first, longer ones before shorter, then single characters."""
+    for phrase in sorted(phrases or {}, key=lambda x: (-len(x), x)):
+        text = F.replace(text, F.lit(phrase), F.lit(phrases[phrase]))
+    return simplify(text, pairs) if pairs else text
+
+
 def keep_classes(text: Column, classes: str) -> Column:
     """Keep the characters of a regex class only."""
     return F.regexp_replace(text, f"[^{classes}]", "")
@@ -60,16 +76,24 @@ def category(ch: Column, p: Profile = LATIN) -> Column:
     return F.when(ch.rlike(f"^[{p.pause}]"), PAUSE).when(ch.rlike(f"^[{p.target}]"), TARGET).otherwise(OTHER)
 
 
+def all_readings_in(readings: Column, vocabulary: list[str]) -> Column:
+    return F.forall(readings, lambda r: r.isin(*vocabulary))
+
+
 def all_in(text: Column, classes: str) -> Column:
     return ~text.rlike(f"[^{classes}]")
 
 
 def initial(syllable: Column) -> Column:
-    return F.regexp_extract(syllable, "^(zh|ch|sh|[bpmfdtnlgkhjqxrywzcs])", 1)
+    return F.regexp_extract(syllable, INITIAL, 1)
 
 
 def final(syllable: Column) -> Column:
-    return F.regexp_replace(syllable, "^(zh|ch|sh|[bpmfdtnlgkhjqxrywzcs])", "")
+    return F.regexp_replace(syllable, INITIAL, "")
+
+
+# Initials, longest first.
+INITIAL = "^(zh|ch|sh|[bpmfdtnlgkhjqxrywzcs])"
 
 
 def shorthands(syllable: Column) -> Column:
@@ -88,3 +112,16 @@ def readings(word: Column) -> Column:
     at = lambda i: F.substr(plain, i, F.lit(1))
     one = lambda i: F.when(at(i) == "c", F.when(soft(i), "s").otherwise("k")).when(at(i) == "g", F.when(soft(i), "j").otherwise("g")).otherwise(at(i))
     return F.when(F.length(plain) > 0, F.transform(F.sequence(F.lit(1), F.length(plain)), one)).otherwise(F.array().cast("array<string>"))
+
+
+#: All readings of each letter under the Latin stand-in, as a lexicon of heteronyms.
+LETTER_READINGS = {c: {"c": ["k", "s"], "g": ["g", "j"]}.get(c, [c]) for c in "abcdefghijklmnopqrstuvwxyz"}
+
+
+def letter_readings(word: Column) -> Column:
+    """Readings of each letter of a word, the one it has in the word first; letters without readings keep a list of their own."""
+    plain = F.translate(F.lower(word), *ACCENTS)
+    best = readings(word)
+    letters = F.filter(F.split(plain, ""), lambda c: c != "")
+    other = lambda c: F.when(c == "c", F.array(F.lit("k"), F.lit("s"))).when(c == "g", F.array(F.lit("g"), F.lit("j"))).otherwise(F.array(c))
+    return F.transform(F.arrays_zip(letters.alias("c"), best.alias("b")), lambda x: F.array_distinct(F.concat(F.array(x["b"]), other(x["c"]))))

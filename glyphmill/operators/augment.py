@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.rng import integer, uniform
+from ..functions.profile import TARGET
+from ..functions.rng import golden, integer, uniform
 from ..functions.spans import select_span, targets_before
 from ..functions.text import final, initial
 
 
-def frequency(words: DataFrame, word: str, readings: str) -> DataFrame:
-    """ch, reading, cnt, prob over all (character, reading) pairs of words; counted by distinct word first."""
-    distinct = words.groupBy(word, readings).agg(F.count(F.lit(1)).alias("n"))
-    pairs = distinct.select(F.explode(F.arrays_zip(F.split(word, "").alias("ch"), F.col(readings).alias("reading"))).alias("x"), "n").select("x.ch", "x.reading", "n").where("ch <> '' and reading is not null and reading <> ''")
+def frequency(words: DataFrame, word: str, readings: str, times: str | None = None) -> DataFrame:
+    """ch, reading, cnt, prob over all (character, reading) pairs of words, which count once or ``times``; counted by distinct word first."""
+    distinct = words.groupBy(word, readings).agg((F.sum(times) if times else F.count(F.lit(1))).alias("n"))
+    chars = F.filter(F.split(word, ""), lambda c: c != "")
+    pairs = distinct.select(F.explode(F.arrays_zip(chars.alias("ch"), F.col(readings).alias("reading"))).alias("x"), "n").select("x.ch", "x.reading", "n").where("ch <> '' and reading is not null and reading <> ''")
     counts = pairs.groupBy("ch", "reading").agg(F.sum("n").alias("cnt"))
     total = counts.groupBy("ch").agg(F.sum("cnt").alias("total"))
     return counts.join(total, "ch").select("ch", "reading", "cnt", (F.col("cnt") / F.col("total")).alias("prob"))
@@ -32,7 +36,7 @@ def sampled(readings: Column, u: Column) -> Column:
     return F.filter(readings, lambda x: x["cum"] > u)[0]["reading"]
 
 
-def shorten(syllables: Column, key: Column, seed: int = 0, sentence: float = 0.5, low: float = 0.1, high: float = 0.4, last: float = 0.2) -> Column:
+def shorten(syllables: Column, key: Column, seed: int | str = 0, sentence: float = 0.5, low: float = 0.1, high: float = 0.4, last: float = 0.2) -> Column:
     """Cut syllables that have initial and final to the initial's first letter.
 
     With chance ``sentence`` each with its own chance between ``low`` and ``high``; the last one also by itself.
@@ -49,13 +53,62 @@ def shorten(syllables: Column, key: Column, seed: int = 0, sentence: float = 0.5
     return F.transform(syllables, one)
 
 
-def prepared(df: DataFrame, key: str, no_context: float = 0.2, forward: float = 0.3, seed: int = 0) -> DataFrame:
-    """Validation rows of samples (key, text_list, labels): a random span as suffix, and the text before it unless the span stands alone."""
-    n = F.size(F.filter("labels", lambda l: l == 1))
-    df = df.where(n > 0).withColumn("k", integer(seed, "k", 1, n, key))
-    alone, back = uniform(seed, "ctx", key) < no_context, uniform(seed, "dir", key) >= forward
+def as_map(freq: DataFrame) -> Column:
+    """The readings with cumulative probabilities of each character as a literal map; as large as the vocabulary."""
+    rows = cumulative(freq).orderBy("ch").collect()
+    kind = "map<string,array<struct<reading:string,cum:double>>>"
+    table = {r.ch: [{"reading": x.reading, "cum": x.cum} for x in r.readings] for r in rows}
+    return F.from_json(F.lit(json.dumps(table, ensure_ascii=False)), kind)
+
+
+def heteronyms(chars: Column, readings: Column, frequency: Column, p: float, key: Column, seed: int | str = 0) -> Column:
+    """Readings of which each is, with chance ``p``, drawn anew from its character's frequencies; of an unknown character it stays."""
+
+    def one(x: Column, i: Column) -> Column:
+        at = F.concat_ws(":", key, i)
+        drawn = sampled(F.try_element_at(frequency, x["ch"]), uniform(seed, "het", at))
+        return F.when(uniform(seed, "hetp", at) < p, F.coalesce(drawn, x["reading"])).otherwise(x["reading"])
+
+    return F.transform(F.arrays_zip(chars.alias("ch"), readings.alias("reading")), one)
+
+
+def confused(rows: DataFrame, key: str, frequency: Column, p: float, seed: int | str = 0, **chances: float) -> DataFrame:
+    """Rows whose readings have sampled heteronyms, then dropped finals."""
+    chars = F.filter(F.split("suffix", ""), lambda c: c != "")
+    rows = rows.withColumn("readings", heteronyms(chars, F.col("readings"), frequency, p, F.col(key), seed))
+    return rows.withColumn("readings", shorten(F.col("readings"), F.col(key), seed, **chances))
+
+
+def suffixes(df: DataFrame, key: str, strategy: str = "random", epoch: int = 0, no_context: float = 0.0, forward: float = 0.5, seed: int = 0) -> DataFrame:
+    """key, prefix, suffix, offset, n_readings and readings of a span of each sample (key, text_list, labels, pinyin_list).
+
+    ``strategy``: golden walks over the target segments as epochs go by, random draws one.  With chance ``no_context`` the span is the whole run
+    of targets, else it ends (chance ``forward``) or begins with the chosen segment.  Readings that are not as many as
+    the suffix's characters are an error.  Samples without a target segment are left out.
+    """
+    if strategy not in ("golden", "random"):
+        raise ValueError(f"unknown strategy: {strategy}")
+    n = F.size(F.filter("labels", lambda l: l == TARGET))
+    df = df.where(n > 0)
+    k = golden(F.array_join("text_list", ""), F.lit(epoch), n) if strategy == "golden" else integer(seed, "k", 1, n, key)
+    df = df.withColumn("k", k)
     k, labels = F.col("k"), F.col("labels")
+    alone = uniform(seed, "ctx", key) < no_context
+    back = uniform(seed, "dir", key) >= forward
     span = F.when(alone, select_span(labels, k, "bidirectional")).when(back, select_span(labels, k, "backward")).otherwise(select_span(labels, k, "forward"))
-    df = df.withColumn("span", span).withColumn("before", targets_before(labels, F.col("text_list")))
+    df = df.withColumn("span", span).withColumn("before", targets_before(labels, F.col("text_list"))).withColumn("alone", alone)
+    sel, end = F.col("span.sel"), F.col("span.end")
     cut = lambda a, z: F.array_join(F.slice("text_list", a + 1, z - a), "")
-    return df.select(key, F.when(alone, "").otherwise(cut(F.lit(0), F.col("span.sel"))).alias("prefix"), cut(F.col("span.sel"), F.col("span.end")).alias("suffix"), F.get("before", F.col("span.sel")).alias("offset"), (F.get("before", F.col("span.end")) - F.get("before", F.col("span.sel"))).alias("n_readings"))
+    offset = F.get("before", sel)
+    rows = df.select(key, "alone", cut(F.lit(0), sel).alias("prefix"), cut(sel, end).alias("suffix"), offset.alias("offset"), (F.get("before", end) - offset).alias("n_readings"), *(["pinyin_list"] if "pinyin_list" in df.columns else []))
+    if "pinyin_list" not in rows.columns:
+        return rows
+    rows = rows.withColumn("readings", F.slice("pinyin_list", F.col("offset") + 1, F.col("n_readings"))).drop("pinyin_list")
+    aligned = F.size("readings") == F.length("suffix")
+    return rows.withColumn("readings", F.when(aligned, F.col("readings")).otherwise(F.raise_error(F.concat(F.lit("readings and text are not aligned: "), F.col("suffix"))).cast("array<string>")))
+
+
+def prepared(df: DataFrame, key: str, no_context: float = 0.2, forward: float = 0.3, seed: int = 0, frequency: Column | None = None, confusion: float = 0.0) -> DataFrame:
+    """Validation rows of samples: a random span as suffix, the text before it unless the span stands alone, and its readings, augmented."""
+    rows = suffixes(df, key, "random", 0, no_context, forward, seed).withColumn("prefix", F.when(F.col("alone"), "").otherwise(F.col("prefix"))).drop("alone")
+    return confused(rows, key, frequency, confusion, seed) if frequency is not None else rows

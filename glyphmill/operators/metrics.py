@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.once import let
@@ -109,16 +109,47 @@ def top_k_sentences(beams: Column, target: Column, k: int) -> Column:
     return F.exists(F.slice(beams, 1, k), lambda b: b == target)
 
 
+def masked(x: Column, allowed: Column) -> Column:
+    """Logits with minus infinity where not allowed."""
+    return F.zip_with(x, allowed, lambda v, ok: F.when(ok, v).otherwise(F.lit(float("-inf"))))
+
+
+def rank_scale(local: Column, total: Column, ranks: int) -> Column:
+    """What a rank's mean loss is multiplied by, so that the mean over ranks is the mean over all tokens."""
+    return F.lit(ranks) * local / F.greatest(total, F.lit(1))
+
+
+STATE = ("tokens", "top1", "top3", "top5", "sentences", "correct")
+
+
+def merge(states: DataFrame, settings: str = "settings", by: list[str] | None = None) -> DataFrame:
+    """Metric states added up: counters as sums, confidences as one list; states of differing settings are an error."""
+    one = F.when(F.min(settings) == F.max(settings), F.min(settings)).otherwise(F.raise_error(F.lit("states of differing settings")).cast("string"))
+    counters = [F.sum(c).alias(c) for c in STATE if c in states.columns]
+    lists = [F.flatten(F.collect_list(c)).alias(c) for c, t in states.dtypes if t.startswith("array")]
+    return states.groupBy(*(by or [])).agg(one.alias(settings), *counters, *lists)
+
+
 def expert_choice(tokens: DataFrame, key: str, affinity: str, experts: int, choice: int = 2) -> DataFrame:
     """Each expert takes its best tokens, max(1, N * choice // experts) of them; weights are sigmoids.
 
-    One top-k for each expert: partitions first make their own, no window ranks all tokens.
+    Experts' scores are counted by value ranges first; ranges well inside are taken whole, and only the range that the border falls into is
+    ranked, so no task ranks a share of all tokens.
     """
-    n = tokens.count()
-    capacity = max(1, n * choice // experts)
-    taken = None
-    for e in range(experts):
-        score = F.get(affinity, F.lit(e)).cast("double")
-        best = tokens.select(key, F.lit(e).alias("expert"), score.alias("score")).orderBy(F.desc("score"), key).limit(capacity)
-        taken = best if taken is None else taken.unionByName(best)
-    return taken.withColumn("weight", 1 / (1 + F.exp(-F.col("score"))))
+    pairs = tokens.select(key, F.posexplode(F.slice(affinity, 1, experts)).alias("expert", "score")).select(key, "expert", F.col("score").cast("double").alias("score"))
+    capacity = max(1, tokens.count() * choice // experts)
+    return top_of_groups(pairs, "expert", "score", key, capacity).withColumn("weight", 1 / (1 + F.exp(-F.col("score"))))
+
+
+def top_of_groups(rows: DataFrame, group: str, score: str, key: str, n: int, ranges: int = 1024) -> DataFrame:
+    """The ``n`` rows of each group with the largest scores, ties to the smaller key."""
+    bounds = rows.groupBy(F.col(group).alias("_g")).agg(F.min(score).alias("_low"), F.max(score).alias("_high"))
+    at = F.when(F.col("_high") > F.col("_low"), F.floor((F.col("_high") - F.col(score)) / (F.col("_high") - F.col("_low")) * ranges)).otherwise(0)
+    dealt = rows.join(F.broadcast(bounds), F.col(group) == F.col("_g")).withColumn("_at", at).drop("_g", "_low", "_high")  # a row for each group
+    # ``ranges`` + 1 rows for each group
+    counts = dealt.groupBy(group, "_at").agg(F.count(F.lit(1)).alias("_n"))
+    counts = counts.withColumn("_before", F.sum("_n").over(Window.partitionBy(group).orderBy("_at")) - F.col("_n"))
+    marked = dealt.join(F.broadcast(counts.where(F.col("_before") < n).select(F.col(group).alias("_g"), F.col("_at").alias("_b"), "_n", "_before")), (F.col(group) == F.col("_g")) & (F.col("_at") == F.col("_b")))
+    whole = marked.where(F.col("_before") + F.col("_n") <= n).select(*rows.columns)
+    edge = marked.where(F.col("_before") + F.col("_n") > n).withColumn("_rank", F.row_number().over(Window.partitionBy(group).orderBy(F.desc(score), key)))
+    return whole.unionByName(edge.where(F.col("_rank") + F.col("_before") <= n).select(*rows.columns))

@@ -1,17 +1,20 @@
-"""Ragged sequences as arrays: positions, offsets, two-phase rows, batches; and beam search over a lattice."""
+"""Ragged sequences as arrays: positions, offsets, two-phase rows, batches; rotary positions and attention within a sequence."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.once import running
+
 
 def offsets(lengths: Column) -> Column:
     """[0] and the running sums."""
-    return F.aggregate(lengths, F.array(F.lit(0).cast("long")), lambda a, n: F.concat(a, F.array(F.element_at(a, -1) + n)))
+    return running(lengths.cast("array<bigint>"))
 
 
 def indices(n: Column, start: Column | int = 0) -> Column:
@@ -31,8 +34,21 @@ def key_positions(prefix: Column, suffix: Column) -> Column:
     return indices(suffix, prefix + 1)
 
 
+def suffix_positions(prefix: Column, suffix: Column) -> Column:
+    """Positions of a suffix after its prefix."""
+    return indices(suffix, prefix)
+
+
+def logical_prefix(start: Column, prefix: Column) -> Column:
+    """Places of a row's prefix in the flat prefixes, where an empty one takes up a place but has none."""
+    return indices(prefix, start)
+
+
 def two_phase(prefix_ids: Column, suffix_ids: Column, aligned: Column, begin: int) -> dict[str, Column]:
-    """Ids of both passes: prefix up to its last id, suffix from that one on without its own last."""
+    """Ids of both passes: prefix up to its last id, suffix from that one on without its own last; an empty prefix is the begin id, ignored.
+
+    ``prefix_lengths`` is the prefix's length in characters, which are as many as its aligned ids.
+    """
     full = F.concat(F.array(F.lit(begin)), prefix_ids)
     n = F.size(full)
     empty = F.size(prefix_ids) == 0
@@ -41,32 +57,59 @@ def two_phase(prefix_ids: Column, suffix_ids: Column, aligned: Column, begin: in
         "prefix_ids": F.when(empty, full).otherwise(F.slice(full, F.lit(1), n - 1)),
         "suffix_ids": F.concat(F.slice(full, n, F.lit(1)), F.slice(suffix_ids, F.lit(1), F.greatest(F.size(suffix_ids) - 1, F.lit(0)))),
         "uncond_target_ids": F.when(empty, F.array(F.lit(-100))).otherwise(aligned),
+        "prefix_lengths": F.size(aligned),
     }
 
 
-def batches(df: DataFrame, order: str, size: int, column: str) -> DataFrame:
-    """Rows collated into batches of ``size`` in order: flat values and offsets."""
+def batches(df: DataFrame, order: str, size: int, *columns: str) -> DataFrame:
+    """Rows collated into batches of ``size`` in order: of each list column its flat values and offsets, of any other its values."""
     from .sample import numbered
 
+    lists = {c for c, t in df.dtypes if t.startswith("array")}
     df = numbered(df, order, name="_row").withColumn("batch", F.floor(F.col("_row") / size))
-    grouped = df.groupBy("batch").agg(F.sort_array(F.collect_list(F.struct("_row", F.col(column).alias("v")))).alias("r"))
-    return grouped.select("batch", F.flatten(F.transform("r", lambda x: x["v"])).alias("values"), offsets(F.transform("r", lambda x: F.size(x["v"]))).alias("offsets"))
-
-
-def beam_search(df: DataFrame, key: str, steps: str, bigrams: dict[tuple[int, int], float], width: int = 3, unseen: float = -10.0) -> DataFrame:
-    """Best paths through lattices: ``steps`` lists the candidate ids of each position; scores are sums of bigram log
-    probabilities (from -1 at the start).  key, rank, ids, score; no normalisation by length; ties to lower ids."""
-    schema = f"{key} long, rank int, ids array<int>, score double"
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            rows = []
-            for k, lattice in zip(pdf[key], pdf[steps], strict=True):
-                beams = [(0.0, ())]
-                for candidates in lattice:
-                    grown = [(s + bigrams.get((b[-1] if b else -1, int(c)), unseen), (*b, int(c))) for s, b in beams for c in candidates]
-                    beams = sorted(grown, key=lambda x: (-x[0], x[1]))[:width]
-                rows += [(k, r, list(b), s) for r, (s, b) in enumerate(beams)]
-            yield pd.DataFrame(rows, columns=[key, "rank", "ids", "score"])
-
-    return df.select(key, steps).mapInPandas(run, schema)
+    out = df.groupBy("batch").agg(F.sort_array(F.collect_list(F.struct("_row", *columns))).alias("r"))
+
+    def made(c: str) -> list[Column]:
+        values = F.transform("r", lambda x: x[c])
+        name = "" if len(columns) == 1 else f"{c}_"
+        if c not in lists:
+            return [values.alias(c)]
+        return [F.flatten(values).alias(f"{name}values"), offsets(F.transform(values, F.size)).alias(f"{name}offsets")]
+
+    flat = [x for c in columns for x in made(c)]
+    return out.select("batch", *flat)
+
+
+def rotary(dim: int, theta: float = 10000.0) -> tuple[Callable[[Column], Column], Callable[[Column], Column]]:
+    """Cosines and sines of a position: ``dim`` values each, the frequencies twice one after the other."""
+    freq = [theta ** (-2 * i / dim) for i in range(dim // 2)] * 2
+    angles = lambda position, f: F.transform(F.array(*map(F.lit, freq)), lambda w: f(position * w))
+    return lambda p: angles(p, F.cos), lambda p: angles(p, F.sin)
+
+
+def rotate(x: Column, position: Column, dim: int, theta: float = 10000.0) -> Column:
+    """A vector of ``dim`` values turned by its position: pairs are (i, i + dim / 2)."""
+    cos, sin = (f(position) for f in rotary(dim, theta))
+    half = F.concat(F.transform(F.slice(x, dim // 2 + 1, dim - dim // 2), lambda v: -v), F.slice(x, 1, dim // 2))
+    return F.zip_with(F.zip_with(x, cos, lambda a, c: a * c), F.zip_with(half, sin, lambda a, c: a * c), lambda a, b: a + b)
+
+
+def attend(df: DataFrame, key: str, q: str, k: str, v: str, causal: bool = True) -> DataFrame:
+    """key, out: scaled dot-product attention within each row's sequence; q, k, v are arrays of vectors, empty ones stay empty."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for a, b, c in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
+                if not a:
+                    out.append([])
+                    continue
+                a, b, c = (np.asarray(x, dtype=np.float64) for x in (a, b, c))
+                score = a @ b.T / np.sqrt(a.shape[1])
+                if causal:
+                    score[np.triu_indices(len(a), 1, len(b))] = -np.inf
+                score = np.exp(score - score.max(axis=1, keepdims=True))
+                out.append((score / score.sum(axis=1, keepdims=True) @ c).tolist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.list_(pa.float64())))], [key, "out"])
+
+    return df.select(key, q, k, v).mapInArrow(run, f"{key} {dict(df.dtypes)[key]}, out array<array<double>>")

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.lexicon import flat
 from ..functions.once import let
 from ..functions.profile import LATIN, OTHER, PAUSE, TARGET, Profile
 from ..functions.text import category, ratio
@@ -37,6 +38,12 @@ def segments(text: Column, p: Profile = LATIN, mode: str = "word", longest_other
     return made
 
 
+def with_readings(segs: Column, reader: Callable[[Column], Column]) -> Column:
+    """Segments with a list of readings for each character of target ones; other segments have none."""
+    none = F.array().cast("array<array<string>>")
+    return F.transform(segs, lambda s: F.struct(s["text"].alias("text"), s["label"].alias("label"), F.when(s["label"] == TARGET, reader(s["text"])).otherwise(none).alias("readings")))
+
+
 def eligible(df: DataFrame, p: Profile = LATIN, least_ratio: float = 0.5) -> DataFrame:
     """Texts of two characters or more with enough characters of the ratio class."""
     return df.where(F.length("text") > 1).where(ratio(F.col("text"), p) >= least_ratio)
@@ -136,3 +143,29 @@ def windows(df: DataFrame, key: str, segs: str, cut: Cut = Cut(), least_ratio: f
 
     made = df.select(key, segs).mapInArrow(run, out)
     return made.where(ratio(F.array_join("text_list", ""), p) >= least_ratio) if least_ratio else made
+
+
+def samples(df: DataFrame, key: str, segs: str, cut: Cut = Cut(), least_ratio: float = 0.5, p: Profile = LATIN) -> DataFrame:
+    """key, start, text_list, labels, pinyin_list (the first reading of each target character) of the windows of segments with readings."""
+    rows = windows(df, key, segs, cut, least_ratio, p)
+    return rows.select(key, "start", "text_list", "labels", F.flatten(F.transform("readings", flat)).alias("pinyin_list"))
+
+
+def text_samples(texts: DataFrame, key: str, reader: Callable[[Column], Column], cut: Cut = Cut(), least_ratio: float = 0.5, p: Profile = LATIN, mode: str = "word") -> DataFrame:
+    """Samples of texts (key, text): the ratio filter, segments with readings, windows."""
+    segs = with_readings(segments(F.col("text"), p, mode), reader)
+    return samples(eligible(texts, p, least_ratio).select(key, segs.alias("s")), key, "s", cut, least_ratio, p)
+
+
+def sentence_samples(lists: DataFrame, key: str, reader: Callable[[Column], Column], **more) -> DataFrame:
+    """Samples of rows (key, sentences): each sentence is a text of its own, ``key-place``."""
+    texts = lists.select(F.posexplode("sentences").alias("_at", "text"), key).select(F.concat_ws("-", key, "_at").alias(key), "text")
+    return text_samples(texts, key, reader, **more)
+
+
+def column_samples(df: DataFrame, key: str, columns: list[str], reader: Callable[[Column], Column], **more) -> DataFrame:
+    """Samples of all text columns that are there, ``key-column``; null and empty texts are skipped."""
+    from ..sources import unpivot_texts
+
+    texts = unpivot_texts(df, columns, key).select(F.concat_ws("-", key, "column").alias(key), "text")
+    return text_samples(texts, key, reader, **more)

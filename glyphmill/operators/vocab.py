@@ -2,13 +2,56 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.profile import IGNORE
 from ..functions.text import shorthands
 
 
+class Tokenizer:
+    """Three vocabularies in order, the context one with the special tokens at its end; duplicates keep their first id."""
+
+    def __init__(self, chinese: list[str], context: list[str], pinyin: list[str], special: list[str] | None = None) -> None:
+        self.chinese, self.context, self.pinyin = (list(dict.fromkeys(x)) for x in (chinese, context, pinyin))
+        self.special = {name: len(self.context) + i for i, name in enumerate(special or [])}
+
+    @classmethod
+    def from_config(cls, spark: SparkSession, config: dict, base: str = "") -> Tokenizer:
+        """From a configuration that names the three files (relative to ``base``) and the special tokens."""
+        from ..sources import read_vocabulary
+
+        at = lambda name: config[name] if "/" == config[name][:1] or "://" in config[name] or not base else f"{base}/{config[name]}"
+        missing = [k for k in ("chinese_vocab", "context_vocab", "pinyin_vocab") if not config.get(k)]
+        if missing:
+            raise ValueError(f"no path of {missing}")
+        return cls(*(read_vocabulary(spark, at(k)) for k in ("chinese_vocab", "context_vocab", "pinyin_vocab")), config.get("special_tokens"))
+
+    @property
+    def sizes(self) -> dict[str, int]:
+        return {"chinese": len(self.chinese), "pinyin": len(self.pinyin), "context_base": len(self.context), "context": len(self.context) + len(self.special)}
+
+    def ids(self, name: str) -> Column:
+        """token -> id as a literal map; specials are in the context one."""
+        tokens = getattr(self, name)
+        return as_map([*tokens, *(self.special if name == "context" else [])])
+
+    def encode(self, text: Column, name: str = "context", ignore: bool = False) -> Column:
+        """Ids of a text's characters: unknown ones dropped, or the ignored target."""
+        table = self.ids(name)
+        found = F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.try_element_at(table, c))
+        return F.transform(found, lambda x: F.coalesce(x, F.lit(IGNORE))) if ignore else F.filter(found, lambda x: x.isNotNull())
+
+    def decode(self, ids: Column, name: str = "chinese") -> Column:
+        """Text of ids; unknown ones and special tokens are skipped."""
+        tokens = F.array(*map(F.lit, getattr(self, name))).cast("array<string>")
+        return F.array_join(F.filter(F.transform(ids, lambda i: F.get(tokens, i)), lambda c: c.isNotNull()), "")
+
+    def encode_pinyin(self, readings: Column) -> Column:
+        table = self.ids("pinyin")
+        return F.transform(readings, lambda r: F.coalesce(F.try_element_at(table, r), nearest(r, self.pinyin)))
+
+
 def build(tokens: DataFrame, order: str) -> DataFrame:
     """token, id: in the order of first occurrence.  The ids are numbered in one partition: a vocabulary is small."""
     first = tokens.groupBy("token").agg(F.min(order).alias("first"))

@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import sources
-from ..functions import rng, spans, text
+from ..functions import lexicon, rng, spans, text
 from ..functions.profile import LATIN
-from ..operators import augment, metrics, ragged, sample, segment, vocab
+from ..operators import augment, beam, metrics, ragged, sample, segment, transform, vocab
 from ..streaming.segments import segment_rows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -53,7 +53,13 @@ MADE = f"list_transform({RUNS}, lambda x: {{'text': CASE WHEN regexp_matches(x,
 SEGS = f"list_filter({MADE}, lambda s: s.label <> 2 OR length(s.text) <= 16)"
 RATIO = f"(CASE WHEN length(text) > 0 THEN length(regexp_replace(text, '[^{T}]', '', 'g')) / length(text)::DOUBLE ELSE 0 END)"
 ELIGIBLE = f"length(text) > 1 AND {RATIO} >= 0.5"
-SEGMENTED = f"(SELECT doc_id, text AS whole, {SEGS} AS segs FROM {D} WHERE {ELIGIBLE})"
+
+
+def segmented(texts: str) -> str:
+    return f"(SELECT doc_id, text AS whole, {SEGS} AS segs FROM {texts} WHERE {ELIGIBLE})"
+
+
+SEGMENTED = segmented(D)
 WORDS = f"(SELECT doc_id, unnest(regexp_extract_all(text, '[{T}]+')) AS word FROM {D})"
 
 
@@ -65,11 +71,18 @@ def int_sql(salt: str, low: str, high: str, key: str) -> str:
     return f"(({low}) + floor({u_sql(salt, key)} * (({high}) - ({low}) + 1)))::INTEGER"
 
 
-PLAIN = f"translate(lower(word), '{text.ACCENTS[0]}', '{text.ACCENTS[1]}')"
-READ = f"""list_transform(range(1, length({PLAIN}) + 1), lambda i: CASE
-  WHEN {PLAIN}[i:i] = 'c' THEN CASE WHEN {PLAIN}[i + 1:i + 1] IN ('e', 'i', 'y') THEN 's' ELSE 'k' END
-  WHEN {PLAIN}[i:i] = 'g' THEN CASE WHEN {PLAIN}[i + 1:i + 1] IN ('e', 'i', 'y') THEN 'j' ELSE 'g' END
-  ELSE {PLAIN}[i:i] END)"""
+
+
+def read_sql(word: str) -> str:
+    """Readings of the letters of a word."""
+    plain = f"translate(lower({word}), '{text.ACCENTS[0]}', '{text.ACCENTS[1]}')"
+    return f"""list_transform(range(1, length({plain}) + 1), lambda i: CASE
+  WHEN {plain}[i:i] = 'c' THEN CASE WHEN {plain}[i + 1:i + 1] IN ('e', 'i', 'y') THEN 's' ELSE 'k' END
+  WHEN {plain}[i:i] = 'g' THEN CASE WHEN {plain}[i + 1:i + 1] IN ('e', 'i', 'y') THEN 'j' ELSE 'g' END
+  ELSE {plain}[i:i] END)"""
+
+
+READ = read_sql("word")
 FREQ = f"""(SELECT ch, reading, sum(n)::BIGINT AS cnt FROM (
   SELECT unnest(string_split(word, '')) AS ch, unnest({READ}) AS reading, n FROM (SELECT word, count(*) AS n FROM {WORDS} GROUP BY word)
 ) GROUP BY ch, reading)"""
@@ -197,7 +210,10 @@ def long_run_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # where the window from each segment ends, then the segments that are reached from the first one, by doubling the number of steps
 _LEVELS = 16
-WINDOWS = f"""s AS MATERIALIZED (SELECT doc_id, unnest(segs) AS s, unnest(range(0, len(segs))) AS i FROM {SEGMENTED}),
+
+
+def windows_sql(texts: str) -> str:
+    return f"""s AS MATERIALIZED (SELECT doc_id, unnest(segs) AS s, unnest(range(0, len(segs))) AS i FROM {segmented(texts)}),
 g AS MATERIALIZED (SELECT doc_id, i, s.text AS text, s.label AS label, sum(length(s.text)) OVER w AS upto, upto - length(s.text) AS before, count(*) OVER (PARTITION BY doc_id) AS n, lag(s.label) OVER w = 1 AS after_target FROM s WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
 h AS MATERIALIZED (SELECT *, min(CASE WHEN after_target AND label = 0 THEN i END) OVER w AS pause, min(CASE WHEN after_target AND label <> 1 THEN i END) OVER w AS other, before + {int_sql("trunc", "16", "64", "doc_id::VARCHAR || ':' || i::VARCHAR")} AS want
   FROM g WINDOW w AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
@@ -216,6 +232,9 @@ samples AS MATERIALIZED (SELECT win.doc_id, win.i AS start, count(*) AS n, list(
   GROUP BY win.doc_id, win.i HAVING bool_or(g.label = 1))"""
 
 
+WINDOWS = windows_sql(D)
+
+
 @query(f"WITH {WINDOWS} SELECT doc_id, start::INTEGER AS start, n::INTEGER AS n, md5(array_to_string(texts, ',')) AS texts FROM samples WHERE {RATIO} >= 0.5")
 def window_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Training samples: windows of segments."""
@@ -223,6 +242,52 @@ def window_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segment.windows(df, "doc_id", "s", least_ratio=0.5).select("doc_id", "start", F.size("labels").alias("n"), joined(F.col("text_list")).alias("texts"))
 
 
+PINYIN = f"flatten(list_transform(list_filter(list_zip(texts, labels), lambda z: z[2] = 1), lambda z: {read_sql('z[1]')}))"
+_MADE = f"n::INTEGER AS n, md5(array_to_string(texts, ',')) AS texts, len({PINYIN})::INTEGER AS n_readings, md5(array_to_string({PINYIN}, ',')) AS readings FROM samples WHERE {RATIO} >= 0.5"
+
+
+def _made(rows: DataFrame, *keep: str) -> DataFrame:
+    return rows.select(*keep, "start", F.size("labels").alias("n"), joined(F.col("text_list")).alias("texts"), F.size("pinyin_list").alias("n_readings"), joined(F.col("pinyin_list")).alias("readings"))
+
+
+@query(f"WITH {WINDOWS} SELECT doc_id, start::INTEGER AS start, {_MADE}")
+def make_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples with the reading of each target letter."""
+    return _made(segment.text_samples(docs(spark, sf_dir), "doc_id", text.letter_readings), "doc_id")
+
+
+@query(f"WITH {windows_sql("(SELECT conv_id::VARCHAR || '-' || (row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) - 1)::VARCHAR AS doc_id, coalesce(text, '') AS text FROM conversations)")} SELECT doc_id AS key, start::INTEGER AS start, {_MADE}")
+def sentence_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples of sentences: conversations as JSON lists of strings, each string a text."""
+    rows = table(spark, sf_dir, "conversations")
+    lists = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", F.coalesce("text", F.lit("")).alias("t")))).alias("r"))
+    lists = lists.select("conv_id", F.from_json(F.to_json(F.transform("r", lambda x: x["t"])), "array<string>").alias("sentences"))
+    return _made(segment.sentence_samples(lists.withColumnRenamed("conv_id", "key"), "key", text.letter_readings), "key")
+
+
+@query(f"WITH {windows_sql("(SELECT page_id::VARCHAR || '-' || c AS doc_id, x AS text FROM (SELECT page_id, unnest(['url', 'html']) AS c, unnest([url, html]) AS x FROM pages) WHERE x <> '')")} SELECT doc_id AS key, start::INTEGER AS start, {_MADE}")
+def column_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples of the text columns of a table."""
+    rows = table(spark, sf_dir, "pages").withColumnRenamed("page_id", "key")
+    return _made(segment.column_samples(rows, "key", ["url", "html", "missing"], text.letter_readings), "key")
+
+
+@query(f"SELECT word, len(b)::INTEGER AS n, md5(array_to_string(list_transform(range(1, len(b) + 1), lambda i: CASE p[i:i] WHEN 'c' THEN CASE b[i] WHEN 'k' THEN 'k|s' ELSE 's|k' END WHEN 'g' THEN CASE b[i] WHEN 'g' THEN 'g|j' ELSE 'j|g' END ELSE b[i] END), ',')) AS readings FROM (SELECT DISTINCT word, {READ} AS b, translate(lower(word), '{text.ACCENTS[0]}', '{text.ACCENTS[1]}') AS p FROM {WORDS})")
+def word_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All readings of each letter of each word, the one it has in the word first."""
+    rows = _words(spark, sf_dir).distinct().select("word", text.letter_readings(F.col("word")).alias("r"))
+    return rows.select("word", F.size("r").alias("n"), joined(F.transform("r", lambda x: F.array_join(x, "|"))).alias("readings"))
+
+
+_LEXICON = ["th", "the", "ing", "tion", "er", "an", "and", "in", "on", "re", "ment", "que", "sch", "ei"]
+
+
+@query(f"SELECT word, array_to_string(regexp_extract_all(word, '({'|'.join(sorted(_LEXICON, key=lambda w: (-len(w), w)))}|.)', 1), ' ') AS parts FROM (SELECT DISTINCT word FROM {WORDS})")
+def word_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs cut into words of a lexicon, longest match first."""
+    return _words(spark, sf_dir).distinct().select("word", F.array_join(lexicon.words(F.col("word"), _LEXICON), " ").alias("parts"))
+
+
 @query(f"""
 WITH s AS (SELECT doc_id, unnest(segs) AS s, unnest(range(1, len(segs) + 1)) AS i FROM {SEGMENTED}),
 c AS (SELECT doc_id, i, sum(CASE WHEN s.label = 1 THEN length(s.text) ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS upto FROM s)
@@ -371,10 +436,7 @@ def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _freq(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = _words(spark, sf_dir).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    pairs = counted.select(F.explode(F.arrays_zip(F.filter(F.split("word", ""), lambda c: c != "").alias("ch"), text.readings(F.col("word")).alias("reading"))).alias("x"), "n")
-    counts = pairs.select("x.ch", "x.reading", "n").groupBy("ch", "reading").agg(F.sum("n").alias("cnt"))
-    total = counts.groupBy("ch").agg(F.sum("cnt").alias("total"))
-    return counts.join(total, "ch").select("ch", "reading", "cnt", (F.col("cnt") / F.col("total")).alias("prob"))
+    return augment.frequency(counted.select("word", text.readings(F.col("word")).alias("readings"), "n"), "word", "readings", "n")
 
 
 @query(f"SELECT ch, reading, cnt, round(prob, 9) AS prob FROM {PROB}")
@@ -410,12 +472,28 @@ def augment_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("conv_id", "turn", joined(augment.shorten(F.col("w"), F.col("key"))).alias("shortened"))
 
 
-_SPAN_BASE = f"""a AS (SELECT doc_id, segs, list_filter(range(0, len(segs)), lambda i: segs[i + 1].label = 1) AS own, list_filter(range(0, len(segs)), lambda i: segs[i + 1].label <> 1) AS others FROM {SEGMENTED}),
-b AS (SELECT *, own[{int_sql("k", "1", "len(own)", "doc_id::VARCHAR")}] AS anchor, {u_sql("ctx", "doc_id::VARCHAR")} < 0.2 AS alone, {u_sql("dir", "doc_id::VARCHAR")} >= 0.3 AS back FROM a WHERE len(own) > 0),
+def span_sql(rows: str, key: str, k: str, no_context: float, forward: float, seed: str = "0") -> str:
+    """Spans of rows with segs: sel, e and whether the span stands alone."""
+    return f"""a AS (SELECT *, list_filter(range(0, len(segs)), lambda i: segs[i + 1].label = 1) AS own, list_filter(range(0, len(segs)), lambda i: segs[i + 1].label <> 1) AS others FROM {rows}),
+b AS (SELECT *, own[{k}] AS anchor, {u_sql("ctx", key)} < {no_context} AS alone, {u_sql("dir", key)} >= {forward} AS back FROM a WHERE len(own) > 0),
 c AS (SELECT *, coalesce(list_max(list_filter(others, lambda i: i < anchor)) + 1, 0) AS l, coalesce(list_min(list_filter(others, lambda i: i > anchor)), len(segs)) AS r FROM b),
 d AS (SELECT *, CASE WHEN alone OR NOT back THEN l ELSE anchor END AS sel, CASE WHEN alone OR back THEN r ELSE anchor + 1 END AS e FROM c)"""
 
 
+_SPAN_BASE = span_sql(SEGMENTED, "doc_id::VARCHAR", int_sql("k", "1", "len(own)", "doc_id::VARCHAR"), 0.2, 0.3)
+
+
+def confused_sql(keep: str, key: str, p: float, seed: str, blank: str) -> str:
+    """prefix, suffix and sampled readings of spans; ``blank``: when the prefix is left out."""
+    drawn = f"list_filter(m[chars[i]], lambda x: x.cum > {u_sql('het', f"{key} || ':' || (i - 1)::VARCHAR", seed)})[1].reading"
+    return f"""fr AS (SELECT ch, reading, sum(cnt) OVER (PARTITION BY ch ORDER BY reading) / (sum(cnt) OVER (PARTITION BY ch))::DOUBLE AS cum FROM {FREQ}),
+mp AS (SELECT map(list(ch), list(x)) AS m FROM (SELECT ch, list({{'reading': reading, 'cum': cum}} ORDER BY reading) AS x FROM fr GROUP BY ch)),
+sp AS MATERIALIZED (SELECT {keep}, CASE WHEN {blank} THEN '' ELSE array_to_string(list_transform(segs[1:sel], lambda s: s.text), '') END AS prefix, array_to_string(list_transform(segs[sel + 1:e], lambda s: s.text), '') AS suffix,
+  flatten(list_transform(segs[sel + 1:e], lambda s: {read_sql("s.text")})) AS rd FROM d),
+rr AS MATERIALIZED (SELECT {keep}, prefix, suffix, list_transform(range(1, len(rd) + 1), lambda i: CASE WHEN {u_sql("hetp", f"{key} || ':' || (i - 1)::VARCHAR", seed)} < {p} THEN coalesce({drawn}, rd[i]) ELSE rd[i] END) AS readings
+  FROM (SELECT *, string_split(suffix, '') AS chars FROM sp), mp)"""
+
+
 @query(f"""WITH {_SPAN_BASE}
 SELECT doc_id, md5(CASE WHEN alone THEN '' ELSE array_to_string(list_transform(segs[1:sel], lambda s: s.text), '') END) AS prefix, md5(array_to_string(list_transform(segs[sel + 1:e], lambda s: s.text), '')) AS suffix,
 coalesce(list_sum(list_transform(list_filter(segs[1:sel], lambda s: s.label = 1), lambda s: length(s.text))), 0)::INTEGER AS "offset", coalesce(list_sum(list_transform(list_filter(segs[sel + 1:e], lambda s: s.label = 1), lambda s: length(s.text))), 0)::INTEGER AS n_readings FROM d""")
@@ -439,7 +517,7 @@ array_to_string(list_transform(CASE WHEN len(p) = 0 THEN [-100] ELSE al END, lam
 def two_phase_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = table(spark, sf_dir, "benchmark").select("item_id", F.lower(F.left("text", F.lit(20))).alias("p"), F.lower(F.substring("text", 21, 30)).alias("s"))
     made = ragged.two_phase(vocab.encode(F.col("p"), ALPHABET), vocab.encode(F.col("s"), ALPHABET), vocab.encode_aligned(F.col("p"), ALPHABET), 26)
-    return df.select("item_id", *[F.array_join(c.cast("array<string>"), ",").alias(k) for k, c in made.items()])
+    return df.select("item_id", *[F.array_join(c.cast("array<string>"), ",").alias(k) for k, c in made.items() if k.endswith("ids")])
 
 
 _WHOLE = f"""(SELECT doc_id, {_ids("prefix")} AS p, {_ids("suffix")} AS s, list_transform(list_filter(string_split(lower(prefix), ''), lambda c: c <> ''), lambda c: CASE WHEN strpos('{ALPHABET}', c) = 0 THEN -100 ELSE strpos('{ALPHABET}', c) - 1 END) AS al
@@ -461,7 +539,62 @@ def two_phase_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = augment.prepared(df, "doc_id").select("doc_id", F.lower("prefix").alias("p"), F.lower("suffix").alias("s"))
     ids = out.select("doc_id", vocab.encode(F.col("p"), ALPHABET).alias("p"), vocab.encode(F.col("s"), ALPHABET).alias("s"), vocab.encode_aligned(F.col("p"), ALPHABET).alias("al"))
     made = ragged.two_phase(F.col("p"), F.col("s"), F.col("al"), 26)
-    return ids.select("doc_id", F.size("p").alias("n_prefix"), F.size("s").alias("n_suffix"), *[joined(c).alias(k) for k, c in made.items()])
+    return ids.select("doc_id", F.size("p").alias("n_prefix"), F.size("s").alias("n_suffix"), *[joined(c).alias(k) for k, c in made.items() if k.endswith("ids")])
+
+
+# -- rows for training and validation ---------------------------------------------------------------------------
+IDS = transform.Ids(ALPHABET + ALPHABET.upper(), ALPHABET + ALPHABET.upper() + " !?:;,", tuple("abcdefghijklmnopqrstuvwxyz"))
+
+
+def encoded_sql(keep: str) -> str:
+    known = lambda x, v: f"list_filter(list_transform(list_filter(string_split({x}, ''), lambda c: c <> ''), lambda c: strpos('{v}', c) - 1), lambda y: y >= 0)"
+    listed = lambda x: f"md5(array_to_string(list_transform({x}, lambda x: x::VARCHAR), ','))"
+    near = f"list_transform(readings, lambda r: list_min(list_transform(range(0, {len(IDS.readings)}), lambda j: levenshtein({list(IDS.readings)}[j + 1], r) * 1000 + j)) % 1000)"
+    return f"""SELECT {keep}, {listed(f"list_concat([{IDS.begin}], p)")} AS full_prefix_ids, {listed(f"CASE WHEN len(p) = 0 THEN [{IDS.begin}] ELSE list_concat([{IDS.begin}], p)[1:len(p)] END")} AS prefix_ids,
+{listed(f"list_concat([list_concat([{IDS.begin}], p)[len(p) + 1]], s[1:greatest(len(s) - 1, 0)])")} AS suffix_ids, {listed("CASE WHEN len(p) = 0 THEN [-100] ELSE al END")} AS uncond_target_ids, length(prefix)::INTEGER AS prefix_lengths,
+{listed(near)} AS postfix_ids, {listed(known("suffix", IDS.target))} AS target_ids
+FROM (SELECT *, {known("prefix", IDS.context)} AS p, {known("suffix", IDS.context)} AS s, list_transform(list_filter(string_split(prefix, ''), lambda c: c <> ''), lambda c: CASE WHEN strpos('{IDS.target}', c) = 0 THEN -100 ELSE strpos('{IDS.target}', c) - 1 END) AS al FROM rr)"""
+
+
+def _digests(rows: DataFrame) -> DataFrame:
+    return rows.select(*[joined(F.col(c)).alias(c) if t.startswith("array") else F.col(c) for c, t in rows.dtypes])
+
+
+def _document_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = segment.eligible(docs(spark, sf_dir)).select("doc_id", segment.with_readings(segment.segments(F.col("text")), text.letter_readings).alias("s"))
+    return df.select("doc_id", F.col("s.text").alias("text_list"), F.col("s.label").alias("labels"), F.flatten(F.transform("s.readings", lexicon.flat)).alias("pinyin_list"))
+
+
+_VAL = f"WITH {_SPAN_BASE}, {confused_sql('doc_id', 'doc_id::VARCHAR', 0.3, '0', 'alone')}"
+
+
+def _validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return augment.prepared(_document_samples(spark, sf_dir), "doc_id", frequency=augment.as_map(_freq(spark, sf_dir)), confusion=0.3)
+
+
+@query(f"{_VAL} SELECT doc_id, md5(prefix) AS prefix, md5(suffix) AS suffix, len(readings)::INTEGER AS n, md5(array_to_string(readings, ',')) AS readings FROM rr")
+def val_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Validation rows with readings: a third of them drawn anew by frequency, then shortened."""
+    rows = _validation(spark, sf_dir)
+    return rows.select("doc_id", F.md5("prefix").alias("prefix"), F.md5("suffix").alias("suffix"), F.size("readings").alias("n"), joined(F.col("readings")).alias("readings"))
+
+
+@query(f"{_VAL} {encoded_sql('doc_id')}")
+def val_transform(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Validation rows as ids."""
+    return _digests(transform.validation(_validation(spark, sf_dir), IDS, "doc_id"))
+
+
+_GOLD = "(CASE WHEN len(own) <= 1 THEN 1 ELSE least(floor((g1 - floor(g1)) * len(own))::INTEGER, len(own) - 1) + 1 END)"
+
+
+@query(f"""WITH {WINDOWS}, rows AS (SELECT doc_id::VARCHAR || ':' || start::VARCHAR AS id, list_transform(range(1, len(texts) + 1), lambda i: {{'text': texts[i], 'label': labels[i]}}) AS segs,
+('0x' || substr(md5(text), 1, 16))::UBIGINT::DOUBLE / 18446744073709551616.0 + 3 * 0.6180339887498949::DOUBLE AS g1 FROM samples WHERE {RATIO} >= 0.5),
+{span_sql("rows", "id", _GOLD, 0.1, 0.5)}, {confused_sql("id", "id", 0.3, "0:3", "false")} {encoded_sql("id")}""")
+def train_transform(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Training rows of all samples as ids, as epoch 3 has them."""
+    rows = segment.text_samples(docs(spark, sf_dir), "doc_id", text.letter_readings).withColumn("id", F.concat_ws(":", "doc_id", "start")).drop("doc_id", "start")
+    return _digests(transform.train(rows, "id", IDS, augment.as_map(_freq(spark, sf_dir)), epoch=3, confusion=0.3, no_context=0.1))
 
 
 # readings here are single letters, which are their own short forms
@@ -682,14 +815,78 @@ def op_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_brand", F.explode(F.split("p_type", " ")).alias("op")).distinct().groupBy("op").agg(F.count(F.lit(1)).alias("models"))
 
 
-@query()
+_WIDTH = 3
+_LATTICE = """lat AS (SELECT vec_id // 4 AS key, (vec_id % 4)::INTEGER AS position, unnest([label, (label + 3) % 10, (label + 6) % 10])::INTEGER AS id FROM embeddings),
+sc AS (SELECT prev, id, -((prev * 7 + id * 3) % 10) / 3.0::DOUBLE - 0.1 AS score FROM (SELECT unnest(range(-1, 10))::INTEGER AS prev), (SELECT unnest(range(0, 10))::INTEGER AS id)),
+st AS MATERIALIZED (SELECT key, position, prev, id, score - m - ln(sum(exp(score - m)) OVER (PARTITION BY key, position, prev)) AS lp FROM (SELECT key, position, prev, lat.id, score, max(score) OVER (PARTITION BY key, position, prev) AS m FROM lat JOIN sc USING (id))),
+top AS MATERIALIZED (SELECT * FROM st QUALIFY row_number() OVER (PARTITION BY key, position, prev ORDER BY round(lp, 9) DESC, id) <= 3),
+b0 AS (SELECT key, (row_number() OVER (PARTITION BY key ORDER BY round(lp, 9) DESC, id) - 1)::INTEGER AS rank, [id] AS ids, lp AS score, id AS prev FROM top WHERE position = 0 AND prev = -1)""" + "".join(
+    f""",
+b{j} AS (SELECT * FROM (SELECT b.key, (row_number() OVER (PARTITION BY b.key ORDER BY round(score + lp, 9) DESC, b.rank, top.id) - 1)::INTEGER AS rank, list_append(ids, top.id) AS ids, score + lp AS score, top.id AS prev FROM b{j - 1} b JOIN top ON top.key = b.key AND top.prev = b.prev AND top.position = {j}) WHERE rank < 3)"""
+    for j in range(1, 4)
+)
+
+
+def _steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lattices of four positions with three ids each, and a table of bigram scores."""
+    ids = F.array("label", (F.col("label") + 3) % 10, (F.col("label") + 6) % 10)
+    allowed = table(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / 4).alias("key"), (F.col("vec_id") % 4).cast("int").alias("position"), F.explode(ids).alias("id"))
+    scores = spark.range(-1, 10).select(F.col("id").cast("int").alias("prev"), F.explode(F.sequence(F.lit(0), F.lit(9))).alias("id"))
+    return beam.step_scores(scores.withColumn("score", -((F.col("prev") * 7 + F.col("id") * 3) % 10) / 3.0 - 0.1), allowed)
+
+
+@query(f"WITH {_LATTICE} SELECT key, rank, array_to_string(ids, ',') AS ids, round(score, 6) AS score FROM b3")
 def bigram_beam(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Beam search over lattices of vector labels, scored by a fixed bigram table; held against all paths in tests."""
-    bigrams = {(a, b): -((a * 7 + b * 3) % 10) / 3 - 0.1 for a in range(-1, 10) for b in range(10)}
-    rows = table(spark, sf_dir, "embeddings").groupBy(F.floor(F.col("vec_id") / 4).alias("sample")).agg(F.sort_array(F.collect_list(F.struct("vec_id", "label"))).alias("r"))
-    lattice = rows.select("sample", F.transform("r", lambda x: F.array(x["label"], (x["label"] + 3) % 10, (x["label"] + 6) % 10)).alias("steps"))
-    out = ragged.beam_search(lattice, "sample", "steps", bigrams)
-    return out.select("sample", "rank", F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"), F.round("score", 6).alias("score"))
+    """Beam search over lattices of vector labels, scored by a table of bigrams."""
+    out = beam.beam_search(_steps(spark, sf_dir), 4, _WIDTH)
+    return out.select("key", "rank", F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"), F.round("score", 6).alias("score"))
+
+
+@query(f"""WITH {_LATTICE}, paths AS (SELECT DISTINCT key, position, CASE WHEN position = 0 THEN -1 ELSE ids[position] END AS prev FROM b3, (SELECT unnest([0, 1, 2, 3]) AS position)),
+pr AS (SELECT key, position, st.id, exp(max(lp)) AS prob FROM st JOIN paths USING (key, position, prev) GROUP BY ALL)
+SELECT key, position::INTEGER AS position, array_to_string(list(id ORDER BY round(prob, 9) DESC, id)[1:3], ',') AS ids, round(list_max(list(prob)), 6) AS best FROM pr GROUP BY key, position""")
+def beam_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each position could be, by the best of the beams: ids from the likeliest on."""
+    out = beam.predict(_steps(spark, sf_dir), 4, _WIDTH)["per_position"]
+    return out.select("key", "position", F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"), F.round(F.get("probs", F.lit(0)), 6).alias("best"))
+
+
+@query("SELECT vec_id, round(list_sum(list_transform(x, lambda v: exp(v - m))), 6) AS mass, len(x)::INTEGER AS allowed FROM (SELECT vec_id, list_filter(embedding, lambda v, i: (i - 1 + vec_id) % 3 <> 0) AS x, list_max(embedding) AS m FROM (SELECT vec_id, list_transform(embedding, lambda v: v::DOUBLE) AS embedding FROM embeddings))")
+def logits_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of the logits' mass when every third class is masked."""
+    x = F.col("x")
+    left = metrics.masked(x, F.transform(x, lambda v, i: (i + F.col("vec_id")) % 3 != 0))
+    top = F.array_max("x")
+    kept = F.filter(left, lambda v: v > float("-inf"))
+    return _logits(spark, sf_dir).select("vec_id", F.round(F.aggregate(F.transform(kept, lambda v: F.exp(v - top)), F.lit(0.0), lambda a, v: a + v), 6).alias("mass"), F.size(kept).alias("allowed"))
+
+
+@query(f"SELECT part, round(3 * n / greatest(sum(n) OVER (), 1)::DOUBLE, 9) AS scale FROM (SELECT (vec_id % 3)::INTEGER AS part, count(*) AS n FROM embeddings WHERE vec_id % 7 <> 0 GROUP BY 1)")
+def rank_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Factors of three ranks' mean losses."""
+    parts = table(spark, sf_dir, "embeddings").where("vec_id % 7 <> 0").groupBy((F.col("vec_id") % 3).cast("int").alias("part")).agg(F.count(F.lit(1)).alias("n"))
+    total = parts.agg(F.sum("n").alias("total"))
+    return parts.join(F.broadcast(total)).select("part", F.round(metrics.rank_scale(F.col("n"), F.col("total"), 3), 9).alias("scale"))
+
+
+@query("SELECT vec_id, round(list_sum(list_transform(range(0, 64), lambda i: (i + 1) * (x[i + 1] * cos(label / pow(10000.0, (i % 32) * 2 / 64.0)) + (CASE WHEN i < 32 THEN -x[i + 33] ELSE x[i - 31] END) * sin(label / pow(10000.0, (i % 32) * 2 / 64.0))))), 5) AS turned FROM (SELECT vec_id, label, list_transform(embedding, lambda v: v::DOUBLE) AS x FROM embeddings)")
+def rotary_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors turned by a position (here the label), as one weighted sum."""
+    turned = ragged.rotate(F.col("x"), F.col("label"), 64)
+    weighted = F.aggregate(F.transform(turned, lambda v, i: v * (i + 1)), F.lit(0.0), lambda a, v: a + v)
+    return _logits(spark, sf_dir).select("vec_id", F.round(weighted, 5).alias("turned"))
+
+
+@query("""WITH r AS (SELECT label AS seq, vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS at, list_transform(embedding[1:8], lambda v: v::DOUBLE) AS x FROM embeddings),
+s AS (SELECT a.seq, a.vec_id, list_sum(b.x) AS v, exp(list_dot_product(a.x, b.x) / sqrt(8)) AS w FROM r a JOIN r b ON a.seq = b.seq AND b.at <= a.at)
+SELECT vec_id, round(sum(v * w) / sum(w), 5) AS mixed FROM s GROUP BY vec_id""")
+def ragged_attention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Causal attention within sequences of differing lengths (here one for each label)."""
+    rows = _logits(spark, sf_dir).groupBy("label").agg(F.sort_array(F.collect_list(F.struct("vec_id", F.slice("x", 1, 8).alias("x")))).alias("r"))
+    rows = rows.select("label", F.transform("r", lambda z: z["x"]).alias("x"), F.transform("r", lambda z: z["vec_id"]).alias("ids"))
+    out = ragged.attend(rows, "label", "x", "x", "x").join(rows.select("label", "ids"), "label")
+    total = lambda x: F.aggregate(x, F.lit(0.0), lambda a, v: a + v)
+    return out.select(F.explode(F.arrays_zip("ids", "out")).alias("z")).select("z.ids", total(F.col("z.out")).alias("m")).select(F.col("ids").alias("vec_id"), F.round("m", 5).alias("mixed"))
 
 
 @query(f"SELECT doc_id, (i - 1)::INTEGER AS pos, s.text AS text, s.label::INTEGER AS label FROM (SELECT doc_id, unnest(segs) AS s, unnest(range(1, len(segs) + 1)) AS i FROM {SEGMENTED})")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,9 +35,49 @@ def unpivot_texts(df: DataFrame, columns: list[str], key: str) -> DataFrame:
     return df.select(key, F.explode(items).alias("x")).select(key, "x.column", "x.text").where("text is not null and text <> ''")
 
 
+def _file(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, at = _file(spark, path)
+    return fs.exists(at)
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small file as one string."""
+    if not exists(spark, path):
+        raise FileNotFoundError(path)
+    return "".join(r.value for r in spark.read.text(path, wholetext=True).collect())
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file, wherever Spark can write; never over what is there."""
+    fs, at = _file(spark, path)
+    out = fs.create(at, False)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
+def json_object(spark: SparkSession, path: str, label: str = "file") -> dict:
+    """The JSON object of a file."""
+    try:
+        value = json.loads(read_text(spark, path))
+    except (ValueError, FileNotFoundError) as e:
+        raise ValueError(f"{label} can't be read as JSON: {path}: {e}") from e
+    if not isinstance(value, dict):
+        raise ValueError(f"{label} is not a JSON object: {path}")
+    return value
+
+
 def load(spark: SparkSession, path: str, kind: str) -> DataFrame:
     if kind not in FORMATS:
         raise ValueError(f"unknown format: {kind}")
+    if not any(c in path for c in "*?[{") and not exists(spark, path):
+        raise FileNotFoundError(path)
     return spark.read.format(kind).load(path)
 
 
@@ -63,6 +102,15 @@ def vocabulary_lines(text: str, strict: bool = False) -> list[str]:
     return tokens
 
 
+def read_vocabulary(spark: SparkSession, path: str, strict: bool = False) -> list[str]:
+    return vocabulary_lines(read_text(spark, path), strict)
+
+
+def vocabulary_table(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
+    """token, id of a vocabulary file; of duplicates the first counts."""
+    return spark.createDataFrame(list(map(tuple, enumerate(dict.fromkeys(read_vocabulary(spark, path, strict))))), "id int, token string").select("token", "id")
+
+
 def frequency_rows(df: DataFrame, column: str) -> DataFrame:
     """ch, reading, prob of JSON objects {ch: {reading: prob}}."""
     parsed = df.select(F.from_json(column, "map<string,map<string,double>>").alias("m"))
@@ -77,13 +125,45 @@ def frequency_json(freq: DataFrame) -> DataFrame:
 
 
 def write_frequency(freq: DataFrame, path: str) -> None:
-    """The table as a JSON file; it has an entry for each character and reading, whatever the corpus."""
+    """The table as one JSON file; it has an entry for each character and reading, whatever the corpus."""
     out: dict[str, dict[str, float]] = {}
     for r in freq.orderBy("ch", "reading").toLocalIterator():
         out.setdefault(r.ch, {})[r.reading] = r.prob
-    Path(path).write_text(json.dumps(out, ensure_ascii=False))
+    write_text(freq.sparkSession, path, json.dumps(out, ensure_ascii=False))
+
+
+def write_arrow(df: DataFrame, path: str, files: int = 1) -> None:
+    """Rows in so many files, read again by ``load``."""
+    df.repartition(files).write.mode("errorifexists").option("compression", "zstd").parquet(path)
 
 
 def write_shards(df: DataFrame, path: str, shards: int, key: str, rows: int = 1_000_000) -> None:
-    """Contiguous shards by key, zstd, no file above ``rows`` rows; never over what is there."""
-    df.repartitionByRange(shards, key).sortWithinPartitions(key).write.mode("errorifexists").option("compression", "zstd").option("maxRecordsPerFile", rows).parquet(path)
+    """Exactly contiguous shards by a numeric key, each a folder ``shard=i``, no file above ``rows`` rows; never over what is there."""
+    from ..operators.sample import contiguous_shards
+
+    parts = contiguous_shards(df, shards, key)
+    parts.repartition(shards, "shard").sortWithinPartitions("shard", key).write.mode("errorifexists").option("compression", "zstd").option("maxRecordsPerFile", rows).partitionBy("shard").parquet(path)
+
+
+def log_metrics(metrics: DataFrame, path: str, step: int) -> None:
+    """One more step of a log of metrics."""
+    metrics.withColumn("step", F.lit(step)).write.mode("append").json(path)
+
+
+def write_package(spark: SparkSession, path: str, files: dict[str, str]) -> None:
+    """Small text files as a folder that appears as a whole or not at all; never over what is there."""
+    fs, at = _file(spark, path)
+    if fs.exists(at):
+        raise FileExistsError(path)
+    part = f"{path.rstrip('/')}.part"
+    fs.delete(_file(spark, part)[1], True)
+    for name, text in files.items():
+        write_text(spark, f"{part}/{name}", text)
+    if not fs.rename(_file(spark, part)[1], at):
+        raise OSError(f"can't rename {part}")
+
+
+def merged_manifests(models: DataFrame, ops: str, keys: str) -> DataFrame:
+    """One row: all ops sorted, all keys in the order of their first occurrence by ``position``."""
+    rows = models.agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(ops)))).alias(ops), F.sort_array(F.collect_list(F.struct("position", keys))).alias("k"))
+    return rows.select(ops, F.array_distinct(F.flatten(F.transform("k", lambda x: x[keys]))).alias(keys))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from glyphmill import sources
 from glyphmill.functions import rng, spans, text
 from glyphmill.functions.profile import han
-from glyphmill.operators import augment, metrics, ragged, sample, segment, vocab
+from glyphmill.operators import augment, beam, metrics, ragged, sample, segment, vocab
 from glyphmill.streaming.segments import segment_rows, stream_label_counts, stream_segments
 
 HAN = han()
@@ -197,11 +197,26 @@ def test_two_phase_with_empty_prefix(spark):
 def test_beam_against_all_paths(spark):
     bigrams = {(a, b): -random.Random(a * 31 + b).random() for a in range(-1, 9) for b in range(9)}
     lattice = [[0, 1, 2], [3, 4, 5], [6, 7, 8]]
-    df = spark.createDataFrame([(1, lattice)], "k long, steps array<array<int>>")
-    got = ragged.beam_search(df, "k", "steps", bigrams, width=27).orderBy("rank").collect()
-    paths = sorted(((sum(bigrams[p] for p in zip((-1, *ids), ids, strict=False)), ids) for ids in itertools.product(*lattice)), key=lambda x: (-x[0], x[1]))
+    scores = spark.createDataFrame([(a, b, s) for (a, b), s in bigrams.items()], "prev int, id int, score double")
+    allowed = spark.createDataFrame([(1, j, i) for j, ids in enumerate(lattice) for i in ids], "key long, position int, id int")
+    steps = beam.step_scores(scores, allowed)
+
+    def lp(prev, j, i):
+        return bigrams[prev, i] - math.log(sum(math.exp(bigrams[prev, o]) for o in lattice[j]))
+
+    got = beam.beam_search(steps, 3, 27).orderBy("rank").collect()
+    paths = sorted(((sum(lp(p, j, i) for j, (p, i) in enumerate(zip((-1, *ids), ids, strict=False))), ids) for ids in itertools.product(*lattice)), key=lambda x: -x[0])
     assert [tuple(r.ids) for r in got] == [p[1] for p in paths]
     assert [r.score for r in got] == pytest.approx([p[0] for p in paths])
+    greedy = beam.predict(steps, 3)["best"].first()
+    want, prev = [], -1
+    for j, ids in enumerate(lattice):
+        prev = max(ids, key=lambda i, j=j, prev=prev: lp(prev, j, i))
+        want.append(prev)
+    assert list(greedy.ids) == want
+    per = {r.position: r for r in beam.predict(steps, 3, 2)["per_position"].collect()}
+    assert len(per) == 3 and all(len(r.ids) == 2 and r.probs == sorted(r.probs, reverse=True) for r in per.values())
+    assert per[0].probs[0] == pytest.approx(max(math.exp(lp(-1, 0, i)) for i in lattice[0]))
 
 
 def test_file_sources(spark, tmp_path):
@@ -216,7 +231,8 @@ def test_file_sources(spark, tmp_path):
         sources.union([])
     df = spark.range(10)
     sources.write_shards(df, str(tmp_path / "out"), 3, "id", rows=2)
-    assert spark.read.parquet(str(tmp_path / "out")).count() == 10
+    parts = spark.read.parquet(str(tmp_path / "out")).groupBy("shard").agg(F.min("id").alias("a"), F.max("id").alias("z"), F.count(F.lit(1)).alias("n")).orderBy("shard").collect()
+    assert [tuple(r)[1:] for r in parts] == [(0, 3, 4), (4, 6, 3), (7, 9, 3)]
     with pytest.raises(Exception, match="already exists"):
         sources.write_shards(df, str(tmp_path / "out"), 3, "id")
 
