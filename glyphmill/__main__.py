@@ -6,7 +6,7 @@ import argparse
 
 from pyspark.sql import SparkSession
 
-from .functions import lexicon, text
+from .functions import text
 from .plans import catalog, preprocess
 from .sources import json_object
 
@@ -23,7 +23,7 @@ def main(words: list[str] | None = None) -> None:
     if args.task == "query":
         catalog.QUERIES[args.name](spark, args.sf_dir).show(20, truncate=False)
         return
-    out = preprocess.run(spark, json_object(spark, args.config, "configuration"), lambda word: lexicon.nested(word, text.readings(word), lexicon.lookup(text.LETTER_READINGS)))
+    out = preprocess.run(spark, json_object(spark, args.config, "configuration"), text.letter_readings)
     for name, df in out.items():
         print(name, df.count())
 

@@ -114,10 +114,6 @@ def readings(word: Column) -> Column:
     return F.when(F.length(plain) > 0, F.transform(F.sequence(F.lit(1), F.length(plain)), one)).otherwise(F.array().cast("array<string>"))
 
 
-#: All readings of each letter under the Latin stand-in, as a lexicon of heteronyms.
-LETTER_READINGS = {c: {"c": ["k", "s"], "g": ["g", "j"]}.get(c, [c]) for c in "abcdefghijklmnopqrstuvwxyz"}
-
-
 def letter_readings(word: Column) -> Column:
     """Readings of each letter of a word, the one it has in the word first; letters without readings keep a list of their own."""
     plain = F.translate(F.lower(word), *ACCENTS)

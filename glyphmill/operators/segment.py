@@ -44,6 +44,17 @@ def with_readings(segs: Column, reader: Callable[[Column], Column]) -> Column:
     return F.transform(segs, lambda s: F.struct(s["text"].alias("text"), s["label"].alias("label"), F.when(s["label"] == TARGET, reader(s["text"])).otherwise(none).alias("readings")))
 
 
+def by_letter(segs: Column) -> Column:
+    """Segments with readings, target ones cut into characters that keep the readings they have in their word."""
+    none = F.array().cast("array<string>")
+
+    def letters(s: Column) -> Column:
+        pairs = F.arrays_zip(F.filter(F.split(s["text"], ""), lambda c: c != "").alias("c"), s["readings"].alias("r"))
+        return F.transform(pairs, lambda z: F.struct(z["c"].alias("text"), s["label"].alias("label"), F.array(F.coalesce(z["r"], none)).alias("readings")))
+
+    return F.flatten(F.transform(segs, lambda s: F.when(s["label"] == TARGET, letters(s)).otherwise(F.array(s))))
+
+
 def eligible(df: DataFrame, p: Profile = LATIN, least_ratio: float = 0.5) -> DataFrame:
     """Texts of two characters or more with enough characters of the ratio class."""
     return df.where(F.length("text") > 1).where(ratio(F.col("text"), p) >= least_ratio)
@@ -152,8 +163,11 @@ def samples(df: DataFrame, key: str, segs: str, cut: Cut = Cut(), least_ratio: f
 
 
 def text_samples(texts: DataFrame, key: str, reader: Callable[[Column], Column], cut: Cut = Cut(), least_ratio: float = 0.5, p: Profile = LATIN, mode: str = "word") -> DataFrame:
-    """Samples of texts (key, text): the ratio filter, segments with readings, windows."""
-    segs = with_readings(segments(F.col("text"), p, mode), reader)
+    """Samples of texts (key, text): the ratio filter, segments with readings, windows.  Mode char: readings are looked up by word, then words are cut."""
+    if mode not in ("word", "char"):
+        raise ValueError(f"unknown mode: {mode}")
+    segs = with_readings(segments(F.col("text"), p), reader)
+    segs = by_letter(segs) if mode == "char" else segs
     return samples(eligible(texts, p, least_ratio).select(key, segs.alias("s")), key, "s", cut, least_ratio, p)
 
 
