@@ -38,22 +38,15 @@ def features(docs: DataFrame) -> DataFrame:
     return df.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long")).drop("at")
 
 
-def line_quality(docs: DataFrame, min_docs: int = 20, host_share: float = 0.02, keep_share: float = 0.3) -> DataFrame:
-    """Judge each document, after the lines that too many documents of its host share are removed.
-
-    A host is a ``source`` (null is one host).  Lines are compared lower-cased, with white space collapsed.
-    A line is removed if more than ``min_docs`` and more than ``host_share`` of the host's
-    distinct texts hold it; exact copies of a text count once.  A document is rejected if
-    it has fewer than 50 words, if more than half of its words lie in repeated 3-word
-    windows, or if less than ``keep_share`` of its words are left.  Returns one row for each row
-    of ``docs``; null text has no words, so it is rejected; other columns are ignored.
-    """
+def judged(docs: DataFrame, min_docs: int = 20, host_share: float = 0.02, most_docs: int = 100_000, keep_share: float = 0.3, least_words: int = 50) -> DataFrame:
+    """The features of each row, the lines in ``common`` that too many documents of its host hold, and the verdict in ``kept``."""
     f = save(features(docs))
-    lines = f.select("source", "tag", F.explode(F.array_distinct("line_hash")).alias("line"))
-    texts = f.groupBy("source").agg(F.count_distinct("tag").alias("texts"))
-    held = lines.distinct().groupBy("source", "line").agg(F.count(F.lit(1)).alias("n"))
-    host = texts.withColumnRenamed("source", "_host")
-    common = held.where(F.col("n") > min_docs).join(host, F.col("source").eqNullSafe(F.col("_host"))).where(F.col("n") > host_share * F.col("texts")).select(F.col("source").alias("_source"), F.col("line").alias("_line"))
+    document = F.struct("doc_id", "tag")
+    lines = f.select("source", document.alias("document"), F.explode(F.array_distinct("line_hash")).alias("line")).distinct()
+    texts = f.select("source", document.alias("document")).distinct().groupBy(F.col("source").alias("_host")).agg(F.count(F.lit(1)).alias("texts"))
+    held = lines.groupBy("source", "line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > min_docs)
+    limit = F.least(host_share * F.col("texts"), F.lit(most_docs))
+    common = held.join(texts, F.col("source").eqNullSafe(F.col("_host"))).where(F.col("n") > limit).select(F.col("source").alias("_source"), F.col("line").alias("_line"))
     found = (
         f.select("doc_id", "source", "tag", F.explode(F.array_distinct("line_hash")).alias("line"))
         .join(common, F.col("source").eqNullSafe(F.col("_source")) & (F.col("line") == F.col("_line")))
@@ -65,5 +58,31 @@ def line_quality(docs: DataFrame, min_docs: int = 20, host_share: float = 0.02,
     n_words, repeat = F.col("n_words").cast("long"), F.col("n_repeat_words")
     f = f.withColumn("n_common_words", F.coalesce(F.when(F.col("common").isNotNull(), removed), F.lit(0)).cast("long"))
     f = f.withColumn("base_failed", (n_words < 50) | (100 * repeat > 50 * n_words))
-    kept = ~F.col("base_failed") & (F.col("n_words") - F.col("n_common_words") >= keep_share * F.col("n_words"))
-    return f.select("doc_id", n_words.alias("n_words"), F.col("word_chars").cast("long").alias("word_chars"), F.col("n_symbols").cast("long").alias("n_symbols"), F.col("n_dup_lines").cast("long").alias("n_dup_lines"), "n_repeat_words", "base_failed", kept.alias("kept"), "n_common_words")
+    left = F.col("n_words") - F.col("n_common_words")
+    return f.withColumn("kept", ~F.col("base_failed") & (left >= least_words) & (left >= keep_share * F.col("n_words")))
+
+
+def line_quality(docs: DataFrame, **limits) -> DataFrame:
+    """Judge each document, after the lines that too many documents of its host share are removed.
+
+    A host is a ``source`` (null is one host).  Lines are compared lower-cased, with white space collapsed.
+    A line is removed if more than ``min_docs`` documents of the host hold it, and more than ``host_share`` of them or more than ``most_docs``;
+    a document is an id with its text, so repeated rows count once and copies under other ids one by one.  A document is rejected if
+    it has fewer than 50 words, if more than half of its words lie in repeated 3-word
+    windows, or if fewer than ``least_words`` or ``keep_share`` of its words are left.  Returns one row for each row
+    of ``docs``, none for an empty table; null and empty text has no words, so it is rejected; very long texts are judged whole; other columns are ignored.
+    """
+    f = judged(docs, **limits)
+    longs = [F.col(c).cast("long").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines")]
+    return f.select("doc_id", *longs, "n_repeat_words", "base_failed", "kept", "n_common_words")
+
+
+def cleaned(docs: DataFrame, **limits) -> DataFrame:
+    """The rows of ``docs`` that are kept, their texts without the lines that too many documents of the host share."""
+    gone = judged(docs, **limits).select(F.col("doc_id").alias("_id"), F.col("source").alias("_s"), F.col("tag").alias("_t"), "kept", "common").dropDuplicates(["_id", "_s", "_t"]).where("kept")
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id"), F.col("source").alias("host"), F.xxhash64("text").alias("key"))
+    joined = keyed.join(gone, F.col("id").eqNullSafe(F.col("_id")) & F.col("host").eqNullSafe(F.col("_s")) & (F.col("key") == F.col("_t")))
+    line = lambda x: F.xxhash64(F.btrim(F.regexp_replace(F.lower(x), SPACE_CLASS, " "), F.lit(SPACES)))
+    rest = F.array_join(F.filter(F.split(F.col("row.text"), "\n"), lambda x: ~F.array_contains("common", line(x))), "\n")
+    out = joined.select("row", F.when(F.col("common").isNull(), F.col("row.text")).otherwise(rest).alias("_text"))
+    return out.select(*[F.col("_text").alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])

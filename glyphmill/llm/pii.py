@@ -1,8 +1,8 @@
 """Personal data: four fixed patterns, and identifiers that their contexts give away.
 
-The mentions of the fixed patterns are seeds.  Words that hold digits or ``@`` are
-candidate instances; the words beside them, with the candidate's shape, are lexical patterns.  Scores
-pass between patterns and instances a few times, and mentions of instances that
+The mentions of the fixed patterns are seeds, and so are long mixed strings, which only keys and tokens are.  Words
+that hold digits or ``@``, and groups of digits side by side, are candidate instances; the words around them, with the candidate's
+shape, are lexical patterns.  Scores pass between patterns and instances a few times, and mentions of instances that
 confident patterns agree on are added.  All of it is DataFrame functions.
 """
 
@@ -22,10 +22,11 @@ PATTERNS = {
     "card": r"[0-9](?:[ -]?[0-9])++",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
-#: Digits that an instance without @ must have: shorter numbers name nobody.
-MIN_DIGITS = 5
-#: A word with a digit or @ in it.
-CANDIDATE = r"(?<![^ \t-\r])[^ \t-\r0-9@]*+[0-9@][^ \t-\r]*+"
+#: Digit groups side by side, or a word with a digit or @ in it.
+CANDIDATE = r"(?<![^ \t-\r])(?:[+(]?[0-9][0-9().-]*+(?: [0-9().-]*+(?![^ \t-\r]))++|[^ \t-\r0-9@]*+[0-9@][^ \t-\r]*+)"
+#: A seed by its form: a key, a token, a digest.
+SECRET = "^[A-Za-z0-9+/_=-]{20,}$"
+CHUNK = 128
 
 
 def digits(x: Column) -> Column:
@@ -57,17 +58,27 @@ VALID = {
 NEEDS = {"email": "@", "ip": ".", "card": "", "phone": "+"}
 
 
+def sums_before(lens: Column) -> Column:
+    """Sum of all values before each one.  In chunks, as an aggregate that makes a list copies it for each element."""
+    run = lambda x: F.aggregate(x, F.array(F.lit(0)), lambda a, n: F.concat(a, F.array(F.element_at(a, -1) + n)))
+    chunks = F.when(F.size(lens) > 0, F.transform(F.sequence(F.lit(0), F.floor((F.size(lens) - 1) / CHUNK).cast("int")), lambda c: run(F.slice(lens, c * CHUNK + 1, F.lit(CHUNK)))))
+    # of each chunk the sum is the last of its running sums
+    starts = F.transform(F.array(chunks), lambda x: F.struct(x.alias("x"), run(F.transform(x, lambda c: F.element_at(c, -1))).alias("s")))
+    made = F.transform(starts, lambda z: F.flatten(F.transform(z["x"], lambda c, i: F.transform(F.slice(c, F.lit(1), F.size(c) - 1), lambda v: v + F.get(z["s"], i)))))
+    return F.coalesce(F.get(made, F.lit(0)), F.array().cast("array<int>"))
+
+
+MATCH = "array<struct<m:string,start:int,before:string,after:string>>"
+
+
 def located(text: Column, pattern: str) -> Column:
-    """All matches with their start: array of (text, start, piece before)."""
+    """All matches with their start: array of (match, start, piece before, piece after)."""
     found = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
     between = F.split(text, pattern, -1)
-    empty = F.array().cast("array<struct<m:string,start:int,before:string>>")
-    step = lambda a, x: F.struct(
-        (a["at"] + F.length(x["before"]) + F.length(x["m"])).alias("at"),
-        F.concat(a["out"], F.array(F.struct(x["m"].alias("m"), (a["at"] + F.length(x["before"])).alias("start"), x["before"].alias("before")))).alias("out"),
-    )
-    pairs = F.zip_with(found, F.slice(between, F.lit(1), F.size(found)), lambda m, b: F.struct(m.alias("m"), b.alias("before")))
-    return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda a: a["out"])
+    pairs = F.transform(found, lambda m, i: F.struct(m.alias("m"), F.get(between, i).alias("before"), F.get(between, i + 1).alias("after")))
+    begin = F.transform(F.array(pairs), lambda p: F.struct(p.alias("p"), sums_before(F.transform(p, lambda x: F.length(x["before"]) + F.length(x["m"]))).alias("s")))
+    made = F.transform(begin, lambda z: F.transform(z["p"], lambda x, i: F.struct(x["m"].alias("m"), (F.get(z["s"], i) + F.length(x["before"])).alias("start"), x["before"].alias("before"), x["after"].alias("after"))))
+    return F.get(made, F.lit(0))
 
 
 def spans(text: Column, kind: str) -> Column:
@@ -79,35 +90,54 @@ def spans(text: Column, kind: str) -> Column:
 
 
 def plain(word: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(F.lower(word), r"^\p{Punct}+|\p{Punct}+$", ""), "[0-9]+", "0")
+    """A context word: lower-cased, numbers alike, without the punctuation around it unless it is nothing else."""
+    low = F.regexp_replace(F.lower(word), "[0-9]+", "0")
+    return F.coalesce(F.nullif(F.regexp_replace(low, r"^\p{Punct}+|\p{Punct}+$", ""), F.lit("")), low)
+
+
+def shape(m: Column) -> Column:
+    """What an instance looks like: numbers 0, words a, strings of both x."""
+    mixed = F.regexp_replace(m, r"[0-9]+\p{L}[\p{L}0-9]*|\p{L}+[0-9][\p{L}0-9]*", "\u0001")
+    return F.translate(F.regexp_replace(F.regexp_replace(mixed, "[0-9]+", "0"), r"\p{L}+", "a"), "\u0001", "x")
+
+
+def is_secret(instance: Column) -> Column:
+    return instance.rlike(SECRET) & (F.length(digits(instance)) >= 4) & (F.length(F.regexp_replace(instance, "[^A-Za-z]", "")) >= 4)
 
 
 def extract(docs: DataFrame, rounds: int = 3, confident: float = 0.8, passing: float = 0.6, support: int = 3) -> DataFrame:
     """Spans of personal data of each row: email, ip, card, phone, and found (arrays of start, end in code points).
 
-    A pattern's confidence is the mean score of its instances, with one more of score 0;
+    A pattern is the word before an instance, the two words before it, or the word after it, with the instance's shape.  A
+    pattern's confidence is the mean score of its instances, with one more of score 0;
     patterns below ``passing`` or with fewer than ``support`` instances pass nothing on.  An
     instance's score is 1 for seeds, else the chance that at least one of its patterns
     is right.  Mentions of instances of at least ``confident`` are found spans unless they
     overlap a fixed one.  Null text is empty; rows that repeat both id and text give equal
-    rows; other columns are ignored.
+    rows; no rows for an empty table; a very long text is one row as any other; instances that tie are all found; other columns are ignored.
     """
     text = F.coalesce("text", F.lit(""))
-    empty = F.array().cast("array<struct<m:string,start:int,before:string>>")
     base = docs.select("doc_id", F.xxhash64("text").alias("tag"), text.alias("text"))
-    base = base.select("doc_id", "tag", *[spans(F.col("text"), k).alias(k) for k in PATTERNS], F.when(F.col("text").rlike("[0-9@]"), located(F.col("text"), CANDIDATE)).otherwise(empty).alias("cand"))
-    shape = lambda m: F.regexp_replace(F.regexp_replace(m, "[0-9]+", "0"), r"\p{L}+", "a")
+    base = base.select("doc_id", "tag", *[spans(F.col("text"), k).alias(k) for k in PATTERNS], F.when(F.col("text").rlike("[0-9@]"), located(F.col("text"), CANDIDATE)).otherwise(F.array().cast(MATCH)).alias("cand"))
     last = lambda x: F.regexp_extract(x, r"([^ \t-\r]++)[ \t-\r]*$", 1)
-    # the word on the left; of a candidate just after another, that one
+    last_two = lambda x: F.regexp_extract(x, r"([^ \t-\r]++)[ \t-\r]++[^ \t-\r]++[ \t-\r]*$", 1)
+    first = lambda x: F.regexp_extract(x, r"^[ \t-\r]*([^ \t-\r]++)", 1)
+    # words beside it; of a candidate just after or before another, that one
     left = lambda x, i: F.when(F.length(last(x["before"])) > 0, last(x["before"])).otherwise(F.coalesce(F.when(i > 0, F.get("cand", i - 1)["m"]), F.lit("")))
-    mention = lambda x, i: F.struct(x["start"].alias("start"), (x["start"] + F.length(x["m"])).alias("end"), plain_token(x["m"]).alias("instance"), F.concat(plain(left(x, i)), F.lit("|"), shape(plain_token(x["m"]))).alias("pattern"))
-    named = lambda x: (F.length(digits(x["instance"])) >= MIN_DIGITS) | F.contains(x["instance"], F.lit("@"))
-    base = save(base.select("doc_id", "tag", *PATTERNS, F.filter(F.transform("cand", mention), named).alias("cand")))
+    right = lambda x, i: F.when(F.length(first(x["after"])) > 0, first(x["after"])).otherwise(F.coalesce(F.get("cand", i + 1)["m"], F.lit("")))
+
+    def mention(x: Column, i: Column) -> Column:
+        instance = plain_token(x["m"])
+        start = x["start"] + F.length(x["m"]) - F.length(F.regexp_replace(x["m"], r"^[\p{Punct}&&[^+]]+", ""))
+        contexts = F.array(F.concat(F.lit("l:"), plain(left(x, i))), F.concat(F.lit("d:"), plain(last_two(x["before"])), F.lit(" "), plain(left(x, i))), F.concat(F.lit("r:"), plain(right(x, i))))
+        return F.struct(start.alias("start"), (start + F.length(instance)).alias("end"), instance.alias("instance"), F.transform(contexts, lambda c: F.concat(c, F.lit("|"), shape(instance))).alias("patterns"))
+
+    base = save(base.select("doc_id", "tag", *PATTERNS, F.filter(F.transform("cand", mention), lambda x: x["instance"] != "").alias("cand")))
     fixed = F.concat(*PATTERNS)
     hits = lambda x: F.exists(F.col("fixed"), lambda s: (s["start"] < x["end"]) & (x["start"] < s["end"]))
-    mentions = base.where(F.size("cand") > 0).select("doc_id", "tag", fixed.alias("fixed"), "cand").select("doc_id", "tag", F.explode(F.transform("cand", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["instance"].alias("instance"), x["pattern"].alias("pattern"), hits(x).alias("seed")))).alias("x")).select("doc_id", "tag", "x.*")
-    mentions = save(mentions)
-    edges = save(mentions.groupBy("pattern", "instance").agg(F.max(F.col("seed").cast("double")).alias("seed")))
+    mentions = base.where(F.size("cand") > 0).select("doc_id", "tag", fixed.alias("fixed"), "cand").select("doc_id", "tag", F.explode(F.transform("cand", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["instance"].alias("instance"), x["patterns"].alias("patterns"), hits(x).alias("fixed")))).alias("x")).select("doc_id", "tag", "x.*")
+    mentions = save(mentions.withColumn("seed", F.col("fixed") | is_secret(F.col("instance"))))
+    edges = save(mentions.select(F.explode("patterns").alias("pattern"), "instance", "seed").groupBy("pattern", "instance").agg(F.max(F.col("seed").cast("double")).alias("seed")))
     seeds = edges.groupBy("instance").agg(F.max("seed").alias("seed"))
     scores = seeds.withColumnRenamed("seed", "score")
     for _ in range(rounds):
@@ -116,7 +146,7 @@ def extract(docs: DataFrame, rounds: int = 3, confident: float = 0.8, passing: f
         reached = edges.join(pattern, "pattern").groupBy("instance").agg((1 - F.exp(F.sum(F.log(1 - F.least("confidence", F.lit(1 - 1e-9)))))).alias("reached"))
         scores = save(seeds.join(reached, "instance", "left").select("instance", F.greatest("seed", F.coalesce("reached", F.lit(0.0))).alias("score")))
     good = scores.where(F.round("score", 9) >= confident).select("instance")
-    more = mentions.where(~F.col("seed")).join(good, "instance").groupBy(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag")).agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("found"))
+    more = mentions.where(~F.col("fixed")).join(good, "instance").groupBy(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag")).agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("found"))
     out = base.drop("cand").join(more, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("tag") == F.col("_tag")), "left")
     return out.select("doc_id", *PATTERNS, F.coalesce("found", F.array().cast("array<struct<start:int,end:int>>")).alias("found"))
 

@@ -16,7 +16,7 @@ from glyphmill.llm.containment import decontaminate, with_leaks
 from glyphmill.llm.debruijn import debruijn_dedup
 from glyphmill.llm.graph import components
 from glyphmill.llm.jaccard import jaccard_components, keep_one
-from glyphmill.llm.linefreq import line_quality
+from glyphmill.llm.linefreq import cleaned, line_quality
 from glyphmill.llm.mixing import flight, landing, mix_sources, take, with_targets
 from glyphmill.llm.quality import classify
 
@@ -188,6 +188,24 @@ def test_pii_discovers_by_context(spark):
     assert found[100] == [(8, 24)] and not found[101] and not found[0]
 
 
+def test_pii_discovers_secrets(spark):
+    r = random.Random(17)
+    code = lambda n: "".join(r.choice("0123456789abcdef") for _ in range(n))
+    long_, short = [code(40) for _ in range(12)], [f"9{code(10)}7a" for _ in range(6)]
+    prose = lambda n: " ".join(r.choice(["river", "stone", "in", "the", "over"]) for _ in range(n))
+    rows = [(i, f'{prose(5)} token = "{c}" {prose(4)}') for i, c in enumerate(long_ + short)] + [(100 + i, f"{prose(4)} room {i} in 19{i}0 {prose(3)}") for i in range(40)] + [(200, "1 2 " * 20_000), (201, None), (202, "")]
+    found = {x.doc_id: [dict(rows)[x.doc_id][s.start : s.end] for s in x.found] for x in pii.extract(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [found[i] for i in range(18)] == [[c] for c in long_ + short]  # short ones are no seeds: their context gives them away
+    assert not any(found[i] for i in found if i >= 100)
+
+
+def test_sums_before(spark):
+    for n in (0, 1, 127, 128, 129, 1000):
+        values = [i % 7 for i in range(n)]
+        df = spark.createDataFrame([(values,)], "v array<int>")
+        assert df.select(pii.sums_before(F.col("v")).alias("x")).first().x == [sum(values[:i]) for i in range(n)]
+
+
 def test_line_rules(docs, rows):
     answer = {}
     for u in units(rows):
@@ -210,9 +228,30 @@ def test_common_lines_deplete(spark):
     prose = lambda n: " ".join(f"v{r.randrange(10**6)}" for _ in range(n))
     menu = [prose(30) for _ in range(3)]
     rows = [(i, "\n".join([*menu, prose(10)]), "h") for i in range(30)] + [(100 + i, prose(80), "h") for i in range(30)] + [(200 + i, "\n".join([*menu, "same"]), "other") for i in range(30)]
-    kept = {x.doc_id: x.kept for x in line_quality(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
-    assert not any(kept[i] for i in range(30)) and all(kept[100 + i] for i in range(30))
-    assert all(kept[200 + i] for i in range(30))  # copies of one text are one document
+    rows += [(300 + i, "\n".join([menu[0].upper() + " ", prose(60), prose(7)]), "h") for i in range(5)] + [(i, "\n".join([*menu, prose(60)]), None) for i in range(400, 415)]
+    rows += [rows[0], rows[95]]
+    rows = [(*x, 7, "k") for x in rows]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, kept int, common string")
+    normal = lambda x: " ".join(x.lower().split())
+    hosts, held = defaultdict(set), defaultdict(set)
+    for i, t, h, *_ in rows:
+        hosts[h].add((i, t))
+        for x in set(map(normal, t.split("\n"))) - {""}:
+            held[h, x].add((i, t))
+    common = {k for k, v in held.items() if len(v) > 20 and len(v) > 0.02 * len(hosts[k[0]])}
+    rest = {(i, t): [x for x in t.split("\n") if (h, normal(x)) not in common] for i, t, h, *_ in rows}
+    want = {}
+    for (i, t), lines in rest.items():
+        n, left = len(t.split()), len(" ".join(lines).split())
+        c = Counter(zip(t.split(), t.split()[1:], t.split()[2:], strict=False))
+        assert max(c.values()) == 1
+        want[i, t] = n >= 50 and left >= 50 and left >= 0.3 * n
+    got = line_quality(docs).collect()
+    assert sorted((x.doc_id, x.kept) for x in got) == sorted((r[0], want[r[0], r[1]]) for r in rows)
+    assert sum(not x.kept for x in got) == 61 and len(common) == 7
+    clean = cleaned(docs)
+    assert clean.columns == docs.columns
+    assert sorted((x.doc_id, x.text, x.kept) for x in clean.collect()) == sorted((r[0], "\n".join(rest[r[0], r[1]]), 7) for r in rows if want[r[0], r[1]])
 
 
 def shingles(t, k=3):
