@@ -158,4 +158,8 @@ def plain_token(m: Column) -> Column:
 
 def listed(kinds: dict[str, str]) -> Column:
     """``kind:start:end`` of all spans of the given columns, by kind and start, comma-joined."""
-    return F.array_join(F.concat(*[F.transform(column, lambda x, k=kind: F.concat_ws(":", F.lit(k), x["start"], x["end"])) for kind, column in kinds.items()]), ",")
+
+    def of(kind: str, column: str) -> Column:
+        return F.transform(column, lambda x: F.concat_ws(":", F.lit(kind), x["start"], x["end"]))
+
+    return F.array_join(F.concat(*[of(kind, column) for kind, column in kinds.items()]), ",")

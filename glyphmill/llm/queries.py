@@ -56,7 +56,7 @@ def op6_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = classify(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
-    return scored.select("doc_id", (fold() == 2).alias("held_out"), "score", "predicted")
+    return scored.select("doc_id", F.coalesce(fold() == 2, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
 def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

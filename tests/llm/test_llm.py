@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from glyphmill.llm import chat, pii, rans, suffix, winnow
+from glyphmill.llm import chat, pii, queries, rans, suffix, winnow
 from glyphmill.llm.containment import decontaminate, with_leaks
 from glyphmill.llm.debruijn import debruijn_dedup
 from glyphmill.llm.graph import components
@@ -188,6 +188,74 @@ def test_pii_discovers_by_context(spark):
     assert found[100] == [(8, 24)] and not found[101] and not found[0]
 
 
+@pytest.fixture(scope="module")
+def stored(spark, rows, tmp_path_factory):
+    """The corpus as tables, as the queries read them."""
+    root = str(tmp_path_factory.mktemp("tables"))
+    docs = [r[:5] for r in rows] + [(500, 'key = "9f86d081884c7d659a2feaa0c55ad015"! a@b.cd 10.1.2.3 4111111111111111 +1 555 123 4567', "en", "s1", 1)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").repartition(3).write.parquet(f"{root}/documents.parquet")
+    said = "</s>[INST] ok [/INST]"
+    turns = [(1, 0, "user", "hi &lt; <|x|>"), (1, 1, "assistant", "a[b]"), (1, 2, "user", None), (1, 3, "assistant", "&amp;"), (2, 0, "system", "s"), (2, 1, "user", "only"), (3, 0, "assistant", None), (3, 1, "assistant", said)]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{root}/conversations.parquet")
+    spark.createDataFrame([(i, i % 2, 0) for i in range(30)], "doc_id long, quality int, toxic int").write.parquet(f"{root}/labels.parquet")
+    return root, docs, turns
+
+
+def test_query_op3(spark, stored):
+    root, _, turns = stored
+    said = "</s>[INST] ok [/INST]"
+    turns = turns + [(-7, 0, "user", said), (-7, 1, "assistant", said)]
+    got = {r.conv_id: r for r in queries.op3_prefix_chat(spark, root).collect()}
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    assert set(got) == {-7, 1, 2, 3}
+    for i, r in got.items():
+        mine = [(role, t or "") for c, _, role, t in turns if c == i]
+        trained = "".join(t for role, t in mine if role == "assistant")
+        assert (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) == (len(mine), sha("".join(f"{a}\n{t}\n" for a, t in mine)), len(trained), sha(trained))
+        assert r.formatted_chars >= sum(len(t) for _, t in mine)
+
+
+def test_query_op5(spark, stored):
+    root, docs, _ = stored
+    got = sorted((repr(r.doc_id), r.n_email, r.n_ip, r.n_card, r.n_phone, r.base_sha256, r.spans) for r in queries.op5_pii(spark, root).collect())
+    want = []
+    for i, t, *_ in docs:
+        spans = [(k, m.start(), m.end()) for k, p in BASE.items() for m in re.finditer(p, t or "") if good(k, m.group())]
+        listed = [f"{k}:{a}:{z}" for k, a, z in spans]
+        n = Counter(k for k, _, _ in spans)
+        more = ["id:7:39"] if i == 500 else []
+        want.append((repr(i), *(n[k] for k in BASE), hashlib.sha256(",".join(listed).encode()).hexdigest(), ",".join(listed + more)))
+    assert got == sorted(want)
+
+
+def test_query_op7(spark, stored):
+    root, docs, _ = stored
+    got = queries.op7_quality(spark, root).collect()
+    assert sorted((repr(r.doc_id), r.held_out) for r in got) == sorted((repr(d[0]), d[0] is not None and zlib.crc32(str(d[0]).encode()) % 4 == 2) for d in docs)
+    assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7) for r in got)
+
+
+def test_query_op10(spark, stored):
+    root, docs, _ = stored
+    got = queries.op10_cube_mix(spark, root).collect()
+    size = lambda t: len(re.findall(SPACE, t or ""))
+    assert sorted((repr(r.doc_id), r["size"]) for r in got) == sorted((repr(d[0]), size(d[1])) for d in docs)
+    total = Counter()
+    for d in docs:
+        total[d[3]] += size(d[1])
+    order = sorted(total, key=lambda s: (s is None, s or ""))
+    low, high = 0.0, 3.0 * sum(total.values())
+    for _ in range(200):
+        mid = (low + high) / 2
+        low, high = (mid, high) if sum(min(mid * (1 + j % 3), 3 * total[s]) for j, s in enumerate(order)) < sum(total.values()) else (low, mid)
+    want = {total[s]: min(high * (1 + j % 3), 3 * total[s]) for j, s in enumerate(order)}
+    taken = Counter()
+    for r in got:
+        assert r.target == pytest.approx(want[r.source_size]) and r.taken % max(r["size"], 1) == 0 and 0 <= r.taken <= 3 * r["size"]
+        taken[r.source_size] += r.taken
+    assert all(abs(taken[k] - t) <= 0.02 * t + 5 for k, t in want.items())
+
+
 def test_pii_discovers_secrets(spark):
     r = random.Random(17)
     code = lambda n: "".join(r.choice("0123456789abcdef") for _ in range(n))
