@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import os
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator
 from itertools import islice
@@ -24,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import save, slices
+from .common import discard, release, save, scratch_root, slices
 
 #: Fixed value: the split pattern of the byte-level tokenizer.
 SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -287,14 +288,17 @@ def total_counts(tokens: DataFrame) -> np.ndarray:
     return sum(parts) if parts else np.zeros(1, np.int64)
 
 
-def write_blocks(docs: DataFrame, path: str, end_id: int = 2, bits: int = 20, block: int = 1 << 20, lanes: int = 4096) -> tuple[DataFrame, Rans, list[tuple[int, int]]]:
-    """Encode every whole text, append ``end_id`` to each, write blocks in ascending doc_id order.
+def write_blocks(docs: DataFrame, path: str, end_id: int = 2, bits: int = 20, block: int = 1 << 20, lanes: int = 4096, to: str | None = None) -> tuple[SparkSession, str]:
+    """Encode every whole text, append ``end_id`` to each, write blocks in ascending doc_id order; returns what ``read_blocks`` takes.
 
-    Returns the table of blocks as read from its files, the coder of the shared frequency
-    table, and for each shard its number and the tokens before it.  Columns of a block: shard,
-    first (its first token in the shard), frame, and for each piece of a document in it seq, doc_id, n.
-    Null text is empty; null doc_ids come first; rows of one doc_id are ordered by a hash of the text.
+    The files below ``to`` (a folder of the shared one if it is not given) need nothing else to be read.  ``blocks``: shard,
+    first (a block's first token in the shard), frame, and for each piece of a document in it seq, doc_id, n.  ``header``, one row: the scale bits, the
+    shared frequency table, the tokenizer's file name, the end id, and the shards with the tokens before each.
+    Null and empty texts have the end id only; a document longer than a block lies in several; null doc_ids come first; rows of one doc_id are ordered
+    by a hash of the text; an empty table makes no block.
     """
+    spark = docs.sparkSession
+    to = to or f"{scratch_root(spark)}/glyphmill-{uuid.uuid4().hex}"
     tokens = save(tokenize(docs, path, end_id))
     counts = total_counts(tokens)
     # twice as many slots as ids at least
@@ -337,13 +341,25 @@ def write_blocks(docs: DataFrame, path: str, end_id: int = 2, bits: int = 20, bl
     # only now are rows dealt out: ids are a fraction of their texts
     key = F.asc_nulls_first("doc_id")
     ordered = tokens.where("counts IS NULL").select("doc_id", "tie", "n", "ids").repartitionByRange(key, "tie").sortWithinPartitions(key, "tie")
-    blocks = save(ordered.mapInArrow(run, "shard long, first long, frame binary, seq array<long>, doc_id array<long>, n array<long>"), drop=[tokens])
+    ordered.mapInArrow(run, "shard long, first long, frame binary, seq array<long>, doc_id array<long>, n array<long>").write.option("compression", "zstd").parquet(f"{to}/blocks")
+    discard(tokens)
+    release(spark)
+    blocks = spark.read.parquet(f"{to}/blocks")
     sums = blocks.groupBy("shard").agg(F.sum(F.aggregate("n", F.lit(0).cast("long"), lambda a, n: a + n)).alias("n")).collect()  # a row for each task
-    bases, total = [], 0
+    shards, before, total = [], [], 0
     for shard, n in sorted(map(tuple, sums)):
-        bases.append((shard, total))
+        shards.append(shard)
+        before.append(total)
         total += n
-    return blocks, rans, bases
+    table = pa.compress(rans.freq.astype("<u4").tobytes(), codec="zstd", asbytes=True)
+    header = [(bits, len(rans.freq), bytearray(table), os.path.basename(path), end_id, shards, before)]
+    spark.createDataFrame(header, "bits int, ids int, frequencies binary, tokenizer string, end_id int, shard array<long>, before array<long>").coalesce(1).write.parquet(f"{to}/header")
+    return spark, to
+
+
+def coder_of(bits: int, ids: int, frequencies: bytes) -> Rans:
+    """The coder of a header."""
+    return Rans(np.frombuffer(pa.decompress(frequencies, 4 * ids, codec="zstd", asbytes=True), "<u4").astype(np.int64), bits)
 
 
 def shifted(crc: int, n_bytes: int) -> int:
@@ -366,8 +382,12 @@ def shifted(crc: int, n_bytes: int) -> int:
     return times(crc, power)
 
 
-def read_blocks(blocks: DataFrame, rans: Rans, bases: list[tuple[int, int]]) -> DataFrame:
-    """Decode all blocks, each alone, and give for each document doc_id, start, n_tokens, ids_crc32."""
+def read_blocks(spark: SparkSession, path: str) -> DataFrame:
+    """Decode all blocks below a path, each alone, and give for each document doc_id, start, n_tokens, ids_crc32."""
+    header = spark.read.parquet(f"{path}/header").first()
+    rans = coder_of(header.bits, header.ids, bytes(header.frequencies))
+    base = dict(zip(header.shard, header.before, strict=True))
+    blocks = spark.read.parquet(f"{path}/blocks")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -378,7 +398,6 @@ def read_blocks(blocks: DataFrame, rans: Rans, bases: list[tuple[int, int]]) ->
                 yield pa.RecordBatch.from_arrays([pa.array([shard] * len(n), pa.int64()), pa.array(seq, pa.int64()), pa.array(doc_id, pa.int64()), pa.array(first + ends - n, pa.int64()), pa.array(n, pa.int64()), pa.array(crcs, pa.int64())], ["shard", "seq", "doc_id", "first", "n", "crc"])
 
     def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base = dict(bases)
         for batch in batches:
             crcs = []
             for parts in batch.column("parts").to_pylist():
