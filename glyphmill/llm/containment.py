@@ -5,6 +5,7 @@ Items of few shingles weigh too little in any window for MinHash and are looked
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, Rolling, joined, mix, slices, word_hashes, words_of
+from .common import LOWER, Rolling, joined, mix, save, slices, word_hashes, words_of
 
 #: Words here are runs of ASCII letters, digits and all bytes beyond ASCII, so punctuation never hides an item.
 SEPARATOR = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
@@ -156,6 +157,7 @@ class Index:
         return found
 
     def leaks(self, column: pa.Array, share: float) -> list[list[dict]]:
+        short = {int(i) for _, items in self.short.values() for i in items}
         out: list[list[dict]] = [[] for _ in range(len(column))]
         pairs = sorted(self.search(column))
         if not pairs:
@@ -166,13 +168,21 @@ class Index:
             if t != last:
                 last, own = t, np.unique(hashes[bounds[t] : bounds[t + 1]])
             want = self.shingles[i]
-            shared = len(want) if i in self._short_items() else int(np.isin(want, own, assume_unique=True).sum())
+            shared = len(want) if i in short else int(np.isin(want, own, assume_unique=True).sum())
             if shared >= share * len(want):
                 out[t].append({"item_id": self.ids[i], "n_shared": shared, "n_shingles": len(want)})
         return out
 
-    def _short_items(self) -> set[int]:
-        return {int(i) for _, items in self.short.values() for i in items}
+
+#: The index of the search that this worker last ran a task of.
+_INDEX: dict[str, Index] = {}
+
+
+def index_of(search: str, ids: list, texts: list, k: int, share: float) -> Index:
+    if search not in _INDEX:
+        _INDEX.clear()
+        _INDEX[search] = Index(ids, texts, k, share)
+    return _INDEX[search]
 
 
 def with_leaks(docs: DataFrame, items: DataFrame, k: int = 5, share: float = 0.8) -> DataFrame:
@@ -183,7 +193,9 @@ def with_leaks(docs: DataFrame, items: DataFrame, k: int = 5, share: float = 0.8
     searched with windows 1.2 to 2.7 times as long as its items, so that a short item weighs enough in a long
     document; a window whose MinHash agrees with an item's anywhere makes a candidate, and candidates are verified by
     exact containment in the whole text.  An item below ``k`` words is one shingle of its own length; items without words and
-    null texts match nothing; repeated items count one by one.  All columns and rows of ``docs`` stay.
+    null or empty texts match nothing; repeated items count one by one, and so do ties and repeated rows.  All columns and rows of ``docs`` stay, but for a column
+    ``leaks`` of its own, which is replaced; no items: no leaks.  A pass holds the items of ``MOST_ITEM_CHARS`` characters, and is written before the next
+    one, so neither the driver nor a worker holds more at once.
     """
     items = items.select("item_id", "text")
     chars = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
@@ -195,15 +207,17 @@ def with_leaks(docs: DataFrame, items: DataFrame, k: int = 5, share: float = 0.8
         part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == n)
         rows = part.orderBy("item_id", "text").collect()  # at most about MOST_ITEM_CHARS
         ids, texts = [r.item_id for r in rows], [r.text for r in rows]
-        out = out.mapInArrow(_searcher(ids, texts, k, share, names, n > 0), schema)
+        found = out.mapInArrow(_searcher(ids, texts, k, share, names, n > 0), schema)
+        out = save(found, drop=[out]) if n < passes - 1 else found
     return out
 
 
 def _searcher(ids: list, texts: list, k: int, share: float, names: list[str], more: bool):
+    search = uuid.uuid4().hex
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("n_shared", pa.int64()), ("n_shingles", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Index(ids, texts, k, share)
+        index = index_of(search, ids, texts, k, share)
         for batch in batches:
             for a, z in slices(batch):
                 part = batch.slice(a, z - a)
@@ -216,5 +230,7 @@ def _searcher(ids: list, texts: list, k: int, share: float, names: list[str], mo
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, k: int = 5, share: float = 0.8) -> DataFrame:
-    """``docs`` without the rows that hold an item."""
-    return with_leaks(docs, items, k, share).where(F.size("leaks") == 0).drop("leaks")
+    """``docs`` without the rows that hold an item; all columns stay, one named ``leaks`` too."""
+    own = "leaks" in docs.columns
+    found = with_leaks(docs.withColumnRenamed("leaks", "own leaks") if own else docs, items, k, share).where(F.size("leaks") == 0).drop("leaks")
+    return found.withColumnRenamed("own leaks", "leaks").select(*docs.columns) if own else found
