@@ -1,8 +1,8 @@
 """A quality classifier: random-indexing vectors pooled per document, and a two-layer numpy network.
 
 Every context has a sparse random index vector that a hash gives.  A word's vector is the sum of the index
-vectors of the words around it in the training sample; byte trigrams, which every word has, take their index vectors
-themselves, so words never seen before weigh in too.  A document is the mean of both.  The network's
+vectors of the words around it in all documents; words share vectors by hash, so that their number is fixed and none is left out.  Byte trigrams,
+which every word has, take their index vectors themselves.  A document is the mean of both.  The network's
 probabilities are calibrated by a temperature on a part of the sample it is not fitted on.
 """
 
@@ -20,7 +20,8 @@ from .common import joined, mix, save, slices, word_hashes, words_of
 
 #: Labelled documents that the classifier is fitted on, at most: those with the least hashes of their ids.
 SAMPLE = 6000
-VOCABULARY = 20_000
+#: Word vectors; words with the same hash modulo this share one.
+VECTORS = 1 << 14
 WORD_DIM, FORM_DIM, NONZERO = 64, 128, 4
 BUCKETS = 4096
 HIDDEN = 32
@@ -37,51 +38,45 @@ def _sparse(rows: int, dim: int, seed: int) -> np.ndarray:
 
 @dataclass
 class Words:
-    """Vectors of the vocabulary; hashes sorted."""
+    """Vectors by the hash of a word."""
 
-    hashes: np.ndarray
     vectors: np.ndarray
 
     def lookup(self, values: np.ndarray) -> np.ndarray:
-        """Row of each word, -1 if it isn't in the vocabulary."""
-        if not len(self.hashes):
-            return np.full(len(values), -1)
-        at = np.minimum(np.searchsorted(self.hashes, values), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == values, at, -1)
+        return (mix(values) % np.uint64(VECTORS)).astype(np.int64)
 
 
-def context_sums(values: np.ndarray, bounds: np.ndarray, words: Words, reach: int = 2) -> np.ndarray:
-    """Sums of the index vectors of all words at most ``reach`` away, for each word of the vocabulary."""
-    out = np.zeros(len(words.hashes) * WORD_DIM)
-    row = words.lookup(values)
+def context_sums(values: np.ndarray, bounds: np.ndarray, total: np.ndarray, reach: int = 2) -> None:
+    """Adds to the vectors the index vectors of all words at most ``reach`` away from each word."""
+    row = (mix(values) % np.uint64(VECTORS)).astype(np.int64) * WORD_DIM
     text = np.searchsorted(bounds, np.arange(len(values)), side="right")
+    index = [mix(values + np.uint64(j + 1)) for j in range(NONZERO)]
+    places = [(h % np.uint64(WORD_DIM)).astype(np.int64) for h in index]
+    signs = [np.where(h >> np.uint64(63), 1, -1) for h in index]
+    keys, weights = [], []
     for step in range(1, reach + 1):
         for near, far in ((slice(None, -step), slice(step, None)), (slice(step, None), slice(None, -step))):
-            ok = (row[near] >= 0) & (text[near] == text[far])
-            own, other = row[near][ok], values[far][ok]
-            for j in range(NONZERO):
-                h = mix(other + np.uint64(j + 1))
-                at = own * WORD_DIM + (h % np.uint64(WORD_DIM)).astype(np.int64)
-                out += np.bincount(at, np.where(h >> np.uint64(63), 1.0, -1.0), len(out))
-    return out.astype(np.int64)
+            ok = text[near] == text[far]
+            for place, sign in zip(places, signs, strict=True):
+                keys.append(row[near][ok] + place[far][ok])
+                weights.append(sign[far][ok])
+    if keys:
+        total += np.bincount(np.concatenate(keys), np.concatenate(weights), len(total)).astype(np.int64)
 
 
 def pooled(column: pa.Array, words: Words) -> np.ndarray:
-    """Vectors of all texts: mean word vector, mean trigram vector, share of words that have a vector, shares of words that repeat near ones, and length."""
+    """Vectors of all texts: mean word vector, mean trigram vector, shares of words that repeat near ones, and length."""
     raw, offsets = joined(column)
     start, end, first = words_of(raw, offsets)
     values = word_hashes(raw, start, end)
     row = words.lookup(values)
     n = len(offsets) - 1
-    known = row >= 0
     text = np.repeat(np.arange(n), np.diff(first))
     count = np.maximum(np.diff(first), 1)[:, None]
     total = np.zeros((n, WORD_DIM))
-    if known.any():
-        vectors, owner = words.vectors[row[known]], text[known]
-        begin = np.flatnonzero(np.diff(owner, prepend=-1))
-        total[owner[begin]] = np.add.reduceat(vectors, begin, axis=0, dtype=np.float64)
-    share = np.bincount(text[known], minlength=n)[:, None] / count
+    if len(row):
+        begin = np.flatnonzero(np.diff(text, prepend=-1))
+        total[text[begin]] = np.add.reduceat(words.vectors[row], begin, axis=0, dtype=np.float64)
     form = np.zeros((n, FORM_DIM))
     if len(raw) > 2:
         gram = raw[:-2].astype(np.uint32) * np.uint32(65536) + raw[1:-1].astype(np.uint32) * np.uint32(256) + raw[2:]
@@ -96,7 +91,7 @@ def pooled(column: pa.Array, words: Words) -> np.ndarray:
             form[a:z] = hist @ _FORM / np.maximum(hist.sum(axis=1), 1)[:, None]
     # how often a word is the one before it, or one of the two before that, again
     again = [np.bincount(text[k:][(values[k:] == values[:-k]) & (text[k:] == text[:-k])], minlength=n) for k in (1, 2, 3)]
-    return np.hstack([total / count, form * 8, share, again[0][:, None] / count, (again[1] + again[2])[:, None] / count, np.log1p(np.diff(first))[:, None] / 4])
+    return np.hstack([total / count, form * 8, again[0][:, None] / count, (again[1] + again[2])[:, None] / count, np.log1p(np.diff(first))[:, None] / 4])
 
 
 _FORM = _sparse(BUCKETS, FORM_DIM, 7).astype(np.float64)
@@ -152,40 +147,52 @@ def fold(column: str = "doc_id") -> Column:
     return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(4))
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[Words, Network]:
-    """Fit word vectors and network on at most ``sample`` labelled documents outside fold 2."""
-    rows = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).where(fold() != 2).groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    rows = rows.select("doc_id", "quality").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    chosen = docs.select("doc_id", "text").join(F.broadcast(rows), "doc_id")  # at most ``sample`` rows
-    chosen = save(chosen.select("doc_id", "quality", "text"))
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a, z in slices(batch):
-                raw, offsets = joined(batch.column("text").slice(a, z - a))
-                start, end, _ = words_of(raw, offsets)
-                values, n = np.unique(word_hashes(raw, start, end), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(n)], ["word", "n"])
+def word_vectors(docs: DataFrame) -> Words:
+    """Random-indexing vectors from the contexts of all words of all documents: sums of the tasks, added up a few at a time."""
+    n = VECTORS * WORD_DIM
 
-    top = chosen.mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 2").orderBy(F.desc("n"), "word").limit(VOCABULARY).collect()
-    words = Words(np.sort(np.array([r.word for r in top], dtype=np.int64).view(np.uint64)), np.zeros((len(top), WORD_DIM), dtype=np.float32))
+    def packed(total: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([pa.compress(total.astype("<i8").tobytes(), codec="zstd", asbytes=True)], pa.binary())], ["sums"])
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(words.hashes) * WORD_DIM, dtype=np.int64)
+        total = np.zeros(n, dtype=np.int64)
         for batch in batches:
-            for a, z in slices(batch, limit=8 << 20):
+            for a, z in slices(batch, limit=4 << 20):
                 raw, offsets = joined(batch.column("text").slice(a, z - a))
                 start, end, first = words_of(raw, offsets)
-                total += context_sums(word_hashes(raw, start, end), first[1:], words)
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["sums"])
+                context_sums(word_hashes(raw, start, end), first[1:], total)
+        if total.any():
+            yield packed(total)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(n, dtype=np.int64)
+        for batch in batches:
+            for x in batch.column("sums"):
+                total += np.frombuffer(pa.decompress(x.as_buffer(), 8 * n, codec="zstd"), "<i8")
+        if total.any():
+            yield packed(total)
+
+    sums = docs.select("text").mapInArrow(contexts, "sums binary").repartition(8).mapInArrow(add, "sums binary").coalesce(1).mapInArrow(add, "sums binary")
+    total = np.zeros(n)
+    for r in sums.collect():  # one row
+        total += np.frombuffer(pa.decompress(bytes(r.sums), 8 * n, codec="zstd"), "<i8")
+    vectors = total.reshape(-1, WORD_DIM)
+    return Words((vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1)).astype(np.float32))
+
+
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[Words, Network]:
+    """Word vectors of all documents, and the network fitted on at most ``sample`` labelled ones outside fold 2."""
+    rows = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).where(fold() != 2).groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    rows = rows.join(docs.select("doc_id"), "doc_id", "left_semi")  # labels without document take up no place
+    rows = rows.select("doc_id", "quality").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    chosen = docs.select("doc_id", "text").join(F.broadcast(rows), "doc_id")  # at most ``sample`` rows
+    chosen = save(chosen.select("doc_id", "quality", "text"))
 
-    total = sum(np.frombuffer(r.sums, np.int64) for r in chosen.coalesce(4).mapInArrow(contexts, "sums binary").collect())
-    vectors = np.asarray(total, dtype=np.float64).reshape(-1, WORD_DIM) if len(top) else np.zeros((0, WORD_DIM))
-    words.vectors = (vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1)).astype(np.float32)
+    words = word_vectors(docs)
     # at most ``sample`` vectors
     got = sorted(vectorised(chosen, words, "doc_id", "quality").collect(), key=lambda r: (r.doc_id, r.vector))
     if not len(got):
-        dim = WORD_DIM + FORM_DIM + 4
+        dim = WORD_DIM + FORM_DIM + 3
         return words, Network(np.zeros(dim), np.ones(dim), np.zeros((dim, HIDDEN)), np.zeros(HIDDEN), np.zeros(HIDDEN), 3.0)
     x = np.array([np.frombuffer(r.vector, np.float64) for r in got])
     y = np.array([r.quality for r in got])
@@ -227,7 +234,8 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, sample:
 
     Labels are learnt only from ids whose crc32 as text modulo 4 is not 2; of labels given twice the larger
     counts; labels without document and documents without label are fine; without any label the score
-    is the same above the threshold for all.  Rows and other columns of ``docs`` stay.
+    is the same above the threshold for all.  Rows and other columns of ``docs`` stay, but for columns ``score`` and ``predicted`` of its own, which are replaced;
+    null and empty texts are texts without words, and very long ones count whole; repeated rows and equal texts have equal scores; no documents: no rows.
     """
     words, network = train(docs, labels, sample)
     return score(docs, words, network).withColumn("predicted", (F.col("score") >= threshold).cast("int"))

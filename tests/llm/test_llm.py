@@ -2,8 +2,11 @@
 
 import hashlib
 import itertools
+import os
 import random
 import re
+import subprocess
+import sys
 import zlib
 from collections import Counter, defaultdict
 
@@ -142,6 +145,26 @@ def test_tokens(spark, docs, rows):
     assert {k: sorted(v) for k, v in want.items()} == {k: sorted((g[2], g[3]) for g in got if g[1] == k) for k in want}
 
 
+def test_files_decode_in_another_process(spark, docs, rows, tmp_path):
+    tokenizers = pytest.importorskip("tokenizers")
+    path = rans.tokenizer_path(spark)
+    rans.write_blocks(docs, path, block=1 << 10, lanes=16, to=str(tmp_path / "t"))
+    code = """
+import sys, zlib, numpy as np, pyarrow.parquet as pq
+from glyphmill.llm import rans
+h = pq.read_table(sys.argv[1] + "/header").to_pylist()[0]
+coder = rans.coder_of(h["bits"], h["ids"], h["frequencies"])
+blocks = sorted(pq.read_table(sys.argv[1] + "/blocks").to_pylist(), key=lambda b: (b["shard"], b["first"]))
+print(zlib.crc32(np.concatenate([coder.decode(b["frame"]) for b in blocks]).astype("<u4").tobytes()), h["tokenizer"])
+"""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    said = subprocess.run([sys.executable, "-c", code, str(tmp_path / "t")], capture_output=True, text=True, check=True, cwd=root).stdout.split()
+    tokenizer = tokenizers.Tokenizer.from_file(path)
+    order = [(r.doc_id, r.text) for r in docs.select("doc_id", "text", F.xxhash64("text").alias("tie")).orderBy(F.asc_nulls_first("doc_id"), "tie").collect()]
+    ids = [i for _, t in order for i in [*tokenizer.encode(t or "", add_special_tokens=False).ids, 2]]
+    assert said == [str(zlib.crc32(np.array(ids, "<u4").tobytes())), os.path.basename(path)]
+
+
 def test_chat(spark):
     said = "</s>[INST] ok [/INST]"
     rows = [(-7, 0, "user", said), (-7, 1, "assistant", said), (1, 0, "us|>\ner", "&lt;<|a|>\n&amp;\n"), (2, 0, None, None), (2, 1, "assistant", ""), (3, 1, "assistant", "b"), (3, 0, "assistant", "a"), (3, 1, "assistant", "b"), (3, 2, "user", "q"), (None, None, "assistant", "n")]
@@ -396,7 +419,7 @@ def test_containment(spark, docs, rows):
                 want.append(repr((r[0], i, n, len(own))))
     assert got == sorted(want) and len(want) > 50
     clean = decontaminate(docs, bench)
-    assert clean.columns == [c for c in docs.columns if c != "leaks"] and 0 < clean.count() < len(rows)
+    assert clean.columns == docs.columns and 0 < clean.count() < len(rows) and {r.leaks for r in clean.collect()} == {"l"}
     assert decontaminate(docs, bench.limit(0)).count() == len(rows)
 
 
