@@ -22,8 +22,12 @@ from .common import joined, mix, save, slices, word_hashes, words_of
 SAMPLE = 6000
 #: Word vectors; words with the same hash modulo this share one.
 VECTORS = 1 << 14
+#: Parts of the vectors that are added up apart.
+PIECES = 256
 WORD_DIM, FORM_DIM, NONZERO = 64, 128, 4
 BUCKETS = 4096
+#: Bytes of texts whose features are computed at once: a word takes up some hundred times its bytes.
+AT_ONCE = 1 << 18
 HIDDEN = 32
 
 
@@ -48,19 +52,18 @@ class Words:
 
 def context_sums(values: np.ndarray, bounds: np.ndarray, total: np.ndarray, reach: int = 2) -> None:
     """Adds to the vectors the index vectors of all words at most ``reach`` away from each word."""
-    row = (mix(values) % np.uint64(VECTORS)).astype(np.int64) * WORD_DIM
-    text = np.searchsorted(bounds, np.arange(len(values)), side="right")
-    index = [mix(values + np.uint64(j + 1)) for j in range(NONZERO)]
-    places = [(h % np.uint64(WORD_DIM)).astype(np.int64) for h in index]
-    signs = [np.where(h >> np.uint64(63), 1, -1) for h in index]
-    keys, weights = [], []
-    for step in range(1, reach + 1):
-        for near, far in ((slice(None, -step), slice(step, None)), (slice(step, None), slice(None, -step))):
-            ok = text[near] == text[far]
-            for place, sign in zip(places, signs, strict=True):
+    row = (mix(values) % np.uint64(VECTORS)).astype(np.int32) * WORD_DIM
+    text = np.searchsorted(bounds, np.arange(len(values)), side="right").astype(np.int32)
+    for j in range(NONZERO):
+        h = mix(values + np.uint64(j + 1))
+        place = (h % np.uint64(WORD_DIM)).astype(np.int32)
+        sign = np.where(h >> np.uint64(63), 1.0, -1.0)
+        keys, weights = [], []
+        for step in range(1, reach + 1):
+            for near, far in ((slice(None, -step), slice(step, None)), (slice(step, None), slice(None, -step))):
+                ok = text[near] == text[far]
                 keys.append(row[near][ok] + place[far][ok])
                 weights.append(sign[far][ok])
-    if keys:
         total += np.bincount(np.concatenate(keys), np.concatenate(weights), len(total)).astype(np.int64)
 
 
@@ -83,18 +86,18 @@ def pooled(column: pa.Array, words: Words) -> np.ndarray:
         bucket = ((gram * np.uint32(2654435761)) >> np.uint32(20)).astype(np.int64)
         owner = np.searchsorted(offsets, np.arange(len(gram)), side="right") - 1
         inside = np.arange(len(gram)) + 2 < offsets[1:][owner]
-        for a in range(0, n, 256):
-            z = min(a + 256, n)
+        for a in range(0, n, 128):
+            z = min(a + 128, n)
             low, high = np.searchsorted(owner, [a, z])
             here = inside[low:high]
-            hist = np.bincount((owner[low:high][here] - a) * BUCKETS + bucket[low:high][here], minlength=(z - a) * BUCKETS).reshape(z - a, BUCKETS)
+            hist = np.bincount((owner[low:high][here] - a) * BUCKETS + bucket[low:high][here], minlength=(z - a) * BUCKETS).reshape(z - a, BUCKETS).astype(np.float32)
             form[a:z] = hist @ _FORM / np.maximum(hist.sum(axis=1), 1)[:, None]
     # how often a word is the one before it, or one of the two before that, again
     again = [np.bincount(text[k:][(values[k:] == values[:-k]) & (text[k:] == text[:-k])], minlength=n) for k in (1, 2, 3)]
     return np.hstack([total / count, form * 8, again[0][:, None] / count, (again[1] + again[2])[:, None] / count, np.log1p(np.diff(first))[:, None] / 4])
 
 
-_FORM = _sparse(BUCKETS, FORM_DIM, 7).astype(np.float64)
+_FORM = _sparse(BUCKETS, FORM_DIM, 7)
 
 
 @dataclass
@@ -148,34 +151,38 @@ def fold(column: str = "doc_id") -> Column:
 
 
 def word_vectors(docs: DataFrame) -> Words:
-    """Random-indexing vectors from the contexts of all words of all documents: sums of the tasks, added up a few at a time."""
+    """Random-indexing vectors from the contexts of all words of all documents: the tasks' sums are added up piece by piece."""
     n = VECTORS * WORD_DIM
+    size = n // PIECES
 
-    def packed(total: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([pa.compress(total.astype("<i8").tobytes(), codec="zstd", asbytes=True)], pa.binary())], ["sums"])
+    def packed(piece: int, total: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([piece], pa.int32()), pa.array([pa.compress(total.astype("<i8").tobytes(), codec="zstd", asbytes=True)], pa.binary())], ["piece", "sums"])
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(n, dtype=np.int64)
         for batch in batches:
-            for a, z in slices(batch, limit=4 << 20):
+            for a, z in slices(batch):
                 raw, offsets = joined(batch.column("text").slice(a, z - a))
                 start, end, first = words_of(raw, offsets)
                 context_sums(word_hashes(raw, start, end), first[1:], total)
-        if total.any():
-            yield packed(total)
+        for piece in range(PIECES):
+            if (part := total[piece * size : (piece + 1) * size]).any():
+                yield packed(piece, part)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(n, dtype=np.int64)
+        held: dict[int, np.ndarray] = {}
         for batch in batches:
-            for x in batch.column("sums"):
-                total += np.frombuffer(pa.decompress(x.as_buffer(), 8 * n, codec="zstd"), "<i8")
-        if total.any():
-            yield packed(total)
-
-    sums = docs.select("text").mapInArrow(contexts, "sums binary").repartition(8).mapInArrow(add, "sums binary").coalesce(1).mapInArrow(add, "sums binary")
+            for piece, x in zip(batch.column("piece").to_pylist(), batch.column("sums"), strict=True):
+                part = np.frombuffer(pa.decompress(x.as_buffer(), 8 * size, codec="zstd"), "<i8")
+                held[piece] = held[piece] + part if piece in held else part
+        for piece, part in held.items():
+            yield packed(piece, part)
+
+    schema = "piece int, sums binary"
+    sums = docs.select("text").mapInArrow(contexts, schema).repartition("piece").mapInArrow(add, schema)
     total = np.zeros(n)
-    for r in sums.collect():  # one row
-        total += np.frombuffer(pa.decompress(bytes(r.sums), 8 * n, codec="zstd"), "<i8")
+    for r in sums.collect():  # one row for each piece
+        total[r.piece * size : (r.piece + 1) * size] = np.frombuffer(pa.decompress(bytes(r.sums), 8 * size, codec="zstd"), "<i8")
     vectors = total.reshape(-1, WORD_DIM)
     return Words((vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1)).astype(np.float32))
 
@@ -203,7 +210,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[Wor
 def vectorised(docs: DataFrame, words: Words, *keep: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, z in slices(batch):
+            for a, z in slices(batch, limit=AT_ONCE):
                 part = batch.slice(a, z - a)
                 data = [v.tobytes() for v in pooled(part.column("text"), words)]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(data, pa.binary())], [*keep, "vector"])
@@ -222,7 +229,7 @@ def score(docs: DataFrame, words: Words, network: Network) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, z in slices(batch):
+            for a, z in slices(batch, limit=AT_ONCE):
                 part = batch.slice(a, z - a)
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(network.scores(pooled(part.column("text"), words)))], [*names, "score"])
 
