@@ -224,6 +224,21 @@ def plausible(n: np.ndarray, found: list[bytes], part: np.ndarray, left: int, pe
     return np.concatenate([o[0] for o in out]), np.concatenate([o[1] for o in out])
 
 
+def forest(m: int, left: list[int], right: list[int]) -> list[tuple[int, int]]:
+    """The components of pairs among m things, each as pairs of its first one and another."""
+    parent = list(range(m))
+
+    def find(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = i = parent[parent[i]]
+        return i
+
+    for i, j in zip(left, right, strict=True):
+        if (a := find(i)) != (b := find(j)):
+            parent[max(a, b)] = min(a, b)
+    return [(find(i), i) for i in range(m) if find(i) != i]
+
+
 def linked(sets: list[np.ndarray], left: int, percent: int) -> list[tuple[int, int]]:
     """Components of the links among sets, each as pairs of its first set and another.  With ``left``, only pairs of one before it and one from it on link."""
     m = len(sets)
@@ -248,17 +263,8 @@ def linked(sets: list[np.ndarray], left: int, percent: int) -> list[tuple[int, i
     hit = np.triu(hit, 1)
     if left:
         hit[:left, :left] = hit[left:, left:] = False
-    parent = list(range(m))
-
-    def find(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = i = parent[parent[i]]
-        return i
-
-    for i, j in zip(*map(np.ndarray.tolist, np.nonzero(hit)), strict=True):
-        if (a := find(i)) != (b := find(j)):
-            parent[max(a, b)] = min(a, b)
-    return [(find(i), i) for i in range(m) if find(i) != i]
+    x, y = np.nonzero(hit)
+    return forest(m, x.tolist(), y.tolist())
 
 
 def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
@@ -357,7 +363,8 @@ def proposed(entries: DataFrame, merged: DataFrame, rows: DataFrame, percent: in
     def pairs(group: dict[str, list], left: int) -> list[tuple[int, int]]:
         x, y = plausible(np.array(group["n"], dtype=np.int64), group["sketch"], np.array(group["part"]), left, percent)
         b = group["b"]
-        return [(b[i], b[j]) for i, j in zip(x.tolist(), y.tolist(), strict=True)]
+        # pairs only join families, so those that connect the same sets will do
+        return [(b[i], b[j]) for i, j in forest(len(b), x.tolist(), y.tolist())]
 
     return dealt.mapInArrow(by_blocks(["sig", "i", "j"], "b", pairs, [("a", pa.int64()), ("b", pa.int64())]), "a long, b long").distinct()
 
