@@ -6,6 +6,7 @@ import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +17,9 @@ from pyspark.sql import functions as F
 SPACE_CLASS = r"[ \t-\r]+"
 #: Bytes that a worker turns into numpy arrays at once; a longer document makes a slice of its own.
 SLICE_BYTES = 1 << 20
+#: Bytes of rows that a task holds to send them to its Python worker; ten thousand long texts can be many times that.
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,7 +43,8 @@ def save(df: DataFrame, *, drop: list[DataFrame] | None = None, free: bool = Tru
     """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/glyphmill-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    with small_batches(spark):
+        df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path
     for old in drop or []:
@@ -49,6 +54,21 @@ def save(df: DataFrame, *, drop: list[DataFrame] | None = None, free: bool = Tru
     return out
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Within it batches for Python workers hold ``BATCH_BYTES`` at most (one longer row is a batch of its own), or what the session has set if that is less."""
+    before = spark.conf.get(BATCH)
+    own = int(before.lower().removesuffix("b")) if before.lower().removesuffix("b").isdigit() else None
+    if own is not None and 0 < own <= BATCH_BYTES:
+        yield
+        return
+    spark.conf.set(BATCH, f"{BATCH_BYTES}b")
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH, before)
+
+
 def discard(df: DataFrame) -> None:
     path = getattr(df, "_scratch_path", None)
     if path:

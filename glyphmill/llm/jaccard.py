@@ -34,6 +34,8 @@ from .substring import tagged
 BLOCK, BLOCK_SHINGLES = 256, 2 << 20
 #: Sets of a list whose sketches are compared at once.
 LIST_BLOCK = 512
+#: Bytes of texts whose shingles and signatures are made at once: a set has several signatures for each five words.
+AT_ONCE = 1 << 19
 #: Ratio of the sizes in a class of heavy sets.
 CLASS_RATIO = Fraction(13, 10)
 SEEDS = 3
@@ -280,7 +282,7 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFr
 
     def identify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, z in slices(batch):
+            for a, z in slices(batch, limit=AT_ONCE):
                 part = batch.slice(a, z - a)
                 hashes, offsets = shingle_sets(part, k)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("tag"), pa.array(np.diff(offsets)), pa.array(set_ids(hashes, offsets).view(np.int64)), pa.array(sketches(hashes, offsets), pa.binary())], ["doc_id", "tag", "n_shingles", "set_id", "sketch"])
@@ -333,7 +335,7 @@ def lists(docs: DataFrame, k: int, scheme: Scheme) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # sets of this task: copies in it emit once
         for batch in batches:
-            for a, z in slices(batch):
+            for a, z in slices(batch, limit=AT_ONCE):
                 part = batch.slice(a, z - a)
                 hashes, offsets = shingle_sets(part, k)
                 ids = set_ids(hashes, offsets).view(np.int64)
@@ -475,7 +477,7 @@ def solved(docs: DataFrame, dealt: DataFrame, k: int, percent: int) -> DataFrame
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, z in slices(batch):
+            for a, z in slices(batch, limit=AT_ONCE):
                 part = batch.slice(a, z - a)
                 hashes, offsets = shingle_sets(part, k)
                 body = hashes.tobytes()
