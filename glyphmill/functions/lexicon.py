@@ -36,8 +36,12 @@ def nested(word: Column, best: Column, single: Column) -> Column:
     and a best reading that is none of the character's own is not used; best readings go to the characters that are left, in order.
     """
     chars = F.filter(F.split(word, ""), lambda c: c != "")
-    own = F.transform(chars, lambda c: F.array_remove(F.coalesce(F.try_element_at(single, c), F.array().cast("array<string>")), DROPPED))
-    kept = F.filter(own, lambda r: F.size(r) > 0)
+    return nested_of(best, F.transform(chars, lambda c: F.coalesce(F.try_element_at(single, c), F.array().cast("array<string>"))))
+
+
+def nested_of(best: Column, own: Column) -> Column:
+    """``nested`` of the readings of a word and those of each of its characters."""
+    kept = F.filter(F.transform(own, lambda r: F.array_remove(r, DROPPED)), lambda r: F.size(r) > 0)
 
     def first(readings: Column, i: Column) -> Column:
         front = F.get(best, i)

@@ -10,6 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from .lattice import phrases_of, replaced
 from .profile import LATIN, OTHER, PAUSE, TARGET, Profile
 
 
@@ -45,10 +46,8 @@ def keep_vocabulary(text: Column, vocabularies: dict[str, list[str]], name: str,
 
 
 def convert(text: Column, pairs: dict[str, str], phrases: dict[str, str] | None = None) -> Column:
-    """Conversion between character sets: phrases first, longer ones before shorter, then single characters."""
-    for phrase in sorted(phrases or {}, key=lambda x: (-len(x), x)):
-        text = F.replace(text, F.lit(phrase), F.lit(phrases[phrase]))
-    return simplify(text, pairs) if pairs else text
+    """Conversion between character sets: the leftmost longest phrases, single characters where there are none; what is put in is not read again."""
+    return replaced(text, phrases_of(pairs | (phrases or {}))) if phrases else simplify(text, pairs) if pairs else text
 
 
 def keep_classes(text: Column, classes: str) -> Column:

@@ -18,11 +18,23 @@ def frequency(words: DataFrame, word: str, readings: str, times: str | None = No
     distinct = words.groupBy(word, readings).agg((F.sum(times) if times else F.count(F.lit(1))).alias("n"))
     chars = F.filter(F.split(word, ""), lambda c: c != "")
     pairs = distinct.select(F.explode(F.arrays_zip(chars.alias("ch"), F.col(readings).alias("reading"))).alias("x"), "n").select("x.ch", "x.reading", "n").where("ch <> '' and reading is not null and reading <> ''")
-    counts = pairs.groupBy("ch", "reading").agg(F.sum("n").alias("cnt"))
+    return shares(pairs.groupBy("ch", "reading").agg(F.sum("n").alias("cnt")))
+
+
+def shares(counts: DataFrame) -> DataFrame:
+    """ch, reading, cnt and the reading's share among those of its character."""
     total = counts.groupBy("ch").agg(F.sum("cnt").alias("total"))
     return counts.join(total, "ch").select("ch", "reading", "cnt", (F.col("cnt") / F.col("total")).alias("prob"))
 
 
+def sample_frequency(samples: DataFrame) -> DataFrame:
+    """``frequency`` over the target characters of samples (text_list, labels, pinyin_list).  Pairs are counted in each task before any are shuffled."""
+    targets = F.filter(F.arrays_zip(F.col("text_list").alias("t"), F.col("labels").alias("l")), lambda x: x["l"] == TARGET)
+    chars = F.filter(F.flatten(F.transform(targets, lambda x: F.split(x["t"], ""))), lambda c: c != "")
+    pairs = samples.select(F.explode(F.arrays_zip(chars.alias("ch"), F.col("pinyin_list").alias("reading"))).alias("x")).select("x.ch", "x.reading")
+    return shares(pairs.where("ch <> '' AND reading <> ''").groupBy("ch", "reading").agg(F.count(F.lit(1)).alias("cnt")))
+
+
 def cumulative(freq: DataFrame) -> DataFrame:
     """One row for each character: its readings in order with their cumulative probability."""
     grouped = freq.groupBy("ch").agg(F.sort_array(F.collect_list(F.struct("reading", "cnt"))).alias("r"))

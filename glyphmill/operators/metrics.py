@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,9 +33,9 @@ def ranked(x: Column, k: int) -> Column:
     return F.transform(F.slice(F.sort_array(pairs), 1, k), lambda p: p["i"])
 
 
-def top_mass(x: Column, k: int) -> Column:
+def top_mass(x: Column, k: int | Column) -> Column:
     """Probability of the k best classes."""
-    return let(logsumexp(x), lambda lse: F.aggregate(F.slice(F.sort_array(x, asc=False), 1, k), F.lit(0.0), lambda a, v: a + F.exp(v - lse)))
+    return let(logsumexp(x), lambda lse: F.aggregate(F.slice(F.sort_array(x, asc=False), F.lit(1), F.lit(k) if isinstance(k, int) else k), F.lit(0.0), lambda a, v: a + F.exp(v - lse)))
 
 
 def accuracy(df: DataFrame, rank: str, by: list[str] | None = None) -> DataFrame:
@@ -119,15 +123,82 @@ def rank_scale(local: Column, total: Column, ranks: int) -> Column:
     return F.lit(ranks) * local / F.greatest(total, F.lit(1))
 
 
-STATE = ("tokens", "top1", "top3", "top5", "sentences", "correct")
+#: Confidences of a state are counted in so many ranges of equal width; a state never has more rows than that and one.
+RANGES = 1 << 16
+#: Units of a confidence in a state: sums are whole numbers, so that they are the same in any order.
+UNIT = 1 << 30
+#: Range number of a state's row that has its sentences.
+SENTENCES = -1
+COUNTERS = ("tokens", "top1", "top3", "top5", "hits", "mass", "sentences", "correct")
+
+
+def token_counts(x: Column, target: Column, top_k: int) -> Column:
+    """A token's share of a state: its range and counters.  Equal logits: the lower class comes first."""
+    k = F.least(F.lit(top_k), F.size(x))
+    confidence = F.least(F.lit(1.0), top_mass(x, k))
+    one = lambda c: c.cast("long")
+
+    def counts(rank: Column) -> Column:
+        return F.struct(
+            F.least(F.lit(RANGES - 1), F.floor(confidence * RANGES)).cast("int").alias("range"), F.lit(1).cast("long").alias("tokens"), *[one(rank < n).alias(f"top{n}") for n in (1, 3, 5)],
+            one(rank < top_k).alias("hits"), F.round(confidence * UNIT).cast("long").alias("mass"), F.lit(0).cast("long").alias("sentences"), F.lit(0).cast("long").alias("correct"), (rank < 1).alias("right"),
+        )
+
+    return let(rank_of(x, target), counts)
+
+
+def state(sentences: DataFrame, logits: str, targets: str, by: list[str] | None = None, bins: int = 15, top_k: int = 5) -> DataFrame:
+    """Metric state of sentences (``logits``: a list of logits for each token, ``targets``: its classes), for each value of ``by``.
+
+    One row for each range of confidences that occurs, and one for the sentences: columns bins, top_k, range and COUNTERS.
+    It is a plain sum over rows, so states of parts merge to that of the whole, and no list of confidences is kept.  Null and
+    empty sentences count as correct ones without tokens.
+    """
+    by = by or []
+    tokens = F.transform(F.arrays_zip(F.col(logits).alias("x"), F.col(targets).alias("t")), lambda z: token_counts(z["x"], z["t"], top_k))
+    rows = sentences.select(*by, F.coalesce(tokens, F.array()).alias("_t"))
+    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+    whole = F.struct(F.lit(SENTENCES).alias("range"), *[zero.alias(c) for c in COUNTERS[:-2]], one.alias("sentences"), F.forall("_t", lambda x: x["right"]).cast("long").alias("correct"), F.lit(True).alias("right"))
+    rows = rows.select(*by, F.explode(F.concat(F.array(whole), "_t")).alias("x")).select(*by, "x.range", *[f"x.{c}" for c in COUNTERS])
+    return summed(rows.select(*by, F.lit(bins).alias("bins"), F.lit(top_k).alias("top_k"), "range", *COUNTERS), by)
+
+
+def summed(rows: DataFrame, by: list[str]) -> DataFrame:
+    return rows.groupBy(*by, "bins", "top_k", "range").agg(*[F.sum(c).alias(c) for c in COUNTERS])
+
+
+def merge(states: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """The states of all ranks as one (for each value of ``by``); states of differing settings are an error."""
+    by = by or []
+    one = lambda c: F.when(F.min(c) == F.max(c), F.min(c)).otherwise(F.raise_error(F.lit(f"states of differing {c}")).cast("int")).alias(c)
+    agreed = states.groupBy(*by).agg(one("bins"), one("top_k"))
+    sums = states.groupBy(*by, "range").agg(*[F.sum(c).alias(c) for c in COUNTERS])
+    # one row for each value of ``by``
+    joined = sums.join(F.broadcast(agreed), by) if by else sums.crossJoin(F.broadcast(agreed))
+    return joined.select(*by, "bins", "top_k", "range", *COUNTERS)
 
 
-def merge(states: DataFrame, settings: str = "settings", by: list[str] | None = None) -> DataFrame:
-    """Metric states added up: counters as sums, confidences as one list; states of differing settings are an error."""
-    one = F.when(F.min(settings) == F.max(settings), F.min(settings)).otherwise(F.raise_error(F.lit("states of differing settings")).cast("string"))
-    counters = [F.sum(c).alias(c) for c in STATE if c in states.columns]
-    lists = [F.flatten(F.collect_list(c)).alias(c) for c, t in states.dtypes if t.startswith("array")]
-    return states.groupBy(*(by or [])).agg(one.alias(settings), *counters, *lists)
+def finalised(state_rows: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """tokens, acc, top3_acc, top5_acc, sentences, s_acc and ece of a state; 0 where there is nothing.
+
+    ece: tokens in order of confidence fall into bins of equal numbers, the first ones a token larger; of a range that a bin's
+    border cuts, each side gets its share.  It differs from ``adaptive_ece`` by at most the width of such ranges.
+    """
+    by = by or []
+    n = F.sum("tokens").over(Window.partitionBy(*by))  # RANGES + 1 rows for each value of ``by``
+    rows = state_rows.withColumn("_n", n).withColumn("_to", F.sum("tokens").over(Window.partitionBy(*by).orderBy("range"))).where("tokens > 0")
+    rows = rows.withColumn("_from", F.col("_to") - F.col("tokens"))
+    small, more = F.floor(F.col("_n") / F.col("bins")), F.col("_n") % F.col("bins")
+    begin = lambda b: b * small + F.least(b, more)
+    of = lambda at: F.when(at < more * (small + 1), F.floor(at / (small + 1))).otherwise(more + F.floor((at - more * (small + 1)) / F.greatest(small, F.lit(1))))
+    cut = rows.withColumn("bin", F.explode(F.sequence(of(F.col("_from")), of(F.col("_to") - 1))))
+    share = (F.least(F.col("_to"), begin(F.col("bin") + 1)) - F.greatest(F.col("_from"), begin(F.col("bin")))) / F.col("tokens")
+    bins = cut.groupBy(*by, "bin", "_n").agg(F.abs(F.sum(share * F.col("hits")) - F.sum(share * F.col("mass")) / UNIT).alias("_gap"))
+    gaps = bins.groupBy(*by).agg((F.sum("_gap") / F.max("_n")).alias("ece"))
+    totals = state_rows.groupBy(*by).agg(*[F.sum(c).alias(c) for c in ("tokens", "top1", "top3", "top5", "sentences", "correct")])
+    joined = totals.join(gaps, by, "left") if by else totals.crossJoin(gaps)  # one row each
+    shares = [ratio(F.col(a), F.col(b)).alias(c) for a, b, c in (("top1", "tokens", "acc"), ("top3", "tokens", "top3_acc"), ("top5", "tokens", "top5_acc"), ("correct", "sentences", "s_acc"))]
+    return joined.select(*by, "tokens", *shares[:3], "sentences", shares[3], F.coalesce("ece", F.lit(0.0)).alias("ece"))
 
 
 def expert_choice(tokens: DataFrame, key: str, affinity: str, experts: int, choice: int = 2) -> DataFrame:
@@ -153,3 +224,48 @@ def top_of_groups(rows: DataFrame, group: str, score: str, key: str, n: int, ran
     whole = marked.where(F.col("_before") + F.col("_n") <= n).select(*rows.columns)
     edge = marked.where(F.col("_before") + F.col("_n") > n).withColumn("_rank", F.row_number().over(Window.partitionBy(group).orderBy(F.desc(score), key)))
     return whole.unionByName(edge.where(F.col("_rank") + F.col("_before") <= n).select(*rows.columns))
+
+
+def swiglu(rows: DataFrame, key: str, vector: str, expert: str, weights: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]], scale: str | None = None) -> DataFrame:
+    """key, out: each vector through its expert, (silu(x gate) * (x up)) down, times ``scale``; one product for all rows of an expert in a batch.
+
+    ``weights``: for each expert the matrices up, gate (dim x hidden) and down (hidden x dim), which go to every worker; their size is the model's.
+    """
+    held = rows.sparkSession.sparkContext.broadcast(weights)
+    dim = next(iter(weights.values()))[2].shape[1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
+            which = batch.column(2).to_numpy(zero_copy_only=False)
+            out = np.zeros((len(x), dim))
+            for e in np.unique(which):
+                up, gate, down = held.value[int(e)]
+                own = which == e
+                g = x[own] @ gate
+                out[own] = (g / (1 + np.exp(-g)) * (x[own] @ up)) @ down
+            out *= batch.column(3).to_numpy(zero_copy_only=False).astype(np.float64)[:, None]
+            at = pa.array(np.arange(0, out.size + 1, dim, dtype=np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(at, pa.array(out.ravel()))], [key, "out"])
+
+    factor = F.col(scale) if scale else F.lit(1.0)
+    chosen = rows.select(key, vector, F.col(expert).cast("long").alias("_expert"), factor.cast("double").alias("_scale"))
+    return chosen.mapInArrow(run, f"`{key}` {dict(rows.dtypes)[key]}, out array<double>")
+
+
+def vector_sums(rows: DataFrame, key: str, vector: str, dim: int) -> DataFrame:
+    """key and the sum of its vectors, added up in each task before they are shuffled."""
+    sums = rows.groupBy(key).agg(*[F.sum(F.get(vector, F.lit(i))).alias(f"_{i}") for i in range(dim)])
+    return sums.select(key, F.array(*[f"_{i}" for i in range(dim)]).alias(vector))
+
+
+def mixture(tokens: DataFrame, key: str, vector: str, affinity: str, weights: dict[int, tuple], common: tuple, choice: int = 2) -> DataFrame:
+    """key, out: each token's vector through the common expert, plus what the experts that chose it make of it, by their weights.
+
+    Keys are unique.  A token that no expert chose has the common part alone.
+    """
+    routed = expert_choice(tokens.select(key, affinity), key, affinity, len(weights), choice).select(key, "expert", "weight")
+    vectors = tokens.select(key, vector)
+    dim = common[2].shape[1]
+    own = swiglu(vectors.withColumn("_all", F.lit(0)), key, vector, "_all", {0: common})
+    return vector_sums(own.unionByName(swiglu(routed.join(vectors, key), key, vector, "expert", weights, "weight")), key, "out", dim)

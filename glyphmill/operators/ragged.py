@@ -94,22 +94,62 @@ def rotate(x: Column, position: Column, dim: int, theta: float = 10000.0) -> Col
     return F.zip_with(F.zip_with(x, cos, lambda a, c: a * c), F.zip_with(half, sin, lambda a, c: a * c), lambda a, b: a + b)
 
 
-def attend(df: DataFrame, key: str, q: str, k: str, v: str, causal: bool = True) -> DataFrame:
-    """key, out: scaled dot-product attention within each row's sequence; q, k, v are arrays of vectors, empty ones stay empty."""
+#: Vectors of a sequence whose attention is worked out together, and keys that they meet at once.
+QUERIES, KEYS = 4096, 1024
+
+
+def attend(df: DataFrame, key: str, at: str, q: str, k: str, v: str, causal: bool = True, queries: int = QUERIES, keys: int = KEYS) -> DataFrame:
+    """key, at, out: scaled dot-product attention within each sequence of rows (key, at, q, k, v); ``at`` counts from 0 without gaps.
+
+    Blocks of queries meet one tile of keys after the other, with running maxima and sums, so a task holds one block and one
+    tile of a sequence of any length.  A sequence's tiles are copied once for each of its blocks that looks at them.
+    """
+    kinds = dict(df.dtypes)
+    pack = lambda *c: F.sort_array(F.collect_list(F.struct(F.col(at).cast("long").alias("at"), *[F.col(x).cast("array<double>").alias(n) for x, n in c]))).alias("r")
+    part = lambda n: F.floor(F.col(at) / n).alias("part")
+    blocks = df.groupBy(key, part(queries)).agg(pack((q, "x"), (q, "y")))
+    tiles = df.groupBy(key, part(keys)).agg(pack((k, "x"), (v, "y")))
+    lengths = df.groupBy(key).agg(F.floor(F.max(at) / queries).alias("last"))
+    first = F.floor(F.col("part") * keys / queries) if causal else F.lit(0).cast("long")
+    copies = tiles.join(lengths, key).select(key, F.explode(F.sequence(first, "last")).alias("block"), "part", "r")
+    rows = blocks.select(key, F.col("part").alias("block"), F.lit(-1).cast("long").alias("part"), "r").unionByName(copies)
+    rows = rows.repartition(key, "block").sortWithinPartitions(key, "block", "part")
+
+    def vectors(r: pa.Scalar, name: str) -> np.ndarray:
+        x = r.values.field(name)
+        return x.flatten().to_numpy(zero_copy_only=False).reshape(len(x), -1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+
+        def done() -> pa.RecordBatch:
+            name, places, _, total, mixed, _ = held
+            out = mixed / total[:, None]
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, out.size + 1, out.shape[1], dtype=np.int32)), pa.array(out.ravel()))
+            return pa.RecordBatch.from_arrays([pa.array([name] * len(places), batch.schema.field(0).type), pa.array(places), lists], [key, at, "out"])
+
         for batch in batches:
-            out = []
-            for a, b, c in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
-                if not a:
-                    out.append([])
+            for i in range(batch.num_rows):
+                name, tile, r = batch.column(0)[i].as_py(), batch.column(2)[i].as_py(), batch.column(3)[i]
+                places = r.values.field("at").to_numpy(zero_copy_only=False)
+                x = vectors(r, "x")
+                if tile < 0:
+                    if held:
+                        yield done()
+                    held = (name, places, x / np.sqrt(x.shape[1]), np.zeros(len(x)), None, np.full(len(x), -np.inf))
                     continue
-                a, b, c = (np.asarray(x, dtype=np.float64) for x in (a, b, c))
-                score = a @ b.T / np.sqrt(a.shape[1])
+                name, own, scaled, total, mixed, top = held
+                y = vectors(r, "y")
+                score = scaled @ x.T
                 if causal:
-                    score[np.triu_indices(len(a), 1, len(b))] = -np.inf
-                score = np.exp(score - score.max(axis=1, keepdims=True))
-                out.append((score / score.sum(axis=1, keepdims=True) @ c).tolist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.list_(pa.float64())))], [key, "out"])
-
-    return df.select(key, q, k, v).mapInArrow(run, f"{key} {dict(df.dtypes)[key]}, out array<array<double>>")
+                    score[own[:, None] < places[None, :]] = -np.inf
+                now = np.maximum(top, score.max(axis=1))
+                safe = np.where(np.isfinite(now), now, 0)
+                weight = np.exp(score - safe[:, None])
+                fade = np.exp(top - safe)
+                mixed = (0 if mixed is None else mixed * fade[:, None]) + weight @ y
+                held = (name, own, scaled, total * fade + weight.sum(axis=1), mixed, now)
+        if held:
+            yield done()
+
+    return rows.mapInArrow(run, f"`{key}` {kinds[key]}, `{at}` long, out array<double>")

@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.lexicon import flat
+from ..functions.lattice import Phrases, cut_segments, read
+from ..functions.lexicon import DROPPED, flat, nested_of
 from ..functions.once import let
 from ..functions.profile import LATIN, OTHER, PAUSE, TARGET, Profile
 from ..functions.text import category, ratio
@@ -25,13 +26,21 @@ def runs(text: Column, p: Profile = LATIN) -> Column:
     return F.regexp_extract_all(text, F.lit(f"([{p.target}]+|[{p.pause}]+|[^{p.target}{p.pause}]+)"), F.lit(1))
 
 
-def segments(text: Column, p: Profile = LATIN, mode: str = "word", longest_other: int = 16) -> Column:
-    """array<struct<text,label>>: pause runs as their first mark, other runs above ``longest_other`` dropped, words or characters."""
+def segments(text: Column, p: Profile = LATIN, mode: str = "word", longest_other: int = 16, words: Phrases | None = None) -> Column:
+    """array<struct<text,label>>: pause runs as their first mark, other runs above ``longest_other`` dropped, words or characters.
+
+    Words are whole target runs (mode char: their characters), or with a lexicon (``lattice.word_book``) those of each run's likeliest cut.
+    """
     if mode not in ("word", "char"):
         raise ValueError(f"unknown mode: {mode}")
-    shown = lambda x, label: F.struct(F.when(label == PAUSE, F.left(x, F.lit(1))).otherwise(x).alias("text"), label.alias("label"))
-    made = F.transform(runs(text, p), lambda x: let(category(F.left(x, F.lit(1)), p), lambda label: shown(x, label)))
+    shown = lambda x, label: F.struct(F.when(label == PAUSE, F.substring(x, 1, 1)).otherwise(x).alias("text"), label.alias("label"))
+    if words is None:
+        made = F.transform(runs(text, p), lambda x: let(category(F.substring(x, 1, 1), p), lambda label: shown(x, label)))
+    else:  # a function in Python doesn't take what has lambdas within lambdas
+        made = F.transform(runs(text, p), lambda x: shown(x, category(F.substring(x, 1, 1), p)))
     made = F.filter(made, lambda s: (s["label"] != OTHER) | (F.length(s["text"]) <= longest_other))
+    if words is not None and mode == "word":
+        made = cut_segments(made, words)
     if mode == "char":
         letters = lambda s: F.transform(F.split(s["text"], ""), lambda c: F.struct(c.alias("text"), s["label"].alias("label")))
         made = F.flatten(F.transform(made, lambda s: F.when(s["label"] == TARGET, letters(s)).otherwise(F.array(s))))
@@ -44,6 +53,24 @@ def with_readings(segs: Column, reader: Callable[[Column], Column]) -> Column:
     return F.transform(segs, lambda s: F.struct(s["text"].alias("text"), s["label"].alias("label"), F.when(s["label"] == TARGET, reader(s["text"])).otherwise(none).alias("readings")))
 
 
+def with_read_words(segs: Column, table: Phrases) -> Column:
+    """Segments with readings from a table of phrases and characters (``lattice.phrase_book``), each word read as a whole.
+
+    Characters without any reading go, and target segments of which nothing is left.
+    """
+    empty = F.array().cast("array<string>")
+    told = read(F.transform(segs, lambda s: F.when(s["label"] == TARGET, s["text"]).otherwise("")), table)
+    both = F.arrays_zip(segs.alias("s"), told.alias("r"))
+
+    def one(x: Column) -> Column:
+        own = F.transform(x["r"]["own"], lambda r: F.array_remove(F.coalesce(r, empty), DROPPED))
+        left = F.filter(F.arrays_zip(F.filter(F.split(x["s"]["text"], ""), lambda c: c != "").alias("c"), own.alias("o")), lambda z: F.size(z["o"]) > 0)
+        shown = F.when(x["s"]["label"] == TARGET, F.array_join(F.transform(left, lambda z: z["c"]), "")).otherwise(x["s"]["text"])
+        return F.struct(shown.alias("text"), x["s"]["label"].alias("label"), nested_of(F.filter(x["r"]["best"], lambda b: b.isNotNull()), own).alias("readings"))
+
+    return F.filter(F.transform(both, one), lambda s: s["text"] != "")
+
+
 def by_letter(segs: Column) -> Column:
     """Segments with readings, target ones cut into characters that keep the readings they have in their word."""
     none = F.array().cast("array<string>")
@@ -162,13 +189,17 @@ def samples(df: DataFrame, key: str, segs: str, cut: Cut = Cut(), least_ratio: f
     return rows.select(key, "start", "text_list", "labels", F.flatten(F.transform("readings", flat)).alias("pinyin_list"))
 
 
-def text_samples(texts: DataFrame, key: str, reader: Callable[[Column], Column], cut: Cut = Cut(), least_ratio: float = 0.5, p: Profile = LATIN, mode: str = "word") -> DataFrame:
-    """Samples of texts (key, text): the ratio filter, segments with readings, windows.  Mode char: readings are looked up by word, then words are cut."""
+def text_samples(texts: DataFrame, key: str, reader: Callable[[Column], Column] | Phrases, cut: Cut = Cut(), least_ratio: float = 0.5, p: Profile = LATIN, mode: str = "word", words: Phrases | None = None) -> DataFrame:
+    """Samples of texts (key, text): the ratio filter, segments with readings, windows.  Mode char: readings are looked up by word, then words are cut.
+
+    ``reader`` is a function of a word's column, or a table of phrases and characters; ``words`` a lexicon that runs are cut by.
+    """
     if mode not in ("word", "char"):
         raise ValueError(f"unknown mode: {mode}")
-    segs = with_readings(segments(F.col("text"), p), reader)
+    rows = eligible(texts, p, least_ratio).select(key, segments(F.col("text"), p, words=words).alias("s"))
+    segs = with_read_words(F.col("s"), reader) if isinstance(reader, Phrases) else with_readings(F.col("s"), reader)
     segs = by_letter(segs) if mode == "char" else segs
-    return samples(eligible(texts, p, least_ratio).select(key, segs.alias("s")), key, "s", cut, least_ratio, p)
+    return samples(rows.select(key, segs.alias("s")), key, "s", cut, least_ratio, p)
 
 
 def sentence_samples(lists: DataFrame, key: str, reader: Callable[[Column], Column], **more) -> DataFrame:

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.mds import read_epoch
 from . import augment, ragged, vocab
 
 
@@ -40,3 +41,13 @@ def train(samples: DataFrame, key: str, ids: Ids, frequency: Column, epoch: int
 def validation(rows: DataFrame, ids: Ids, *keep: str) -> DataFrame:
     """Encoded rows of what ``augment.prepared`` made."""
     return encoded(rows, ids, *keep)
+
+
+def epoch_rows(spark: SparkSession, path: str, key: str, ids: Ids, frequency: Column, epoch: int, skip: int = 0, seed: int = 0, block: int = 1 << 12, tasks: int = 0, **more) -> DataFrame:
+    """Training rows of a store of samples in the order of an epoch (``position``), from sample ``skip`` of it on, encoded as they are read."""
+    rows = read_epoch(spark, path, epoch, seed, block, skip, tasks)
+    lists = {"text_list": "array<string>", "labels": "array<int>", "pinyin_list": "array<string>"}
+    samples = rows.select(F.concat_ws("#", key, "position").alias("_key"), *[F.from_json(c, t).alias(c) for c, t in lists.items()])
+    made = train(samples, "_key", ids, frequency, epoch, seed=seed, **more)
+    named = made.withColumn(key, F.regexp_extract("_key", "(?s)^(.*)#", 1)).withColumn("position", F.regexp_extract("_key", "#([0-9]+)$", 1).cast("long"))
+    return named.drop("_key")

@@ -93,3 +93,35 @@ def possibilities(lexicon: DataFrame, vocab: DataFrame) -> DataFrame:
     """Edges (token id, ch): each reading of a character and its short forms, as far as they are in the vocabulary."""
     forms = F.array_union(F.array("reading"), shorthands(F.col("reading")))
     return lexicon.select("ch", F.explode(forms).alias("token")).join(vocab, "token").select("id", "ch").distinct()
+
+
+def candidate_table(edges: DataFrame, tokens: DataFrame, characters: DataFrame) -> DataFrame:
+    """For every token (id) its candidates as rows of one width: ids (of characters, ascending, then zeros), mask, width.
+
+    ``edges``: id, ch (``possibilities``); ``tokens``: id; ``characters``: ch, char_id.  The width is the largest number of candidates of
+    any token, 1 at least; a token without candidates has a row of zeros.
+    """
+    own = edges.join(characters, "ch").groupBy("id").agg(F.array_sort(F.collect_set(F.col("char_id").cast("int"))).alias("own"))
+    rows = tokens.select("id").distinct().join(own, "id", "left").withColumn("own", F.coalesce("own", F.array().cast("array<int>")))
+    width = rows.agg(F.greatest(F.max(F.size("own")), F.lit(1)).alias("width"))
+    rows = rows.crossJoin(F.broadcast(width))  # one row
+    rest = F.col("width") - F.size("own")
+    ids = F.concat("own", F.array_repeat(F.lit(0), rest))
+    mask = F.concat(F.transform("own", lambda _: F.lit(True)), F.array_repeat(F.lit(False), rest))
+    return rows.select("id", ids.alias("ids"), mask.alias("mask"), "width")
+
+
+def gathered(sequences: DataFrame, key: str, tokens: str, table: DataFrame) -> DataFrame:
+    """key, ids, mask: of each token of a sequence its row of a candidate table, in order; an id that the table has not is an error.
+
+    Keys are unique.  Tokens are joined by id, so a table of any size will do, and come together again by key.
+    """
+    rows = sequences.select(key, F.posexplode_outer(tokens).alias("_at", "id")).join(table.select("id", "ids", "mask"), "id", "left")
+    known = F.when(F.col("id").isNull() | F.col("ids").isNotNull(), F.col("ids")).otherwise(F.raise_error(F.concat(F.lit("no candidates of id "), F.col("id").cast("string"))).cast("array<int>"))
+    grouped = rows.select(key, F.when(F.col("id").isNotNull(), F.struct("_at", known.alias("ids"), "mask")).alias("r")).groupBy(key).agg(F.sort_array(F.collect_list("r")).alias("r"))
+    return grouped.select(key, F.transform("r", lambda x: x["ids"]).alias("ids"), F.transform("r", lambda x: x["mask"]).alias("mask"))
+
+
+def candidate_logits(logits: Column, ids: Column, mask: Column) -> Column:
+    """Logits of a token's candidates, minus infinity in the padding."""
+    return F.transform(F.arrays_zip(ids.alias("i"), mask.alias("m")), lambda x: F.when(x["m"], F.get(logits, x["i"])).otherwise(F.lit(float("-inf"))))

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import sources
-from ..functions import lexicon, rng, spans, text
+from ..functions import lattice, lexicon, rng, spans, text
 from ..functions.profile import LATIN
 from ..operators import augment, beam, metrics, ragged, sample, segment, transform, vocab
 from ..streaming.segments import segment_rows
@@ -288,6 +289,85 @@ def word_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _words(spark, sf_dir).distinct().select("word", F.array_join(lexicon.words(F.col("word"), _LEXICON), " ").alias("parts"))
 
 
+_LEX = f"(SELECT word, count(*) AS f FROM (SELECT lower(word) AS word FROM {WORDS}) GROUP BY word)"
+_JOINED = f"(SELECT DISTINCT unnest(regexp_extract_all(lower(regexp_replace(coalesce(text, ''), '[^{T}{P}.]', '', 'g')), '[{T}]+')) AS run FROM conversations)"
+
+
+def _corpus_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A lexicon: all words of the documents with their numbers of occurrences."""
+    return lattice.numbered_words(_words(spark, sf_dir).select(F.lower("word").alias("word")), "word")
+
+
+@query(f"""WITH RECURSIVE lex AS MATERIALIZED (SELECT word, round(1000000 * (ln((sum(f) OVER ())::DOUBLE) - ln(f::DOUBLE)))::BIGINT AS cost FROM {_LEX}),
+unknown AS (SELECT round(1000000 * ln(sum(f)::DOUBLE))::BIGINT AS cost FROM {_LEX}), longest AS (SELECT max(length(word)) AS n FROM lex),
+runs AS MATERIALIZED (SELECT run, length(run) AS len FROM {_JOINED}),
+parts AS (SELECT run, i, unnest(range(1, least(len - i + 1, n) + 1)) AS n FROM (SELECT run, len, n, unnest(range(1, len + 1)) AS i FROM runs, longest)),
+known AS (SELECT run, i, n, cost FROM (SELECT run, i, n, substr(run, i, n) AS word FROM parts) JOIN lex USING (word)),
+edges AS MATERIALIZED (SELECT * FROM known UNION ALL SELECT run, i, 1, cost FROM (SELECT run, unnest(range(1, len + 1)) AS i FROM runs) p, unknown WHERE NOT EXISTS (SELECT 1 FROM known k WHERE k.run = p.run AND k.i = p.i AND k.n = 1)),
+best AS (SELECT run, len + 1 AS i, [0::BIGINT] AS costs, []::BIGINT[] AS steps FROM runs
+  UNION ALL SELECT b.run, b.i - 1, list_prepend(min(e.cost + b.costs[e.n]), any_value(b.costs)), list_prepend(arg_min(e.n::BIGINT, (e.cost + b.costs[e.n]) * 1000 - e.n), any_value(b.steps))
+  FROM best b JOIN edges e ON e.run = b.run AND e.i = b.i - 1 GROUP BY b.run, b.i),
+ways AS MATERIALIZED (SELECT run, steps FROM best WHERE i = 1),
+walk AS (SELECT run, 1::BIGINT AS i, steps FROM ways UNION ALL SELECT run, i + steps[i], steps FROM walk WHERE i + steps[i] <= len(steps))
+SELECT run, count(*)::INTEGER AS n, string_agg(substr(run, i, steps[i]), ' ' ORDER BY i) AS words FROM walk GROUP BY run""")
+def word_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of conversations without their spaces, cut into the likeliest words of a lexicon from the documents."""
+    said = F.lower(F.regexp_replace(F.coalesce("text", F.lit("")), f"[^{T}{P}.]", ""))
+    runs = table(spark, sf_dir, "conversations").select(F.explode(F.regexp_extract_all(said, F.lit(f"([{T}]+)"), F.lit(1))).alias("run")).distinct()
+    out = lattice.cut_runs(runs, "run", _corpus_words(spark, sf_dir))
+    return out.select("run", F.size("words").alias("n"), F.array_join("words", " ").alias("words"))
+
+
+def greedy_sql(rows: str, phrases: str) -> str:
+    """Leftmost longest phrases of rows (key, text): pieces (key, i, piece, hit)."""
+    return f"""rows_ AS MATERIALIZED ({rows}), phrases_ AS MATERIALIZED ({phrases}), sizes_ AS (SELECT DISTINCT length(phrase) AS n FROM phrases_),
+hits_ AS MATERIALIZED (SELECT key, i, max(n) AS n FROM (SELECT key, i, n, substr(text, i, n) AS phrase FROM (SELECT key, text, unnest(range(1, length(text) + 1)) AS i FROM rows_), sizes_ WHERE i + n - 1 <= length(text)) JOIN phrases_ USING (phrase) GROUP BY key, i),
+walk_ AS (SELECT key, text, 1::BIGINT AS i FROM rows_ WHERE length(text) > 0
+  UNION ALL SELECT * FROM (SELECT w.key, w.text, w.i + coalesce(h.n, 1) AS i FROM walk_ w LEFT JOIN hits_ h ON h.key = w.key AND h.i = w.i) WHERE i <= length(text)),
+pieces_ AS (SELECT w.key, w.i, substr(w.text, w.i, coalesce(h.n, 1)) AS piece, h.n IS NOT NULL AS hit FROM walk_ w LEFT JOIN hits_ h ON h.key = w.key AND h.i = w.i)"""
+
+
+_SAID = "SELECT conv_id::VARCHAR || '-' || turn::VARCHAR AS key, any_value(lower(coalesce(text, ''))) AS text FROM conversations GROUP BY 1"
+_BENCH = "(SELECT regexp_extract_all(lower(text), '[a-z]+') AS w FROM benchmark)"
+_SWAPS = f"""SELECT DISTINCT array_to_string(w[i:i + n - 1], ' ') AS phrase, array_to_string(list_reverse(w[i:i + n - 1]), ' ') AS value FROM (SELECT w, n, unnest(range(1, len(w) - n + 2)) AS i FROM {_BENCH}, (SELECT unnest([2, 3]) AS n) WHERE len(w) >= n)
+UNION SELECT chr(c), chr(c + 1) FROM (SELECT unnest([97, 98, 101]) AS c)"""
+
+
+@query(f"""WITH RECURSIVE {greedy_sql(_SAID, _SWAPS)}
+SELECT key, count(*) FILTER (hit)::INTEGER AS hits, md5(string_agg(CASE WHEN hit THEN p.value ELSE piece END, '' ORDER BY i)) AS converted FROM pieces_ LEFT JOIN phrases_ p ON p.phrase = piece GROUP BY key""")
+def phrase_conversion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts with phrases (pairs and triples of words) turned round and three letters replaced, in one pass."""
+    words = table(spark, sf_dir, "benchmark").select(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), F.lit(1)).alias("w"))
+    runs = words.select("w", F.explode(F.array(F.lit(2), F.lit(3))).alias("n")).where("size(w) >= n").select(F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - F.col("n") + 1), lambda i: F.slice("w", i, F.col("n")))).alias("p"))
+    swaps = runs.select(F.array_join("p", " ").alias("phrase"), F.array_join(F.reverse("p"), " ").alias("value"))
+    book = lattice.phrase_book(swaps.unionByName(spark.createDataFrame([("a", "b"), ("b", "c"), ("e", "f")], "phrase string, value string")))
+    said = table(spark, sf_dir, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("key"), F.lower(F.coalesce("text", F.lit(""))).alias("t")).where("t <> ''")
+    marked = lattice.phrase_book(swaps.select("phrase", F.lit("\x01").alias("value")).unionByName(spark.createDataFrame([(c, "\x01") for c in "abe"], "phrase string, value string")))
+    hits = F.length(lattice.replaced(F.col("t"), marked)) - F.length(F.translate(lattice.replaced(F.col("t"), marked), "\x01", ""))
+    return said.select("key", hits.alias("hits"), F.md5(lattice.replaced(F.col("t"), book)).alias("converted"))
+
+
+_PLAIN = f"translate(lower(word), '{text.ACCENTS[0]}', '{text.ACCENTS[1]}')"
+_OWN = "CASE piece_ WHEN 'c' THEN ['k', 's'] WHEN 'g' THEN ['g', 'j'] ELSE [piece_] END"
+
+
+@query(f"""WITH RECURSIVE {greedy_sql(f"SELECT DISTINCT {_PLAIN} AS key, {_PLAIN} AS text FROM {WORDS}", f"SELECT DISTINCT unnest(w) AS phrase FROM {_BENCH} WHERE len(w) > 0")},
+letters AS (SELECT key, i + j - 1 AS place, piece[j:j] AS piece_, CASE WHEN length(piece) > 1 THEN {read_sql("piece")}[j] END AS best FROM (SELECT key, i, piece, unnest(range(1, length(piece) + 1)) AS j FROM pieces_)),
+lists AS (SELECT key, place, {_OWN} AS own, best FROM letters)
+SELECT key AS word, count(*)::INTEGER AS n, string_agg(array_to_string(CASE WHEN best IS NULL OR NOT list_contains(own, best) THEN own ELSE list_concat([best], list_filter(own, lambda x: x <> best)) END, '|'), ',' ORDER BY place) AS readings FROM lists GROUP BY key""")
+def readings_in_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All readings of the letters of each word, first the one in the longest known words that it is made of."""
+    plain = lambda c: F.translate(F.lower(c), *text.ACCENTS)
+    known = table(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), F.lit(1))).alias("phrase")).where("length(phrase) > 1")
+    words = _words(spark, sf_dir).select(plain("word").alias("word")).distinct()
+    chars = words.select(F.explode(F.split("word", "")).alias("phrase")).where("phrase <> ''").distinct()
+    own = F.when(F.col("phrase") == "c", F.array(F.lit("k"), F.lit("s"))).when(F.col("phrase") == "g", F.array(F.lit("g"), F.lit("j"))).otherwise(F.array("phrase"))
+    book = lattice.phrase_book(known.select("phrase", text.readings(F.col("phrase")).alias("value")).unionByName(chars.select("phrase", own.alias("value"))))
+    rows = words.where("word <> ''").select("word", F.get(lattice.read(F.array("word"), book), F.lit(0)).alias("r"))
+    rows = rows.select("word", lexicon.nested_of(F.filter("r.best", lambda b: b.isNotNull()), F.col("r.own")).alias("n"))
+    return rows.select("word", F.size("n").alias("n"), F.array_join(F.transform("n", lambda x: F.array_join(x, "|")), ",").alias("readings"))
+
+
 @query(f"""
 WITH s AS (SELECT doc_id, unnest(segs) AS s, unnest(range(1, len(segs) + 1)) AS i FROM {SEGMENTED}),
 c AS (SELECT doc_id, i, sum(CASE WHEN s.label = 1 THEN length(s.text) ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS upto FROM s)
@@ -409,7 +489,7 @@ def nearest_token(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _TOKENS = "(SELECT DISTINCT unnest(regexp_extract_all(lower(p_name), '[a-z]+')) AS s FROM part)"
-_INIT = "regexp_extract(s, '^(zh|ch|sh|[bpmfdtnlgkhjqxrywzcs])', 1)"
+_INIT = f"regexp_extract(s, '{text.INITIAL}', 1)"
 
 
 def _part_words(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -462,7 +542,7 @@ def heteronym_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _CONV = "(SELECT conv_id, turn, regexp_extract_all(lower(coalesce(text, '')), '[a-z]+') AS w, conv_id::VARCHAR || '-' || turn::VARCHAR AS key FROM conversations)"
-_IW = "regexp_extract(w[i], '^(zh|ch|sh|[bpmfdtnlgkhjqxrywzcs])', 1)"
+_IW = f"regexp_extract(w[i], '{text.INITIAL}', 1)"
 
 
 @query(f"""SELECT conv_id, turn, md5(array_to_string(list_transform(range(1, len(w) + 1), lambda i: CASE WHEN {_IW} <> '' AND length({_IW}) < length(w[i]) AND (
@@ -625,6 +705,33 @@ def mask_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _edges(spark, sf_dir).agg(F.count(F.lit(1)).alias("e")).join(freq).select(F.round(F.col("e") / (F.col("n") * F.col("m")), 9).alias("density"))
 
 
+_SPOKEN = "(SELECT p_partkey, p_brand, regexp_extract_all(lower(p_name), '[a-z]+') AS w FROM part)"
+_SPOKEN_EDGES = f"(SELECT DISTINCT p_brand AS ch, token FROM (SELECT p_brand, unnest(list_append({_SHORT}, s)) AS token FROM (SELECT p_brand, unnest(w) AS s FROM {_SPOKEN})))"
+_SPOKEN_VOCAB = f"(SELECT token, row_number() OVER (ORDER BY token) - 1 AS id FROM (SELECT token FROM {_SPOKEN_EDGES} WHERE token <> 'b' UNION SELECT '?'))"
+
+
+@query(f"""WITH chars AS (SELECT p_brand AS ch, row_number() OVER (ORDER BY p_brand) - 1 AS c FROM (SELECT DISTINCT p_brand FROM part)), v AS MATERIALIZED {_SPOKEN_VOCAB},
+own AS (SELECT v.id, list_sort(list(DISTINCT c) FILTER (c IS NOT NULL)) AS ids FROM v LEFT JOIN {_SPOKEN_EDGES} e USING (token) LEFT JOIN chars USING (ch) GROUP BY v.id),
+sized AS (SELECT id, coalesce(ids, []) AS ids, (SELECT greatest(max(len(ids)), 1) FROM own) AS width FROM own),
+rows_ AS MATERIALIZED (SELECT id, list_concat(ids, list_transform(range(0, width - len(ids)), lambda i: 0)) AS ids, list_concat(list_transform(ids, lambda i: 'true'), list_transform(range(0, width - len(ids)), lambda i: 'false')) AS mask FROM sized),
+tokens AS (SELECT p_partkey, unnest(t) AS token, unnest(range(0, len(t))) AS place FROM (SELECT p_partkey, list_concat(w, [w[1][1:1], '?']) AS t FROM {_SPOKEN})),
+known AS (SELECT p_partkey, row_number() OVER (PARTITION BY p_partkey ORDER BY place) - 1 AS place, id FROM tokens JOIN v USING (token))
+SELECT p_partkey, count(*)::INTEGER AS tokens, len(any_value(ids))::INTEGER AS width, md5(string_agg(array_to_string(ids, ','), ';' ORDER BY place)) AS ids, md5(string_agg(array_to_string(mask, ','), ';' ORDER BY place)) AS mask FROM known JOIN rows_ USING (id) GROUP BY p_partkey""")
+def candidate_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidate rows of token sequences: a part's brand is what each word of its name may stand for, or the word's short form."""
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_brand", F.regexp_extract_all(F.lower("p_name"), F.lit("([a-z]+)"), F.lit(1)).alias("w"))
+    spoken = parts.select(F.col("p_brand").alias("ch"), F.explode("w").alias("reading")).distinct().withColumn("ch", F.col("ch"))
+    forms = spoken.select(F.explode(F.array_append(text.shorthands(F.col("reading")), F.col("reading"))).alias("token"))
+    tokens = vocab.build(forms.where("token <> 'b'").unionByName(spark.createDataFrame([("?",)], "token string")).select("token", F.col("token").alias("o")), "o")
+    brands = vocab.build(parts.select(F.col("p_brand").alias("token"), F.col("p_brand").alias("o")), "o").select(F.col("token").alias("ch"), F.col("id").alias("char_id"))
+    rows = vocab.candidate_table(vocab.possibilities(spoken, tokens), tokens, brands)
+    said = parts.select("p_partkey", F.posexplode(F.concat("w", F.array(F.left(F.get("w", F.lit(0)), F.lit(1)), F.lit("?")))).alias("at", "token")).join(tokens, "token")
+    said = said.groupBy("p_partkey").agg(F.sort_array(F.collect_list(F.struct("at", "id"))).alias("r")).select("p_partkey", F.transform("r", lambda x: x["id"]).alias("ids"))
+    out = vocab.gathered(said, "p_partkey", "ids", rows)
+    shown = lambda c: F.md5(F.array_join(F.transform(c, lambda x: F.array_join(x.cast("array<string>"), ",")), ";"))
+    return out.select("p_partkey", F.size("ids").alias("tokens"), F.size(F.get("ids", F.lit(0))).alias("width"), shown("ids").alias("ids"), shown("mask").alias("mask"))
+
+
 # -- ragged sequences ---------------------------------------------------------------------------------------
 _LENS = "(SELECT l_orderkey, list(l_quantity::BIGINT ORDER BY l_linenumber, l_quantity) AS lens FROM lineitem GROUP BY l_orderkey)"
 
@@ -737,6 +844,30 @@ def metric_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.rollup("part").agg(F.count(F.lit(1)).alias("tokens"), F.sum("hit").alias("top1"))
 
 
+_STATE = f"""tok AS (SELECT part, least(65535, floor(conf * 65536))::INTEGER AS range, round(conf * 1073741824)::BIGINT AS mass, r FROM (SELECT (sentence % 3)::INTEGER AS part, least(1.0, {_MASS}) AS conf, {_RANK} AS r FROM {_L})),
+st AS (SELECT part, range, count(*) AS tokens, sum((r < 1)::BIGINT) AS top1, sum((r < 3)::BIGINT) AS top3, sum((r < 5)::BIGINT) AS top5, sum(mass) AS mass FROM tok GROUP BY part, range),
+sen AS (SELECT part, count(*) AS sentences, sum(ok::BIGINT) AS correct FROM (SELECT (sentence % 3)::INTEGER AS part, bool_and({_RANK} < 1) AS ok FROM {_L} GROUP BY sentence) GROUP BY part)"""
+
+
+def _sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences of five tokens at most: part (of three), logits and targets."""
+    rows = _logits(spark, sf_dir).groupBy("sentence").agg(F.sort_array(F.collect_list(F.struct("vec_id", "x", "label"))).alias("r"))
+    return rows.select((F.col("sentence") % 3).cast("int").alias("part"), F.transform("r", lambda x: x["x"]).alias("logits"), F.transform("r", lambda x: x["label"]).alias("targets"))
+
+
+@query(f"""WITH {_STATE}, m AS (SELECT range, sum(tokens) AS tokens, sum(top1) AS top1, sum(top3) AS top3, sum(top5) AS top5, sum(mass) AS mass FROM st GROUP BY range),
+o AS (SELECT *, sum(tokens) OVER (ORDER BY range) AS upto, sum(tokens) OVER () AS n FROM m), c AS (SELECT *, upto - tokens AS start FROM o),
+b AS (SELECT bin, bin * (n // 15) + least(bin, n % 15) AS a, (bin + 1) * (n // 15) + least(bin + 1, n % 15) AS z FROM (SELECT unnest(range(0, 15)) AS bin), (SELECT max(n) AS n FROM c)),
+g AS (SELECT bin, abs(sum(top5 * (least(upto, z) - greatest(start, a)) / tokens::DOUBLE) - sum(mass * (least(upto, z) - greatest(start, a)) / tokens::DOUBLE) / 1073741824) AS gap FROM c JOIN b ON start < z AND upto > a GROUP BY bin)
+SELECT sum(tokens)::BIGINT AS tokens, round(sum(top1) / sum(tokens)::DOUBLE, 9) AS acc, round(sum(top3) / sum(tokens)::DOUBLE, 9) AS top3_acc, round(sum(top5) / sum(tokens)::DOUBLE, 9) AS top5_acc, (SELECT sum(sentences) FROM sen)::BIGINT AS sentences,
+round((SELECT sum(correct) / sum(sentences)::DOUBLE FROM sen), 9) AS s_acc, round((SELECT sum(gap) FROM g) / sum(tokens), 6) AS ece FROM m""")
+def metric_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics of the merged states of three ranks."""
+    ranks = metrics.state(_sentences(spark, sf_dir), "logits", "targets", ["part"])
+    out = metrics.finalised(metrics.merge(ranks.drop("part")))
+    return out.select("tokens", *[F.round(c, 9).alias(c) for c in ("acc", "top3_acc", "top5_acc")], "sentences", F.round("s_acc", 9).alias("s_acc"), F.round("ece", 6).alias("ece"))
+
+
 @query(f"SELECT vec_id, array_to_string(list_transform(list_sort(list_transform(range(0, len(x)), lambda i: {{'v': -x[i + 1], 'i': i}}))[1:5], lambda p: p.i::VARCHAR), ',') AS best FROM {_L}")
 def topk_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _logits(spark, sf_dir).select("vec_id", F.array_join(metrics.ranked(F.col("x"), 5).cast("array<string>"), ",").alias("best"))
@@ -791,6 +922,34 @@ def expert_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.groupBy("vec_id").agg(F.count(F.lit(1)).alias("experts"), F.round(F.sum("weight"), 6).alias("weight"))
 
 
+_DIM, _HIDDEN, _EXPERTS = 8, 4, 4
+
+
+def _weight(e: int, kind: int, i: int, j: int) -> float:
+    """Some weight of expert e (-1: the common one): a whole number of tenths, from -0.9 to 0.9."""
+    return ((e * 7 + kind * 5 + i * 3 + j * 11 + 13) % 19 - 9) / 10
+
+
+def _swiglu_sql(e: str) -> str:
+    w = lambda kind, i, j: f"((({e}) * 7 + {kind} * 5 + {i} * 3 + {j} * 11 + 13) % 19 - 9) / 10.0::DOUBLE"
+    dot = lambda kind: f"list_sum(list_transform(range(0, {_DIM}), lambda i: x[i + 1] * {w(kind, 'i', 'h')}))"
+    inner = f"list_transform(range(0, {_HIDDEN}), lambda h: {dot(1)} / (1 + exp(-({dot(1)}))) * {dot(0)})"
+    return f"list_transform(range(0, {_DIM}), lambda o: list_sum(list_transform(range(0, {_HIDDEN}), lambda h: ({inner})[h + 1] * {w(2, 'h', 'o')})))"
+
+
+@query(f"""WITH v AS (SELECT vec_id, list_transform(embedding[1:{_DIM}], lambda a: a::DOUBLE) AS x, embedding FROM embeddings),
+t AS (SELECT vec_id, x, e, embedding[e + 1]::DOUBLE AS s FROM v, (SELECT unnest(range(0, {_EXPERTS})) AS e)),
+r AS (SELECT *, row_number() OVER (PARTITION BY e ORDER BY s DESC, vec_id) AS k, (SELECT greatest(1, count(*) * 2 // {_EXPERTS}) FROM embeddings) AS cap FROM t),
+o AS (SELECT vec_id, 1 / (1 + exp(-s)) AS w, {_swiglu_sql("e")} AS y FROM r WHERE k <= cap UNION ALL SELECT vec_id, 1.0, {_swiglu_sql("-1")} FROM v)
+SELECT vec_id, {", ".join(f"round(sum(w * y[{i + 1}]), 5) AS d{i}" for i in range(_DIM))} FROM o GROUP BY vec_id""")
+def expert_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors through the common expert and through those that chose them, added up."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.slice(F.col("embedding").cast("array<double>"), 1, _DIM).alias("x"), "embedding")
+    made = lambda e: tuple(np.array([[_weight(e, kind, i, j) for j in range(m)] for i in range(n)]) for kind, n, m in ((0, _DIM, _HIDDEN), (1, _DIM, _HIDDEN), (2, _HIDDEN, _DIM)))
+    out = metrics.mixture(rows, "vec_id", "x", "embedding", {e: made(e) for e in range(_EXPERTS)}, made(-1))
+    return out.select("vec_id", *[F.round(F.get("out", F.lit(i)), 5).alias(f"d{i}") for i in range(_DIM)])
+
+
 @query("SELECT n, count(*)::BIGINT AS samples, min(doc_id) AS first FROM (SELECT doc_id, len(regexp_extract_all(text, '[^ ]+'))::INTEGER AS n FROM documents) GROUP BY n")
 def length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = table(spark, sf_dir, "documents").select("doc_id", F.regexp_count("text", F.lit("[^ ]+")).alias("n"))
@@ -842,6 +1001,31 @@ def bigram_beam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("key", "rank", F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"), F.round("score", 6).alias("score"))
 
 
+def _long(length: int, classes: int) -> str:
+    """A beam of two over lattices in which most paths end: what cannot be goes on with minus infinity and the lowest ids."""
+    steps = f"""lat AS (SELECT vec_id // {length} AS key, (vec_id % {length})::INTEGER AS position, unnest([label, (label + 3) % 10])::INTEGER AS id FROM embeddings),
+sc AS (SELECT prev, id, -((prev * 7 + id * 3) % 10) / 3.0::DOUBLE - 0.1 AS score FROM (SELECT unnest(range(-1, 10))::INTEGER AS prev), (SELECT unnest(range(0, 10))::INTEGER AS id) WHERE (prev + 2 * id) % 7 <> 0),
+st AS (SELECT key, position, prev, id, score - m - ln(sum(exp(score - m)) OVER (PARTITION BY key, position, prev)) AS lp FROM (SELECT DISTINCT key, position, prev, lat.id, score, max(score) OVER (PARTITION BY key, position, prev) AS m FROM lat JOIN sc USING (id))),
+every AS (SELECT k.key, position, prev, id FROM (SELECT DISTINCT key FROM lat) k, (SELECT unnest(range(0, {length}))::INTEGER AS position), (SELECT unnest(range(-1, 10))::INTEGER AS prev), (SELECT unnest(range(0, {classes}))::INTEGER AS id)),
+top AS MATERIALIZED (SELECT key, position, prev, id, coalesce(lp, '-inf'::DOUBLE) AS lp FROM every LEFT JOIN st USING (key, position, prev, id) QUALIFY row_number() OVER (PARTITION BY key, position, prev ORDER BY round(coalesce(lp, '-inf'::DOUBLE), 9) DESC, id) <= 2),
+b0 AS MATERIALIZED (SELECT key, (row_number() OVER (PARTITION BY key ORDER BY round(lp, 9) DESC, id) - 1)::INTEGER AS rank, [id] AS ids, lp AS score, id AS prev FROM top WHERE position = 0 AND prev = -1)"""
+    return steps + "".join(
+        f""",
+b{j} AS MATERIALIZED (SELECT * FROM (SELECT b.key, (row_number() OVER (PARTITION BY b.key ORDER BY round(score + lp, 9) DESC, b.rank, top.id) - 1)::INTEGER AS rank, list_append(ids, top.id) AS ids, score + lp AS score, top.id AS prev FROM b{j - 1} b JOIN top ON top.key = b.key AND top.prev = b.prev AND top.position = {j}) WHERE rank < 2)"""
+        for j in range(1, length)
+    )
+
+
+@query(f"WITH {_long(64, 10)} SELECT key, rank, array_to_string(ids, ',') AS ids, CASE WHEN isfinite(score) THEN round(score, 6) END AS score FROM b63")
+def long_beam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Beam search over lattices of 64 positions; paths that cannot be are kept."""
+    allowed = table(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / 64).alias("key"), (F.col("vec_id") % 64).cast("int").alias("position"), F.explode(F.array_distinct(F.array("label", (F.col("label") + 3) % 10))).alias("id"))
+    scores = spark.range(-1, 10).select(F.col("id").cast("int").alias("prev"), F.explode(F.sequence(F.lit(0), F.lit(9))).alias("id")).where("(prev + 2 * id) % 7 <> 0")
+    steps = beam.step_scores(scores.withColumn("score", -((F.col("prev") * 7 + F.col("id") * 3) % 10) / 3.0 - 0.1), allowed)
+    out = beam.beam_search(steps, 64, 2, classes=10)
+    return out.select("key", "rank", F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"), F.when(F.col("score") > float("-inf"), F.round("score", 6)).alias("score"))
+
+
 @query(f"""WITH {_LATTICE}, paths AS (SELECT DISTINCT key, position, CASE WHEN position = 0 THEN -1 ELSE ids[position] END AS prev FROM b3, (SELECT unnest([0, 1, 2, 3]) AS position)),
 pr AS (SELECT key, position, st.id, exp(max(lp)) AS prob FROM st JOIN paths USING (key, position, prev) GROUP BY ALL)
 SELECT key, position::INTEGER AS position, array_to_string(list(id ORDER BY round(prob, 9) DESC, id)[1:3], ',') AS ids, round(list_max(list(prob)), 6) AS best FROM pr GROUP BY key, position""")
@@ -877,16 +1061,18 @@ def rotary_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _logits(spark, sf_dir).select("vec_id", F.round(weighted, 5).alias("turned"))
 
 
-@query("""WITH r AS (SELECT label AS seq, vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS at, list_transform(embedding[1:8], lambda v: v::DOUBLE) AS x FROM embeddings),
-s AS (SELECT a.seq, a.vec_id, list_sum(b.x) AS v, exp(list_dot_product(a.x, b.x) / sqrt(8)) AS w FROM r a JOIN r b ON a.seq = b.seq AND b.at <= a.at)
+@query("""WITH r AS (SELECT label AS seq, vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS at, list_transform(embedding, lambda v: v::DOUBLE) AS x FROM embeddings),
+s AS (SELECT a.seq, a.vec_id, list_sum(b.x) AS v, exp(list_dot_product(a.x, b.x) / sqrt(64)) AS w FROM r a JOIN r b ON a.seq = b.seq AND b.at <= a.at)
 SELECT vec_id, round(sum(v * w) / sum(w), 5) AS mixed FROM s GROUP BY vec_id""")
 def ragged_attention(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Causal attention within sequences of differing lengths (here one for each label)."""
-    rows = _logits(spark, sf_dir).groupBy("label").agg(F.sort_array(F.collect_list(F.struct("vec_id", F.slice("x", 1, 8).alias("x")))).alias("r"))
-    rows = rows.select("label", F.transform("r", lambda z: z["x"]).alias("x"), F.transform("r", lambda z: z["vec_id"]).alias("ids"))
-    out = ragged.attend(rows, "label", "x", "x", "x").join(rows.select("label", "ids"), "label")
-    total = lambda x: F.aggregate(x, F.lit(0.0), lambda a, v: a + v)
-    return out.select(F.explode(F.arrays_zip("ids", "out")).alias("z")).select("z.ids", total(F.col("z.out")).alias("m")).select(F.col("ids").alias("vec_id"), F.round("m", 5).alias("mixed"))
+    """Causal attention within sequences of differing lengths (here one for each label), by tiles."""
+    rows = _logits(spark, sf_dir)
+    big = rows.agg(F.max("vec_id")).first()[0] or 0
+    rows = sample.numbered(rows.withColumn("o", F.col("label").cast("long") * (big + 1) + F.col("vec_id")), "o")
+    first = rows.groupBy("label").agg(F.min("row").alias("first"))
+    rows = rows.join(first, "label").select("label", (F.col("row") - F.col("first")).alias("at"), "vec_id", "x")
+    out = ragged.attend(rows, "label", "at", "x", "x", "x", queries=512, keys=128).join(rows.select("label", "at", "vec_id"), ["label", "at"])
+    return out.select("vec_id", F.round(F.aggregate("out", F.lit(0.0), lambda a, v: a + v), 5).alias("mixed"))
 
 
 @query(f"SELECT doc_id, (i - 1)::INTEGER AS pos, s.text AS text, s.label::INTEGER AS label FROM (SELECT doc_id, unnest(segs) AS s, unnest(range(1, len(segs) + 1)) AS i FROM {SEGMENTED})")

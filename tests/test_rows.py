@@ -1,6 +1,8 @@
 """Readings, vocabularies, rows for training, sinks, configuration and the whole preprocessing run."""
 
+import dataclasses
 import json
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -126,12 +128,7 @@ def test_tokenizer_from_config(spark, tmp_path):
         sources.read_vocabulary(spark, str(tmp_path / "none.txt"))
 
 
-def test_metric_states(spark):
-    states = spark.createDataFrame([("k5", 3, 1, [0.5]), ("k5", 4, 2, [0.1, 0.2])], "settings string, tokens long, top1 long, confidences array<double>")
-    r = metrics.merge(states).first()
-    assert (r.settings, r.tokens, r.top1, sorted(r.confidences)) == ("k5", 7, 3, [0.1, 0.2, 0.5])
-    with pytest.raises(Exception, match="differing"):
-        metrics.merge(states.unionByName(states.withColumn("settings", F.lit("k3")))).collect()
+def test_rank_scale_and_mask(spark):
     assert value(spark, metrics.rank_scale(F.lit(3), F.lit(10), 2)) == pytest.approx(0.6)
     assert value(spark, metrics.masked(F.array(F.lit(1.0), F.lit(2.0)), F.array(F.lit(True), F.lit(False)))) == [1.0, float("-inf")]
 
@@ -176,20 +173,85 @@ def test_small_files(spark, tmp_path):
 MODEL = {"model_dim": 8, "attn_dim": 8, "max_seqlen": 4, "mhsa_layers": 1, "mhsa_heads": 2, "ffn_common_dim": 8, "rope_theta": 1e4, "proj_size": 2}
 
 
-def test_configuration_and_package_checks():
+def test_settings():
     assert config.merge({"a": {"b": 1, "c": 2}, "d": 1}, {"a": {"b": 5}, "d": {"e": 1}}) == {"a": {"b": 5, "c": 2}, "d": {"e": 1}}
-    assert config.settled({"dataset_dir": "/x", "sources": [{"path": "${dataset.dataset_dir}/y"}]})["sources"] == [{"path": "/x/y"}]
+    assert config.merge({"a": {"b": {"c": 1, "d": 2}}}, {"a": {"b": [3]}, "x": {}}) == {"a": {"b": [3]}}
+    assert config.settled({"dataset_dir": '/x"\\y', "sources": [{"path": "${dataset.dataset_dir}/y ${other}"}]})["sources"] == [{"path": '/x"\\y/y ${other}'}]
     for bad in ({}, {"sources": [1], "segmentation": {"mode": "z"}}):
         with pytest.raises(ValueError):
             config.settled(bad)
-    pre, post = MODEL | {"vocab_size": 3, "mhca_heads": 2, "mhca_attn_dim": 4}, MODEL | {"vocab_size": 2}
-    words = (["我", "们"], ["我", ","], ["wo", "men"], ["bos"])
-    config.check_package(pre, post, *words, limits=(3, 9))
-    for more, vocabularies in [({"attn_dim": 9}, words), ({"vocab_size": 4}, words), ({"rope_theta": 2}, words), ({"model_dim": True}, words), ({}, (*words[:3], [","])), ({}, (*words[:3], []))]:
-        with pytest.raises(ValueError):
-            config.check_package(pre | more, post, *vocabularies)
-    with pytest.raises(ValueError):
-        config.check_package(pre, post, *words, limits=(2, 9))
+
+
+PRE, POST = MODEL | {"vocab_size": 3, "mhca_heads": 2, "mhca_attn_dim": 4, "model_type": "one", "architectures": ["One"]}, MODEL | {"vocab_size": 2, "model_type": "two", "architectures": ["Two"]}
+SEGMENT = {"vocab_size": 3, "model_dim": 2, "num_layers": 1, "kernel_size": 1, "ffn_dim": 2, "pad_token_id": 0, "model_type": "three", "architectures": ["Three"]}
+SHAPES = {
+    ("pre_model_pass1", "input", 0): [1, 4], ("pre_model_pass1", "input", 1): [1, 2, 1, 4, 2, 4], ("pre_model_pass2", "input", 0): [5, 1], ("pre_model_pass2", "input", 1): [1, 2, 5, 4, 2, 4],
+    ("pre_model_pass2", "input", 3): [1, 2, 1, 4, 2, 2], ("pre_model_pass2", "input", 6): [9], ("pre_model_cross_kv", "input", 0): [1, 4, 8], ("pre_model_cross_kv", "output", 0): [1, 2, 1, 4, 2, 2],
+    ("post_model", "input", 0): [1, 4], ("post_model", "output", 0): [1, 4, 8], ("post_model", "output", 1): [1, 4, 9], ("post_model", "output", 2): [1, 4, 9], ("forward", "input", 0): [1, 30], ("forward", "output", 0): [1, 29],
+}
+WHOLE = config.Package(
+    PRE, POST, ["我", "们"], ["我", ","], ["wo", "men"], ["bos"], SEGMENT, ["<pad>", "<unk>", "a"], True, (3, 30), "v1-x", "v1-", 5,
+    kinds={"pre": ("one", "One"), "post": ("two", "Two"), "segment": ("three", "Three")}, shapes=SHAPES,
+)
+
+
+def test_every_rule_of_a_package():
+    """Each rule is broken by some package, and by itself where no other speaks of the same."""
+    assert config.violations(WHOLE) == []
+    with_ = lambda **more: dataclasses.replace(WHOLE, **more)
+    broken = [with_(**{m: {**getattr(WHOLE, m), key: x}}) for m in ("pre", "post", "segment") for key in config.SIZES[m] for x in (0, True, "8")]
+    broken += [with_(**{m: {**getattr(WHOLE, m), key: x}}) for m in ("pre", "post", "segment") for key, x in (("model_type", "z"), ("architectures", None))]
+    broken += [with_(**{m: {**getattr(WHOLE, m), size: 9}}) for m, size, _ in config.MULTIPLES]
+    broken += [with_(**{m: {**getattr(WHOLE, m), "rope_theta": x}}) for m in ("pre", "post") for x in (-1.0, None)]
+    broken += [with_(post={**POST, "model_dim": 16}), with_(post={**POST, "rope_theta": 5.0}), with_(post={**POST, "vocab_size": 7}), with_(pre={**PRE, "vocab_size": 7}), with_(pre={**PRE, "proj_size": 7}), with_(post={**POST, "proj_size": 7})]
+    broken += [with_(chinese=["我", "我"]), with_(context=[]), with_(pinyin=["wo", "wo"]), with_(special=[]), with_(special=["x", "x"]), with_(special=[","])]
+    broken += [with_(version="v2"), with_(batch=0), with_(cache_dtype="float16"), with_(segment_tokens=None), with_(segment_model=False), with_(segment_tokens=["<pad>", "a", "b"]), with_(segment_tokens=["<pad>", "<unk>", "é"])]
+    broken += [with_(segment_tokens=["<pad>", "<unk>", "a", "b"]), with_(segment_tokens=["<pad>", "<unk>", "<unk>"]), with_(segment={**SEGMENT, "pad_token_id": 3}), with_(segment_limits=(2, 9)), with_(segment_limits=(9, 8)), with_(segment_limits=(3, 31))]
+    broken += [with_(shapes={**SHAPES, key: [1]}) for key in SHAPES]
+    found = [config.violations(p) for p in broken]
+    assert all(found)
+    assert {text for x in found for text in x} == {text for text, _ in config.RULES}
+    assert ["caches have a known type"] in found and ["the batch has rows", *found[broken.index(with_(batch=0))][1:]] in found
+    plain = (["我", "们"], ["我", ","], ["wo", "men"], ["bos"])
+    config.check_package(PRE, POST, *plain, limits=(3, 9))
+    with pytest.raises(ValueError, match="attn_dim is a multiple.*vocab_size"):
+        config.check_package(PRE | {"attn_dim": 9, "vocab_size": 4}, POST, *plain)
+
+
+def test_program_headers(spark, tmp_path):
+    (tmp_path / "a.bin").write_bytes(b"\0\0\0\0ET12" + b"x" * 9)
+    (tmp_path / "b.bin").write_bytes(b"\0\0\0\0ET13" + b"x" * 9)
+    (tmp_path / "c.bin").write_bytes(b"\0\0\0\0ET12")
+    assert {r.path[-5]: r.is_program for r in config.program_headers(spark, str(tmp_path)).collect()} == {"a": True, "b": False, "c": False}
+
+
+def test_preprocess_does_not_depend_on_files(spark, tmp_path):
+    """One file and seven, copies of one text among them: the same samples, split, frequencies and prepared rows."""
+    lines = [f"The quick brown fox number {'abcdefgh'[i % 8]}, jumps over the {'lazy' * (i % 3)} dog; and goes on" for i in range(30)] + ["Again and again, the same words here"] * 12
+    df = spark.createDataFrame([(x, None) for x in lines], "t string, u string")
+    made = []
+    for n in (1, 7):
+        df.repartition(n).write.parquet(str(tmp_path / f"p{n}"))
+        (tmp_path / f"j{n}").mkdir()
+        for i in range(n):
+            (tmp_path / f"j{n}/{i}.txt").write_text("\n".join(lines[i::n]), encoding="utf8")
+        c = {"dataset_dir": str(tmp_path / f"out{n}"), "sources": [{"kind": "parquet", "path": str(tmp_path / f"p{n}"), "columns": ["t", "u"]}, {"kind": "text", "path": str(tmp_path / f"j{n}")}], "split": {"train": 0.7}, "windows": {"shortest": 8, "longest": 12, "soft": 30, "hard": 60}, "validation": {"confusion": 0.5}}
+        out = preprocess.run(spark, c, text.letter_readings, allow=" .")
+        made.append({k: sorted(map(repr, v.collect())) for k, v in out.items()})
+        # frequencies are those of all samples
+        rows = [*out["train"].collect(), *out["validation"].collect()]
+        count = Counter((ch, p) for r in rows for ch, p in zip((c for t, label in zip(r.text_list, r.labels) if label == 1 for c in t), r.pinyin_list))
+        assert {(r.ch, r.reading): r.cnt for r in out["frequency"].collect()} == count
+        total = out["totals"].first()
+        assert (total.samples, total.chars) == (len(rows), sum(len(t) for r in rows for t in r.text_list))
+        assert sorted(r.id for r in mds.read_mds(spark, str(tmp_path / f"out{n}/train")).collect()) == sorted(r.id for r in out["train"].collect())
+    assert made[0] == made[1]
+    ids = transform.Ids("abcdefghijklmnopqrstuvwxyzT", "abcdefghijklmnopqrstuvwxyzT ,;", tuple("abcdefghijklmnopqrstuvwxyz"))
+    freq = augment.as_map(out["frequency"])
+    path = str(tmp_path / "out7/train")
+    epoch = transform.epoch_rows(spark, path, "id", ids, freq, 2, block=4, confusion=0.2).orderBy("position").collect()
+    rest = transform.epoch_rows(spark, path, "id", ids, freq, 2, skip=5, block=4, confusion=0.2, tasks=3).orderBy("position").collect()
+    assert epoch[5:] == rest and [r.position for r in epoch] == list(range(len(epoch))) and len({r.id for r in epoch}) == out["train"].count()
 
 
 def test_preprocess_end_to_end(spark, tmp_path):
