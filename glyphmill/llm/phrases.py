@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import duckdb
 import numpy as np
@@ -19,14 +20,23 @@ from .scan import parts_of
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LONGEST = 4
 LEAST = 30
-#: Bytes of pieces whose runs are counted at once before they are dealt.
-SLICE = 4 << 20
-#: Words of a slice whose runs are made at once.
-CHUNK = 1 << 18
-#: Memory of one bucket's count; beyond it DuckDB uses the task's own disk.
-MEMORY = "256MB"
-#: The filter of frequent pairs has 2**FILTER_BITS bits: 8 MB, whatever the input.
-FILTER_BITS = 26
+
+
+@dataclass(frozen=True)
+class Limits:
+    """What a task holds at once; no result depends on it.
+
+    slice: bytes of pieces whose runs are counted before they are dealt; chunk: words of them whose runs are made at once; memory: of one
+    bucket's count, beyond which DuckDB uses the task's own disk; bits: the filter of frequent pairs has 2**bits, 8 MB whatever the input.
+    """
+
+    slice: int = 4 << 20
+    chunk: int = 1 << 18
+    memory: str = "256MB"
+    bits: int = 26
+
+
+LIMITS = Limits()
 RUNS = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("k", pa.int8()), ("w", pa.int64())])
 
 
@@ -49,11 +59,11 @@ def word_ranges(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return start, end, after, piece
 
 
-def pair_slots(raw: np.ndarray, start: np.ndarray, end: np.ndarray, lang: np.ndarray) -> np.ndarray:
+def pair_slots(raw: np.ndarray, start: np.ndarray, end: np.ndarray, lang: np.ndarray, bits: int) -> np.ndarray:
     """For each word, the slot in the filter of the pair that it begins (of the last words: of no meaning)."""
     words = Rolling(BYTE_VALUES[raw]).ranges(start, end)
     with np.errstate(over="ignore"):
-        return (mix(words[:-1] * np.uint64(3) + np.roll(words, -1)[:-1] + mix(lang[:-1])) >> np.uint64(64 - FILTER_BITS)).astype(np.int64) if len(words) else np.zeros(0, np.int64)
+        return (mix(words[:-1] * np.uint64(3) + np.roll(words, -1)[:-1] + mix(lang[:-1])) >> np.uint64(64 - bits)).astype(np.int64) if len(words) else np.zeros(0, np.int64)
 
 
 def lang_hashes(langs: pa.Array) -> np.ndarray:
@@ -69,12 +79,12 @@ def texts_at(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.large_string(), len(n), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(taken)]).cast(pa.string())
 
 
-def run_counts(batch: pa.RecordBatch, lengths: tuple[int, ...], frequent: np.ndarray | None) -> Iterator[pa.Table]:
+def run_counts(batch: pa.RecordBatch, lengths: tuple[int, ...], frequent: np.ndarray | None, limits: Limits = LIMITS) -> Iterator[pa.Table]:
     """lang, phrase, k, w of the runs of the given lengths in pieces, added up within chunks.
 
     With ``frequent`` only of runs all of whose pairs have their bit set in it.
     """
-    for a, z in slices(batch, "piece", SLICE):
+    for a, z in slices(batch, "piece", limits.slice):
         part = batch.slice(a, z - a)
         raw, offsets = joined(part.column("piece"))
         start, end, after, piece = word_ranges(raw, offsets)
@@ -82,30 +92,30 @@ def run_counts(batch: pa.RecordBatch, lengths: tuple[int, ...], frequent: np.nda
         lang = part.column("lang")
         last = after
         if frequent is not None and len(start):
-            slot = pair_slots(raw, start, end, lang_hashes(lang)[piece])
+            slot = pair_slots(raw, start, end, lang_hashes(lang)[piece], limits.bits)
             good = np.concatenate([(frequent[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1, [False]]) & (after > 1)
             stop = np.flatnonzero(~good)  # the last word of each run of frequent pairs
             last = np.minimum(after, stop[np.searchsorted(stop, np.arange(len(good)))] - np.arange(len(good)) + 1)
-        for at in range(0, len(start), CHUNK):
+        for at in range(0, len(start), limits.chunk):
             tables = []
             for k in lengths:
-                i = at + np.flatnonzero(last[at : at + CHUNK] >= k)
+                i = at + np.flatnonzero(last[at : at + limits.chunk] >= k)
                 owner = pa.array(piece[i])
                 tables.append(pa.table([lang.take(owner), texts_at(raw, start[i], end[i + k - 1]), pa.array(np.full(len(i), k, np.int8)), pa.array(weight[piece[i]])], schema=RUNS))
             yield pa.concat_tables(tables).group_by(["lang", "phrase", "k"]).aggregate([("w", "sum")]).rename_columns(["lang", "phrase", "k", "w"]).cast(RUNS)
 
 
-def counted(rows: DataFrame, lengths: tuple[int, ...], least: int, frequent: Broadcast | None = None) -> DataFrame:
+def counted(rows: DataFrame, lengths: tuple[int, ...], least: int, frequent: Broadcast | None = None, limits: Limits = LIMITS) -> DataFrame:
     """lang, phrase, k, f of all runs of the given lengths that occur at least ``least`` times.
 
     Runs are dealt to buckets by hash, in compressed blocks; DuckDB adds up one bucket at a time, and spills
-    beyond ``MEMORY`` to a folder of the task that goes with it.
+    beyond its memory to a folder of the task that goes with it.
     """
     n = parts_of(rows)
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for table in run_counts(batch, lengths, frequent and frequent.value):
+            for table in run_counts(batch, lengths, frequent and frequent.value, limits):
                 raw, offsets = joined(table.column("phrase").combine_chunks())
                 bucket = (Rolling(BYTE_VALUES[raw]).ranges(offsets[:-1], offsets[1:]) % np.uint64(n)).astype(np.int64)
                 order = np.argsort(bucket, kind="stable")
@@ -121,7 +131,7 @@ def counted(rows: DataFrame, lengths: tuple[int, ...], least: int, frequent: Bro
 
     def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpacked = (b for batch in batches for block in batch.column("block") for b in pa.ipc.open_stream(block.as_buffer()))
-        with tempfile.TemporaryDirectory(dir=SparkFiles.getRootDirectory()) as spill, duckdb.connect(config={"threads": 1, "memory_limit": MEMORY, "temp_directory": spill, "preserve_insertion_order": False}) as db:
+        with tempfile.TemporaryDirectory(dir=SparkFiles.getRootDirectory()) as spill, duckdb.connect(config={"threads": 1, "memory_limit": limits.memory, "temp_directory": spill, "preserve_insertion_order": False}) as db:
             runs = pa.RecordBatchReader.from_batches(RUNS, unpacked)  # noqa: F841  read by its name
             found = db.sql(f"SELECT lang, phrase, k::INTEGER AS k, sum(w)::BIGINT AS f FROM runs GROUP BY ALL HAVING sum(w) >= {least}")
             yield from found.to_arrow_reader(100_000)
@@ -130,30 +140,30 @@ def counted(rows: DataFrame, lengths: tuple[int, ...], least: int, frequent: Bro
     return save(dealt.mapInArrow(added, "lang string, phrase string, k int, f long"), free=False)
 
 
-def pair_filter(pairs: DataFrame) -> np.ndarray:
-    """Bits of the frequent pairs (lang, phrase): 2**FILTER_BITS of them, whatever their number.  Pairs that share a bit only cost work."""
+def pair_filter(pairs: DataFrame, bits: int) -> np.ndarray:
+    """Bits of the frequent pairs (lang, phrase): 2**bits of them, whatever their number.  Pairs that share a bit only cost work."""
 
     def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, offsets = joined(batch.column("phrase"))
             start, end, after, piece = word_ranges(raw, offsets)
-            slot = np.unique(pair_slots(raw, start, end, lang_hashes(batch.column("lang"))[piece])[::2])
+            slot = np.unique(pair_slots(raw, start, end, lang_hashes(batch.column("lang"))[piece], bits)[::2])
             yield pa.RecordBatch.from_arrays([pa.array(slot >> 6), pa.array(np.left_shift(np.int64(1), slot & 63))], ["word", "bits"])
 
     words = pairs.select("lang", "phrase").mapInArrow(slots, "word long, bits long").groupBy("word").agg(F.expr("bit_or(bits)").alias("bits")).toArrow()
-    out = np.zeros(1 << (FILTER_BITS - 6), dtype=np.int64)
+    out = np.zeros(1 << (bits - 6), dtype=np.int64)
     out[words.column("word").to_numpy()] = words.column("bits").to_numpy()
     return out.view(np.uint8)
 
 
-def frequent_runs(rows: DataFrame, least: int = LEAST) -> DataFrame:
+def frequent_runs(rows: DataFrame, least: int = LEAST, limits: Limits = LIMITS) -> DataFrame:
     """lang, phrase, k, f of all runs of one to four words that occur at least ``least`` times in ``pieces``.
 
     A run is no more frequent than any pair in it, so longer runs are counted only where all pairs may be frequent.
     """
-    short = counted(rows, (1, 2), least)
-    frequent = rows.sparkSession.sparkContext.broadcast(pair_filter(short.where("k = 2")))
-    return short.unionByName(counted(rows, tuple(range(3, LONGEST + 1)), least, frequent))
+    short = counted(rows, (1, 2), least, limits=limits)
+    frequent = rows.sparkSession.sparkContext.broadcast(pair_filter(short.where("k = 2"), limits.bits))
+    return short.unionByName(counted(rows, tuple(range(3, LONGEST + 1)), least, frequent, limits))
 
 
 def words_from(start: Column | int, n: Column) -> Column:
@@ -184,7 +194,7 @@ def outer_counts(runs: DataFrame) -> DataFrame:
     return inner.groupBy("lang", words_from(F.col("at"), F.col("m")).alias("phrase")).agg(F.max("f").alias("longer"))
 
 
-def collocations(docs: DataFrame, least: int = LEAST, top: int = 2000) -> DataFrame:
+def collocations(docs: DataFrame, least: int = LEAST, top: int = 2000, limits: Limits = LIMITS) -> DataFrame:
     """The best phrases of each lang: lang, rank (from 1), phrase, a, l, r, n, score.
 
     Phrases have two to four words inside a piece and occur a >= ``least`` times; n counts all words of the lang.  The
@@ -196,7 +206,7 @@ def collocations(docs: DataFrame, least: int = LEAST, top: int = 2000) -> DataFr
     rows = save(pieces(docs))
     words = F.length("piece") - F.length(F.translate("piece", " ", "")) + 1
     totals = rows.groupBy("lang").agg(F.sum(F.col("w") * words).alias("n"))
-    runs = frequent_runs(rows, least)
+    runs = frequent_runs(rows, least, limits)
     kept = scored(runs).join(outer_counts(runs), ["lang", "phrase"], "left")
     kept = kept.where("longer IS NULL OR 100 * CAST(longer AS DECIMAL(19,0)) < 80 * CAST(a AS DECIMAL(19,0))")
     best = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
