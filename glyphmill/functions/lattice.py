@@ -127,12 +127,12 @@ def cheapest_steps(t: Texts, at: np.ndarray, length: np.ndarray, cost: np.ndarra
     return step
 
 
-def text_slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
-    """Ranges of texts that hold about ``SLICE`` characters together."""
+def text_slices(texts: pa.Array, limit: int) -> Iterator[tuple[int, int]]:
+    """Ranges of texts that hold about ``limit`` characters together."""
     upto = np.cumsum(pc.utf8_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
     a = 0
     while a < len(texts):
-        z = max(a + 1, int(np.searchsorted(upto, (upto[a - 1] if a else 0) + SLICE, side="right")))
+        z = max(a + 1, int(np.searchsorted(upto, (upto[a - 1] if a else 0) + limit, side="right")))
         yield a, z
         a = z
 
@@ -190,7 +190,7 @@ def cut(texts: Column, words: Phrases) -> Column:
     @F.arrow_udf(T.ArrayType(T.StringType()))
     def run(texts: pa.Array) -> pa.Array:
         out = []
-        for a, z in text_slices(texts):
+        for a, z in text_slices(texts, SLICE):
             t = Texts(texts.slice(a, z - a))
             starts = word_starts(t, words)
             out.append(grouped(t.pieces(starts), t.text[starts], z - a))
@@ -209,7 +209,7 @@ def cut_segments(segs: Column, words: Phrases) -> Column:
         flat = segs.flatten()
         texts, labels = flat.field("text"), flat.field("label").to_numpy(zero_copy_only=False)
         counts, pieces, kinds = [np.zeros(0, np.int64)], [pa.array([], pa.string())], [np.zeros(0, np.int32)]
-        for a, z in text_slices(texts):
+        for a, z in text_slices(texts, SLICE):
             t = Texts(texts.slice(a, z - a))
             own = labels[a:z]
             starts = word_starts(t, words)
@@ -288,7 +288,7 @@ def replaced(texts: Column, table: Phrases) -> Column:
     def run(texts: pa.Array) -> pa.Array:
         out = [pa.array([], pa.string())]
         book, values = table.book.value
-        for a, z in text_slices(pc.fill_null(texts, "")):
+        for a, z in text_slices(pc.fill_null(texts, ""), SLICE):
             part = texts.slice(a, z - a)
             t = Texts(pc.fill_null(part, ""))
             starts, entry = longest(t, book)
@@ -316,7 +316,7 @@ def read(words: Column, table: Phrases) -> Column:
         flat = words.flatten()
         best, own, counts = [pa.array([], pa.string())], [pa.array([], pa.list_(pa.string()))], [np.zeros(0, np.int64)]
         book, values = table.book.value
-        for a, z in text_slices(flat):
+        for a, z in text_slices(flat, SLICE):
             t = Texts(flat.slice(a, z - a))
             n = len(t.points)
             at, length, entry = book.matches(t)
