@@ -5,12 +5,13 @@ once more with the fraction as inclusion probability.  The flight moves the frac
 a stratum along the null space of its constraints (documents and words), so that
 totals stay and one fraction after another becomes 0 or 1.  It runs in buckets; a few units of each bucket
 stay out of it and fly with the leftovers again, until a single bucket a source is left.  There
-the landing rounds the last two fractions, and exchanges a taken unit for one of another length until the words that this
-put in or out are made up for.
+the landing rounds the last two fractions, and exchanges units until the words that this put in or out are made up for.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -22,6 +23,8 @@ WEIGHTS = (1, 2, 3)
 MOST = 3
 #: Units that fly together, about, and those of them that are left for the next level.
 BUCKET, RESERVE = 2_000, 30
+#: Units that the landing chooses anew together.
+SETTLED = 16
 EPS = 1e-9
 
 
@@ -80,12 +83,67 @@ def flight(p: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.ndar
     return np.array(p)
 
 
-def landing(p: np.ndarray, size: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    """Rounds the last fractions (two at most), then exchanges units until the words of the fractions ``wanted`` are met.
+def subsets(size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums and numbers of members of all subsets; bit i of a subset's number says whether it has unit i."""
+    sums, counts = np.zeros(1), np.zeros(1)
+    for x in size:
+        sums, counts = np.concatenate([sums, sums + x]), np.concatenate([counts, counts + 1])
+    return sums, counts
+
+
+def settle(p: np.ndarray, chosen: np.ndarray, size: np.ndarray, over: float, more: float) -> float:
+    """Choose anew which of a few units are taken, so that the words (``over``: how many too many now) come out best; gives what is over then.
 
-    An exchange keeps the number of documents; each one is the pair that leaves the fewest words too many or too few.
+    Of choices within half a word of the best, the one with the better number of documents (``more``: how many too many now), then
+    the one that changes the fewest.
+    """
+    sums, counts = subsets(size[chosen])
+    now = int((p[chosen].astype(np.int64) << np.arange(len(chosen))).sum())
+    miss = np.abs(over + sums - sums[now])
+    near = np.flatnonzero(miss <= miss.min() + 0.5)
+    changed = sum(((near ^ now) >> i) & 1 for i in range(len(chosen)))
+    best = near[np.lexsort((near, miss[near], changed, np.abs(more + counts[near] - counts[now])))[0]]
+    p[chosen] = best >> np.arange(len(chosen)) & 1
+    return over + sums[best] - sums[now]
+
+
+def exchange(p: np.ndarray, size: np.ndarray, over: float, up: Callable[[np.ndarray], np.ndarray], down: Callable[[np.ndarray], np.ndarray], alone: bool) -> float:
+    """Take a unit more and another less (``alone``: or only one of the two) as long as that makes up for words; ``up`` and ``down`` say which may be."""
+    while abs(over) > 0.5:
+        add, cut = np.flatnonzero(up(p)), np.flatnonzero(down(p))
+        moves = []
+        if alone:
+            moves += [(abs(over + size[i]), i, -1) for i in add[np.argsort(np.abs(over + size[add]), kind="stable")[:1]]]
+            moves += [(abs(over - size[i]), -1, i) for i in cut[np.argsort(np.abs(over - size[cut]), kind="stable")[:1]]]
+        if len(add) and len(cut):
+            add = add[np.argsort(size[add], kind="stable")]
+            at = np.searchsorted(size[add], size[cut] - over)
+            at = np.stack([np.maximum(at - 1, 0), np.minimum(at, len(add) - 1)])
+            after = np.abs(over + size[add][at] - size[cut])
+            side, i = np.unravel_index(int(np.argmin(after)), after.shape)
+            # of moves that come out alike, the one that keeps the number of documents
+            moves.insert(0, (after[side, i], add[at[side, i]], cut[i]))
+        if not moves or (best := min(moves, key=lambda m: m[0]))[0] >= abs(over) - 0.5:
+            return over
+        _, i, j = best
+        if i >= 0:
+            p[i] += 1
+            over += float(size[i])
+        if j >= 0:
+            p[j] -= 1
+            over -= float(size[j])
+    return over
+
+
+def landing(p: np.ndarray, size: np.ndarray, wanted: np.ndarray, whole: np.ndarray | None = None) -> np.ndarray:
+    """Rounds the last fractions (two at most) and makes up for the words that this puts in or out.
+
+    First units change places that are taken or not, then a few of them are chosen anew together (all, if there are no more than
+    ``SETTLED``).  Only where words are still missing, units are taken once more or less than their share (never below none or
+    above ``MOST`` times, with ``whole`` times besides), as few as do.
     """
     p = p.copy()
+    size = size.astype(float)
     open_ = np.flatnonzero((p > EPS) & (p < 1 - EPS))
     best = None
     for m in range(1 << len(open_)):
@@ -97,20 +155,17 @@ def landing(p: np.ndarray, size: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     p = np.round(p)
     free = (wanted > EPS) & (wanted < 1 - EPS)
     over = float(((p - wanted) * size).sum())
-    while True:
-        taken, left = np.flatnonzero(free & (p == 1)), np.flatnonzero(free & (p == 0))
-        if not len(taken) or not len(left):
-            return p
-        left = left[np.argsort(size[left], kind="stable")]
-        at = np.searchsorted(size[left], size[taken] - over)
-        at = np.stack([np.maximum(at - 1, 0), np.minimum(at, len(left) - 1)])
-        after = np.abs(over - (size[taken] - size[left][at]))
-        side, i = np.unravel_index(int(np.argmin(after)), after.shape)
-        if after[side, i] >= abs(over) - 0.5:
-            return p
-        j = left[at[side, i]]
-        over -= float(size[taken[i]] - size[j])
-        p[taken[i]], p[j] = 0, 1
+    if free.sum() > SETTLED:
+        over = exchange(p, size, over, lambda p: free & (p == 0), lambda p: free & (p == 1), alone=False)
+    if abs(over) > 0.5 and free.any():
+        units = np.flatnonzero(free)
+        units = units[np.argsort(size[units], kind="stable")][np.unique(np.linspace(0, len(units) - 1, min(SETTLED, len(units))).astype(int))]
+        over = settle(p, units, size, over, float((p - wanted).sum()))
+    if abs(over) > 0.5:
+        whole = np.zeros(len(p)) if whole is None else whole
+        some = size > 0
+        exchange(p, size, over, lambda p: some & (whole + p < MOST), lambda p: some & (whole + p > 0), alone=True)
+    return p
 
 
 def mix_sources(docs: DataFrame, seed: int = 0) -> DataFrame:
@@ -162,7 +217,7 @@ def _fly(seed: int, level: int):
         wanted, size = units["p"].to_numpy(), units["size"].to_numpy()
         p = flight(wanted, size, rng)
         if last:
-            p = landing(p, size, wanted)
+            p = landing(p, size, wanted, units["whole"].to_numpy())
         return pd.concat([kept, units.assign(p=p)]) if len(kept) else units.assign(p=p)
 
     return run

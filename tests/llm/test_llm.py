@@ -448,6 +448,13 @@ def test_cube(spark, docs, rows):
         wanted = np.full(120, 0.37)
         taken = landing(flight(wanted, sizes, np.random.default_rng(seed + 99)), sizes, wanted)
         assert set(taken) <= {0.0, 1.0} and abs((taken * sizes).sum() - 0.37 * sizes.sum()) <= 2 and abs(taken.sum() - 0.37 * 120) <= 2
+    for seed in range(60):  # few documents: as near as any choice comes, or nearer by copies
+        g = np.random.default_rng(seed)
+        n = int(g.integers(3, 13))
+        sizes, wanted, whole = np.maximum(g.lognormal(5, 1.3, n).astype(int), 1), np.full(n, g.random() * 0.98 + 0.01), np.full(n, float(g.integers(0, 3)))
+        taken = landing(flight(wanted, sizes, g), sizes, wanted, whole)
+        miss = min(abs(sum(sizes[i] for i in range(n) if m >> i & 1) - (wanted * sizes).sum()) for m in range(1 << n))
+        assert abs((taken * sizes).sum() - (wanted * sizes).sum()) <= miss + 0.5 and all(0 <= x <= 3 and x == round(x) for x in taken + whole)
     many = spark.range(60_000).select(F.col("id").alias("doc_id"), F.array_join(F.array_repeat(F.lit("w"), (F.col("id") % 9).cast("int") + 1), " ").alias("text"), F.when(F.col("id") % 10 == 0, "b").otherwise("a").alias("source"))
     for r in mix_sources(many).groupBy("target").agg(F.sum("taken").alias("n"), F.max(F.col("taken") / F.col("size")).alias("x")).collect():
         assert abs(r.n - r.target) <= 1 and r.x <= 3
