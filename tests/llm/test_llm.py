@@ -7,6 +7,7 @@ import random
 import re
 import subprocess
 import sys
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -216,6 +217,7 @@ def stored(spark, rows, tmp_path_factory):
     """The corpus as tables, as the queries read them."""
     root = str(tmp_path_factory.mktemp("tables"))
     docs = [r[:5] for r in rows] + [(500, 'key = "9f86d081884c7d659a2feaa0c55ad015"! a@b.cd 10.1.2.3 4111111111111111 +1 555 123 4567', "en", "s1", 1)]
+    docs += [(501 + i, f'key = "{i}f86d081884c7d659a2feaa0c55ad01{i}"', "en", "s1", 1) for i in range(3)] + [(504, "sum 0f86d081884c7d659a2feaa0c55ad0ff alone", "en", "s1", 1)]
     spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").repartition(3).write.parquet(f"{root}/documents.parquet")
     said = "</s>[INST] ok [/INST]"
     turns = [(1, 0, "user", "hi &lt; <|x|>"), (1, 1, "assistant", "a[b]"), (1, 2, "user", None), (1, 3, "assistant", "&amp;"), (2, 0, "system", "s"), (2, 1, "user", "only"), (3, 0, "assistant", None), (3, 1, "assistant", said)]
@@ -246,7 +248,7 @@ def test_query_op5(spark, stored):
         spans = [(k, m.start(), m.end()) for k, p in BASE.items() for m in re.finditer(p, t or "") if good(k, m.group())]
         listed = [f"{k}:{a}:{z}" for k, a, z in spans]
         n = Counter(k for k, _, _ in spans)
-        more = ["id:7:39"] if i == 500 else []
+        more = ["id:7:39"] if i in (500, 501, 502, 503) else []
         want.append((repr(i), *(n[k] for k in BASE), hashlib.sha256(",".join(listed).encode()).hexdigest(), ",".join(listed + more)))
     assert got == sorted(want)
 
@@ -290,6 +292,63 @@ def test_pii_discovers_secrets(spark):
     assert not any(found[i] for i in found if i >= 100)
 
 
+def test_the_graph_decides(spark):
+    """Planted identifiers: form alone (rounds=0) reports none, the graph reports those in shared contexts, with or without the form, and no others."""
+    r = random.Random(23)
+    code = lambda n: "".join(r.choice("0123456789abcdef") for _ in range(n - 2)) + "7c"
+    prose = lambda n: " ".join(r.choice(["river", "stone", "in", "the", "over"]) for _ in range(n))
+    planted = {i: code(40 if i < 14 else 9) for i in range(20)}
+    alone = {100 + i: code(40) for i in range(5)}  # each in a context of its own
+    rows = [(i, f"{prose(5)} apikey: {c} {prose(4)}") for i, c in planted.items()] + [(i, f"{prose(3)} q{chr(97 + i % 26)}z{chr(97 + i // 5 % 26)} {c} {chr(98 + i % 20)}y end") for i, c in alone.items()]
+    rows += [(200 + i, f"{prose(3)} room 4{chr(97 + i % 20)}{i} {prose(4)}") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {n: {x.doc_id: [dict(rows)[x.doc_id][s.start : s.end] for s in x.found] for x in pii.extract(df, rounds=n).collect()} for n in (0, 3)}
+    assert not any(found[0].values())
+    told = {i for i, f in found[3].items() if f}
+    assert told == set(planted) and all(found[3][i] == [c] for i, c in planted.items())  # precision and recall 1
+
+
+def test_scores_of_the_graph(spark):
+    r = random.Random(2)
+    edges = sorted({(f"p{r.randrange(9)}", f"i{r.randrange(40)}") for _ in range(120)})
+    seed = {i: r.choice([0.0, 0.0, 1.0]) for _, i in edges}
+    score = dict(seed)
+    for _ in range(3):
+        of = defaultdict(list)
+        for p, i in edges:
+            of[p].append(score[i])
+        confidence = {p: sum(x) / (len(x) + 1) for p, x in of.items() if len(x) >= 3 and sum(x) / (len(x) + 1) >= 0.4}
+        reached = {i: 1 - np.prod([1 - confidence[p] for p, o in edges if o == i and p in confidence]) for i in seed}
+        score = {i: max(seed[i], reached[i]) for i in seed}
+    df = spark.createDataFrame([(p, i, seed[i]) for p, i in edges], "pattern string, instance string, seed double")
+    got = pii.scored(df, 3, 0.4, 3).collect()
+    assert {x.instance: x.score for x in got} == pytest.approx(score) and {x.instance: x.reached for x in got} == pytest.approx(reached)
+    assert {x.instance: (x.score, x.reached) for x in pii.scored(df, 0, 0.4, 3).collect()} == {i: (x, 0.0) for i, x in seed.items()}
+
+
+def test_overlaps(spark):
+    r = random.Random(6)
+    rows = []
+    for n in range(60):
+        cuts = sorted(r.sample(range(900), 2 * r.choice([0, 1, 3, 150])))
+        cand = list(zip(cuts[::2], cuts[1::2]))
+        fixed = [(a, a + r.randrange(1, 9)) for a in r.sample(range(900), r.choice([0, 1, 140]))]
+        rows.append((n, fixed, cand))
+    df = spark.createDataFrame(rows, "n long, f array<struct<start:int,end:int>>, c array<struct<start:int,end:int>>")
+    for x in df.select("n", pii.overlapping(F.col("f"), F.col("c")).alias("o")).collect():
+        assert x.o == [any(a < z2 and a2 < z for a2, z2 in rows[x.n][1]) for a, z in rows[x.n][2]]
+
+
+def test_a_long_text_of_many_candidates(spark):
+    """1 MB with some 40,000 candidates and 20,000 fixed spans: linear, so a few seconds."""
+    line = "call +1 (555) 123-4567 or mail a.b@c.de on 12 may for item x{} in all twelve words\n"
+    text = "".join(line.format(i) for i in range(12_000))
+    assert len(text) > 900_000
+    began = time.monotonic()
+    x = pii.extract(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert len(x.phone) == len(x.email) == 12_000 and time.monotonic() - began < 90
+
+
 def test_sums_before(spark):
     for n in (0, 1, 127, 128, 129, 1000):
         values = [i % 7 for i in range(n)]
