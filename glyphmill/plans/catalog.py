@@ -13,6 +13,7 @@ from ..functions import lattice, lexicon, rng, spans, text
 from ..functions.profile import LATIN
 from ..operators import augment, beam, metrics, ragged, sample, segment, transform, vocab
 from ..streaming.segments import segment_rows
+from . import functions as sqlapi
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -243,6 +244,16 @@ def window_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segment.windows(df, "doc_id", "s", least_ratio=0.5).select("doc_id", "start", F.size("labels").alias("n"), joined(F.col("text_list")).alias("texts"))
 
 
+@query(ORACLE["window_samples"])
+def windows_in_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``window_samples`` as a user writes it in Spark SQL."""
+    sqlapi.register(spark)
+    docs(spark, sf_dir).createOrReplaceTempView("_documents")
+    return spark.sql("""SELECT d.doc_id, w.start, size(w.labels) AS n, md5(array_join(w.text_list, ',')) AS texts
+FROM (SELECT doc_id, text_segments(text) AS segs FROM _documents WHERE text_eligible(text, 0.5)) d, LATERAL text_windows(CAST(d.doc_id AS STRING), d.segs) w
+WHERE target_ratio(array_join(w.text_list, '')) >= 0.5""")
+
+
 PINYIN = f"flatten(list_transform(list_filter(list_zip(texts, labels), lambda z: z[2] = 1), lambda z: {read_sql('z[1]')}))"
 _MADE = f"n::INTEGER AS n, md5(array_to_string(texts, ',')) AS texts, len({PINYIN})::INTEGER AS n_readings, md5(array_to_string({PINYIN}, ',')) AS readings FROM samples WHERE {RATIO} >= 0.5"
 
