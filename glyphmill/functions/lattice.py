@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import copy
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -13,8 +14,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .profile import TARGET
-
 #: Characters of all phrases of a lexicon that every worker gets; a larger lexicon is joined instead.
 MOST_CHARS = 1 << 24
 #: Characters that are looked up at once.
@@ -37,13 +36,29 @@ class Texts:
         self.text = np.repeat(np.arange(len(texts)), self.ends - self.begins)
         self.stop = self.ends[self.text] if len(self.points) else np.zeros(0, np.int64)
 
+    def within(self, begins: np.ndarray, ends: np.ndarray, stop: np.ndarray) -> Texts:
+        """The same characters, walked from ``begins`` to ``ends`` only; ``stop``: where the part that each is in ends."""
+        out = copy.copy(self)
+        out.begins, out.ends, out.stop = begins, ends, stop
+        return out
+
+    def bytes_before(self) -> np.ndarray:
+        return np.concatenate([[0], np.cumsum(1 + (self.points > 0x7F) + (self.points > 0x7FF) + (self.points > 0xFFFF))])
+
     def pieces(self, starts: np.ndarray) -> pa.Array:
         """The strings between starts, which share the texts' bytes."""
-        width = 1 + (self.points > 0x7F) + (self.points > 0x7FF) + (self.points > 0xFFFF)
-        at = np.concatenate([[0], np.cumsum(width)])
+        at = self.bytes_before()
         offsets = np.append(at[starts], at[-1])
         return pa.Array.from_buffers(pa.large_string(), len(starts), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(self.raw)]).cast(pa.string())
 
+    def ranges(self, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
+        """The strings from starts to ends."""
+        at = self.bytes_before()
+        a, n = at[starts], at[ends] - at[starts]
+        offsets = np.concatenate([[0], np.cumsum(n)])
+        taken = np.frombuffer(self.raw, np.uint8)[np.repeat(a - offsets[:-1], n) + np.arange(offsets[-1])]
+        return pa.Array.from_buffers(pa.large_string(), len(n), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(taken)]).cast(pa.string())
+
 
 class Book:
     """A trie of phrases as sorted arrays: level n has the keys (node above, code point) of all beginnings of n + 1 characters, and which phrase ends there."""
@@ -169,7 +184,7 @@ def costs(lexicon: DataFrame, word: str = "word", freq: str = "freq") -> tuple[D
 
 
 def word_book(lexicon: DataFrame, word: str = "word", freq: str = "freq") -> Phrases:
-    """A lexicon (word, freq) for ``cut_segments``; ValueError if it is too large to be sent to workers: then ``cut_runs`` joins it."""
+    """A lexicon (word, freq) for ``cut`` and ``segment.segments``; ValueError if it is too large to be sent to workers: then ``cut_runs`` joins it."""
     priced, total = costs(lexicon, word, freq)
     if not small(priced, "word"):
         raise ValueError(f"the lexicon has more than {MOST_CHARS} characters")
@@ -199,32 +214,6 @@ def cut(texts: Column, words: Phrases) -> Column:
     return run(texts)
 
 
-def cut_segments(segs: Column, words: Phrases) -> Column:
-    """Segments (text, label) with each target one cut into its words."""
-    kind = T.ArrayType(T.StructType([T.StructField("text", T.StringType()), T.StructField("label", T.IntegerType())]))
-
-    @F.arrow_udf(kind)
-    def run(segs: pa.Array) -> pa.Array:
-        sizes = pc.fill_null(pc.list_value_length(segs), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-        flat = segs.flatten()
-        texts, labels = flat.field("text"), flat.field("label").to_numpy(zero_copy_only=False)
-        counts, pieces, kinds = [np.zeros(0, np.int64)], [pa.array([], pa.string())], [np.zeros(0, np.int32)]
-        for a, z in text_slices(texts, SLICE):
-            t = Texts(texts.slice(a, z - a))
-            own = labels[a:z]
-            starts = word_starts(t, words)
-            starts = starts[(own[t.text[starts]] == TARGET) | np.isin(starts, t.begins)]
-            counts.append(np.bincount(t.text[starts], minlength=z - a))
-            pieces.append(t.pieces(starts))
-            kinds.append(own[t.text[starts]].astype(np.int32))
-        before = np.concatenate([[0], np.cumsum(np.concatenate(counts))])
-        offsets = before[np.concatenate([[0], np.cumsum(sizes)])]
-        made = pa.StructArray.from_arrays([pa.concat_arrays(pieces), pa.array(np.concatenate(kinds))], ["text", "label"])
-        return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), made)
-
-    return run(segs)
-
-
 def cut_runs(rows: DataFrame, run: str, lexicon: DataFrame, word: str = "word", freq: str = "freq") -> DataFrame:
     """rows with ``words``: each distinct run cut into the words of a lexicon of any size.
 

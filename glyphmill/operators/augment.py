@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.profile import TARGET
-from ..functions.rng import golden, integer, uniform
-from ..functions.spans import select_span, targets_before
+from ..functions.rng import drawn, golden_place, uniform
 from ..functions.text import final, initial
 
 
@@ -100,24 +104,69 @@ def suffixes(df: DataFrame, key: str, strategy: str = "random", epoch: int = 0,
     """
     if strategy not in ("golden", "random"):
         raise ValueError(f"unknown strategy: {strategy}")
-    n = F.size(F.filter("labels", lambda l: l == TARGET))
-    df = df.where(n > 0)
-    k = golden(F.array_join("text_list", ""), F.lit(epoch), n) if strategy == "golden" else integer(seed, "k", 1, n, key)
-    df = df.withColumn("k", k)
-    k, labels = F.col("k"), F.col("labels")
-    alone = uniform(seed, "ctx", key) < no_context
-    back = uniform(seed, "dir", key) >= forward
-    span = F.when(alone, select_span(labels, k, "bidirectional")).when(back, select_span(labels, k, "backward")).otherwise(select_span(labels, k, "forward"))
-    df = df.withColumn("span", span).withColumn("before", targets_before(labels, F.col("text_list"))).withColumn("alone", alone)
-    sel, end = F.col("span.sel"), F.col("span.end")
-    cut = lambda a, z: F.array_join(F.slice("text_list", a + 1, z - a), "")
-    offset = F.get("before", sel)
-    rows = df.select(key, "alone", cut(F.lit(0), sel).alias("prefix"), cut(sel, end).alias("suffix"), offset.alias("offset"), (F.get("before", end) - offset).alias("n_readings"), *(["pinyin_list"] if "pinyin_list" in df.columns else []))
-    if "pinyin_list" not in rows.columns:
-        return rows
-    rows = rows.withColumn("readings", F.slice("pinyin_list", F.col("offset") + 1, F.col("n_readings"))).drop("pinyin_list")
-    aligned = F.size("readings") == F.length("suffix")
-    return rows.withColumn("readings", F.when(aligned, F.col("readings")).otherwise(F.raise_error(F.concat(F.lit("readings and text are not aligned: "), F.col("suffix"))).cast("array<string>")))
+    columns = [key, "text_list", "labels", *(["pinyin_list"] if "pinyin_list" in df.columns else [])]
+    fields = [df.schema[key], T.StructField("alone", T.BooleanType()), T.StructField("prefix", T.StringType()), T.StructField("suffix", T.StringType()), T.StructField("offset", T.IntegerType()), T.StructField("n_readings", T.IntegerType())]
+    if len(columns) == 4:
+        fields.append(T.StructField("readings", T.ArrayType(T.StringType())))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays(spans_of(batch, strategy, epoch, no_context, forward, seed), [f.name for f in fields])
+
+    return df.select(*columns).mapInArrow(run, T.StructType(fields))
+
+
+def begins_of(lists: pa.ListArray) -> np.ndarray:
+    """Where each list begins in the flattened values, and where the last one ends; null is empty."""
+    return np.concatenate([[0], np.cumsum(pa.compute.fill_null(pa.compute.list_value_length(lists), 0).to_numpy(zero_copy_only=False))]).astype(np.int64)
+
+
+def spans_of(batch: pa.RecordBatch, strategy: str, epoch: int, no_context: float, forward: float, seed: int) -> list[pa.Array]:
+    """The columns of ``suffixes``: spans by running sums over all labels of a batch; joined texts share the bytes of their segments."""
+    row = begins_of(batch.column(1))
+    texts = batch.column(1).flatten().cast(pa.large_string())
+    target = batch.column(2).flatten().to_numpy(zero_copy_only=False) == TARGET
+    m = len(target)
+    upto = np.concatenate([[0], np.cumsum(target)])
+    places = np.flatnonzero(target)
+    chars = np.concatenate([[0], np.cumsum(np.where(target, pa.compute.utf8_length(texts).to_numpy(zero_copy_only=False), 0))]).astype(np.int64)
+    at = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + m + 1] if m else np.zeros(1, np.int64)
+    raw = bytes(texts.buffers()[2] or b"") if m else b""
+    # of each segment the first and last one (exclusive) of its run of targets; runs end with their row
+    edge = np.ones(m + 1, dtype=bool)
+    edge[1:m] = target[1:] != target[:-1]
+    edge[row] = True
+    cuts = np.flatnonzero(edge)
+    keys, mine = batch.column(0).to_pylist(), []
+    alone, sel, end = [], [], []
+    for r, key in enumerate(keys):
+        n = int(upto[row[r + 1]] - upto[row[r]])
+        if not n:
+            continue
+        k = golden_place(raw[at[row[r]] : at[row[r + 1]]], epoch, n) if strategy == "golden" else 1 + int(drawn(seed, "k", key) * n)
+        anchor = int(places[upto[row[r]] + k - 1])
+        i = int(np.searchsorted(cuts, anchor, side="right"))
+        left, right = int(cuts[i - 1]), int(cuts[i])
+        whole, back = drawn(seed, "ctx", key) < no_context, drawn(seed, "dir", key) >= forward
+        mine.append(r)
+        alone.append(whole)
+        sel.append(left if whole or not back else anchor)
+        end.append(right if whole or back else anchor + 1)
+    first, sel, end = row[np.array(mine, np.int64)], np.array(sel, np.int64), np.array(end, np.int64)
+    strings = lambda a, z: pa.array([raw[x:y].decode() for x, y in zip(at[a].tolist(), at[z].tolist())], pa.string())
+    offset, count = chars[sel] - chars[first], chars[end] - chars[sel]
+    suffix = strings(sel, end)
+    out = [batch.column(0).take(pa.array(mine, pa.int64())), pa.array(alone, pa.bool_()), strings(first, sel), suffix, pa.array(offset.astype(np.int32)), pa.array(count.astype(np.int32))]
+    if batch.num_columns == 4:
+        begin = begins_of(batch.column(3))
+        low = begin[np.array(mine, np.int64)] + offset
+        wrong = (low + count > begin[np.array(mine, np.int64) + 1]) | (count != pa.compute.utf8_length(suffix).to_numpy(zero_copy_only=False))
+        if wrong.any():
+            raise ValueError(f"readings and text are not aligned: {suffix[int(np.argmax(wrong))]}")
+        bounds = np.concatenate([[0], np.cumsum(count)])
+        taken = np.repeat(low - bounds[:-1], count) + np.arange(bounds[-1])
+        out.append(pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), batch.column(3).flatten().take(pa.array(taken))))
+    return out
 
 
 def prepared(df: DataFrame, key: str, no_context: float = 0.2, forward: float = 0.3, seed: int = 0, frequency: Column | None = None, confusion: float = 0.0) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -14,11 +15,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.lattice import Phrases, cut_segments, read
+from ..functions.lattice import SLICE, Phrases, Texts, read, text_slices, word_starts
 from ..functions.lexicon import DROPPED, flat, nested_of
-from ..functions.once import let
 from ..functions.profile import LATIN, OTHER, PAUSE, TARGET, Profile
-from ..functions.text import category, ratio
+from ..functions.text import ratio
 
 
 def runs(text: Column, p: Profile = LATIN) -> Column:
@@ -26,25 +26,66 @@ def runs(text: Column, p: Profile = LATIN) -> Column:
     return F.regexp_extract_all(text, F.lit(f"([{p.target}]+|[{p.pause}]+|[^{p.target}{p.pause}]+)"), F.lit(1))
 
 
+SEGMENTS = T.ArrayType(T.StructType([T.StructField("text", T.StringType()), T.StructField("label", T.IntegerType())]))
+
+
+def char_labels(points: np.ndarray, p: Profile) -> np.ndarray:
+    """The label of each code point; pause wins over target.  Classes are asked once for each distinct one."""
+    here, of = np.unique(points, return_inverse=True)
+    plain = lambda c: re.sub(r"\\x\{([0-9A-Fa-f]+)\}", lambda m: f"\\U{int(m[1], 16):08x}", c)  # noqa: E731  as Python writes it
+    pause, target = (re.compile(f"[{plain(c)}]") for c in (p.pause, p.target))
+    kind = np.array([PAUSE if pause.match(chr(c)) else TARGET if target.match(chr(c)) else OTHER for c in here.tolist()], dtype=np.int32)
+    return kind[of] if len(here) else np.zeros(0, np.int32)
+
+
+def cut_texts(texts: pa.Array, p: Profile, by_char: bool, longest_other: int, words: Phrases | None) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """How many segments each text has, and their texts and labels."""
+    t = Texts(texts)
+    n = len(t.points)
+    label = char_labels(t.points, p)
+    first = np.ones(n, dtype=bool)
+    first[1:] = label[1:] != label[:-1]
+    first[t.begins[t.begins < t.ends]] = True
+    starts = np.flatnonzero(first)
+    size = np.diff(np.append(starts, n))
+    if by_char:
+        first |= label == TARGET
+    elif words is not None:
+        target = label[starts] == TARGET
+        runs_ = t.within(starts[target], (starts + size)[target], np.repeat(starts + size, size))
+        first[word_starts(runs_, words)] = True
+    dropped = np.repeat((label[starts] == OTHER) & (size > longest_other), size)
+    starts = np.flatnonzero(first)
+    ends = np.append(starts[1:], n)
+    ends = np.where(label[starts] == PAUSE, starts + 1, ends)
+    kept = ~dropped[starts]
+    starts, ends = starts[kept], ends[kept]
+    return np.bincount(t.text[starts], minlength=len(texts)), t.ranges(starts, ends), label[starts]
+
+
 def segments(text: Column, p: Profile = LATIN, mode: str = "word", longest_other: int = 16, words: Phrases | None = None) -> Column:
     """array<struct<text,label>>: pause runs as their first mark, other runs above ``longest_other`` dropped, words or characters.
 
     Words are whole target runs (mode char: their characters), or with a lexicon (``lattice.word_book``) those of each run's likeliest cut.
+    Whole Arrow batches are cut at once: the built-in functions on lists ask each run's class by itself.
     """
     if mode not in ("word", "char"):
         raise ValueError(f"unknown mode: {mode}")
-    shown = lambda x, label: F.struct(F.when(label == PAUSE, F.substring(x, 1, 1)).otherwise(x).alias("text"), label.alias("label"))
-    if words is None:
-        made = F.transform(runs(text, p), lambda x: let(category(F.substring(x, 1, 1), p), lambda label: shown(x, label)))
-    else:  # a function in Python doesn't take what has lambdas within lambdas
-        made = F.transform(runs(text, p), lambda x: shown(x, category(F.substring(x, 1, 1), p)))
-    made = F.filter(made, lambda s: (s["label"] != OTHER) | (F.length(s["text"]) <= longest_other))
-    if words is not None and mode == "word":
-        made = cut_segments(made, words)
-    if mode == "char":
-        letters = lambda s: F.transform(F.split(s["text"], ""), lambda c: F.struct(c.alias("text"), s["label"].alias("label")))
-        made = F.flatten(F.transform(made, lambda s: F.when(s["label"] == TARGET, letters(s)).otherwise(F.array(s))))
-    return made
+
+    @F.arrow_udf(SEGMENTS)
+    def run(texts: pa.Array) -> pa.Array:
+        counts, pieces, labels = [np.zeros(0, np.int64)], [pa.array([], pa.string())], [np.zeros(0, np.int32)]
+        filled = pa.compute.fill_null(texts, "")
+        for a, z in text_slices(filled, SLICE):
+            n, piece, label = cut_texts(filled.slice(a, z - a), p, mode == "char", longest_other, words)
+            counts.append(n)
+            pieces.append(piece)
+            labels.append(label)
+        offsets = pa.array(np.concatenate([[0], np.cumsum(np.concatenate(counts))]).astype(np.int32))
+        made = pa.StructArray.from_arrays([pa.concat_arrays(pieces), pa.array(np.concatenate(labels))], ["text", "label"])
+        return pa.ListArray.from_arrays(offsets, made, mask=pa.compute.is_null(texts) if texts.null_count else None)
+
+    return run(text)
 
 
 def with_readings(segs: Column, reader: Callable[[Column], Column]) -> Column:
