@@ -27,7 +27,7 @@ class Ids:
 def encoded(rows: DataFrame, ids: Ids, *keep: str) -> DataFrame:
     """Six lists of ids and prefix_lengths of rows with prefix, suffix and readings."""
     made = ragged.two_phase(vocab.encode(F.col("prefix"), ids.context), vocab.encode(F.col("suffix"), ids.context), vocab.encode_aligned(F.col("prefix"), ids.target), ids.begin)
-    made["postfix_ids"] = F.transform("readings", lambda r: vocab.nearest(r, list(ids.readings)))
+    made["postfix_ids"] = F.transform("readings", lambda r: vocab.known_or_nearest(r, list(ids.readings)))
     made["target_ids"] = vocab.encode(F.col("suffix"), ids.target)
     return rows.select(*keep, *[c.alias(k) for k, c in made.items()])
 

@@ -48,8 +48,7 @@ class Tokenizer:
         return F.array_join(F.filter(F.transform(ids, lambda i: F.get(tokens, i)), lambda c: c.isNotNull()), "")
 
     def encode_pinyin(self, readings: Column) -> Column:
-        table = self.ids("pinyin")
-        return F.transform(readings, lambda r: F.coalesce(F.try_element_at(table, r), nearest(r, self.pinyin)))
+        return F.transform(readings, lambda r: known_or_nearest(r, self.pinyin))
 
 
 def build(tokens: DataFrame, order: str) -> DataFrame:
@@ -89,6 +88,11 @@ def nearest(token: Column, vocab: list[str]) -> Column:
     return F.array_min(F.transform(items, lambda x: F.struct(F.levenshtein(x["t"], token).alias("d"), x["i"].alias("i"))))["i"]
 
 
+def known_or_nearest(token: Column, vocab: list[str]) -> Column:
+    """Id of the token if it is one, else ``nearest``, which compares it with the whole vocabulary."""
+    return F.coalesce(F.try_element_at(as_map(vocab), token), nearest(token, vocab))
+
+
 def possibilities(lexicon: DataFrame, vocab: DataFrame) -> DataFrame:
     """Edges (token id, ch): each reading of a character and its short forms, as far as they are in the vocabulary."""
     forms = F.array_union(F.array("reading"), shorthands(F.col("reading")))
