@@ -20,8 +20,8 @@ MOST_CHARS = 1 << 24
 SLICE = 1 << 20
 #: What a natural logarithm is multiplied by; costs are whole numbers, so that sums are exact in any order.
 SCALE = 1_000_000
-#: Longest phrase of a lexicon that is joined.
-LONGEST = 24
+#: Characters of a block of a lexicon that is joined.
+BLOCK_CHARS = 1 << 23
 
 
 class Texts:
@@ -78,9 +78,10 @@ class Book:
             entry[own[last]] = live[last]
             self.levels.append((keys, entry))
 
-    def matches(self, t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Where each match begins, its length and its phrase; all places go down the trie together."""
-        at, node = np.arange(len(t.points)), np.zeros(len(t.points), np.int64)
+    def matches(self, t: Texts, at: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where each match begins (``at``: at these places only), its length and its phrase; all places go down the trie together."""
+        at = np.arange(len(t.points)) if at is None else at
+        node = np.zeros(len(at), np.int64)
         found = []
         for n, (keys, entry) in enumerate(self.levels):
             inside = at + n < t.stop[at]
@@ -144,9 +145,14 @@ def cheapest_steps(t: Texts, at: np.ndarray, length: np.ndarray, cost: np.ndarra
 
 def text_slices(texts: pa.Array, limit: int) -> Iterator[tuple[int, int]]:
     """Ranges of texts that hold about ``limit`` characters together."""
-    upto = np.cumsum(pc.utf8_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+    yield from ranges(pc.utf8_length(texts).to_numpy(zero_copy_only=False).astype(np.int64), limit)
+
+
+def ranges(sizes: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
+    """Ranges of rows whose sizes are about ``limit`` together; a larger row is one by itself."""
+    upto = np.cumsum(sizes)
     a = 0
-    while a < len(texts):
+    while a < len(sizes):
         z = max(a + 1, int(np.searchsorted(upto, (upto[a - 1] if a else 0) + limit, side="right")))
         yield a, z
         a = z
@@ -217,30 +223,123 @@ def cut(texts: Column, words: Phrases) -> Column:
 def cut_runs(rows: DataFrame, run: str, lexicon: DataFrame, word: str = "word", freq: str = "freq") -> DataFrame:
     """rows with ``words``: each distinct run cut into the words of a lexicon of any size.
 
-    A lexicon of up to ``MOST_CHARS`` characters goes to the workers.  Of a larger one each run is joined with the entries that are in
-    it (of ``LONGEST`` characters at most), which are no more than its own places times that.
+    A lexicon of up to ``MOST_CHARS`` characters goes to the workers.  A larger one is dealt into blocks by the first two characters of a
+    word.  A run goes to the blocks of its own pairs of characters, each of which finds the words that begin there, so that
+    what is shuffled of a run is a copy for each block that it meets and a list of hits, and no task holds more than a block.
     """
     priced, total = costs(lexicon, word, freq)
-    if small(priced, "word"):
+    chars = priced.agg(F.sum(F.length("word"))).first()[0] or 0
+    if chars <= MOST_CHARS:
         return rows.withColumn("words", cut(F.col(run), word_book(lexicon, word, freq)))
-    distinct = rows.select(F.col(run).alias("_run")).distinct()
-    at = distinct.where("length(_run) > 0").select("_run", F.explode(F.sequence(F.lit(1), F.length("_run"))).alias("at"))
-    parts = at.select("_run", "at", F.explode(F.sequence(F.lit(1), F.least(F.lit(LONGEST), F.length("_run") - F.col("at") + 1))).alias("n"))
-    hits = parts.select("_run", (F.col("at") - 1).alias("at"), "n", F.substring("_run", F.col("at"), F.col("n")).alias("word")).join(priced, "word")
-    hits = hits.groupBy("_run").agg(F.collect_list(F.struct(F.col("at").cast("long").alias("at"), F.col("n").cast("long").alias("n"), "cost")).alias("hits"))
+    blocks = -(-chars // BLOCK_CHARS)
+    distinct = rows.select(F.col(run).alias("text")).where("length(text) > 0").distinct()
+    shape = "block long, text string, cost long, places array<int>"
+    dealt = priced.select("word", "cost").mapInArrow(dealt_words(blocks), shape).unionByName(distinct.mapInArrow(dealt_runs(blocks), shape))
+    dealt = dealt.repartition("block").sortWithinPartitions("block", F.col("cost").isNull())
+    hits = dealt.mapInArrow(block_hits, "_run string, at array<int>, n array<int>, cost array<long>")
+    hits = hits.groupBy("_run").agg(F.collect_list(F.struct("at", "n", "cost")).alias("hits"))
     unknown = round(SCALE * float(np.log(total)))
 
     @F.arrow_udf(T.ArrayType(T.StringType()))
-    def path(texts: pa.Array, hits: pa.Array) -> pa.Array:
-        t = Texts(texts)
-        sizes = pc.fill_null(pc.list_value_length(hits), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-        flat = hits.flatten()
-        at, n, cost = (flat.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("at", "n", "cost"))
-        starts = walk(t, cheapest_steps(t, at + np.repeat(t.begins, sizes), n, cost, unknown))
-        return grouped(t.pieces(starts), t.text[starts], len(texts))
-
-    found = distinct.join(hits, "_run", "left").select("_run", path("_run", "hits").alias("words"))
-    return rows.join(found, F.col(run) == F.col("_run")).drop("_run")
+    def path(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for columns in batches:
+            for a, z in text_slices(columns[0], SLICE):
+                texts, at, n, cost = (c.slice(a, z - a) for c in columns)
+                t = Texts(texts)
+                sizes = pc.list_value_length(at).to_numpy(zero_copy_only=False).astype(np.int64)
+                at, n, cost = (c.flatten().to_numpy(zero_copy_only=False).astype(np.int64) for c in (at, n, cost))
+                starts = walk(t, cheapest_steps(t, at + np.repeat(t.begins, sizes), n, cost, unknown))
+                yield grouped(t.pieces(starts), t.text[starts], z - a)
+
+    found = hits.select("_run", path("_run", *[F.flatten(F.col(f"hits.{c}")) for c in ("at", "n", "cost")]).alias("words"))
+    out = rows.where(F.col(run).isNotNull()).join(found, F.col(run) == F.col("_run"), "left").drop("_run")
+    return out.withColumn("words", F.coalesce("words", F.array().cast("array<string>")))
+
+
+def pair_blocks(first: np.ndarray, second: np.ndarray, blocks: int) -> np.ndarray:
+    """The block of each pair of characters (second 0: the text ends)."""
+    key = (first << 21 | second).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return ((key >> np.uint64(32)) % np.uint64(blocks)).astype(np.int64)
+
+
+def next_points(t: Texts) -> np.ndarray:
+    """The character after each one in its text, 0 at the end."""
+    after = np.zeros(len(t.points), np.int64)
+    after[:-1] = np.where(t.text[1:] == t.text[:-1], t.points[1:], 0)
+    return after
+
+
+def dealt_words(blocks: int):
+    """Words (word, cost) with their block; a single character is in all of them, as it may be before any other."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, z in text_slices(batch.column(0), SLICE):
+                part = batch.slice(a, z - a)
+                t = Texts(part.column(0))
+                block = pair_blocks(t.points[t.begins], next_points(t)[t.begins], blocks)
+                single = np.flatnonzero(t.ends - t.begins == 1)
+                longer = np.flatnonzero(t.ends - t.begins > 1)
+                of = pa.array(np.concatenate([longer, np.repeat(single, blocks)]))
+                block = np.concatenate([block[longer], np.tile(np.arange(blocks), len(single))])
+                yield pa.RecordBatch.from_arrays([pa.array(block), part.column(0).take(of), part.column(1).take(of), pa.nulls(len(of), pa.list_(pa.int32()))], ["block", "text", "cost", "places"])
+
+    return run
+
+
+def dealt_runs(blocks: int):
+    """A row for each block that a run meets, with the places whose pair of characters is of that block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, z in text_slices(batch.column(0), SLICE):
+                texts = batch.column(0).slice(a, z - a)
+                t = Texts(texts)
+                block = pair_blocks(t.points, next_points(t), blocks)
+                order = np.lexsort((block, t.text))
+                block, text = block[order], t.text[order]
+                first = np.ones(len(order), dtype=bool)
+                first[1:] = (block[1:] != block[:-1]) | (text[1:] != text[:-1])
+                first = np.flatnonzero(first)
+                places = pa.ListArray.from_arrays(pa.array(np.append(first, len(order)).astype(np.int32)), pa.array((order - t.begins[text]).astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([pa.array(block[first]), texts.take(pa.array(text[first])), pa.nulls(len(first), pa.int64()), places], ["block", "text", "cost", "places"])
+
+    return run
+
+
+def block_hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Where words of a block begin in its runs, which come after the words."""
+    at: int | None = None
+    words: list[pa.RecordBatch] = []
+    book = cost = None
+    for batch in batches:
+        block = batch.column(0).to_numpy()
+        is_run = pc.is_null(batch.column(2)).to_numpy(zero_copy_only=False)
+        cuts = np.flatnonzero(np.diff(block) | np.diff(is_run)) + 1
+        for a, z in zip([0, *cuts.tolist()], [*cuts.tolist(), len(batch)]):
+            if a == z:
+                continue
+            part = batch.slice(a, z - a)
+            if block[a] != at:
+                at, words, book = int(block[a]), [], None
+            if not is_run[a]:
+                words.append(part.select([1, 2]))
+                continue
+            if book is None:
+                known = pa.Table.from_batches(words) if words else None
+                book = Book(known.column(0).to_pylist() if words else [])
+                cost = known.column(1).to_numpy() if words else np.zeros(0, np.int64)
+                words = []
+            for i, j in text_slices(part.column(1), SLICE):
+                t, places = Texts(part.column(1).slice(i, j - i)), part.column(3).slice(i, j - i)
+                size = pc.list_value_length(places).to_numpy(zero_copy_only=False).astype(np.int64)
+                begin = np.repeat(t.begins, size)
+                start, length, entry = book.matches(t, begin + places.flatten().to_numpy())
+                order = np.argsort(start, kind="stable")
+                start, length, entry = start[order], length[order], entry[order]
+                upto = pa.array(np.searchsorted(start, np.append(t.begins, len(t.points))).astype(np.int32))
+                lists = (start - t.begins[t.text[start]]).astype(np.int32), length.astype(np.int32), cost[entry]
+                yield pa.RecordBatch.from_arrays([part.column(1).slice(i, j - i), *(pa.ListArray.from_arrays(upto, pa.array(x)) for x in lists)], ["_run", "at", "n", "cost"])
 
 
 def phrase_book(table: DataFrame, phrase: str = "phrase", value: str = "value") -> Phrases:
