@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.lattice import SLICE, Phrases, Texts, read, text_slices, word_starts
+from ..functions.lattice import SLICE, Phrases, Texts, ranges, read, text_slices, word_starts
 from ..functions.lexicon import DROPPED, flat, nested_of
 from ..functions.profile import LATIN, OTHER, PAUSE, TARGET, Profile
 from ..functions.text import ratio
@@ -23,19 +23,29 @@ from ..functions.text import ratio
 
 def runs(text: Column, p: Profile = LATIN) -> Column:
     """Maximal runs of target, pause and other characters; nothing is lost, nothing is shuffled."""
-    return F.regexp_extract_all(text, F.lit(f"([{p.target}]+|[{p.pause}]+|[^{p.target}{p.pause}]+)"), F.lit(1))
+    return F.regexp_extract_all(text, F.lit(runs_pattern(p)), F.lit(1))
+
+
+def runs_pattern(p: Profile) -> str:
+    """Other characters are those at which neither class matches: a negated class is matched several times slower."""
+    return f"([{p.target}]+|[{p.pause}]+|(?s:(?![{p.target}{p.pause}]).)+)"
 
 
 SEGMENTS = T.ArrayType(T.StructType([T.StructField("text", T.StringType()), T.StructField("label", T.IntegerType())]))
 
 
+#: Segments of rows that a worker takes up at once.
+SEGMENTS_AT_ONCE = 1 << 18
+
+
 def char_labels(points: np.ndarray, p: Profile) -> np.ndarray:
     """The label of each code point; pause wins over target.  Classes are asked once for each distinct one."""
-    here, of = np.unique(points, return_inverse=True)
+    here = np.flatnonzero(np.bincount(points))
     plain = lambda c: re.sub(r"\\x\{([0-9A-Fa-f]+)\}", lambda m: f"\\U{int(m[1], 16):08x}", c)  # noqa: E731  as Python writes it
     pause, target = (re.compile(f"[{plain(c)}]") for c in (p.pause, p.target))
-    kind = np.array([PAUSE if pause.match(chr(c)) else TARGET if target.match(chr(c)) else OTHER for c in here.tolist()], dtype=np.int32)
-    return kind[of] if len(here) else np.zeros(0, np.int32)
+    kind = np.full(int(here.max(initial=0)) + 1, OTHER, dtype=np.int32)
+    kind[here] = [PAUSE if pause.match(chr(c)) else TARGET if target.match(chr(c)) else OTHER for c in here.tolist()]
+    return kind[points]
 
 
 def cut_texts(texts: pa.Array, p: Profile, by_char: bool, longest_other: int, words: Phrases | None) -> tuple[np.ndarray, pa.Array, np.ndarray]:
@@ -67,23 +77,22 @@ def segments(text: Column, p: Profile = LATIN, mode: str = "word", longest_other
     """array<struct<text,label>>: pause runs as their first mark, other runs above ``longest_other`` dropped, words or characters.
 
     Words are whole target runs (mode char: their characters), or with a lexicon (``lattice.word_book``) those of each run's likeliest cut.
-    Whole Arrow batches are cut at once: the built-in functions on lists ask each run's class by itself.
+    Parts of Arrow batches are cut at once, and given back part by part, so that a worker holds the segments of one part: the built-in
+    functions on lists ask each run's class by itself.
     """
     if mode not in ("word", "char"):
         raise ValueError(f"unknown mode: {mode}")
 
     @F.arrow_udf(SEGMENTS)
-    def run(texts: pa.Array) -> pa.Array:
-        counts, pieces, labels = [np.zeros(0, np.int64)], [pa.array([], pa.string())], [np.zeros(0, np.int32)]
-        filled = pa.compute.fill_null(texts, "")
-        for a, z in text_slices(filled, SLICE):
-            n, piece, label = cut_texts(filled.slice(a, z - a), p, mode == "char", longest_other, words)
-            counts.append(n)
-            pieces.append(piece)
-            labels.append(label)
-        offsets = pa.array(np.concatenate([[0], np.cumsum(np.concatenate(counts))]).astype(np.int32))
-        made = pa.StructArray.from_arrays([pa.concat_arrays(pieces), pa.array(np.concatenate(labels))], ["text", "label"])
-        return pa.ListArray.from_arrays(offsets, made, mask=pa.compute.is_null(texts) if texts.null_count else None)
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            filled = pa.compute.fill_null(texts, "")
+            for a, z in text_slices(filled, SLICE):
+                part = texts.slice(a, z - a)
+                n, piece, label = cut_texts(filled.slice(a, z - a), p, mode == "char", longest_other, words)
+                offsets = pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
+                made = pa.StructArray.from_arrays([piece, pa.array(label)], ["text", "label"])
+                yield pa.ListArray.from_arrays(offsets, made, mask=pa.compute.is_null(part) if part.null_count else None)
 
     return run(text)
 
@@ -189,6 +198,52 @@ def window_bounds(lengths: np.ndarray, labels: np.ndarray, draw: Callable[[int],
     return out
 
 
+def list_parts(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """A batch in parts whose lists hold about ``SEGMENTS_AT_ONCE`` entries together."""
+    sizes = pa.compute.fill_null(pa.compute.list_value_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    for a, z in ranges(sizes, SEGMENTS_AT_ONCE):
+        yield batch.slice(a, z - a)
+
+
+def cut_windows(keys: pa.Array, lists: pa.ListArray, fields: list[str], cut: Cut) -> tuple[np.ndarray, pa.Array, list[pa.Array]]:
+    """Windows with a target segment of each row's segments: the row, the first segment, and of each field the list of the window's values."""
+    bounds = np.asarray(lists.offsets)
+    flat = lists.values.slice(bounds[0], bounds[-1] - bounds[0])
+    bounds = bounds - bounds[0]
+    lengths = np.asarray(pa.compute.utf8_length(flat.field("text")))
+    labels = np.asarray(flat.field("label"))
+    targets = np.concatenate([[0], np.cumsum(labels == TARGET)])
+    row, begin, end = [], [], []
+    for r, k in enumerate(keys.to_pylist()):
+        a, z = int(bounds[r]), int(bounds[r + 1])
+        for i, j in window_bounds(lengths[a:z], labels[a:z], lambda i, k=k: cut.draw(k, i), cut):
+            if targets[a + j] > targets[a + i]:
+                row.append(r)
+                begin.append(a + i)
+                end.append(a + j)
+    begin, size = np.array(begin, dtype=np.int64), np.array(end, dtype=np.int64) - np.array(begin, dtype=np.int64)
+    offsets = np.concatenate([[0], np.cumsum(size)])
+    at = pa.array(np.arange(offsets[-1]) - np.repeat(offsets[:-1] - begin, size))
+    offsets = pa.array(offsets.astype(np.int32))
+    row = np.array(row, dtype=np.int64)
+    return row, pa.array((begin - bounds[row]).astype(np.int32)), [pa.ListArray.from_arrays(offsets, flat.field(f).take(at)) for f in fields]
+
+
+def window_lists(cut: Cut) -> Callable[[Column, Column], Column]:
+    """A function of (key, segments): array<struct<start,text_list,labels>>, the windows of ``windows``; null has none."""
+    names = ["start", "text_list", "labels"]
+
+    @F.arrow_udf("array<struct<start:int,text_list:array<string>,labels:array<int>>>")
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for columns in batches:
+            for part in list_parts(pa.RecordBatch.from_arrays(list(columns), ["key", "segs"]), 1):
+                row, start, made = cut_windows(part.column(0), part.column(1), ["text", "label"], cut)
+                counts = np.bincount(row, minlength=len(part))
+                yield pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.StructArray.from_arrays([start, *made], names))
+
+    return run
+
+
 def windows(df: DataFrame, key: str, segs: str, cut: Cut = Cut(), least_ratio: float = 0.0, p: Profile = LATIN) -> DataFrame:
     """key, start, and the window's segments (text_list, labels, and all other fields of the segments) for each row's segments.
 
@@ -199,57 +254,52 @@ def windows(df: DataFrame, key: str, segs: str, cut: Cut = Cut(), least_ratio: f
     out = T.StructType([T.StructField(key, df.schema[key].dataType), T.StructField("start", T.IntegerType()), *(T.StructField(names.get(f.name, f.name), T.ArrayType(f.dataType)) for f in fields)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column(1)
-            bounds, flat = np.asarray(lists.offsets), lists.values
-            lengths = np.asarray(pa.compute.utf8_length(flat.field("text")))
-            labels = np.asarray(flat.field("label"))
-            targets = np.concatenate([[0], np.cumsum(labels == TARGET)])
-            row, begin, end = [], [], []
-            for r, k in enumerate(batch.column(0).to_pylist()):
-                a, z = int(bounds[r]), int(bounds[r + 1])
-                for i, j in window_bounds(lengths[a:z], labels[a:z], lambda i, k=k: cut.draw(k, i), cut):
-                    if targets[a + j] > targets[a + i]:
-                        row.append(r)
-                        begin.append(a + i)
-                        end.append(a + j)
-            begin, size = np.array(begin, dtype=np.int64), np.array(end, dtype=np.int64) - np.array(begin, dtype=np.int64)
-            offsets = np.concatenate([[0], np.cumsum(size)])
-            at = pa.array(np.arange(offsets[-1]) - np.repeat(offsets[:-1] - begin, size))
-            offsets = pa.array(offsets.astype(np.int32))
-            start = pa.array((begin - bounds[np.array(row, dtype=np.int64)]).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), start, *(pa.ListArray.from_arrays(offsets, flat.field(f.name).take(at)) for f in fields)], out.names)
+        for batch in (part for whole in batches for part in list_parts(whole, 1)):
+            row, start, made = cut_windows(batch.column(0), batch.column(1), [f.name for f in fields], cut)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), start, *made], out.names)
 
     made = df.select(key, segs).mapInArrow(run, out)
     return made.where(ratio(F.array_join("text_list", ""), p) >= least_ratio) if least_ratio else made
 
 
-def samples(df: DataFrame, key: str, segs: str, cut: Cut = Cut(), least_ratio: float = 0.5, p: Profile = LATIN) -> DataFrame:
-    """key, start, text_list, labels, pinyin_list (the first reading of each target character) of the windows of segments with readings."""
+def samples(df: DataFrame, key: str, segs: str, cut: Cut = Cut(), least_ratio: float = 0.5, p: Profile = LATIN, firsts: Callable[[Column], Column] | None = None) -> DataFrame:
+    """key, start, text_list, labels, pinyin_list (the first reading of each target character) of the windows of segments.
+
+    Segments have readings, or else ``firsts`` gives the first ones of a list of words (``text.first_readings``); with neither there is no pinyin_list.
+    """
     rows = windows(df, key, segs, cut, least_ratio, p)
-    return rows.select(key, "start", "text_list", "labels", F.flatten(F.transform("readings", flat)).alias("pinyin_list"))
+    if firsts:
+        targets = F.filter(F.col("text_list"), lambda t, i: F.get(F.col("labels"), i) == TARGET)
+        return rows.select(key, "start", "text_list", "labels", firsts(targets).alias("pinyin_list"))
+    told = [F.flatten(F.transform("readings", flat)).alias("pinyin_list")] if "readings" in rows.columns else []
+    return rows.select(key, "start", "text_list", "labels", *told)
 
 
-def text_samples(texts: DataFrame, key: str, reader: Callable[[Column], Column] | Phrases, cut: Cut = Cut(), least_ratio: float = 0.5, p: Profile = LATIN, mode: str = "word", words: Phrases | None = None) -> DataFrame:
+def text_samples(texts: DataFrame, key: str, reader: Callable[[Column], Column] | Phrases | None, cut: Cut = Cut(), least_ratio: float = 0.5, p: Profile = LATIN, mode: str = "word", words: Phrases | None = None, firsts: Callable[[Column], Column] | None = None) -> DataFrame:
     """Samples of texts (key, text): the ratio filter, segments with readings, windows.  Mode char: readings are looked up by word, then words are cut.
 
-    ``reader`` is a function of a word's column, or a table of phrases and characters; ``words`` a lexicon that runs are cut by.
+    ``reader`` is a function of a word's column, or a table of phrases and characters; ``words`` a lexicon that runs are cut by.  Without a
+    reader (mode word) ``firsts`` reads the words of each window at once, which is far less work than a list for each letter.
     """
     if mode not in ("word", "char"):
         raise ValueError(f"unknown mode: {mode}")
+    if reader is None and mode == "char":
+        raise ValueError("mode char needs a reader of words")
     rows = eligible(texts, p, least_ratio).select(key, segments(F.col("text"), p, words=words).alias("s"))
+    if reader is None:
+        return samples(rows, key, "s", cut, least_ratio, p, firsts)
     segs = with_read_words(F.col("s"), reader) if isinstance(reader, Phrases) else with_readings(F.col("s"), reader)
     segs = by_letter(segs) if mode == "char" else segs
     return samples(rows.select(key, segs.alias("s")), key, "s", cut, least_ratio, p)
 
 
-def sentence_samples(lists: DataFrame, key: str, reader: Callable[[Column], Column], **more) -> DataFrame:
+def sentence_samples(lists: DataFrame, key: str, reader: Callable[[Column], Column] | None, **more) -> DataFrame:
     """Samples of rows (key, sentences): each sentence is a text of its own, ``key-place``."""
     texts = lists.select(F.posexplode("sentences").alias("_at", "text"), key).select(F.concat_ws("-", key, "_at").alias(key), "text")
     return text_samples(texts, key, reader, **more)
 
 
-def column_samples(df: DataFrame, key: str, columns: list[str], reader: Callable[[Column], Column], **more) -> DataFrame:
+def column_samples(df: DataFrame, key: str, columns: list[str], reader: Callable[[Column], Column] | None, **more) -> DataFrame:
     """Samples of all text columns that are there, ``key-column``; null and empty texts are skipped."""
     from ..sources import unpivot_texts
 
