@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.profile import IGNORE, LATIN, OTHER, PAUSE, TARGET, Profile
 from ..functions.rng import PHI
 from ..functions.text import INITIAL
-from ..operators.segment import Cut, window_bounds
+from ..operators.segment import Cut, runs_pattern, window_bounds, window_lists
 
 SEGMENT = "STRUCT<text: STRING, label: INT>"
 
@@ -26,16 +26,16 @@ def quoted(x: str) -> str:
 
 def definitions(p: Profile = LATIN) -> dict[str, tuple[str, str, str]]:
     """Name, then parameters, type and expression of each function."""
-    t, o, pause = f"[{p.target}]", f"[^{p.target}{p.pause}]", f"[{p.pause}]"
+    t, pause = f"[{p.target}]", f"[{p.pause}]"
     label = f"CASE WHEN x RLIKE {quoted('^' + pause)} THEN {PAUSE} WHEN x RLIKE {quoted('^' + t)} THEN {TARGET} ELSE {OTHER} END"
     first = f"regexp_extract(s, {quoted(INITIAL)}, 1)"
     return {
         "strip_brackets": ("t STRING", "STRING", f"regexp_replace(t, {quoted(r'\[[^\]]+\]')}, '')"),
         "join_spaced": ("t STRING", "STRING", f"regexp_replace(t, {quoted(rf'(?U)({t})\s+({t})')}, '$1$2')"),
         "keep_text": ("t STRING", "STRING", f"regexp_replace(t, {quoted(f'[^{p.target}{p.pause}]')}, '')"),
-        "target_ratio": ("t STRING", "DOUBLE", f"CASE WHEN length(t) > 0 THEN length(regexp_replace(t, {quoted(f'[^{p.ratio}]')}, '')) / length(t) ELSE 0.0 END"),
+        "target_ratio": ("t STRING", "DOUBLE", f"CASE WHEN length(t) > 0 THEN (length(t) - length(regexp_replace(t, {quoted(f'[{p.ratio}]+')}, ''))) / length(t) ELSE 0.0 END"),
         "text_eligible": ("t STRING, least DOUBLE", "BOOLEAN", "length(t) > 1 AND target_ratio(t) >= least"),
-        "text_runs": ("t STRING", "ARRAY<STRING>", f"regexp_extract_all(t, {quoted(f'({t}+|{pause}+|{o}+)')}, 1)"),
+        "text_runs": ("t STRING", "ARRAY<STRING>", f"regexp_extract_all(t, {quoted(runs_pattern(p))}, 1)"),
         "text_segments": ("t STRING", f"ARRAY<{SEGMENT}>", f"filter(transform(text_runs(t), x -> named_struct('text', CASE WHEN x RLIKE {quoted('^' + pause)} THEN substring(x, 1, 1) ELSE x END, 'label', {label})), s -> s.label <> {OTHER} OR length(s.text) <= 16)"),
         "syllable_initial": ("s STRING", "STRING", first),
         "syllable_final": ("s STRING", "STRING", f"regexp_replace(s, {quoted(INITIAL)}, '')"),
@@ -48,7 +48,10 @@ def definitions(p: Profile = LATIN) -> dict[str, tuple[str, str, str]]:
 
 
 class TextWindows:
-    """The windows of one text's segments: start, text_list, labels; as ``operators.segment.windows`` cuts them."""
+    """The windows of one text's segments: start, text_list, labels; as ``operators.segment.windows`` cuts them.
+
+    A worker holds all rows of an Arrow batch as objects; for large tables there is ``text_window_list``.
+    """
 
     def eval(self, key: str, segs: list[Row], seed: int = 0, shortest: int = 16, longest: int = 64, soft: int = 72, hard: int = 96) -> Iterator[tuple[int, list[str], list[int]]]:
         if not segs:
@@ -61,6 +64,11 @@ class TextWindows:
                 yield i, [s["text"] for s in segs[i:j]], labels[i:j].tolist()
 
 
+def register_lists(spark: SparkSession, cut: Cut = Cut()) -> None:
+    """text_window_list(key, segments): the windows of ``text_windows`` as one list, cut in Arrow parts; ``LATERAL VIEW inline`` makes them rows."""
+    spark.udf.register("text_window_list", window_lists(cut))
+
+
 def register(spark: SparkSession, p: Profile = LATIN) -> list[str]:
     """Make all functions known to a session; gives their names."""
     found = definitions(p)
