@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -32,9 +33,9 @@ def encoded(rows: DataFrame, ids: Ids, *keep: str) -> DataFrame:
     return rows.select(*keep, *[c.alias(k) for k, c in made.items()])
 
 
-def train(samples: DataFrame, key: str, ids: Ids, frequency: Column, epoch: int = 0, confusion: float = 0.0, strategy: str = "golden", no_context: float = 0.0, forward: float = 0.5, seed: int = 0) -> DataFrame:
-    """Encoded training rows of samples (key, text_list, labels, pinyin_list), a new span and new readings each epoch."""
-    rows = augment.suffixes(samples, key, strategy, epoch, no_context, forward, seed)
+def train(samples: DataFrame, key: str, ids: Ids, frequency: Column, epoch: int = 0, confusion: float = 0.0, strategy: str = "golden", no_context: float = 0.0, forward: float = 0.5, seed: int = 0, firsts: Callable[[Column], Column] | None = None) -> DataFrame:
+    """Encoded training rows of samples (key, text_list, labels, and pinyin_list or ``firsts`` of ``augment.suffixes``), a new span and new readings each epoch."""
+    rows = augment.suffixes(samples, key, strategy, epoch, no_context, forward, seed, firsts)
     return encoded(augment.confused(rows, key, frequency, confusion, f"{seed}:{epoch}"), ids, key)
 
 

@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
+from ..functions.lattice import SLICE, Texts, text_slices
 from ..functions.profile import IGNORE
 from ..functions.text import shorthands
 
@@ -68,12 +75,33 @@ def positions(text: Column, vocab: str) -> Column:
 
 def encode(text: Column, vocab: str) -> Column:
     """Ids of the known characters."""
-    return F.filter(positions(text, vocab), lambda x: x >= 0)
+    return looked_up(vocab, None)(text)
 
 
 def encode_aligned(text: Column, vocab: str) -> Column:
     """An id for every character, the ignored target where it is unknown."""
-    return F.transform(positions(text, vocab), lambda x: F.when(x < 0, IGNORE).otherwise(x))
+    return looked_up(vocab, IGNORE)(text)
+
+
+def looked_up(vocab: str, unknown: int | None) -> Callable[[Column], Column]:
+    """``positions``, where unknown characters are left out or have an id of their own.  Characters are looked up by code point, a part of a batch at once."""
+
+    @F.arrow_udf(ArrayType(IntegerType()))
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        table = np.full(max(map(ord, vocab), default=0) + 2, -1, dtype=np.int32)
+        table[[ord(c) for c in reversed(vocab)]] = np.arange(len(vocab))[::-1]  # of duplicates the first one counts
+        for texts in batches:
+            filled = pa.compute.fill_null(texts, "")
+            for a, z in text_slices(filled, SLICE):
+                t, part = Texts(filled.slice(a, z - a)), texts.slice(a, z - a)
+                ids = table[np.minimum(t.points, len(table) - 1)]
+                known = ids >= 0 if unknown is None else np.ones(len(ids), dtype=bool)
+                if unknown is not None:
+                    ids[ids < 0] = unknown
+                upto = np.concatenate([[0], np.cumsum(np.bincount(t.text[known], minlength=z - a))])
+                yield pa.ListArray.from_arrays(pa.array(upto.astype(np.int32)), pa.array(ids[known]), mask=pa.compute.is_null(part) if part.null_count else None)
+
+    return run
 
 
 def decode(ids: Column, vocab: str, size: int | None = None) -> Column:
