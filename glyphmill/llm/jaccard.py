@@ -330,7 +330,7 @@ def keep_one(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
 
 
 def lists(docs: DataFrame, k: int, scheme: Scheme) -> DataFrame:
-    """Entries of the lists of two sets or more: sig, b (the set), n, and a, the list's least set."""
+    """Entries of the lists of two sets or more: sig, b (the set), and a, the list's least set.  They are most of what is shuffled, so sizes of sets stay behind."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # sets of this task: copies in it emit once
@@ -342,21 +342,21 @@ def lists(docs: DataFrame, k: int, scheme: Scheme) -> DataFrame:
                 keep = first_seen(ids, seen)
                 n = np.diff(offsets)
                 owner, sig = signatures(hashes[np.repeat(keep, n)], np.concatenate([[0], np.cumsum(n[keep])]), scheme)
-                yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(ids[keep][owner]), pa.array(n[keep][owner].astype(np.int32))], ["sig", "b", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(ids[keep][owner])], ["sig", "b"])
 
     by_list = Window.partitionBy("sig")
-    rows = docs.select("text").mapInArrow(run, "sig long, b long, n int")
+    rows = docs.select("text").mapInArrow(run, "sig long, b long")
     return rows.withColumn("a", F.min("b").over(by_list)).withColumn("most", F.max("b").over(by_list)).where("a <> most").drop("most")
 
 
 def proposed(entries: DataFrame, merged: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of sets of one list that are in different components and may be linked by their sketches."""
-    parts = entries.select("sig", "b", "n").join(merged.withColumnRenamed("node", "b"), "b", "left").select("sig", "b", "n", F.coalesce("root", "b").alias("part"))
+    parts = entries.select("sig", "b").join(merged.withColumnRenamed("node", "b"), "b", "left").select("sig", "b", F.coalesce("root", "b").alias("part"))
     by_list = Window.partitionBy("sig")
     parts = parts.withColumn("one", F.min("part").over(by_list)).withColumn("other", F.max("part").over(by_list)).withColumn("blocks", F.ceil(F.count(F.lit(1)).over(by_list) / LIST_BLOCK).cast("long"))
-    parts = save(parts.where("one <> other").select("sig", "b", "n", "part", "blocks"))
+    parts = save(parts.where("one <> other").select("sig", "b", "part", "blocks"))
     wanted = parts.select("b").distinct()
-    found = rows.where("n_shingles > 0").select(F.col("set_id").alias("b"), "sketch").join(wanted, "b", "left_semi").groupBy("b").agg(F.first("sketch").alias("sketch"))
+    found = rows.where("n_shingles > 0").select(F.col("set_id").alias("b"), "n_shingles", "sketch").join(wanted, "b", "left_semi").groupBy("b").agg(F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
     own = F.pmod(F.xxhash64("b"), F.col("blocks"))
     dealt = parts.join(found.hint("merge"), "b").withColumn("own", own).withColumn("to", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     dealt = dealt.select("sig", F.least("own", "to").alias("i"), F.greatest("own", "to").alias("j"), (F.col("own") > F.col("to")).alias("right"), "b", "n", "part", "sketch")

@@ -94,3 +94,12 @@ def test_windows_as_lists_equal_the_table_function(spark):
     want = spark.sql(f"SELECT id, w.* FROM {segs}, LATERAL text_windows(CAST(id AS STRING), d.segs) w").collect()
     got = spark.sql(f"SELECT id, w.* FROM {segs} LATERAL VIEW inline(text_window_list(CAST(id AS STRING), d.segs)) w AS start, text_list, labels").collect()
     assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len(got) > 3
+
+
+def test_entries_of_lists_hold_no_sizes(spark):
+    from glyphmill.llm import jaccard
+
+    docs = spark.createDataFrame([(i, " ".join(f"w{j}" for j in range(60 + i % 2))) for i in range(4)], "doc_id long, text string")
+    entries = jaccard.lists(docs, 3, jaccard.Scheme(90, 8))
+    assert sorted(entries.columns) == ["a", "b", "sig"] and entries.where("a <> b").count() > 0
+    assert len({r.root for r in jaccard.jaccard_components(docs).collect()}) == 1
