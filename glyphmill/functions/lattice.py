@@ -358,9 +358,8 @@ def phrases_of(table: dict[str, str]) -> Phrases:
     return Phrases(Held((Book(list(known)), pa.array(list(known.values()), pa.string()))))
 
 
-def longest(t: Texts, book: Book) -> tuple[np.ndarray, np.ndarray]:
-    """Starts of the leftmost longest matches and of the characters between them, and their phrases (-1: none)."""
-    at, length, entry = book.matches(t)
+def longest(t: Texts, at: np.ndarray, length: np.ndarray, entry: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts of the leftmost longest of a text's matches and of the characters between them, and their phrases (-1: none)."""
     step = longest_steps(len(t.points), at, length)
     starts = walk(t, step)
     of = np.full(len(t.points), -1, np.int64)
@@ -379,7 +378,7 @@ def replaced(texts: Column, table: Phrases) -> Column:
         for a, z in text_slices(pc.fill_null(texts, ""), SLICE):
             part = texts.slice(a, z - a)
             t = Texts(pc.fill_null(part, ""))
-            starts, entry = longest(t, book)
+            starts, entry = longest(t, *book.matches(t))
             pieces = t.pieces(starts)
             if len(values):
                 pieces = pc.if_else(pa.array(entry >= 0), values.take(pa.array(np.maximum(entry, 0))), pieces)
@@ -390,6 +389,22 @@ def replaced(texts: Column, table: Phrases) -> Column:
     return run(texts)
 
 
+def in_context(t: Texts, book: Book, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each character the place of its reading in context, in the values whose lists begin at ``first``, and the phrase that it is alone (-1: none)."""
+    n = len(t.points)
+    at, length, entry = book.matches(t)
+    alone = np.full(n, -1, np.int64)
+    alone[at[length == 1]] = entry[length == 1]
+    starts, phrase = longest(t, at, length, entry)
+    size = np.diff(np.append(starts, n))
+    owner = np.repeat(np.arange(len(starts)), size)
+    many = size[owner] > 1
+    place = np.where(many, np.arange(n) - starts[owner], 0)
+    of = np.where(many, phrase[owner], alone)
+    there = (of >= 0) & (first[of] + place < first[of + 1])
+    return np.where(there, first[of] + place, -1), alone
+
+
 def read(words: Column, table: Phrases) -> Column:
     """For a list of words: of each its readings, struct(best: one for each character in its context, own: all of each character).
 
@@ -406,19 +421,9 @@ def read(words: Column, table: Phrases) -> Column:
         book, values = table.book.value
         for a, z in text_slices(flat, SLICE):
             t = Texts(flat.slice(a, z - a))
-            n = len(t.points)
-            at, length, entry = book.matches(t)
-            alone = np.full(n, -1, np.int64)
-            alone[at[length == 1]] = entry[length == 1]
-            starts, phrase = longest(t, book)
-            owner = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, n)))
-            many = np.diff(np.append(starts, n))[owner] > 1
-            place = np.where(many, np.arange(n) - starts[owner], 0)
-            of = np.where(many, phrase[owner], alone)
-            first = values.offsets.to_numpy()
-            there = (of >= 0) & (first[of] + place < first[of + 1])
-            best.append(values.values.take(pa.array(np.where(there, first[of] + place, 0), mask=~there)))
-            lists = values.take(pa.array(np.maximum(alone, 0), mask=alone < 0)) if len(values) else pa.nulls(n, pa.list_(pa.string()))
+            place, alone = in_context(t, book, values.offsets.to_numpy())
+            best.append(values.values.take(pa.array(np.maximum(place, 0), mask=place < 0)))
+            lists = values.take(pa.array(np.maximum(alone, 0), mask=alone < 0)) if len(values) else pa.nulls(len(alone), pa.list_(pa.string()))
             own.append(lists.cast(pa.list_(pa.string())))
             counts.append(t.ends - t.begins)
         upto = pa.array(np.concatenate([[0], np.cumsum(np.concatenate(counts))]).astype(np.int32))
@@ -428,6 +433,45 @@ def read(words: Column, table: Phrases) -> Column:
     return run(words)
 
 
+def ordered(words: Column, table: Phrases, dropped: str, joined: str | None = None) -> Column:
+    """Of each word (no null) the readings of its characters, the one in context first: what ``lexicon.nested_of`` makes of ``read``.
+
+    A list is made once for each pair of a front reading and a character that a part of a batch has, instead of one for each character of each
+    word.  ``joined``: each character's readings are one string, with this between them.
+    """
+    inner = pa.string() if joined is not None else pa.list_(pa.string())
+
+    @F.arrow_udf(T.ArrayType(T.StringType() if joined is not None else T.ArrayType(T.StringType())))
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        book, values = table.book.value
+        first = values.offsets.to_numpy()
+        coded = values.values.dictionary_encode()
+        names = coded.dictionary.to_pylist()
+        code = pc.fill_null(coded.indices, -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        left = np.concatenate([[0], np.cumsum(pc.fill_null(pc.not_equal(values.values, dropped), True).to_numpy(zero_copy_only=False))])
+        has = (left[first[1:]] > left[first[:-1]]) & pc.is_valid(values).to_numpy(zero_copy_only=False)
+        has = np.append(has, False)  # of characters without an entry
+        for words in batches:
+            for a, z in text_slices(words, SLICE):
+                t = Texts(words.slice(a, z - a))
+                place, alone = in_context(t, book, first)
+                front = np.append(code, -1)[place]
+                kept, told = np.flatnonzero(has[alone]), np.flatnonzero(front >= 0)
+                # the readings of a word in order go to the characters that are left of it
+                at = np.searchsorted(told, t.begins)[t.text[kept]] + np.arange(len(kept)) - np.searchsorted(kept, t.begins)[t.text[kept]]
+                given = at < np.searchsorted(told, t.ends)[t.text[kept]]
+                given = np.where(given, front[np.append(told, 0)[np.where(given, at, 0)]], -1)
+                pairs, which = np.unique(alone[kept] * (len(names) + 1) + given + 1, return_inverse=True)
+                lists = []
+                for entry, i in zip(*(x.tolist() for x in np.divmod(pairs, len(names) + 1))):
+                    own = [r for r in values[entry].as_py() if r != dropped]
+                    own = list(dict.fromkeys([names[i - 1], *own] if i and names[i - 1] in own else own))
+                    lists.append(own if joined is None else joined.join(r for r in own if r is not None))
+                yield grouped(pa.array(lists, inner).take(pa.array(which)), t.text[kept], z - a)
+
+    return run(words)
+
+
 def numbered_words(words: DataFrame, word: str) -> DataFrame:
     """Distinct words with how often they occur: a lexicon from a corpus."""
     return words.groupBy(F.col(word).alias("word")).agg(F.count(F.lit(1)).alias("freq"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import sys
 from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -36,6 +37,8 @@ SEGMENTS = T.ArrayType(T.StructType([T.StructField("text", T.StringType()), T.St
 
 #: Segments of rows that a worker takes up at once.
 SEGMENTS_AT_ONCE = 1 << 18
+#: Bytes of distinct runs that a worker holds.
+RUN_BYTES = 1 << 25
 
 
 def char_labels(points: np.ndarray, p: Profile) -> np.ndarray:
@@ -48,6 +51,49 @@ def char_labels(points: np.ndarray, p: Profile) -> np.ndarray:
     return kind[points]
 
 
+def letters(p: Profile = LATIN) -> list[str]:
+    """All target characters of a script."""
+    return [chr(c) for c in np.flatnonzero(char_labels(np.arange(sys.maxunicode + 1), p) == TARGET).tolist()]
+
+
+def target_runs(texts: pa.Array, p: Profile) -> pa.Array:
+    """The distinct target runs of texts."""
+    t = Texts(texts)
+    target = char_labels(t.points, p) == TARGET
+    first = np.ones(len(target), dtype=bool)
+    first[1:] = target[1:] != target[:-1]
+    first[t.begins[t.begins < t.ends]] = True
+    starts = np.flatnonzero(first)
+    return t.pieces(starts).filter(pa.array(target[starts])).unique()
+
+
+def distinct_runs(texts: DataFrame, text: str, run: str = "run", p: Profile = LATIN) -> DataFrame:
+    """The distinct target runs of a table's texts.
+
+    A task gives a run once, or once for each ``RUN_BYTES`` of distinct ones, so that neither a row nor a hash entry is made for each
+    occurrence, and a worker holds no more than that and a part.
+    """
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Array] = []
+        size = 0
+        for batch in batches:
+            filled = pa.compute.fill_null(batch.column(0), "")
+            for a, z in text_slices(filled, SLICE):
+                held.append(target_runs(filled.slice(a, z - a), p))
+                size += held[-1].nbytes
+                if size > RUN_BYTES:
+                    held = [pa.concat_arrays(held).unique()]
+                    size = held[0].nbytes
+                if size > RUN_BYTES // 2 and len(held) == 1:
+                    yield pa.RecordBatch.from_arrays(held, [run])
+                    held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays(held).unique()], [run])
+
+    return texts.select(text).mapInArrow(cut, T.StructType([T.StructField(run, T.StringType())])).distinct()
+
+
 def cut_texts(texts: pa.Array, p: Profile, by_char: bool, longest_other: int, words: Phrases | None) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     """How many segments each text has, and their texts and labels."""
     t = Texts(texts)

@@ -4,8 +4,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from glyphmill.functions import lattice, text
+from glyphmill.functions import lattice, lexicon, text
 from glyphmill.operators import augment, segment, vocab
+from glyphmill.plans import catalog
 from glyphmill.plans import functions as sqlapi
 
 TEXTS = ["Hello [x] wörld, accent cygne GEL: it's 12 o'clock!!\nAgain", "", "zhang chang a", None, "x" * 300 + ", y" * 90, "aec" + "#" * 20 + "egg", "日本 語", "c"]
@@ -103,3 +104,47 @@ def test_entries_of_lists_hold_no_sizes(spark):
     entries = jaccard.lists(docs, 3, jaccard.Scheme(90, 8))
     assert sorted(entries.columns) == ["a", "b", "sig"] and entries.where("a <> b").count() > 0
     assert len({r.root for r in jaccard.jaccard_components(docs).collect()}) == 1
+
+
+def test_distinct_runs_are_those_of_the_pattern(spark, monkeypatch):
+    want = {r.w for r in texts(spark).select(F.explode(F.regexp_extract_all("text", F.lit(f"([{text.LATIN.target}]+)"), F.lit(1))).alias("w")).collect()}
+    for slice_, size in ((1 << 20, 1 << 25), (5, 40), (1, 1)):
+        monkeypatch.setattr(segment, "SLICE", slice_)
+        monkeypatch.setattr(segment, "RUN_BYTES", size)
+        got = [r.run for r in segment.distinct_runs(texts(spark).union(texts(spark)).repartition(2), "text").collect()]
+        assert len(got) == len(want) and set(got) == want and "x" * 300 in want
+    assert segment.distinct_runs(texts(spark).where("id < 0"), "text").collect() == []
+    assert set(segment.letters()) == {c for c in map(chr, range(0x300)) if c.isalpha() and c not in "ªµº" and ord(c) < 0x100}
+
+
+def test_readings_are_ordered_as_nested_ones(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    # characters without readings (n, or dropped ones), phrases with too few readings, with null, and with readings that are not the characters' own
+    table = {"a": ["x", "y", "x"], "b": ["y"], "c": ["ê"], "d": ["ê", "z", None], "語": ["z", "x", "y"], "e": None, "f": [], "ab": ["y", "x"], "ba": ["y", "y"], "cab": ["ê", "y", "y"], "d語": ["z"], "語n": ["y", "x"], "ad": [None, "z"], "語語": ["x", "y"]}
+    book = lattice.phrase_book(spark.createDataFrame(list(table.items()), "phrase string, value array<string>"))
+    words = ["", "n", "cn", *("".join(rng.choice(list("abcdef語n"), n)) for n in rng.integers(1, 12, 400))]
+    df = spark.createDataFrame(list(enumerate(words)), "id int, w string").repartition(2)
+    read = df.select("id", F.get(lattice.read(F.array("w"), book), F.lit(0)).alias("r"))
+    nested = read.select("id", lexicon.nested_of(F.filter("r.best", lambda b: b.isNotNull()), F.col("r.own")).alias("n"))
+    want = {r.id: (r.n, r.j) for r in nested.select("id", "n", F.transform("n", lambda x: F.array_join(x, "|")).alias("j")).collect()}
+    monkeypatch.setattr(lattice, "SLICE", 50)
+    got = {r.id: (r.n, r.j) for r in df.select("id", lattice.ordered(F.col("w"), book, lexicon.DROPPED).alias("n"), lattice.ordered(F.col("w"), book, lexicon.DROPPED, "|").alias("j")).collect()}
+    assert got == want and want[0] == ([], []) and len({str(x) for x in want.values()}) > 200
+    empty = lattice.phrase_book(spark.createDataFrame([], "phrase string, value array<string>"))
+    assert all(r.n == [] for r in df.select(lattice.ordered(F.col("w"), empty, lexicon.DROPPED).alias("n")).collect())
+
+
+def test_readings_in_context_read_the_texts_once(spark, tmp_path, monkeypatch):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    texts(spark).createOrReplaceTempView("counted_once")
+    spark.createDataFrame([("accent egg",)], "text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    monkeypatch.setattr(catalog, "docs", lambda *_: spark.table("counted_once").select("id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(counted, "id int, text string"))
+    got = {r.word: r.readings for r in catalog.readings_in_context(spark, str(tmp_path)).collect()}
+    assert seen.value == len(TEXTS)
+    assert got["accent"] == "a,k|s,s|k,e,n,t" and got["cygne"] == "k|s,y,g|j,n,e" and got["egg"] == "e,g|j,g|j"
