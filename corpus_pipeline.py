@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glyphmill.llm.common import save, table
+from glyphmill.llm.common import keep_small_batches, save, table
 from glyphmill.llm.containment import decontaminate
 from glyphmill.llm.jaccard import keep_one
 from glyphmill.llm.mixing import take
@@ -16,26 +16,31 @@ from glyphmill.llm.rans import read_blocks, tokenizer_path, write_blocks
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier accepts."""
+    keep_small_batches(spark)
     return classify(docs, table(spark, sf_dir, "labels")).where("predicted = 1").select(*docs.columns)
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: at least 80 % of their five-word shingles are shared."""
+    keep_small_batches(spark)
     return keep_one(docs, k=5, percent=80)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
+    keep_small_batches(spark)
     return decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
+    keep_small_batches(spark)
     return take(docs)
 
 
 def tokens_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token blocks, and where in them each document is."""
+    keep_small_batches(spark)
     return read_blocks(*write_blocks(docs, tokenizer_path(spark)))
 
 

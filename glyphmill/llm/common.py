@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Hashable, Iterator
 from contextlib import contextmanager
 
 import numpy as np
@@ -58,15 +59,70 @@ def save(df: DataFrame, *, drop: list[DataFrame] | None = None, free: bool = Tru
 def small_batches(spark: SparkSession) -> Iterator[None]:
     """Within it batches for Python workers hold ``BATCH_BYTES`` at most (one longer row is a batch of its own), or what the session has set if that is less."""
     before = spark.conf.get(BATCH)
-    own = int(before.lower().removesuffix("b")) if before.lower().removesuffix("b").isdigit() else None
-    if own is not None and 0 < own <= BATCH_BYTES:
-        yield
-        return
-    spark.conf.set(BATCH, f"{BATCH_BYTES}b")
+    keep_small_batches(spark)
     try:
         yield
     finally:
-        spark.conf.set(BATCH, before)
+        if spark.conf.get(BATCH) != before:
+            spark.conf.set(BATCH, before)
+
+
+def keep_small_batches(spark: SparkSession) -> None:
+    """As ``small_batches``, from now on in this session: for frames that another writes."""
+    before = spark.conf.get(BATCH).lower().removesuffix("b")
+    if not (before.isdigit() and 0 < int(before) <= BATCH_BYTES):
+        spark.conf.set(BATCH, f"{BATCH_BYTES}b")
+
+
+#: What this worker made for tasks of one operator and has for the next of its tasks.
+_KEPT: dict[Hashable, object] = {}
+
+
+def kept(key: Hashable, make: Callable[[], object]) -> object:
+    """What ``make`` gives, made once for a worker; a worker keeps one such thing, that of the operator it last ran a task of."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def forget() -> None:
+    """Let go what was kept for other operators."""
+    _KEPT.clear()
+
+
+_LIBC = ctypes.CDLL(None)
+
+
+def let_go() -> None:
+    """Give memory back that is free: Arrow and the C library hold what a batch took, and an executor has several workers, idle ones too."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_LIBC, "malloc_trim"):  # glibc
+        _LIBC.malloc_trim(0)
+
+
+#: A function for mapInArrow.
+Run = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def lean(run: Run, keeps: bool = False) -> Run:
+    """``run`` in a worker that holds what this operator needs and no more: nothing of other operators (unless it ``keeps`` its own), and after each batch of rows no free memory."""
+
+    def lean_run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not keeps:
+            forget()
+        yield from run(leaving(batches))
+        let_go()
+
+    return lean_run
+
+
+def leaving(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches; after each, free memory is given back."""
+    for batch in batches:
+        yield batch
+        del batch
+        let_go()
 
 
 def discard(df: DataFrame) -> None:

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, Rolling, joined, mix, save, slices, word_hashes, words_of
+from .common import LOWER, Rolling, joined, kept, lean, mix, save, slices, word_hashes, words_of
 
 #: Words here are runs of ASCII letters, digits and all bytes beyond ASCII, so punctuation never hides an item.
 SEPARATOR = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
@@ -174,15 +174,8 @@ class Index:
         return out
 
 
-#: The index of the search that this worker last ran a task of.
-_INDEX: dict[str, Index] = {}
-
-
 def index_of(search: str, ids: list, texts: list, k: int, share: float) -> Index:
-    if search not in _INDEX:
-        _INDEX.clear()
-        _INDEX[search] = Index(ids, texts, k, share)
-    return _INDEX[search]
+    return kept(("index", search), lambda: Index(ids, texts, k, share))
 
 
 def with_leaks(docs: DataFrame, items: DataFrame, k: int = 5, share: float = 0.8) -> DataFrame:
@@ -207,7 +200,7 @@ def with_leaks(docs: DataFrame, items: DataFrame, k: int = 5, share: float = 0.8
         part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == n)
         rows = part.orderBy("item_id", "text").collect()  # at most about MOST_ITEM_CHARS
         ids, texts = [r.item_id for r in rows], [r.text for r in rows]
-        found = out.mapInArrow(_searcher(ids, texts, k, share, names, n > 0), schema)
+        found = out.mapInArrow(lean(_searcher(ids, texts, k, share, names, n > 0), keeps=True), schema)
         out = save(found, drop=[out]) if n < passes - 1 else found
     return out
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import LOWER, Rolling, joined, mix, save, slices, word_hashes, words_of
+from .common import LOWER, Rolling, joined, lean, mix, save, slices, word_hashes, words_of
 from .graph import components
 from .substring import tagged
 
@@ -287,7 +287,7 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFr
                 hashes, offsets = shingle_sets(part, k)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("tag"), pa.array(np.diff(offsets)), pa.array(set_ids(hashes, offsets).view(np.int64)), pa.array(sketches(hashes, offsets), pa.binary())], ["doc_id", "tag", "n_shingles", "set_id", "sketch"])
 
-    rows = save(docs.mapInArrow(identify, "doc_id long, tag long, n_shingles long, set_id long, sketch binary"))
+    rows = save(docs.mapInArrow(lean(identify), "doc_id long, tag long, n_shingles long, set_id long, sketch binary"))
     small = {r.n_shingles: r["count"] for r in rows.where(F.col("n_shingles").between(1, LARGEST_LIGHT)).groupBy("n_shingles").count().collect()}
     entries = save(lists(docs, k, Scheme(percent, choose_boundary(small, percent))))
     strong = entries.where("a <> b").groupBy("a", "b").count().where(F.col("count") >= STRONG).select("a", "b")
@@ -345,7 +345,7 @@ def lists(docs: DataFrame, k: int, scheme: Scheme) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(ids[keep][owner])], ["sig", "b"])
 
     by_list = Window.partitionBy("sig")
-    rows = docs.select("text").mapInArrow(run, "sig long, b long")
+    rows = docs.select("text").mapInArrow(lean(run), "sig long, b long")
     return rows.withColumn("a", F.min("b").over(by_list)).withColumn("most", F.max("b").over(by_list)).where("a <> most").drop("most")
 
 
@@ -410,7 +410,7 @@ def by_blocks(key: list[str], item: str, solve: Callable[[dict[str, list], int],
             flush()
             yield give()
 
-    return run
+    return lean(run)
 
 
 def joined_parts(first: DataFrame, second: DataFrame) -> DataFrame:
@@ -484,7 +484,7 @@ def solved(docs: DataFrame, dealt: DataFrame, k: int, percent: int) -> DataFrame
                 data = [body[8 * x : 8 * y] for x, y in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("family", "large", "set_id", "pairs")), pa.array(data, pa.binary())], ["family", "large", "set_id", "pairs", "hashes"])
 
-    rows = texts.mapInArrow(sets, "family long, large boolean, set_id long, pairs array<struct<i:long,j:long,right:boolean>>, hashes binary")
+    rows = texts.mapInArrow(lean(sets), "family long, large boolean, set_id long, pairs array<struct<i:long,j:long,right:boolean>>, hashes binary")
     rows = rows.select("family", "large", F.explode("pairs").alias("p"), "set_id", "hashes").select("family", "large", "p.i", "p.j", "p.right", "set_id", "hashes")
     # in a pair of blocks the first block's sets come first
     rows = rows.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j", "right", "set_id")

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import joined, mix, save, slices, word_hashes, words_of
+from .common import joined, lean, mix, save, slices, word_hashes, words_of
 
 #: Labelled documents that the classifier is fitted on, at most: those with the least hashes of their ids.
 SAMPLE = 6000
@@ -179,7 +179,7 @@ def word_vectors(docs: DataFrame) -> Words:
             yield packed(piece, part)
 
     schema = "piece int, sums binary"
-    sums = docs.select("text").mapInArrow(contexts, schema).repartition("piece").mapInArrow(add, schema)
+    sums = docs.select("text").mapInArrow(lean(contexts), schema).repartition("piece").mapInArrow(lean(add), schema)
     total = np.zeros(n)
     for r in sums.collect():  # one row for each piece
         total[r.piece * size : (r.piece + 1) * size] = np.frombuffer(pa.decompress(bytes(r.sums), 8 * size, codec="zstd"), "<i8")
@@ -217,7 +217,7 @@ def vectorised(docs: DataFrame, words: Words, *keep: str) -> DataFrame:
 
     df = docs.select(*keep, "text")
     fields = ", ".join(f"{c} {t}" for c, t in df.select(*keep).dtypes)
-    return df.mapInArrow(run, f"{fields}, vector binary")
+    return df.mapInArrow(lean(run), f"{fields}, vector binary")
 
 
 def score(docs: DataFrame, words: Words, network: Network) -> DataFrame:
@@ -233,7 +233,7 @@ def score(docs: DataFrame, words: Words, network: Network) -> DataFrame:
                 part = batch.slice(a, z - a)
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(network.scores(pooled(part.column("text"), words)))], [*names, "score"])
 
-    return docs.select(*names).mapInArrow(run, schema)
+    return docs.select(*names).mapInArrow(lean(run), schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, sample: int = SAMPLE) -> DataFrame:

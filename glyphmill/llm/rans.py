@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, release, save, scratch_root, slices
+from .common import discard, kept, lean, release, save, scratch_root, slices, small_batches
 
 #: Fixed value: the split pattern of the byte-level tokenizer.
 SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -164,13 +164,8 @@ class PieceEncoder:
         return self.whole(piece) if known is None else known
 
 
-_ENCODERS: dict[str, PieceEncoder] = {}
-
-
 def encoder(path: str) -> PieceEncoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = PieceEncoder(path)
-    return _ENCODERS[path]
+    return kept(("encoder", path), lambda: PieceEncoder(path))
 
 
 def scaled(counts: np.ndarray, bits: int) -> np.ndarray:
@@ -267,7 +262,7 @@ def tokenize(docs: DataFrame, path: str, end_id: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(pa.nulls(1, pa.int64()) for _ in range(3)), pa.nulls(1, pa.binary()), pa.array([counts.astype("<i8").tobytes()], pa.binary())], names)
 
     docs = docs.select("doc_id", "text", F.xxhash64("text").alias("tie"))
-    return docs.mapInArrow(run, "doc_id long, tie long, n long, ids binary, counts binary")
+    return docs.mapInArrow(lean(run, keeps=True), "doc_id long, tie long, n long, ids binary, counts binary")
 
 
 def total_counts(tokens: DataFrame) -> np.ndarray:
@@ -282,8 +277,8 @@ def total_counts(tokens: DataFrame) -> np.ndarray:
         if total is not None:
             yield pa.RecordBatch.from_arrays([pa.array([total.astype("<i8").tobytes()], pa.binary())], ["counts"])
 
-    tables = tokens.where("counts IS NOT NULL").select("counts").mapInArrow(add, "counts binary")
-    tables = tables.repartition(8).mapInArrow(add, "counts binary")
+    tables = tokens.where("counts IS NOT NULL").select("counts").mapInArrow(lean(add, keeps=True), "counts binary")
+    tables = tables.repartition(8).mapInArrow(lean(add, keeps=True), "counts binary")
     parts = [np.frombuffer(r.counts, "<i8") for r in tables.collect()]
     return sum(parts) if parts else np.zeros(1, np.int64)
 
@@ -341,7 +336,8 @@ def write_blocks(docs: DataFrame, path: str, end_id: int = 2, bits: int = 20, bl
     # only now are rows dealt out: ids are a fraction of their texts
     key = F.asc_nulls_first("doc_id")
     ordered = tokens.where("counts IS NULL").select("doc_id", "tie", "n", "ids").repartitionByRange(key, "tie").sortWithinPartitions(key, "tie")
-    ordered.mapInArrow(run, "shard long, first long, frame binary, seq array<long>, doc_id array<long>, n array<long>").write.option("compression", "zstd").parquet(f"{to}/blocks")
+    with small_batches(spark):
+        ordered.mapInArrow(lean(run), "shard long, first long, frame binary, seq array<long>, doc_id array<long>, n array<long>").write.option("compression", "zstd").parquet(f"{to}/blocks")
     discard(tokens)
     release(spark)
     blocks = spark.read.parquet(f"{to}/blocks")
@@ -408,7 +404,7 @@ def read_blocks(spark: SparkSession, path: str) -> DataFrame:
             start = [base[s] + f for s, f in zip(batch.column("shard").to_pylist(), batch.column("first").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(start, pa.int64()), batch.column("n_tokens"), pa.array(crcs, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    parts = blocks.mapInArrow(run, "shard long, seq long, doc_id long, first long, n long, crc long")
+    parts = blocks.mapInArrow(lean(run), "shard long, seq long, doc_id long, first long, n long, crc long")
     docs = parts.groupBy("shard", "seq").agg(F.first("doc_id").alias("doc_id"), F.min("first").alias("first"), F.sum("n").alias("n_tokens"), F.sort_array(F.collect_list(F.struct("first", "n", "crc"))).alias("parts"))
     return docs.mapInArrow(combine, "doc_id long, start long, n_tokens long, ids_crc32 long")
 

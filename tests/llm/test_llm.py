@@ -12,10 +12,11 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from glyphmill.llm import chat, pii, queries, rans, suffix, winnow
+from glyphmill.llm import chat, common, containment, jaccard, pii, queries, rans, suffix, winnow
 from glyphmill.llm.containment import decontaminate, with_leaks
 from glyphmill.llm.debruijn import debruijn_dedup
 from glyphmill.llm.graph import components
@@ -590,6 +591,42 @@ def test_pipeline_near_duplicates(spark):
     assert sorted(x.doc_id for x in corpus_pipeline.near_duplicates_stage(spark, docs, "").collect()) == [0, 1, 2, 3, 7]
 
 
+def test_a_worker_keeps_one_operators_things(spark):
+    enc = rans.encoder(rans.tokenizer_path(spark))
+    assert rans.encoder(rans.tokenizer_path(spark)) is enc
+    index = containment.index_of("a", [1], ["one two three four five six"], 5, 0.8)
+    assert containment.index_of("a", [], [], 5, 0.8) is index and list(common._KEPT.values()) == [index]
+    blocks = jaccard.by_blocks(["i", "j"], "b", lambda group, left: [], [("a", pa.int64())])
+    assert list(blocks(iter([]))) == [] and not common._KEPT
+
+
+def test_free_memory_is_given_back_after_each_batch(monkeypatch):
+    calls = []
+    monkeypatch.setattr(common, "let_go", lambda: calls.append(len(out)))
+    out = []
+    for batch in common.lean(lambda batches: batches)(iter([pa.record_batch({"x": [i]}) for i in range(3)])):
+        out.append(batch)
+    assert [b.column("x")[0].as_py() for b in out] == [0, 1, 2] and calls == [1, 2, 3, 3]
+
+
+def test_stages_send_small_batches_when_another_writes_them(spark):
+    import corpus_pipeline
+
+    before = spark.conf.get(common.BATCH)
+    try:
+        for _, stage in corpus_pipeline.STAGES[:2]:
+            spark.conf.set(common.BATCH, "64MB")
+            rows = spark.createDataFrame([(i, f"{i} " * 60000) for i in range(40)], "doc_id long, text string").coalesce(1)
+            stage(spark, rows, "/root/testdata/sf0.001")
+            sizes = rows.mapInArrow(lambda batches: (pa.record_batch({"n": [b.nbytes]}) for b in batches), "n long").collect()
+            assert len(sizes) > 1 and max(r.n for r in sizes) < 2 * common.BATCH_BYTES
+        spark.conf.set(common.BATCH, "1000")
+        common.keep_small_batches(spark)
+        assert spark.conf.get(common.BATCH) == "1000"
+    finally:
+        spark.conf.set(common.BATCH, before)
+
+
 def test_containment_of_few_shingles(spark):
     r = random.Random(12)
     prose = lambda n: [f"q{r.randrange(10**5)}" for _ in range(n)]
