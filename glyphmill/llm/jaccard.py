@@ -42,6 +42,8 @@ SEEDS = 3
 LARGEST_LIGHT = 40
 #: A set and the least set of so many of its lists are compared first.
 STRONG = 3
+#: Bits of the filter of documents that are compared: for each of them, and at most (8 MB).
+MEMBER_BITS, MOST_BITS = 16, 1 << 26
 
 
 def shingle_sets(part: pa.RecordBatch, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -466,14 +468,32 @@ def compared(docs: DataFrame, rows: DataFrame, families: DataFrame, k: int, perc
     return save(small.unionByName(components(links)))
 
 
+def only_members(docs: DataFrame, parts: DataFrame) -> DataFrame:
+    """``docs`` without most of those that are not in ``parts``, so that a join shuffles few other texts; a filter that is full only saves less."""
+    size = min(max(MEMBER_BITS * parts.count(), 1 << 10), MOST_BITS) // 64 * 64
+    slot = F.pmod(F.xxhash64("_id", "_tag"), F.lit(size))
+    found = parts.select(slot.alias("slot")).groupBy(F.floor(F.col("slot") / 64).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(slot % 64 as int)))").alias("bits")).toArrow()
+    bits = np.zeros(size // 64, np.uint64)
+    bits[found.column("word").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column("slot").to_numpy().view(np.uint64)
+            hit = (bits[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1)
+            yield batch.select(["doc_id", "tag", "text"]).filter(pa.array(hit.astype(bool)))
+
+    rows = docs.select("doc_id", "tag", "text", F.pmod(F.xxhash64("doc_id", "tag"), F.lit(size)).alias("slot"))
+    return rows.mapInArrow(lean(run), "doc_id long, tag long, text string")
+
+
 def solved(docs: DataFrame, dealt: DataFrame, k: int, percent: int) -> DataFrame:
     """Links among the sets that are dealt to the same pair of blocks, within one block (i = j) or across two: a, b, large.
 
     The sets that links connect there all have the least of them as a.
     """
-    parts = dealt.groupBy("set_id", "_id", "_tag", "family", "large").agg(F.collect_list(F.struct("i", "j", "right")).alias("pairs"))
+    parts = save(dealt.groupBy("set_id", "_id", "_tag", "family", "large").agg(F.collect_list(F.struct("i", "j", "right")).alias("pairs")), free=False)
     # a merge join at every size: the members grow with the documents
-    texts = docs.join(parts.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("tag") == F.col("_tag"))).select("family", "large", "set_id", "pairs", "text")
+    texts = only_members(docs, parts).join(parts.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("tag") == F.col("_tag"))).select("family", "large", "set_id", "pairs", "text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

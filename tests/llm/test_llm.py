@@ -600,6 +600,17 @@ def test_a_worker_keeps_one_operators_things(spark):
     assert list(blocks(iter([]))) == [] and not common._KEPT
 
 
+def test_few_texts_but_members_are_shuffled(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, f"text {i}") for i in range(2000)] + [(None, "x"), (7, None)], "doc_id long, text string")
+    docs = jaccard.tagged(rows)
+    parts = docs.where("doc_id % 100 = 0 OR doc_id IS NULL OR text IS NULL").selectExpr("doc_id AS _id", "tag AS _tag")
+    want = {tuple(r) for r in parts.collect()}
+    got = jaccard.only_members(docs, parts).collect()
+    assert {(r.doc_id, r.tag) for r in got} >= want and len(want) == 22 and len(got) < 400
+    monkeypatch.setattr(jaccard, "MOST_BITS", 64)  # full
+    assert {(r.doc_id, r.tag) for r in jaccard.only_members(docs, parts).collect()} >= want
+
+
 def test_free_memory_is_given_back_after_each_batch(monkeypatch):
     calls = []
     monkeypatch.setattr(common, "let_go", lambda: calls.append(len(out)))
