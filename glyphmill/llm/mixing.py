@@ -45,7 +45,8 @@ def with_targets(sources: DataFrame) -> DataFrame:
         if not weight or r["n"] == n_capped:
             break
         n_capped = r["n"]
-        capped = F.lit(rest) * F.col("weight") > F.lit(MOST) * F.col("size") * F.lit(weight)
+        # in 64 bits: a product of integers fails from 2**31 on
+        capped = F.lit(rest).cast("long") * F.col("weight") > F.lit(MOST) * F.col("size") * F.lit(weight)
     share = F.lit(float(rest)) * F.col("weight") / F.lit(float(weight or 1))
     return weighted.withColumn("target", F.when(capped, (MOST * F.col("size")).cast("double")).otherwise(share)).drop("weight")
 

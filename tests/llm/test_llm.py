@@ -483,6 +483,14 @@ def test_containment(spark, docs, rows):
     assert decontaminate(docs, bench.limit(0)).count() == len(rows)
 
 
+def test_targets_of_billions_of_words(spark):
+    """Level times weight passes 32 bits from 716 million words on; the level itself only from 2,147 million on."""
+    for total in (800_000_000, 2_000_000_000, 4_000_000_000):
+        sizes = [("a", total // 2), ("b", total // 2 - 1000), ("c", 1000)]
+        found = {r.source: r.target for r in with_targets(spark.createDataFrame(sizes, "source string, size long")).collect()}
+        assert found == pytest.approx({"a": (total - 3000) / 3, "b": (total - 3000) * 2 / 3, "c": 3000})
+
+
 def test_cube(spark, docs, rows):
     def targets(sizes):
         found = with_targets(spark.createDataFrame([(f"s{i:03}", n) for i, n in enumerate(sizes)], "source string, size long"))
