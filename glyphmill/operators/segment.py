@@ -41,11 +41,27 @@ SEGMENTS_AT_ONCE = 1 << 18
 RUN_BYTES = 1 << 25
 
 
+def class_pattern(chars: str) -> re.Pattern:
+    """A regex class of a profile, as Python writes it."""
+    plain = re.sub(r"\\x\{([0-9A-Fa-f]+)\}", lambda m: f"\\U{int(m[1], 16):08x}", chars)
+    return re.compile(f"[{plain}]")
+
+
+def eligible_rows(t: Texts, p: Profile, least_ratio: float) -> np.ndarray:
+    """Which texts ``eligible`` keeps."""
+    here = np.flatnonzero(np.bincount(t.points))
+    counted = np.zeros(int(here.max(initial=0)) + 1, dtype=bool)
+    pattern = class_pattern(p.ratio)
+    counted[here] = [bool(pattern.match(chr(c))) for c in here.tolist()]
+    size = t.ends - t.begins
+    found = np.bincount(t.text[counted[t.points]], minlength=len(size))
+    return (size > 1) & (found / np.maximum(size, 1) >= least_ratio)
+
+
 def char_labels(points: np.ndarray, p: Profile) -> np.ndarray:
     """The label of each code point; pause wins over target.  Classes are asked once for each distinct one."""
     here = np.flatnonzero(np.bincount(points))
-    plain = lambda c: re.sub(r"\\x\{([0-9A-Fa-f]+)\}", lambda m: f"\\U{int(m[1], 16):08x}", c)  # noqa: E731  as Python writes it
-    pause, target = (re.compile(f"[{plain(c)}]") for c in (p.pause, p.target))
+    pause, target = class_pattern(p.pause), class_pattern(p.target)
     kind = np.full(int(here.max(initial=0)) + 1, OTHER, dtype=np.int32)
     kind[here] = [PAUSE if pause.match(chr(c)) else TARGET if target.match(chr(c)) else OTHER for c in here.tolist()]
     return kind[points]
@@ -94,8 +110,8 @@ def distinct_runs(texts: DataFrame, text: str, run: str = "run", p: Profile = LA
     return texts.select(text).mapInArrow(cut, T.StructType([T.StructField(run, T.StringType())])).distinct()
 
 
-def cut_texts(texts: pa.Array, p: Profile, by_char: bool, longest_other: int, words: Phrases | None) -> tuple[np.ndarray, pa.Array, np.ndarray]:
-    """How many segments each text has, and their texts and labels."""
+def cut_texts(texts: pa.Array, p: Profile, by_char: bool, longest_other: int, words: Phrases | None, least_ratio: float | None = None) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """How many segments each text has, and their texts and labels; with ``least_ratio`` those that are not eligible have none."""
     t = Texts(texts)
     n = len(t.points)
     label = char_labels(t.points, p)
@@ -115,6 +131,8 @@ def cut_texts(texts: pa.Array, p: Profile, by_char: bool, longest_other: int, wo
     ends = np.append(starts[1:], n)
     ends = np.where(label[starts] == PAUSE, starts + 1, ends)
     kept = ~dropped[starts]
+    if least_ratio is not None:
+        kept &= eligible_rows(t, p, least_ratio)[t.text[starts]]
     starts, ends = starts[kept], ends[kept]
     return np.bincount(t.text[starts], minlength=len(texts)), t.ranges(starts, ends), label[starts]
 

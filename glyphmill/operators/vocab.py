@@ -83,13 +83,19 @@ def encode_aligned(text: Column, vocab: str) -> Column:
     return looked_up(vocab, IGNORE)(text)
 
 
+def id_table(vocab: str) -> np.ndarray:
+    """Ids by code point, -1 if unknown; its last entry is that of all greater ones."""
+    table = np.full(max(map(ord, vocab), default=0) + 2, -1, dtype=np.int32)
+    table[[ord(c) for c in reversed(vocab)]] = np.arange(len(vocab))[::-1]  # of duplicates the first one counts
+    return table
+
+
 def looked_up(vocab: str, unknown: int | None) -> Callable[[Column], Column]:
     """``positions``, where unknown characters are left out or have an id of their own.  Characters are looked up by code point, a part of a batch at once."""
 
     @F.arrow_udf(ArrayType(IntegerType()))
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        table = np.full(max(map(ord, vocab), default=0) + 2, -1, dtype=np.int32)
-        table[[ord(c) for c in reversed(vocab)]] = np.arange(len(vocab))[::-1]  # of duplicates the first one counts
+        table = id_table(vocab)
         for texts in batches:
             filled = pa.compute.fill_null(texts, "")
             for a, z in text_slices(filled, SLICE):

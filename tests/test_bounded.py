@@ -5,7 +5,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from glyphmill.functions import lattice, lexicon, text
-from glyphmill.operators import augment, segment, vocab
+from glyphmill.operators import augment, ragged, segment, transform, vocab
 from glyphmill.plans import catalog
 from glyphmill.plans import functions as sqlapi
 
@@ -53,6 +53,37 @@ def test_spans_read_the_words_of_their_suffix_only(spark):
         assert sorted(map(tuple, augment.suffixes(plain, "id", "golden", epoch, 0.5, firsts=text.first_readings).collect())) == want and len(want) > 3
 
 
+def test_texts_are_read_once_for_frequencies(spark):
+    plan = augment.letter_frequency(texts(spark), "text", text.readings)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+
+
+def test_spans_of_texts_are_those_of_their_segments(spark):
+    df = segment.eligible(texts(spark)).select("id", segment.segments(F.col("text")).alias("s"))
+    plain = df.select("id", F.col("s.text").alias("text_list"), F.col("s.label").alias("labels"))
+    for strategy, epoch in (("golden", 0), ("golden", 2), ("random", 0)):
+        want = sorted(map(tuple, augment.suffixes(plain, "id", strategy, epoch, 0.3, firsts=text.first_readings).collect()))
+        assert sorted(map(tuple, augment.text_suffixes(texts(spark), "id", "text", strategy, epoch, 0.3, firsts=text.first_readings).collect())) == want and len(want) == 3
+
+
+def test_rows_as_ids_in_one_pass(spark):
+    ids = transform.Ids("abcdé", "abcdé 語", ("a", "b", "zh"))
+    pairs = [("ab é", "cd"), ("", "abx"), ("??", "a"), ("語a", ""), ("x" * 50, "日"), (None, "a"), ("a", None), ("", "")]
+    rows = spark.createDataFrame([(i, p, s, ["b", "zz"]) for i, (p, s) in enumerate(pairs)], "id int, prefix string, suffix string, readings array<string>")
+    want = ragged.two_phase(vocab.encode(F.col("prefix"), ids.context), vocab.encode(F.col("suffix"), ids.context), vocab.encode_aligned(F.col("prefix"), ids.target), ids.begin)
+    want |= {"postfix_ids": F.transform("readings", lambda r: vocab.known_or_nearest(r, list(ids.readings))), "target_ids": vocab.encode(F.col("suffix"), ids.target)}
+    want = rows.select("id", *[c.alias(k) for k, c in want.items()])
+    got = transform.encoded(rows, ids, "id")
+    assert got.columns == want.columns
+    filled = want.where("id not in (5, 6)").orderBy("id").collect()
+    assert got.where("id not in (5, 6)").orderBy("id").collect() == filled and filled[2].prefix_ids == [7] and filled[2].uncond_target_ids == [-100]
+    null = {r.id: r for r in got.where("id in (5, 6)").collect()}
+    assert null[5].full_prefix_ids is None and null[5].prefix_lengths is None and null[5].target_ids == [0] and null[6].suffix_ids is None and null[6].prefix_ids == [7]
+    shown = transform.encoded(rows, ids, "id", told=catalog.list_digests).orderBy("id").collect()
+    plain = got.select("id", *[catalog.joined(F.col(c)).alias(c) if c.endswith("ids") and c != "postfix_ids" else c for c in got.columns[1:]]).orderBy("id").collect()
+    assert shown == plain
+
+
 def test_samples_without_lists_of_readings(spark):
     cut = segment.Cut(shortest=4, longest=6, soft=10, hard=90)
     df = texts(spark).where("text IS NOT NULL")
